@@ -12,6 +12,7 @@ after the last level.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from itertools import product
@@ -25,12 +26,20 @@ from .ordering import running_totals
 NOISE = -1
 
 
+def _side(name: str, i: int) -> Column:
+    return F.get(name, F.lit(i))
+
+
 def _gap2(d: int, a: str, b: str) -> Column:
-    """Squared smallest distance between boxes ``a`` and ``b``."""
+    """Squared smallest distance between boxes ``a`` and ``b``.
+
+    ``get`` and ``pow`` keep the generated code small enough for the JIT.
+    """
     total = F.lit(0.0)
     for i in range(d):
-        g = F.greatest(F.col(f"lo_{a}")[i] - F.col(f"hi_{b}")[i], F.col(f"lo_{b}")[i] - F.col(f"hi_{a}")[i], F.lit(0.0))
-        total = total + g * g
+        left = _side(f"lo_{a}", i) - _side(f"hi_{b}", i)
+        right = _side(f"lo_{b}", i) - _side(f"hi_{a}", i)
+        total = total + F.pow(F.greatest(left, right, F.lit(0.0)), 2)
     return total
 
 
@@ -38,8 +47,9 @@ def _reach2(d: int, a: str, b: str) -> Column:
     """Squared largest distance between points of boxes ``a`` and ``b``."""
     total = F.lit(0.0)
     for i in range(d):
-        g = F.greatest(F.col(f"hi_{a}")[i] - F.col(f"lo_{b}")[i], F.col(f"hi_{b}")[i] - F.col(f"lo_{a}")[i])
-        total = total + g * g
+        left = _side(f"hi_{a}", i) - _side(f"lo_{b}", i)
+        right = _side(f"hi_{b}", i) - _side(f"lo_{a}", i)
+        total = total + F.pow(F.greatest(left, right), 2)
     return total
 
 
@@ -58,23 +68,25 @@ def _point_key() -> Column:
 
 
 class _Grid:
-    """Weighted points and the box hierarchy over them."""
+    """Weighted points and the box hierarchy over them.
+
+    A cell is known by its smallest point id. Boxes below it are known by their
+    grid coordinates, single points by ``(-1, pid)``.
+    """
 
     def __init__(self, points: DataFrame, d: int, eps: float, levels: int):
         self.d, self.eps2 = d, eps * eps
-        side = eps / math.sqrt(d)
-
-        def cell(level: int) -> Column:
-            coords = [F.floor(F.col("x")[i] * F.lit(2.0**level / side)).cast("long") for i in range(d)]
-            return F.array(F.lit(level).cast("long"), *coords)
-
-        self.points = materialize(points.withColumns({f"c{k}": cell(k) for k in range(levels + 1)}))
-        self.cells = materialize(_boxes(self.points, d, ["c0"]))
         self.levels = levels
         self.reach = math.ceil(math.sqrt(d))
+        side = eps / math.sqrt(d)
+
+        def coords(level: int) -> Column:
+            return F.array(*[F.floor(F.col("x")[i] * F.lit(2.0**level / side)).cast("long") for i in range(d)])
 
-    def coarse(self) -> Column:
-        return F.array(*[F.floor(F.col("c0")[i + 1] / F.lit(self.reach)).cast("long") for i in range(self.d)])
+        self.cells = materialize(_boxes(points.withColumn("c0", coords(0)), d, ["c0"]).withColumnRenamed("first", "cell"))
+        keyed = points.withColumn("c0", coords(0)).join(self.cells.select("c0", "cell"), "c0").drop("c0")
+        self.points = materialize(keyed)
+        self._coords = coords
 
     def near_cells(self) -> DataFrame:
         """Pairs of different cells (both directions) with boxes within ``eps``.
@@ -83,43 +95,44 @@ class _Grid:
         ``eps``, where only the adjacent coarse cells matter. A coarse cell
         holds a bounded number of cells, whatever the row count.
         """
-        cells = self.cells.withColumn("z", self.coarse())
-        shifts = F.array(*[F.array(*[F.lit(o).cast("long") for o in v]) for v in product((-1, 0, 1), repeat=self.d)])
-        around = cells.select("z").distinct().select(
-            "z", F.explode(F.transform(shifts, lambda s: F.zip_with("z", s, lambda p, q: p + q))).alias("z2")
+        z = F.array(*[F.floor(F.col("c0")[i] / F.lit(self.reach)).cast("long") for i in range(self.d)])
+        cells = self.cells.withColumn("z", z)
+        offsets = json.dumps([list(v) for v in product((-1, 0, 1), repeat=self.d)])
+        shifts = F.from_json(F.lit(offsets), "array<array<bigint>>")
+        occupied = cells.select("z").distinct()
+        around = occupied.select("z", F.explode(shifts).alias("s")).select(
+            "z", F.array(*[F.col("z")[i] + F.col("s")[i] for i in range(self.d)]).alias("z2")
         )
-        occupied = around.join(cells.select(F.col("z").alias("z2")).distinct(), "z2", "left_semi")
-        a = cells.select("z", F.col("c0").alias("c_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+        around = around.join(occupied.withColumnRenamed("z", "z2"), "z2", "left_semi")
+        a = cells.select("z", F.col("cell").alias("c_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
         b = cells.select(
-            F.col("z").alias("z2"), F.col("c0").alias("c_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")
+            F.col("z").alias("z2"), F.col("cell").alias("c_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")
         )
-        pairs = a.join(occupied, "z").join(b, "z2")
         near = (F.col("c_a") != F.col("c_b")) & (_gap2(self.d, "a", "b") <= self.eps2)
-        return materialize(pairs.where(near).select("c_a", "c_b"))
-
-    def children(self, level: int) -> DataFrame:
-        """Parent box → child boxes one level down; single points stay as they are."""
-        x = F.col("x")
-        own = self.points.select(
-            _point_key().alias("parent"), _point_key().alias("box"), x.alias("lo"), x.alias("hi"), F.col("w").alias("weight")
-        )
-        if level <= self.levels:
-            split = _boxes(self.points, self.d, [f"c{level - 1}", f"c{level}"]).select(
-                F.col(f"c{level - 1}").alias("parent"), F.col(f"c{level}").alias("box"), "lo", "hi", "weight"
-            )
-        else:
-            split = self.points.select(
-                F.col(f"c{self.levels}").alias("parent"),
-                _point_key().alias("box"),
-                x.alias("lo"),
-                x.alias("hi"),
-                F.col("w").alias("weight"),
+        return materialize(a.join(around, "z").join(b, "z2").where(near).select("c_a", "c_b"))
+
+    def _key(self, level: int) -> Column:
+        if level == 0:
+            return F.array("cell")
+        if level > self.levels:
+            return _point_key()
+        return self._coords(level)
+
+    def children(self, level: int, singles: DataFrame | None) -> DataFrame:
+        """Parent box → boxes one level down; ``singles`` are points that stay as they are."""
+        keyed = self.points.withColumns({"parent": self._key(level - 1), "box": self._key(level)})
+        out = _boxes(keyed, self.d, ["parent", "box"]).drop("first")
+        if singles is not None:
+            x = F.col("x")
+            own = singles.select(
+                _point_key().alias("parent"), _point_key().alias("box"), x.alias("lo"), x.alias("hi"), F.col("w").alias("weight")
             )
-        return split.unionByName(own)
+            out = out.unionByName(own)
+        return out
 
-    def split(self, open_pairs: DataFrame, side: str, level: int) -> DataFrame:
+    def split(self, open_pairs: DataFrame, side: str, level: int, singles: DataFrame | None = None) -> DataFrame:
         """Replace one side's boxes by their children and drop what is out of reach."""
-        kids = self.children(level).select(
+        kids = self.children(level, singles).select(
             F.col("parent").alias(f"box_{side}"),
             F.col("box").alias("_box"),
             F.col("lo").alias("_lo"),
@@ -152,7 +165,7 @@ class _Grid:
             current = current.where(~F.col("sure")).drop("sure").join(sure, list(by), "left_anti")
             if level == self.levels + 2 or current.isEmpty():
                 break
-            current = self.split(self.split(current, "a", level), "b", level)
+            current = self.split(self.split(current, "a", level, self.points), "b", level, self.points)
         out = found[0]
         for f in found[1:]:
             out = out.unionByName(f)
@@ -160,27 +173,35 @@ class _Grid:
 
 
 def _core_points(grid: _Grid, near: DataFrame, min_samples: int) -> DataFrame:
-    """``(pid, is_core)`` for points of cells too light to be core by themselves."""
+    """``(pid, is_core)`` for points of cells too light to be core by themselves.
+
+    The first round only counts. Points it cannot settle start over with the
+    boxes that straddle their distance, split further round by round.
+    """
     d, eps2 = grid.d, grid.eps2
-    light = grid.cells.where(F.col("weight") < min_samples).select("c0", F.col("weight").alias("known"))
-    open_points = grid.points.join(light, "c0").select("pid", "x", "c0", "known")
+    light = grid.cells.where(F.col("weight") < min_samples).select("cell", F.col("weight").alias("known"))
+    open_points = grid.points.join(light, "cell").select("pid", "x", "cell", "known")
     boxes = grid.cells.select(
-        F.col("c0").alias("box_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("weight").alias("weight_b")
-    )
-    current = (
-        open_points.join(near, F.col("c0") == F.col("c_a"))
-        .select("pid", "known", F.col("x").alias("lo_a"), F.col("x").alias("hi_a"), F.col("c_b").alias("box_b"))
-        .join(boxes, "box_b")
+        F.col("cell").alias("c_b"),
+        F.array("cell").alias("box_b"),
+        F.col("lo").alias("lo_b"),
+        F.col("hi").alias("hi_b"),
+        F.col("weight").alias("weight_b"),
     )
+
+    def around(points: DataFrame) -> DataFrame:
+        pairs = points.join(near, F.col("cell") == F.col("c_a")).join(boxes, "c_b")
+        pairs = pairs.select("pid", F.col("x").alias("lo_a"), F.col("x").alias("hi_a"), "box_b", "lo_b", "hi_b", "weight_b")
+        return pairs.where(_gap2(d, "a", "b") <= eps2)
+
+    sure = _reach2(d, "a", "b") <= eps2
+    current = around(open_points)
     pending = open_points.select("pid", "known")
     decided = []
     for level in range(1, grid.levels + 3):
-        current = materialize(
-            current.where(_gap2(d, "a", "b") <= eps2).withColumn("sure", _reach2(d, "a", "b") <= eps2)
-        )
         counts = current.groupBy("pid").agg(
-            F.sum(F.when(F.col("sure"), F.col("weight_b")).otherwise(0)).alias("inside"),
-            F.sum(F.when(F.col("sure"), 0).otherwise(F.col("weight_b"))).alias("maybe"),
+            F.sum(F.when(sure, F.col("weight_b")).otherwise(0)).alias("inside"),
+            F.sum(F.when(sure, 0).otherwise(F.col("weight_b"))).alias("maybe"),
         )
         state = materialize(
             pending.join(counts, "pid", "left").select(
@@ -194,8 +215,12 @@ def _core_points(grid: _Grid, near: DataFrame, min_samples: int) -> DataFrame:
         pending = state.where(~settled).select("pid", "known")
         if level == grid.levels + 2 or pending.isEmpty():
             break
-        unsure = current.where(~F.col("sure")).drop("sure").join(pending.select("pid"), "pid", "left_semi")
-        current = grid.split(unsure, "b", level)
+        left = pending.select("pid")
+        if level == 1:
+            unsure = around(open_points.join(left, "pid", "left_semi"))
+        else:
+            unsure = current.join(left, "pid", "left_semi")
+        current = materialize(grid.split(unsure.where(~sure), "b", level))
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
@@ -223,13 +248,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
             .groupBy(F.col("src").alias("node"))
             .agg(F.min("comp").alias("heard"))
         )
-        spread = labels.join(heard, "node", "left").select(
-            "node", "comp", F.least("comp", F.coalesce("heard", "comp")).alias("next")
-        )
-        spread = materialize(spread)
-        jump = spread.select(F.col("node").alias("next"), F.col("next").alias("jumped"))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jumped"))
         after = materialize(
-            spread.join(jump, "next", "left").select("node", "comp", F.least("next", "jumped").alias("new"))
+            labels.join(heard, "node", "left")
+            .join(jump, "comp", "left")
+            .select("node", "comp", F.least("comp", F.coalesce("heard", "comp"), "jumped").alias("new"))
         )
         done = after.where(F.col("new") != F.col("comp")).isEmpty()
         labels = after.select("node", F.col("new").alias("comp"))
@@ -264,26 +287,26 @@ def dbscan(
 
     # Nodes: one per heavy cell, one per core point of a light cell.
     heavy = grid.cells.where(F.col("weight") >= min_samples)
-    heavy_nodes = heavy.select(F.col("first").alias("node"), "c0", F.col("c0").alias("box"), "lo", "hi", "weight")
+    heavy_nodes = heavy.select(F.col("cell").alias("node"), "cell", F.array("cell").alias("box"), "lo", "hi", "weight")
     point_nodes = grid.points.join(light_core.where("is_core"), "pid").select(
         F.col("pid").alias("node"),
-        "c0",
+        "cell",
         _point_key().alias("box"),
         F.col("x").alias("lo"),
         F.col("x").alias("hi"),
         F.col("w").alias("weight"),
     )
     nodes = materialize(heavy_nodes.unionByName(point_nodes))
-    within = nodes.groupBy("c0").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
-    same_cell = nodes.join(within, "c0").where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
+    within = nodes.groupBy("cell").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    same_cell = nodes.join(within, "cell").where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
 
     def side(s: str, frame: DataFrame) -> DataFrame:
-        names = {"node": f"node_{s}", "c0": f"c_{s}", "box": f"box_{s}", "lo": f"lo_{s}", "hi": f"hi_{s}"}
-        return frame.withColumnsRenamed({**names, "weight": f"weight_{s}"})
+        names = ("node", "cell", "box", "lo", "hi", "weight")
+        return frame.withColumnsRenamed({n: f"c_{s}" if n == "cell" else f"{n}_{s}" for n in names})
 
     half = near.where(F.col("c_a") < F.col("c_b"))
     crossing = half.join(side("a", nodes), "c_a").join(side("b", nodes), "c_b").drop("c_a", "c_b")
-    crossing = materialize(crossing.where(_gap2(d, "a", "b") <= grid.eps2))
+    crossing = crossing.where(_gap2(d, "a", "b") <= grid.eps2)
     certain = crossing.where(_reach2(d, "a", "b") <= grid.eps2)
     edges = same_cell.unionByName(certain.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")))
     first = connected_components(nodes, edges)
@@ -302,8 +325,8 @@ def dbscan(
     labels = materialize(labels)
 
     # Core points and cluster numbers.
-    heavy_points = grid.points.join(heavy.select("c0", F.col("first").alias("node")), "c0").select(
-        "pid", "first_key", "node"
+    heavy_points = grid.points.join(heavy.select("cell"), "cell").select(
+        "pid", "first_key", F.col("cell").alias("node")
     )
     light_points = grid.points.join(light_core.where("is_core"), "pid").select(
         "pid", "first_key", F.col("pid").alias("node")
@@ -317,16 +340,16 @@ def dbscan(
     lone = grid.points.join(light_core.where(~F.col("is_core")), "pid")
     lone_box = lone.select(
         "pid",
-        F.col("c0").alias("c_a"),
+        F.col("cell").alias("c_a"),
         _point_key().alias("box_a"),
         F.col("x").alias("lo_a"),
         F.col("x").alias("hi_a"),
         F.col("w").alias("weight_a"),
     )
     clustered = nodes.join(labels, "node").join(numbered, "comp").drop("comp", "node")
-    targets = clustered.withColumnsRenamed({"c0": "c_b", "box": "box_b", "lo": "lo_b", "hi": "hi_b", "weight": "weight_b"})
+    targets = clustered.withColumnsRenamed({"cell": "c_b", "box": "box_b", "lo": "lo_b", "hi": "hi_b", "weight": "weight_b"})
     same = lone_box.select("pid", "c_a").join(
-        clustered.select(F.col("c0").alias("c_a"), "cluster"), "c_a"
+        clustered.select(F.col("cell").alias("c_a"), "cluster"), "c_a"
     ).select("pid", "cluster")
     pairs = lone_box.join(near, "c_a").join(targets, "c_b").drop("c_a", "c_b")
     reached = grid.witnessed(pairs, ["pid", "cluster"]).select("pid", "cluster").unionByName(same)

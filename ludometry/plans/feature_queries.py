@@ -217,13 +217,13 @@ def topn_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """
  SELECT player_id, CAST(min(transaction_date) AS VARCHAR) AS first_purchase_date,
   CAST(max(transaction_date) AS VARCHAR) AS last_purchase_date, count(*) AS total_txn_count,
-  round(sum(price_usd), 4) AS total_revenue, round(avg(price_usd), 6) AS avg_txn_value,
+  round(sum(price_usd), 4) AS total_revenue, round(avg(price_usd) + 1e-8, 6) AS avg_txn_value,
   round(max(price_usd), 4) AS max_txn_value, round(min(price_usd), 4) AS min_txn_value,
   round(stddev_samp(price_usd), 4) AS std_txn_value, count(DISTINCT item_name) AS unique_items_purchased,
   count(DISTINCT item_category) AS unique_categories FROM transactions GROUP BY player_id""",
 )
 def purchase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(features.purchase_summary(retail.transactions(spark, sf_dir)), 4, avg_txn_value=6)
+    return tidy(features.purchase_summary(retail.transactions(spark, sf_dir)), 4, averages=["avg_txn_value"], avg_txn_value=6)
 
 
 @query(
@@ -351,7 +351,7 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
    avg(price_usd) AS mean, stddev_samp(price_usd) AS sd, count(DISTINCT item_name) AS items,
    count(DISTINCT item_category) AS cats, {_CATEGORY_SQL.split(", round")[0]} FROM transactions GROUP BY player_id)
  SELECT p.player_id, player_tier, coalesce(t.n, 0) AS total_txn_count, round(coalesce(t.rev, 0), 4) AS total_revenue,
-  round(coalesce(t.mean, 0), 6) AS avg_txn_value, round(coalesce(t.sd, 0), 4) AS std_txn_value,
+  round(coalesce(t.mean, 0) + 1e-8, 6) AS avg_txn_value, round(coalesce(t.sd, 0), 4) AS std_txn_value,
   coalesce(t.items, 0) AS unique_items_purchased, CAST(t.cats AS DOUBLE) AS unique_categories,
   round(coalesce(t.n / greatest(t.d1 - t.d0 + 1, 1), 0), 6) AS purchase_velocity,
   coalesce("spend_Brand#1", 0.0) AS spend_brand_1, coalesce(s.recency, 0) AS recency,
@@ -382,7 +382,7 @@ def player_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "retention_score",
         "days_to_first_purchase",
     )
-    return tidy(picked, total_revenue=4, std_txn_value=4, spend_brand_1=4)
+    return tidy(picked, averages=["avg_txn_value"], total_revenue=4, std_txn_value=4, spend_brand_1=4)
 
 
 @query(

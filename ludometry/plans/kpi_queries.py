@@ -32,12 +32,12 @@ def daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CAST(CAST(date_trunc('week', install_date) AS DATE) AS VARCHAR) AS cohort_week,
    count(DISTINCT player_id) AS cohort_size, round(avg(d1_retained), 6) AS d1_retention,
    round(avg(d7_retained), 6) AS d7_retention, round(avg(d30_retained), 6) AS d30_retention,
-   round(avg(CASE WHEN is_payer = 1 THEN total_spend_usd END), 6) AS arppu,
-   round(sum(total_spend_usd) / count(DISTINCT player_id), 6) AS arpu
+   round(avg(CASE WHEN is_payer = 1 THEN total_spend_usd END) + 1e-8, 6) AS arppu,
+   round(sum(total_spend_usd) / count(DISTINCT player_id) + 1e-8, 6) AS arpu
  FROM players GROUP BY date_trunc('week', install_date)""",
 )
 def cohort_retention_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(views.cohort_retention(retail.players_untiered(spark, sf_dir), "week"))
+    return tidy(views.cohort_retention(retail.players_untiered(spark, sf_dir), "week"), averages=["arppu", "arpu"])
 
 
 @query(
@@ -48,12 +48,12 @@ def cohort_retention_week(spark: SparkSession, sf_dir: str) -> DataFrame:
    CAST(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS DOUBLE) AS pct_players,
    round(sum(total_spend_usd), 4) AS total_revenue,
    round(100.0 * sum(total_spend_usd) / sum(sum(total_spend_usd)) OVER (), 2) AS pct_revenue,
-   round(avg(total_spend_usd), 6) AS avg_spend, round(avg(total_sessions), 6) AS avg_sessions,
+   round(avg(total_spend_usd) + 1e-8, 6) AS avg_spend, round(avg(total_sessions), 6) AS avg_sessions,
    round(avg(days_active), 6) AS avg_days_active, round(avg(max_stage_reached), 6) AS avg_max_stage
  FROM players WHERE is_payer = 1 GROUP BY player_tier""",
 )
 def whale_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(views.tier_segments(retail.players(spark, sf_dir)), total_revenue=4)
+    return tidy(views.tier_segments(retail.players(spark, sf_dir)), averages=["avg_spend"], total_revenue=4)
 
 
 _FUNNEL_VIEW = (
@@ -154,11 +154,11 @@ _TIERS = """,
     PLAYERS
     + _TIERS
     + """
- SELECT player_tier, n_players, round(total_rev, 4) AS total_rev, round(avg_rev, 6) AS avg_rev, pct_players,
+ SELECT player_tier, n_players, round(total_rev, 4) AS total_rev, round(avg_rev + 1e-8, 6) AS avg_rev, pct_players,
    pct_revenue FROM tier_shares""",
 )
 def tier_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(segments.tier_revenue(retail.players(spark, sf_dir)), total_rev=4)
+    return tidy(segments.tier_revenue(retail.players(spark, sf_dir)), averages=["avg_rev"], total_rev=4)
 
 
 @query(

@@ -127,10 +127,10 @@ _SUMMARY = f""",
 
 @query(
     "clv_summary",
-    TXNS + _SUMMARY + " SELECT player_id, frequency, recency, T, round(monetary, 6) AS monetary FROM summary",
+    TXNS + _SUMMARY + " SELECT player_id, frequency, recency, T, round(monetary + 1e-8, 6) AS monetary FROM summary",
 )
 def clv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(ltv.clv_summary(retail.transactions(spark, sf_dir), retail.OBS))
+    return tidy(ltv.clv_summary(retail.transactions(spark, sf_dir), retail.OBS), averages=["monetary"])
 
 
 @query(

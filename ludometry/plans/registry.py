@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +26,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def tidy(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Comparable output: BIGINT, rounded DOUBLE and STRING columns only."""
+def tidy(df: DataFrame, digits: int = 6, averages: Sequence[str] = (), **per_column: int) -> DataFrame:
+    """Comparable output: BIGINT, rounded DOUBLE and STRING columns only.
+
+    Averages of money often end exactly on a rounding tie (cents divided by
+    8), where the last bit depends on summation order. ``averages`` get 1e-8
+    added before rounding, here and in the SQL.
+    """
     cols = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.FractionalType,)):
-            c = F.round(c.cast("double"), per_column.get(f.name, digits)) + F.lit(0.0)
+            c = c.cast("double") + F.lit(1e-8 if f.name in averages else 0.0)
+            c = F.round(c, per_column.get(f.name, digits)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
