@@ -305,17 +305,18 @@ def dbscan(
         return frame.withColumnsRenamed({n: f"c_{s}" if n == "cell" else f"{n}_{s}" for n in names})
 
     half = near.where(F.col("c_a") < F.col("c_b"))
-    crossing = half.join(side("a", nodes), "c_a").join(side("b", nodes), "c_b").drop("c_a", "c_b")
-    crossing = crossing.where(_gap2(d, "a", "b") <= grid.eps2)
-    certain = crossing.where(_reach2(d, "a", "b") <= grid.eps2)
+
+    def crossing(frame: DataFrame) -> DataFrame:
+        return half.join(side("a", frame), "c_a").join(side("b", frame), "c_b").drop("c_a", "c_b")
+
+    certain = crossing(nodes).where(_reach2(d, "a", "b") <= grid.eps2)
     edges = same_cell.unionByName(certain.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")))
     first = connected_components(nodes, edges)
 
     # Only pairs that would join two different components still matter.
-    unsure = crossing.where(_reach2(d, "a", "b") > grid.eps2)
-    unsure = unsure.join(first.select(F.col("node").alias("node_a"), F.col("comp").alias("comp_a")), "node_a")
-    unsure = unsure.join(first.select(F.col("node").alias("node_b"), F.col("comp").alias("comp_b")), "node_b")
-    unsure = unsure.where(F.col("comp_a") != F.col("comp_b")).drop("node_a", "node_b")
+    grouped = nodes.join(first, "node").drop("node").withColumnRenamed("comp", "node")
+    unsure = crossing(grouped).where(F.col("node_a") != F.col("node_b"))
+    unsure = unsure.withColumnsRenamed({"node_a": "comp_a", "node_b": "comp_b"})
     joins = grid.witnessed(unsure, ["comp_a", "comp_b"])
     comps = first.select(F.col("comp").alias("node")).distinct()
     second = connected_components(comps, joins.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")))
