@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
-_CHUNK = 256
+_CHUNK_CELLS = 1_000_000
+_MAX_PATTERN_BITS = 8
 
 
 @dataclass(frozen=True)
@@ -95,8 +96,8 @@ def leaf_table(spark: SparkSession, model) -> LeafTable:
     return LeafTable(np.array([v for v, _ in leaves]), feature, low, high, share)
 
 
-def shapley(x: np.ndarray, table: LeafTable) -> np.ndarray:
-    """Shapley values, rows × features.
+def _leaf_values(passes: np.ndarray, table: LeafTable) -> np.ndarray:
+    """Shapley values inside each leaf game: rows × leaves × path positions.
 
     For each path position the other positions' pass/share factors are
     multiplied out as a polynomial whose k-th coefficient collects the
@@ -104,25 +105,45 @@ def shapley(x: np.ndarray, table: LeafTable) -> np.ndarray:
     """
     width = table.feature.shape[1]
     weights = [math.factorial(k) * math.factorial(width - k - 1) / math.factorial(width) for k in range(width)]
+    out = np.zeros(passes.shape)
+    for u in range(width):
+        sizes = [np.ones(passes.shape[:2])]
+        for j in range(width):
+            if j == u:
+                continue
+            grown = [c * table.share[:, j] for c in sizes] + [np.zeros(passes.shape[:2])]
+            for k, c in enumerate(sizes):
+                grown[k + 1] = grown[k + 1] + c * passes[:, :, j]
+            sizes = grown
+        gain = sum(w * c for w, c in zip(weights, sizes))
+        out[:, :, u] = table.value * (passes[:, :, u] - table.share[:, u]) * gain
+    return out
+
+
+def shapley(x: np.ndarray, table: LeafTable) -> np.ndarray:
+    """Shapley values, rows × features.
+
+    A leaf's values depend only on which of its path conditions the row meets,
+    so they are worked out once per pattern and looked up; long paths have too
+    many patterns and are computed per row.
+    """
+    leaves, width = table.feature.shape
+    to_feature = np.zeros((leaves * width, x.shape[1]))
+    to_feature[np.arange(leaves * width), table.feature.ravel()] = 1.0
+    lookup = None
+    if width <= _MAX_PATTERN_BITS:
+        bits = (np.arange(2**width)[:, None] >> np.arange(width)) & 1
+        lookup = _leaf_values(np.repeat(bits[:, None, :].astype(float), leaves, axis=1), table)
     out = np.zeros(x.shape)
-    for start in range(0, len(x), _CHUNK):
-        values = x[start : start + _CHUNK][:, table.feature]
-        passes = ((values > table.low) & (values <= table.high)).astype(float)
-        part = np.zeros((len(passes), x.shape[1]))
-        for u in range(width):
-            sizes = [np.ones(passes.shape[:2])]
-            for j in range(width):
-                if j == u:
-                    continue
-                grown = [c * table.share[:, j] for c in sizes] + [np.zeros(passes.shape[:2])]
-                for k, c in enumerate(sizes):
-                    grown[k + 1] = grown[k + 1] + c * passes[:, :, j]
-                sizes = grown
-            gain = sum(w * c for w, c in zip(weights, sizes))
-            phi = table.value * (passes[:, :, u] - table.share[:, u]) * gain
-            for f in np.unique(table.feature[:, u]):
-                part[:, f] += phi[:, table.feature[:, u] == f].sum(axis=1)
-        out[start : start + _CHUNK] = part
+    step = max(1, _CHUNK_CELLS // (leaves * width))
+    for start in range(0, len(x), step):
+        values = x[start : start + step][:, table.feature]
+        passes = (values > table.low) & (values <= table.high)
+        if lookup is None:
+            phi = _leaf_values(passes.astype(float), table)
+        else:
+            phi = lookup[passes @ (1 << np.arange(width)), np.arange(leaves)]
+        out[start : start + step] = phi.reshape(len(phi), -1) @ to_feature
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, churn, clustering, dbscan, evaluation, features, segments
+from ..session import materialize
 from ..sources import retail
 from .feature_queries import COUNTRIES, IOS
 from .oracle_tables import OBS, PLAYERS
@@ -190,35 +191,40 @@ def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ── models ──────────────────────────────────────────────────────────────────
 
 
-def _trained(spark: SparkSession, sf_dir: str, trees: int, config: str = "coarse_bins"):
+def _churn_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Feature vectors, written once: training, holdout and scoring all read them."""
     data, names = churn.churn_frame(_profiles(spark, sf_dir), CHURN_FEATURES, exclude_leaky=True)
-    train, test = churn.split_stratified(data, "player_id")
-    return churn.train_churn(train, trees=trees, params=churn.CONFIGS[config]), data, test, names
+    return materialize(data), names
+
+
+def _trained(spark: SparkSession, sf_dir: str, trees: int):
+    data, names = _churn_data(spark, sf_dir)
+    train, _ = churn.split_stratified(data, "player_id")
+    return churn.train_churn(train, trees=trees), data, names
 
 
 @query("churn_model")
 def churn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two configurations on the same split, compared on the holdout."""
-    preds = {}
-    for config in churn.CONFIGS:
-        model, _, test, _ = _trained(spark, sf_dir, 10, config)
-        preds[config] = churn.score(test, model, "score")
-    return evaluation.compare_models(preds)
+    data, _ = _churn_data(spark, sf_dir)
+    train, test = churn.split_stratified(data, "player_id")
+    models = {name: churn.train_churn(train, trees=10, params=p) for name, p in churn.CONFIGS.items()}
+    return evaluation.compare_models({name: churn.score(test, m, "score") for name, m in models.items()})
 
 
 @query("churn_scores")
 def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, data, _, _ = _trained(spark, sf_dir, 10)
+    model, data, _ = _trained(spark, sf_dir, 10)
     return churn.with_risk(churn.score(data, model)).select("player_id", "churn_probability", "churn_risk")
 
 
 @query("attributions")
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, data, _, names = _trained(spark, sf_dir, 10)
+    model, data, names = _trained(spark, sf_dir, 10)
     return attribution.global_importance(attribution.attributions(data, model, scale=2.0), names)
 
 
 @query("explain_top")
 def explain_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, data, _, names = _trained(spark, sf_dir, 10)
+    model, data, names = _trained(spark, sf_dir, 10)
     return attribution.explain_top(churn.score(data, model), model, names)

@@ -292,7 +292,9 @@ def test_attributions_sum_to_the_log_odds(churn_data, churn_fit):
     assert worst < 1e-9
 
 
-def test_attributions_equal_shapley_by_definition(spark, churn_data, churn_fit):
+@pytest.mark.parametrize("bits", [0, 8])
+def test_attributions_equal_shapley_by_definition(spark, churn_data, churn_fit, monkeypatch, bits):
+    monkeypatch.setattr(attribution, "_MAX_PATTERN_BITS", bits)
     data, _ = churn_data
     table = attribution.leaf_table(spark, churn_fit)
     x = np.array([r["features"].toArray() for r in data.limit(5).collect()])
