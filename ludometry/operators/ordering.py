@@ -27,37 +27,33 @@ BUCKETS = 1024
 _SAMPLE_PER_BUCKET = 50
 
 
-def _edges(df: DataFrame, order: Sequence[str], rows: int, buckets: int) -> Column:
-    """Sampled bucket edges as a two-level array, from a scalar subquery."""
-    side = max(2, int(round(buckets**0.5)))
-    every = max(1, rows // (buckets * _SAMPLE_PER_BUCKET))
-    keys = F.struct(*[F.col(c) for c in order])
-    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).agg(
-        F.sort_array(F.collect_list(keys)).alias("s")
-    )
-
-    def at(i: Column) -> Column:
-        return F.get("s", F.floor(i * F.size("s") / F.lit(side * side)).cast("int"))
+def _key(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
-    def live(positions: Column) -> Column:
-        return F.filter(F.transform(positions, at), lambda e: e.isNotNull())
 
-    coarse = live(F.sequence(F.lit(side), F.lit(side * (side - 1)), F.lit(side)))
-    fine = F.transform(
-        F.sequence(F.lit(0), F.lit(side - 1)),
-        lambda g: live(F.sequence(g * side + 1, g * side + (side - 1))),
+def _edges(df: DataFrame, order: Sequence[str], rows: int, bits: int) -> Column:
+    """``2**bits − 1`` sampled bucket edges in order, from a scalar subquery."""
+    buckets = 2**bits
+    every = max(1, rows // (buckets * _SAMPLE_PER_BUCKET))
+    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).agg(
+        F.sort_array(F.collect_list(_key(order))).alias("s")
     )
-    return sample.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar()
+    spots = F.sequence(F.lit(1), F.lit(buckets - 1))
+    picked = F.transform(spots, lambda i: F.get("s", F.floor(i * F.size("s") / F.lit(buckets)).cast("int")))
+    return sample.select(picked.alias("edges")).scalar()
 
 
 def _with_bucket(df: DataFrame, order: Sequence[str], rows: int, buckets: int) -> DataFrame:
-    side = max(2, int(round(buckets**0.5)))
-    key = F.struct(*[F.col(c) for c in order])
-    df = df.withColumn("_edges", _edges(df, order, rows, buckets)).withColumn("_key", key)
-    df = df.withColumn("_g", F.size(F.filter("_edges.coarse", lambda e: e < F.col("_key"))))
-    fine = F.get("_edges.fine", F.col("_g"))
-    df = df.withColumn("_b", F.col("_g") * side + F.size(F.filter(fine, lambda e: e < F.col("_key"))))
-    return df.drop("_edges", "_key", "_g")
+    """Add the number of edges below each row, found by binary search."""
+    bits = max(1, (buckets - 1).bit_length())
+    halves = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
+    df = df.withColumn("_edges", _edges(df, order, rows, bits)).withColumn("_key", _key(order))
+    bucket = F.aggregate(
+        halves,
+        F.lit(0),
+        lambda at, half: at + F.when(F.get("_edges", at + half - 1) < F.col("_key"), half).otherwise(0),
+    )
+    return df.withColumn("_b", bucket).drop("_edges", "_key")
 
 
 def _before(window) -> "Window":
