@@ -86,33 +86,61 @@ def _outlier_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTLIER_Z = [f"{c}_z" for c in clustering.OUTLIER_FEATURES]
 
 
+def _dbscan_sql(eps: float) -> str:
+    """Neighbour pairs by self-join, then smallest core key spread along core links."""
+    scaled = ", ".join(
+        f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(clustering.OUTLIER_FEATURES)
+    )
+    distance = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(clustering.OUTLIER_FEATURES)))
+    return (
+        PLAYERS.replace("WITH", "WITH RECURSIVE", 1)
+        + f""",
+ pay AS (SELECT * FROM players WHERE is_payer = 1),
+ z AS (SELECT player_id, {scaled} FROM pay),
+ near AS MATERIALIZED (SELECT a.player_id AS a, b.player_id AS b FROM z a JOIN z b ON {distance} <= {eps} * {eps}),
+ core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+ links AS MATERIALIZED (SELECT n.a, n.b FROM near n JOIN core x ON x.id = n.a JOIN core y ON y.id = n.b),
+ comp(id, lead) USING KEY (id) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT l.a, min(c.lead) FROM comp c JOIN links l ON l.b = c.id JOIN recurring.comp r ON r.id = l.a
+  WHERE c.lead < r.lead GROUP BY l.a),
+ numbered AS (SELECT id, dense_rank() OVER (ORDER BY lead) - 1 AS k FROM comp),
+ labels AS (
+  SELECT n.a AS id, min(m.k) AS k FROM near n JOIN numbered m ON m.id = n.b
+  WHERE n.a = n.b OR n.a NOT IN (SELECT id FROM core) GROUP BY n.a)"""
+    )
+
+
 @query(
     "dbscan_flags",
-    PLAYERS
-    + f""",
- pay AS (SELECT * FROM players WHERE is_payer = 1),
- z AS (SELECT player_id, {", ".join(
-        f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}"
-        for i, c in enumerate(clustering.OUTLIER_FEATURES)
-    )} FROM pay),
- near AS (SELECT a.player_id AS a, b.player_id AS b FROM z a JOIN z b
-  ON {" + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(5))} <= 0.5 * 0.5),
- core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5)
- SELECT z.player_id, CASE WHEN z.player_id IN (SELECT a FROM core) THEN 1 ELSE 0 END AS is_core,
-  CASE WHEN z.player_id IN (SELECT n.a FROM near n JOIN core c ON c.a = n.b) THEN 0 ELSE 1 END AS is_noise FROM z""",
+    _dbscan_sql(0.5)
+    + """
+ SELECT z.player_id, coalesce(l.k, -1) AS cluster,
+  CASE WHEN z.player_id IN (SELECT id FROM core) THEN 1 ELSE 0 END AS is_core,
+  CASE WHEN l.k IS NULL THEN 1 ELSE 0 END AS is_noise
+ FROM z LEFT JOIN labels l ON l.id = z.player_id""",
 )
 def dbscan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small radius, which gives many clusters and much noise."""
     labels = dbscan.dbscan(_outlier_input(spark, sf_dir), "player_id", _OUTLIER_Z, eps=0.5, min_samples=5)
-    return tidy(labels.select("player_id", "is_core", (F.col("cluster") == dbscan.NOISE).alias("is_noise")))
+    noise = (F.col("cluster") == dbscan.NOISE).alias("is_noise")
+    return tidy(labels.select("player_id", "cluster", "is_core", noise))
 
 
-@query("dbscan_labels")
+@query(
+    "dbscan_labels",
+    _dbscan_sql(1.5)
+    + """
+ SELECT p.player_id, CASE WHEN p.is_payer = 0 THEN -2 ELSE coalesce(l.k, -1) END AS dbscan_cluster
+ FROM players p LEFT JOIN labels l ON l.id = p.player_id""",
+)
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference settings (eps 1.5); players who never paid get −2."""
+    """Default radius; players who never paid get −2."""
     labels = dbscan.dbscan(_outlier_input(spark, sf_dir), "player_id", _OUTLIER_Z)
     everyone = retail.players_untiered(spark, sf_dir).select("player_id")
     joined = everyone.join(labels.select("player_id", F.col("cluster").alias("dbscan_cluster")), "player_id", "left")
-    return features.default_fill(joined, {"dbscan_cluster": -2})
+    return tidy(features.default_fill(joined, {"dbscan_cluster": -2}))
 
 
 # ── evaluation over a score both engines can compute ────────────────────────
