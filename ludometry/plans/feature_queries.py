@@ -23,14 +23,14 @@ _COUNTRY_SQL = ", ".join(f"'{c}'" for c in COUNTRIES)
  e AS (SELECT *, {OBS} - install_date AS since_install, {OBS} - last_active_date AS idle FROM players)
  SELECT player_id, since_install AS days_since_install, idle AS days_since_last_active,
   round(total_sessions / greatest(since_install, 1), 6) AS session_frequency,
-  round(total_play_hours / greatest(days_active, 1), 6) AS play_intensity,
+  round(total_play_hours / greatest(days_active, 1) + 1e-8, 6) AS play_intensity,
   round(max_stage_reached / greatest(days_active, 1), 6) AS stage_velocity,
   round(days_active / greatest(since_install, 1), 6) AS engagement_ratio FROM e""",
 )
 def engagement_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.engagement_features(retail.players_untiered(spark, sf_dir), retail.OBS)
     names = ["days_since_install", "days_since_last_active", "session_frequency", "play_intensity"]
-    return tidy(out.select("player_id", *names, "stage_velocity", "engagement_ratio"))
+    return tidy(out.select("player_id", *names, "stage_velocity", "engagement_ratio"), averages=["play_intensity"])
 
 
 @query(
