@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import license_queries, url_queries  # noqa: F401
+from . import fingerprint_queries, license_queries, url_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
