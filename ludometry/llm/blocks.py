@@ -29,7 +29,8 @@ from .arrow_batches import slices
 
 MESSAGE = "bucket int, block long, hashes binary, many binary"
 REPLY = "block long, hashes binary"
-_TOP = float(2**64)
+#: A row's id is its block id and, in the lowest bits, its place in the block.
+TURN_BITS, PLACE_BITS = 27, 17
 
 
 @dataclass
@@ -56,7 +57,7 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, bucket
     row_type = pa.struct(list(to_arrow_schema(docs.schema)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << TURN_BITS
         for turn, part in enumerate(_gathered(slices(batches, text, block_bytes), text, block_bytes)):
             structs = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns], fields=list(row_type))
             lists = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
@@ -74,14 +75,15 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, bucket
 
 def _gathered(parts: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = n = 0
     for part in parts:
         own = pa.compute.sum(pa.compute.binary_length(part.column(part.schema.get_field_index(text)))).as_py() or 0
-        if held and size + own > most:
+        if held and (size + own > most or n + part.num_rows > 1 << PLACE_BITS):
             yield pa.Table.from_batches(held)
-            held, size = [], 0
+            held, size, n = [], 0, 0
         held.append(part)
         size += own
+        n += part.num_rows
     if held:
         yield pa.Table.from_batches(held)
 
