@@ -45,7 +45,7 @@ class Blocks:
         return self.table.join(answers.hint("shuffle_hash"), "block", "left")
 
 
-def pack(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20) -> Blocks:
+def pack(docs: DataFrame, text: str = "text", block_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> Blocks:
     """Write ``docs`` as blocks of about ``block_bytes`` of text; a longer text is a block of its own.
 
     The table lies in the shared checkpoint folder. Block ids are fixed there,
