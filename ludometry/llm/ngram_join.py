@@ -16,9 +16,9 @@ verified. So no link between components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from . import blocks as B
 from .words import run_hashes, words_of
 
 #: Cells of the count sketch, and the parts it travels in.
-_CELL_BITS, _PARTS = 20, 16
+_CELL_BITS, _PARTS = 22, 64
 _PER_PART = (1 << _CELL_BITS) // _PARTS
-#: Most shared shingles a document asks for, and the cost of a verified shingle against a posting.
-_MOST_MATCHES, _VERIFY = 6, 0.05
+#: Shared shingles a document may ask for (at least, and as a part of its set), the cost of a verified shingle
+#: against a posting, and the partners expected of a shingle that the sketch calls rare.
+_MOST_MATCHES, _MATCH_PART, _VERIFY, _RARE = 6, 10, 0.05, 0.05
 _PROFILE = "rid long, n long, s1 long, s2 long, part int, cells binary"
 
 
@@ -61,30 +62,47 @@ def shingle_sets(texts: pa.Array, shingle: int = 5) -> list[np.ndarray]:
     out = []
     for first, count in zip(words.first.tolist(), words.counts.tolist()):
         if count >= shingle:
-            out.append(np.unique(runs[first : first + count - shingle + 1]))
+            own = np.sort(runs[first : first + count - shingle + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own if new.all() else own[new])
         else:
             out.append(short[count][first : first + 1] if count else np.zeros(0, np.uint64))
     return out
 
 
-def choose_prefix(tokens: np.ndarray, levels: np.ndarray, excess: np.ndarray, measure: Measure) -> tuple[np.ndarray, int]:
+def choose_prefix(tokens: np.ndarray, excess: np.ndarray, measure: Measure) -> tuple[np.ndarray, int]:
     """The prefix of a set and how many of its shingles a candidate must share.
 
-    ``levels`` (coarse logarithms of the sketch's counts) order the shingles,
-    then their hashes. ``excess`` is the number of other documents expected in
-    a shingle's posting list; candidates that share ``l`` shingles number at
-    most the sum over the prefix divided by ``l``.
+    ``excess`` is the number of other documents expected in a shingle's posting
+    list. Its coarse logarithm orders the shingles, then their hashes.
+    Candidates that share ``l`` shingles number at most the sum over the prefix
+    divided by ``l``.
     """
     n = len(tokens)
-    order = np.argsort(levels, kind="stable")
-    base, most = n - measure.least_shared(n), min(_MOST_MATCHES, measure.least_shared(n))
-    reached = np.cumsum(excess[order[: base + most]])
-    matches = np.arange(1, most + 1)
-    cost = base + matches + (reached[base + matches - 1] + (base + matches)) * (1 + _VERIFY * n) / matches * (reached[base + matches - 1] > 0)
-    best = int(matches[np.argmin(cost)])
+    base, most = n - measure.least_shared(n), min(max(_MOST_MATCHES, n // _MATCH_PART), measure.least_shared(n))
+    hot = np.flatnonzero(excess)
+    if n - len(hot) >= base + most:
+        cold = tokens if not len(hot) else np.delete(tokens, hot)
+        best = _matches(base, most, n)
+        return cold[: base + best], best
+    order = np.argsort(np.log2(1 + excess).astype(np.int8), kind="stable")
+    best = _cheapest(np.cumsum(excess[order[: base + most]] + _RARE), base, most, n)
     return tokens[order[: base + best]], best
 
 
+def _cheapest(reached: np.ndarray, base: int, most: int, n: int) -> int:
+    matches = np.arange(1, most + 1)
+    cost = base + matches + reached[base + matches - 1] * (1 + (1 + _VERIFY * n) / matches)
+    return int(matches[np.argmin(cost)])
+
+
+@lru_cache(maxsize=1 << 16)
+def _matches(base: int, most: int, n: int) -> int:
+    """The choice where the whole prefix is rare."""
+    return _cheapest(_RARE * np.arange(1, base + most + 1), base, most, n)
+
+
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``component_id``, one row per row.
 
@@ -188,12 +206,12 @@ def _prefixes(rows: pa.StructArray, places: list[int] | None, sketch: np.ndarray
     """``(place, set size, prefix, matches asked)`` of the rows at ``places``."""
     if not places:
         return
-    noise = 2 * sketch.sum(dtype=np.float64) / len(sketch) + 1
+    mean = sketch.sum(dtype=np.float64) / len(sketch)
+    noise = mean + 4 * np.sqrt(mean) + 1
     sets = shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places)), measure.shingle)
     for place, tokens in zip(places, sets):
-        counts = sketch[tokens >> np.uint64(64 - _CELL_BITS)].astype(np.float64)
-        levels = np.log2(np.maximum(counts / noise, 1)).astype(np.int8)
-        prefix, matches = choose_prefix(tokens, levels, np.maximum(0, counts - noise), measure)
+        counts = sketch[tokens >> np.uint64(64 - _CELL_BITS)]
+        prefix, matches = choose_prefix(tokens, np.where(counts > noise, counts - mean, 0), measure)
         yield place, len(tokens), prefix, matches
 
 
@@ -218,27 +236,33 @@ def _postings(blocks: DataFrame, sent, measure: Measure) -> DataFrame:
 
 def _link(packed: B.Blocks, postings: DataFrame, measure: Measure) -> DataFrame:
     """Verified links ``(a, b)`` between nodes that join all similar ones into the components they belong to."""
-    ratio = Fraction(measure.percent, 100)
-    fits = f"100 * least(n, m) >= {100 * ratio} * greatest(n, m)"
+    fits = f"100 * least(n, m) >= {measure.percent} * greatest(n, m)"
     live = postings.withColumn("root", F.col("rid"))
     links: DataFrame | None = None
+    turn = 0
     while True:
-        # One member of every component in a posting list, and the list's first one.
-        lead = live.groupBy("token").agg(F.min(F.struct("root", "rid", "n")).alias("l"), F.max("root").alias("other")).where("l.root <> other")
-        lead = lead.select("token", F.col("l.root").alias("lead_root"), F.col("l.rid").alias("lead"), F.col("l.n").alias("m"))
-        seen = live.join(lead, "token").where("root <> lead_root").where(fits).groupBy("root", "rid", "lead").count()
-        best = seen.groupBy("root").agg(F.max(F.struct("count", F.col("rid").alias("a"), F.col("lead").alias("b"))).alias("p"))
-        found = materialize(_verified(packed, best.select("p.a", "p.b"), measure))
-        if found.isEmpty():
+        # A posting list's leader is the first of its members in an order that changes with every turn.
+        order = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "rid", "n", "asks")
+        lead = live.groupBy("token").agg(F.min(order).alias("l"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        lead = lead.select("token", F.col("l.root").alias("lead_root"), F.col("l.rid").alias("lead"), F.col("l.n").alias("m"), F.col("l.asks").alias("lead_asks"))
+        seen = live.join(lead, "token").where("root <> lead_root").where(fits).groupBy("root", "rid", "lead", "asks", "lead_asks").count().where("count >= least(asks, lead_asks)")
+        best = materialize(seen.groupBy("root").agg(F.max(F.struct("count", F.col("rid").alias("a"), F.col("lead").alias("b"))).alias("p")).select("p.a", "p.b"))
+        found = materialize(_verified(packed, best, measure))
+        tried, good = best.count(), found.count()
+        if good:
+            links = found if links is None else links.union(found)
+            live = materialize(_rooted(live.drop("root"), links))
+        turn += 1
+        # Another turn pays while most of its pairs are links; what is left goes pair by pair.
+        if 2 * good < tried or not good:
             break
-        links = found if links is None else links.union(found)
-        live = materialize(_rooted(live.drop("root"), links))
     open_tokens = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     rest = live.join(open_tokens, "token")
     left = rest.select("token", F.col("rid").alias("a"), "n", F.col("asks").alias("asks_a"), F.col("root").alias("root_a"))
     right = rest.select("token", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("asks").alias("asks_b"), F.col("root").alias("root_b"))
     pairs = left.join(right, "token").where("root_a < root_b").where(fits).groupBy("a", "b", "asks_a", "asks_b").count()
-    last = _verified(packed, pairs.where("count >= least(asks_a, asks_b)").select("a", "b"), measure)
+    pairs = materialize(pairs.where("count >= least(asks_a, asks_b)").select("a", "b"))
+    last = _verified(packed, materialize(_possible(packed, pairs, measure)), measure)
     return materialize(last if links is None else links.union(last))
 
 
@@ -254,35 +278,81 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _verified(packed: B.Blocks, pairs: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs whose whole sets are similar.
+    """The pairs whose whole sets are similar."""
+
+    def similar(mine: np.ndarray, theirs: bytes) -> bool:
+        other = _widened(theirs)
+        return measure.similar(int(B.contains(other, mine >> _DROPPED).sum()), len(mine), len(other))
+
+    return _compared(packed, pairs, measure, _narrowed, similar)
+
+
+def _possible(packed: B.Blocks, pairs: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs that may be similar: a hash table of counts, one byte for about each shingle, bounds what two sets share."""
+
+    def count(tokens: np.ndarray) -> bytes:
+        cells = np.bincount((tokens & np.uint64((1 << _cell_bits(len(tokens))) - 1)).astype(np.int64), minlength=1 << _cell_bits(len(tokens)))
+        return np.int64(len(tokens)).tobytes() + np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+    def may(mine: np.ndarray, theirs: bytes) -> bool:
+        n, cells = int(np.frombuffer(theirs[:8], np.int64)[0]), np.frombuffer(theirs[8:], np.uint8)
+        own = np.bincount((mine & np.uint64(len(cells) - 1)).astype(np.int64), minlength=len(cells))
+        # A full cell stands for any count.
+        return measure.similar(int(np.where(cells == 255, own, np.minimum(own, cells)).sum()), len(mine), n)
 
-    The set of ``b`` travels to the block of ``a``, once per block that needs
-    it, and is compared with the sets of that block's documents.
+    return _compared(packed, pairs, measure, count, may)
+
+
+def _cell_bits(n: int) -> int:
+    return max(3, int(n).bit_length())
+
+
+#: Sets travel as the upper 48 bits of their hashes.
+_DROPPED = np.uint64(16)
+
+
+def _narrowed(tokens: np.ndarray) -> bytes:
+    return (tokens >> _DROPPED).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _widened(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _compared(packed: B.Blocks, pairs: DataFrame, measure: Measure, digest: Callable[[np.ndarray], bytes], accept: Callable[[np.ndarray, bytes], bool]) -> DataFrame:
+    """The pairs that ``accept`` finds good.
+
+    The digest of ``b``'s set travels to the block of ``a``, once per block
+    that needs it, and is held against the sets of that block's documents.
     """
-    pairs = materialize(pairs)
     asked = pairs.select(_block("b"), _place("b").alias("at"), F.shiftright("a", B.PLACE_BITS).alias("to")).distinct()
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("at", "to")).alias("asked"))
 
+    def sets_at(rows: pa.StructArray, places: list[int]) -> dict[int, np.ndarray]:
+        return dict(zip(places, shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places, pa.int32())), measure.shingle)))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, others in B.each_block(batches):
-            places = sorted({x["at"] for x in others["asked"] or ()})
-            sets = dict(zip(places, shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places, pa.int32())), measure.shingle)))
-            for x in others["asked"] or ():
-                yield pa.RecordBatch.from_arrays([pa.array([x["to"]], pa.int64()), pa.array([(block << B.PLACE_BITS) + x["at"]], pa.int64()), pa.array([sets[x["at"]].tobytes()], pa.binary())], names=["block", "b", "set"])
+            digests = {p: digest(s) for p, s in sets_at(rows, sorted({x["at"] for x in others["asked"]})).items()}
+            to, at = [x["to"] for x in others["asked"]], [x["at"] for x in others["asked"]]
+            for i in range(0, len(at), 64):
+                part = at[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 64], pa.int64()), pa.array([(block << B.PLACE_BITS) + p for p in part], pa.int64()), pa.array([digests[p] for p in part], pa.binary())], names=["block", "b", "digest"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, others in B.each_block(batches):
-            theirs = {x["b"]: B.unpack(x["set"]) for x in others["sets"] or ()}
-            wanted = [(x["a"] & ((1 << B.PLACE_BITS) - 1), x["b"]) for x in others["pairs"] or ()]
-            places = sorted({p for p, _ in wanted})
-            own = dict(zip(places, shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places, pa.int32())), measure.shingle)))
-            good = [((block << B.PLACE_BITS) + p, b) for p, b in wanted if measure.similar(int(B.contains(theirs[b], own[p]).sum()), len(own[p]), len(theirs[b]))]
+            theirs = {x["b"]: x["digest"] for x in others["sets"]}
+            wanted = [(x["a"] & ((1 << B.PLACE_BITS) - 1), x["b"]) for x in others["pairs"]]
+            own = sets_at(rows, sorted({p for p, _ in wanted}))
+            good = [((block << B.PLACE_BITS) + p, b) for p, b in wanted if accept(own[p], theirs[b])]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["a", "b"])
 
-    sets = packed.table.join(asked.hint("shuffle_hash"), "block").mapInArrow(send, "block long, b long, set binary")
-    here = sets.groupBy("block").agg(F.collect_list(F.struct("b", "set")).alias("sets"))
+    sets = packed.table.join(asked.hint("shuffle_hash"), "block").mapInArrow(send, "block long, b long, digest binary")
+    here = sets.groupBy("block").agg(F.collect_list(F.struct("b", "digest")).alias("sets"))
     wanted = pairs.groupBy(_block("a")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    return packed.table.join(wanted.join(here, "block").hint("shuffle_hash"), "block").mapInArrow(verify, "a long, b long")
+    return packed.table.join(wanted.join(here, "block").hint("shuffle_hash"), "block").mapInArrow(compare, "a long, b long")
 
 
 def dedup_near(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .arrow_batches import mix, ragged, text_bytes
+from .arrow_batches import ragged, text_bytes
 from .run_index import build_index, earliest
-from .words import run_hashes
+from .words import BYTE_VALUES, run_hashes, span_hashes
 
 ANCHOR = 28
 _SEGMENTS = "bucket int, block long, anchor binary, key binary, place binary, start binary, windows binary, whole binary, size binary, data binary"
@@ -52,7 +52,7 @@ def segments_of(texts: pa.Array, least: int) -> Segments:
     if n <= 0:
         none = np.zeros(0, np.int64)
         return Segments(data, offsets, none, none, none, np.zeros(0, np.uint64))
-    hashes = run_hashes(_BYTE[data], ANCHOR)
+    hashes = run_hashes(BYTE_VALUES[data], ANCHOR)
     starts, windows, anchors = [], [], []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= least:
@@ -68,9 +68,6 @@ def segments_of(texts: pa.Array, least: int) -> Segments:
     return Segments(data, offsets, np.searchsorted(offsets, start, side="right") - 1, start, np.concatenate(windows), np.concatenate(anchors))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def _minima(hashes: np.ndarray, width: int) -> np.ndarray:
     """Place of the smallest value of each run of ``width``, the rightmost on ties."""
     n = len(hashes)
@@ -154,7 +151,7 @@ def _ordered_keys(keys: pa.Array) -> np.ndarray:
 def _sent(block: int, segments: Segments, keys: np.ndarray, least: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Segments by bucket, the bytes of equal ones once: those of the earliest, the others with size 0."""
     sizes = segments.windows + least - 1
-    content = _content_hashes(segments, sizes)
+    content = span_hashes(segments.data, segments.start, sizes)
     bucket = B.bucket_of(segments.anchor, n_buckets)
     places = np.arange(len(content))
     order = np.lexsort((segments.start, segments.doc, keys[segments.doc], content, segments.anchor))
@@ -186,17 +183,6 @@ def _sent(block: int, segments: Segments, keys: np.ndarray, least: int, n_bucket
         yield pa.RecordBatch.from_arrays(arrays, names=list(values))
 
 
-def _content_hashes(segments: Segments, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each segment's bytes."""
-    from .words import _BASE, _INVERSE, powers
-
-    n = len(segments.data)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[segments.data] * powers(_BASE, n))])
-        part = (sums[segments.start + sizes] - sums[segments.start]) * powers(_INVERSE, n + 1)[segments.start]
-        return mix(part + sizes.astype(np.uint64))
-
-
 def _judge(group: pa.Table, least: int) -> pa.Table:
     """The windows of a bucket's segments that start earlier too, as runs of starts."""
     kinds = {"anchor": np.uint64, "key": np.int64, "place": np.int64, "start": np.int64, "windows": np.int64, "whole": np.uint64, "size": np.int64, "data": np.uint8}

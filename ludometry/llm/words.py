@@ -11,7 +11,8 @@ from .arrow_batches import mix, text_bytes
 
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPAN = 64
+#: A random value for each byte.
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -64,15 +65,16 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     counts = np.diff(np.searchsorted(starts, offsets))
     doc = np.repeat(np.arange(len(counts)), counts)
     first = np.cumsum(counts) - counts
-    return Words(data, starts, ends, _word_hashes(data, inside, starts, ends), doc, np.arange(len(starts)) - first[doc], counts, first)
+    return Words(data, starts, ends, _word_hashes(data, starts, ends), doc, np.arange(len(starts)) - first[doc], counts, first)
 
 
-def _word_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    letters = data[inside]
-    at = np.cumsum(sizes) - sizes
-    place = np.arange(len(letters)) - np.repeat(at, sizes)
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(data, starts, ends - starts)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the ``sizes`` bytes from each of ``starts``."""
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(mix(place.astype(np.uint64) * np.uint64(256) + letters + np.uint64(1)), at) + sizes.astype(np.uint64))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data] * powers(_BASE, len(data)), out=sums[1:])
+        return mix((sums[starts + sizes] - sums[starts]) * powers(_INVERSE, len(data) + 1)[starts] + sizes.astype(np.uint64))
