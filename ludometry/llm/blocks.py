@@ -28,7 +28,7 @@ from ludometry.session import checkpoint_dir
 from .arrow_batches import slices
 
 MESSAGE = "bucket int, block long, hashes binary, many binary"
-REPLY = "block long, hashes binary"
+REPLY = "block long, hashes binary, often binary"
 #: A row's id is its block id and, in the lowest bits, its place in the block.
 TURN_BITS, PLACE_BITS = 27, 17
 
@@ -157,8 +157,11 @@ def unpack(binary: bytes | None, kind: type = np.uint64) -> np.ndarray:
     return np.frombuffer(binary, kind) if binary else np.zeros(0, kind)
 
 
-def repeated(sent: DataFrame) -> DataFrame:
-    """``(block, hashes)``, one row per block that has any: its hashes that occur at least twice in the corpus."""
+def repeated(sent: DataFrame, often: int = 1 << 62) -> DataFrame:
+    """``(block, hashes, often)``, one row per block that has any: its hashes that occur at least twice in the corpus.
+
+    ``often`` are those of them that at least so many blocks hold.
+    """
 
     def find(group: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in group["hashes"].to_pylist()]
@@ -171,14 +174,20 @@ def repeated(sent: DataFrame) -> DataFrame:
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
         twice |= np.concatenate(many).astype(bool)
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        sizes = np.diff(np.concatenate([starts, [len(whole)]]))
+        holders = np.empty(len(whole), np.int64)
+        holders[order] = np.repeat(sizes, sizes)
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         kept = [p[t] for p, t in zip(parts, np.split(twice, cuts))]
+        hot = [p[t] for p, t in zip(parts, np.split(twice & (holders >= often), cuts))]
         some = [k for k, x in enumerate(kept) if len(x)]
         blocks = group["block"].to_numpy()
-        return pa.table({"block": pa.array(blocks[some], pa.int64()), "hashes": pa.array([kept[k].tobytes() for k in some], pa.binary())})
+        columns = {n: pa.array([x[k].tobytes() for k in some], pa.binary()) for n, x in (("hashes", kept), ("often", hot))}
+        return pa.table({"block": pa.array(blocks[some], pa.int64()), **columns})
 
     replies = sent.groupBy("bucket").applyInArrow(find, REPLY)
-    return replies.groupBy("block").agg(F.collect_list("hashes").alias("hashes"))
+    return replies.groupBy("block").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("often").alias("often"))
 
 
 def joined_hashes(lists: list[bytes] | None) -> np.ndarray:

@@ -77,15 +77,15 @@ def _suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[
     while True:
         order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(size, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64) + np.uint64(1)
+        rank = np.empty(size, np.uint32)
+        rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
         levels.append((span, rank))
         if span >= longest or int(rank.max(initial=0)) == size:
             break
         there = np.minimum(np.arange(size) + span, size - 1)
-        key = (rank << np.uint64(32)) | np.where(left >= span, rank[there], np.uint64(0))
+        key = rank.astype(np.uint64) << np.uint64(32) | np.where(left >= span, rank[there], 0).astype(np.uint64)
         span *= 2
-    return np.argsort((rank << np.uint64(32)) | place).astype(np.int64), levels
+    return np.argsort(rank.astype(np.uint64) << np.uint64(32) | place).astype(np.int64), levels
 
 
 def _common(text: np.ndarray, left: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:

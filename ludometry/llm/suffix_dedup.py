@@ -7,6 +7,9 @@ bytes of the windows that share one anchor. Segments whose anchor occurs twice
 in the corpus go to the anchor's bucket, equal ones of a block once. There the
 different segments are indexed by :mod:`run_index`; matching statistics streamed
 from the index's sampled run ends find every window that starts earlier too.
+Different anchors share no window, so an index holds few of them. An anchor
+that very many blocks hold would still gather too many segments in one task:
+its windows travel one by one under their own hashes, where only copies meet.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ class Segments:
     start: np.ndarray  #: first window, as a place of ``data``
     windows: np.ndarray  #: how many
     anchor: np.ndarray  #: hash
+    n_split: int = 0  #: so many at the end are single windows under their own hashes
 
     def take(self, at: np.ndarray) -> Segments:
         return Segments(self.data, self.offsets, self.doc[at], self.start[at], self.windows[at], self.anchor[at])
@@ -86,7 +90,7 @@ def _minima(hashes: np.ndarray, width: int) -> np.ndarray:
     return (low - (least & low)).astype(np.int64)
 
 
-def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100, as_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100, as_text: bool = False, hot_blocks: int = 1024) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary), one row per row.
 
     A text is its UTF-8 bytes. A byte goes if a string of ``least`` bytes that
@@ -96,6 +100,8 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     ``kept`` is binary. Rows of one key are ordered by where the input holds
     them; null keys come first. A null text has no bytes. With ``as_text`` the
     kept bytes are text, without the characters that a cut leaves incomplete.
+    Anchors of at least ``hot_blocks`` blocks are split into windows; the result
+    is the same for any value.
     Columns of ``docs`` named as the results are replaced.
     """
     packed = B.pack(docs, text)
@@ -103,7 +109,7 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     def anchor_hashes(rows: pa.StructArray, _: dict) -> np.ndarray:
         return segments_of(B.texts_of(rows, text), least).anchor
 
-    some = B.repeated(B.messages(packed.table, packed.n_buckets, anchor_hashes))
+    some = B.repeated(B.messages(packed.table, packed.n_buckets, anchor_hashes), hot_blocks)
     n_buckets = packed.n_buckets
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +117,8 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             found = B.joined_hashes(others["hashes"])
             if len(found):
                 whole = segments_of(B.texts_of(rows, text), least)
-                yield from _sent(block, whole.take(np.flatnonzero(B.contains(found, whole.anchor))), _ordered_keys(B.texts_of(rows, key)), least, n_buckets)
+                twice = whole.take(np.flatnonzero(B.contains(found, whole.anchor)))
+                yield _sent(block, _split(twice, B.joined_hashes(others["often"]), least), _ordered_keys(B.texts_of(rows, key)), least, n_buckets)
 
     sent = packed.join(some).mapInArrow(send, _SEGMENTS)
     gone = sent.groupBy("bucket").applyInArrow(lambda group: _judge(group, least), _GONE)
@@ -148,39 +155,35 @@ def _ordered_keys(keys: pa.Array) -> np.ndarray:
     return keys.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
 
-def _sent(block: int, segments: Segments, keys: np.ndarray, least: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _split(segments: Segments, often: np.ndarray, least: int) -> Segments:
+    """Segments of the anchors ``often`` as single windows, each under its own hash."""
+    hot = B.contains(often, segments.anchor)
+    if not hot.any():
+        return segments
+    cold, some = segments.take(np.flatnonzero(~hot)), segments.take(np.flatnonzero(hot))
+    start = ragged(some.start, some.windows)
+    own = span_hashes(some.data, start, np.full(len(start), least))
+    parts = [(cold.doc, np.repeat(some.doc, some.windows)), (cold.start, start), (cold.windows, np.ones(len(start), np.int64)), (cold.anchor, own)]
+    return Segments(some.data, some.offsets, *(np.concatenate(p) for p in parts), len(start))
+
+
+def _sent(block: int, segments: Segments, keys: np.ndarray, least: int, n_buckets: int) -> pa.RecordBatch:
     """Segments by bucket, the bytes of equal ones once: those of the earliest, the others with size 0."""
     sizes = segments.windows + least - 1
     content = span_hashes(segments.data, segments.start, sizes)
     bucket = B.bucket_of(segments.anchor, n_buckets)
-    places = np.arange(len(content))
+    # Buckets ascend with anchors, so each bucket is a stretch of this order.
     order = np.lexsort((segments.start, segments.doc, keys[segments.doc], content, segments.anchor))
+    a, c, doc, start = segments.anchor[order], content[order], segments.doc[order], segments.start[order]
     first = np.ones(len(order), bool)
-    a, c = segments.anchor[order], content[order]
     first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    carries = np.zeros(len(places), bool)
-    carries[order] = first
-    by_bucket = order[np.argsort(bucket[order], kind="stable")]
-    edges = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
-    for part in np.split(by_bucket, edges):
-        if not len(part):
-            continue
-        own = np.where(carries[part], sizes[part], 0)
-        doc = segments.doc[part]
-        values = {
-            "bucket": pa.array([bucket[part[0]]], pa.int32()),
-            "block": pa.array([block], pa.int64()),
-            "anchor": segments.anchor[part],
-            "key": keys[doc],
-            "place": doc.astype(np.int64),
-            "start": segments.start[part] - segments.offsets[doc],
-            "windows": segments.windows[part].astype(np.int64),
-            "whole": content[part],
-            "size": own.astype(np.int64),
-            "data": segments.data[ragged(segments.start[part], own)],
-        }
-        arrays = [v if isinstance(v, pa.Array) else pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values.values()]
-        yield pa.RecordBatch.from_arrays(arrays, names=list(values))
+    carried = np.where(first & (order < len(order) - segments.n_split), sizes[order], 0)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    values = {"anchor": a, "key": keys[doc], "place": doc.astype(np.int64), "start": start - segments.offsets[doc], "windows": segments.windows[order].astype(np.int64), "whole": c, "size": carried.astype(np.int64)}
+    columns = {n: pa.array([v[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()) for n, v in values.items()}
+    columns["data"] = pa.array([segments.data[ragged(start[x:y], carried[x:y])].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())
+    heads = {"bucket": pa.array(bucket[order][edges[:-1]], pa.int32()), "block": pa.array(np.full(len(edges) - 1, block), pa.int64())}
+    return pa.RecordBatch.from_arrays([*heads.values(), *columns.values()], names=[*heads, *columns])
 
 
 def _judge(group: pa.Table, least: int) -> pa.Table:
@@ -196,25 +199,25 @@ def _judge(group: pa.Table, least: int) -> pa.Table:
     first = np.ones(len(order), bool)
     first[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
     copies, kept = order[~first], order[first]
-    # Anchors with several different segments, in order of appearance in the corpus.
+    # Anchors with several different segments; windows split off carry no bytes and need no index.
     _, of, n = np.unique(s["anchor"][kept], return_inverse=True, return_counts=True)
-    several = kept[n[of] > 1]
-    several = several[np.lexsort((s["start"][several], s["place"][several], block[several], s["key"][several]))]
+    several = kept[(n[of] > 1) & (s["size"][kept] > 0)]
     out = [(block[copies], s["place"][copies], s["start"][copies], s["start"][copies] + s["windows"][copies])]
-    if len(several):
-        sizes = s["size"][several]
+    for part in _by_anchor(several, s["anchor"], s["size"]):
+        part = part[np.lexsort((s["start"][part], s["place"][part], block[part], s["key"][part]))]
+        sizes = s["size"][part]
         ends = np.cumsum(sizes)
-        best = earliest(build_index(s["data"][ragged(at[several], sizes)], ends), least)
-        base = ends - sizes + np.arange(len(several))
-        windows = s["windows"][several]
+        best = earliest(build_index(s["data"][ragged(at[part], sizes)], ends), least)
+        base = ends - sizes + np.arange(len(part))
+        windows = s["windows"][part]
         place = ragged(base, windows)
         gone = best[place] < place
-        of = np.repeat(np.arange(len(several)), windows)
+        of = np.repeat(np.arange(len(part)), windows)
         edge = np.concatenate([[True], (gone[1:] != gone[:-1]) | (of[1:] != of[:-1])])
         runs = np.flatnonzero(edge)
         stops = np.concatenate([runs[1:], [len(gone)]])
         runs, stops = runs[gone[runs]], stops[gone[runs]]
-        row = several[of[runs]]
+        row = part[of[runs]]
         start = s["start"][row] + place[runs] - base[of[runs]]
         out.append((block[row], s["place"][row], start, start + stops - runs))
     block, place, start, end = (np.concatenate(x) for x in zip(*out))
@@ -226,3 +229,13 @@ def _judge(group: pa.Table, least: int) -> pa.Table:
             **{n: pa.array([x[p].astype(np.int64).tobytes() for p in parts], pa.binary()) for n, x in (("place", place), ("start", start), ("end", end))},
         }
     )
+
+
+def _by_anchor(rows: np.ndarray, anchor: np.ndarray, size: np.ndarray, most: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Rows (in order of anchor) in parts of about ``most`` bytes, all rows of an anchor in one."""
+    if not len(rows):
+        return
+    new = np.concatenate([[True], anchor[rows][1:] != anchor[rows][:-1]])
+    turn = (np.cumsum(size[rows]) // most)[new]
+    part = np.repeat(turn, np.diff(np.concatenate([np.flatnonzero(new), [len(rows)]])))
+    yield from np.split(rows, np.flatnonzero(np.diff(part)) + 1)

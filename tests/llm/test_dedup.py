@@ -104,6 +104,17 @@ def test_bytes_of_edge_texts(edge, nothing):
     assert cut.kept == cut.text
 
 
+@pytest.mark.parametrize("hot_blocks", [2, 1024])
+def test_bytes_with_hot_anchors(spark, hot_blocks):
+    """A passage in every document, its windows split off or indexed: the same bytes go."""
+    rng = random.Random(1)
+    passage = " ".join(rng.choices(["ab", "cde", "fghi", "jklmn"], k=60))
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=90)) + passage[rng.randrange(9) :] + "".join(rng.choices("abcdefgh ", k=50))) for i in range(60)]
+    got = dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), hot_blocks=hot_blocks).collect()
+    want = brute_bytes([t for _, t in rows], 100)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sorted(got)] == want
+
+
 def test_run_index_finds_first_places():
     rng = np.random.default_rng(5)
     for _ in range(40):
