@@ -110,8 +110,11 @@ class AttentionModel:
     weigh: np.ndarray
     prior: float | None = None
 
-    def forward(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        h = np.tanh(_with_one((x - self.mean) / self.scale) @ self.encode)
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return _with_one((x - self.mean) / self.scale)
+
+    def forward(self, inputs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+        h = np.tanh(inputs @ self.encode)
         v, g = np.tanh(h @ self.value), 1 / (1 + np.exp(-(h @ self.gate)))
         raw = (v * g) @ self.attend
         raw = np.exp(raw - np.repeat(np.maximum.reduceat(raw, starts), counts))
@@ -122,7 +125,7 @@ class AttentionModel:
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(counts), self.prior)
-        return self.forward(x, np.cumsum(counts) - counts, counts)["score"].astype(np.float64)
+        return self.forward(self.standard(x), np.cumsum(counts) - counts, counts)["score"].astype(np.float64)
 
 
 def _with_one(x: np.ndarray) -> np.ndarray:
@@ -142,9 +145,9 @@ def fit_attention(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights
     weights = (weights / weights.sum()).astype(np.float32)
     names = ("encode", "value", "gate", "attend", "weigh")
     first, second = ({n: np.zeros_like(getattr(model, n)) for n in names} for _ in range(2))
-    inputs = _with_one((x - model.mean) / model.scale)
+    inputs = model.standard(x)
     for turn in range(1, rounds + 1):
-        f = model.forward(x, starts, counts)
+        f = model.forward(inputs, starts, counts)
         h, v, g, a = f["h"], f["v"], f["g"], f["a"]
         dlogit = (f["score"] - labels).astype(np.float32) * weights
         dz = np.repeat(dlogit[:, None] * model.weigh[:-1], counts, axis=0)
@@ -182,7 +185,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     y = rows["y"].to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return _constant(float(y[0]) if len(y) else 1.0)
-    x, passages = encode_passages(pa.concat_arrays(rows["__text"].chunks))
+    parts = [encode_passages(b.column(0)) for b in slices(iter(rows.select(["__text"]).to_batches()), "__text", _BATCH)]
+    x, passages = (np.concatenate(p) for p in zip(*parts))
     share = {c: counts[c] / max(1.0, float((y == c).sum())) for c in (0, 1)}
     return fit_attention(x, passages, y, np.where(y == 1, share[1], share[0]))
 
