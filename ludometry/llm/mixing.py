@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Longest period; weights of a larger sum are an error.
 MOST_SLOTS = 1_000_000
+#: Tables of at most so many rows are broadcast, larger ones joined by a shuffle.
+_BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], default: int = 1, s
     cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / max(1, sum(sizes.values()))
     known = [(s, int(weights.get(s, default)), _digits(cells * n)) for s, n in sizes.items()]
     weight = spark.createDataFrame(known, "__source string, __w long, __digits int")
-    keyed = keyed.join(weight, "__source").withColumn("__cell", F.substring(F.col("__h"), F.lit(1), F.col("__digits")))
+    keyed = keyed.join(_small(weight, len(known)), "__source").withColumn("__cell", F.substring(F.col("__h"), F.lit(1), F.col("__digits")))
     cells = keyed.groupBy("__source", "__cell").count()
     before = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("__source", "__cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
@@ -85,13 +87,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], default: int = 1, s
     rank = F.col("__offset") + F.col("__in") - 1
     placed = ranked.withColumns({"block": F.floor(rank / block_rows), "__at": rank % block_rows})
     placed = placed.withColumns({"turn": F.col("block") % F.col("__w"), "__lap": F.floor(F.col("block") / F.col("__w")) * len(turns)})
-    out = placed.join(schedule, ["__source", "turn"])
+    out = placed.join(_small(schedule, len(turns)), ["__source", "turn"])
     out = out.withColumns({"release": F.col("__lap") + F.col("r"), "deadline": F.col("__lap") + F.col("d"), "slot": F.col("__lap") + F.col("s")})
     out = out.withColumn("position", F.col("slot") * block_rows + F.col("__at"))
     own = [c for c in docs.columns if c not in ("block", "release", "deadline", "slot", "position")]
     return out.select(*own, "block", "release", "deadline", "slot", "position")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
+
+
 def _digits(cells: float) -> int:
     """Hexadecimal digits that tell at least ``cells`` ranges apart."""
     return max(0, math.ceil(math.log(max(cells, 1), 16)))
