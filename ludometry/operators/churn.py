@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from .funnel import bucket_distribution
-from .ltv import hash_split, vectors
+from .ltv import vectors
+from .ordering import rows_at
 
 # Classifier features, risk bands.
 CHURN_FEATURES = [
@@ -104,9 +106,32 @@ def churn_frame(
     return data.select(key, F.col(label).cast("double").alias("label"), "features"), names
 
 
-def split_stratified(df: DataFrame, key: str, holdout: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Hash split; the hash is independent of the label, so each class splits in the same ratio."""
-    return hash_split(df, key, holdout, seed)
+#: More labels than this are no classes.
+MOST_CLASSES = 1000
+
+
+def split_stratified(
+    df: DataFrame, key: str, label: str = "label", holdout: float = 0.2, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows; of each class the ``holdout`` share of smallest hash, exact to half a row.
+
+    Rows without a label train. ``key`` identifies a row. The last held-out row
+    of a class is found among value ranges, so no class is sorted in one task.
+    """
+    hashed = materialize(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).select("_h", key, label))
+    classes = hashed.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    own = F.xxhash64(F.col(key), F.lit(seed))
+    held = F.lit(False)
+    for row in classes:
+        take = math.floor(holdout * row["count"] + 0.5)
+        if take:
+            rows = materialize(hashed.where(F.col(label) == F.lit(row[label])).select("_h", key))
+            h, k = rows_at(rows, ["_h", key], [take - 1], rows=row["count"])[take - 1]
+            held = held | (F.col(label) == F.lit(row[label])) & ((own < h) | (own == h) & (F.col(key) <= F.lit(k)))
+    held = F.coalesce(held, F.lit(False))
+    return df.where(~held), df.where(held)
 
 
 def score(data: DataFrame, model: GBTClassificationModel, out: str = "churn_probability") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .components import connected_components
 from .ordering import running_totals
 
 NOISE = -1
@@ -227,38 +228,9 @@ def _core_points(grid: _Grid, near: DataFrame, min_samples: int) -> DataFrame:
     return materialize(out)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(node, comp)``: the smallest node id reachable from each node.
-
-    Labels spread to neighbours and then jump to their label's label, so long
-    chains need few rounds. Each round is written out, which keeps the plan
-    short and survives lost executors.
-    """
-    both = materialize(
-        edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))
-        .unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
-        .distinct()
-    )
-    labels = materialize(nodes.select("node", F.col("node").alias("comp")))
-    if both.isEmpty():
-        return labels
-    for _ in range(max_rounds):
-        heard = (
-            both.join(labels.withColumnRenamed("node", "dst"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("comp").alias("heard"))
-        )
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jumped"))
-        after = materialize(
-            labels.join(heard, "node", "left")
-            .join(jump, "comp", "left")
-            .select("node", "comp", F.least("comp", F.coalesce("heard", "comp"), "jumped").alias("new"))
-        )
-        done = after.where(F.col("new") != F.col("comp")).isEmpty()
-        labels = after.select("node", F.col("new").alias("comp"))
-        if done:
-            return labels
-    raise RuntimeError("component labels did not settle")
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, comp)``: the smallest node id reachable from each node over edges ``(u, v)``."""
+    return connected_components(nodes, edges, "node", "u", "v").withColumnRenamed("component", "comp")
 
 
 def dbscan(
@@ -274,12 +246,14 @@ def dbscan(
     A row counts itself, and a distance equal to ``eps`` is inside. Clusters
     are numbered from 0 by their smallest core key. A border row joins the
     lowest-numbered cluster with a core row in reach, so the result does not
-    depend on row order. Noise is −1.
+    depend on row order. Noise is −1, and so is a row with a NULL or NaN
+    coordinate, which is near nothing.
     """
     d = len(cols)
     rows = materialize(df.select(key, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]))
     axes = [f"v{i}" for i in range(d)]
-    merged = rows.groupBy(*axes).agg(F.count("*").alias("w"), F.min(key).alias("first_key"))
+    placed = rows.where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in axes) or "true")
+    merged = placed.groupBy(*axes).agg(F.count("*").alias("w"), F.min(key).alias("first_key"))
     points = materialize(merged.withColumn("pid", F.monotonically_increasing_id()))
     grid = _Grid(points.select("pid", F.array(*axes).alias("x"), "w", "first_key"), d, eps, levels)
     near = grid.near_cells()
@@ -311,7 +285,7 @@ def dbscan(
 
     certain = crossing(nodes).where(_reach2(d, "a", "b") <= grid.eps2)
     edges = same_cell.unionByName(certain.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")))
-    first = connected_components(nodes, edges)
+    first = materialize(_components(nodes, edges))
 
     # Only pairs that would join two different components still matter.
     grouped = nodes.join(first, "node").drop("node").withColumnRenamed("comp", "node")
@@ -319,7 +293,7 @@ def dbscan(
     unsure = unsure.withColumnsRenamed({"node_a": "comp_a", "node_b": "comp_b"})
     joins = grid.witnessed(unsure, ["comp_a", "comp_b"])
     comps = first.select(F.col("comp").alias("node")).distinct()
-    second = connected_components(comps, joins.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")))
+    second = _components(comps, joins.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")))
     labels = first.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("final")), "comp").select(
         "node", F.col("final").alias("comp")
     )
@@ -360,7 +334,12 @@ def dbscan(
     )
 
     by_point = points.select("pid", *axes).join(core_labels.unionByName(border_labels), "pid")
-    return rows.join(by_point, axes).select(key, F.col("cluster").cast("int").alias("cluster"), "is_core")
+    found = rows.join(by_point, axes, "left")
+    return found.select(
+        key,
+        F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"),
+        F.coalesce("is_core", F.lit(False)).alias("is_core"),
+    )
 
 
 def dbscan_summary(labels: DataFrame) -> DataFrame:

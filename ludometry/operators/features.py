@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import affine, as_date, cut, days_since, flag_eq, flag_in, safe_ratio, weighted_score
 from ..session import materialize
 from ..sources.schemas import require_columns
-from .ordering import SMALL_ROWS, exact_quantiles, rank_cuts, rank_score, running_totals, value_score
+from .ordering import exact_quantiles, rank_cuts, rank_score, running_totals, value_score
 
 # High-spend country codes, age bins, retention weights, name patterns to zero-fill.
 HIGH_SPEND_COUNTRIES = ["US", "JP", "KR", "UK", "DE", "AU", "CA", "SG", "TW", "FR"]
@@ -217,7 +217,7 @@ def rfm(txns: DataFrame, obs, key: str = "player_id") -> DataFrame:
     return txns.groupBy(key).agg(*_rfm_aggs(obs))
 
 
-def rfm_scores(rfm_table: DataFrame, q: int = 5, key: str = "player_id", small: int = SMALL_ROWS) -> DataFrame:
+def rfm_scores(rfm_table: DataFrame, q: int = 5, key: str = "player_id") -> DataFrame:
     """Quantile scores 1..q and the combined score ``100·r + 10·f + m``.
 
     Recency uses value quantiles, most recent highest. Frequency and monetary
@@ -226,9 +226,9 @@ def rfm_scores(rfm_table: DataFrame, q: int = 5, key: str = "player_id", small:
     """
     table = materialize(rfm_table)
     edges = [
-        e for e in exact_quantiles(table, "recency", [i / q for i in range(1, q)], small=small) if e is not None
+        e for e in exact_quantiles(table, "recency", [i / q for i in range(1, q)]) if e is not None
     ]
-    cuts = {c: rank_cuts(table, c, key, q, small=small) for c in ("frequency", "monetary")}
+    cuts = {c: rank_cuts(table, c, key, q) for c in ("frequency", "monetary")}
     return table.withColumns(
         {
             "recency_score": F.lit(q + 1) - value_score("recency", edges),

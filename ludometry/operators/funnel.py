@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import cut
 from ..functions.special import chi2_sf
 from .features import ordinal_encode, select_features, topn_dummies
-from .ordering import SMALL_ROWS, exact_quantiles
+from .ordering import exact_quantiles
 
 
 def funnel_stages() -> dict[str, Column]:
@@ -69,16 +69,16 @@ def dropoffs(funnel_table: DataFrame) -> DataFrame:
 
 
 # Day bins and their labels.
-CONVERT_BINS = [0, 1, 3, 7, 14, 30, 90, 365]
+CONVERT_BINS = [0, 1, 3, 7, 14, 30, 90, float("inf")]
 CONVERT_LABELS = ["Day 0-1", "Day 2-3", "Day 4-7", "Day 8-14", "Day 15-30", "Day 31-90", "Day 91+"]
 
 
 def time_to_convert(
-    df: DataFrame, col: str = "days_to_first_purchase", payer: str = "is_payer", small: int = SMALL_ROWS
+    df: DataFrame, col: str = "days_to_first_purchase", payer: str = "is_payer"
 ) -> DataFrame:
     """Median, mean and quartiles of days to first purchase among payers."""
     paid = df.where((F.col(payer) == 1) & F.col(col).isNotNull())
-    p25, p50, p75, p90 = exact_quantiles(paid, col, [0.25, 0.5, 0.75, 0.9], small=small)
+    p25, p50, p75, p90 = exact_quantiles(paid, col, [0.25, 0.5, 0.75, 0.9])
     return paid.agg(
         F.count("*").alias("n"),
         F.lit(p50).cast("double").alias("median_days"),
@@ -99,8 +99,11 @@ def bucket_distribution(
     """Row count per right-closed bin in bin order, empty bins included.
 
     The lowest edge is open by default, so a value equal to it is in no bin.
+    The last row, ``unbinned``, counts the rows of no bin, NULLs included, so
+    the counts sum to the rows.
     """
-    stages = {label: cut(col, bins, labels, include_lowest) == label for label in labels}
+    bin_of = cut(col, bins, labels, include_lowest)
+    stages = {label: bin_of == label for label in labels} | {"unbinned": bin_of.isNull()}
     counts = stage_counts(df, stages)
     return counts.select(F.col("stage_no").alias("bucket_no"), F.col("stage").alias("bucket"), "n")
 

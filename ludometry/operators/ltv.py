@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import as_date, safe_ratio
 from ..session import checkpoint_dir
 from .features import select_features
-from .ordering import SMALL_ROWS, exact_quantiles
+from .ordering import exact_quantiles
 
 # Horizons and regression features.
 HORIZONS = (7, 30, 90)
@@ -167,9 +167,9 @@ def simple_clv(rfm_table: DataFrame, days: int = 90) -> DataFrame:
     return rfm_table.withColumn(f"clv_{days}d", value * rate * F.lit(days))
 
 
-def clv_averages(df: DataFrame, col: str, small: int = SMALL_ROWS) -> DataFrame:
+def clv_averages(df: DataFrame, col: str) -> DataFrame:
     """Mean and exact median of a CLV column."""
-    (median,) = exact_quantiles(df, col, [0.5], small=small)
+    (median,) = exact_quantiles(df, col, [0.5])
     return df.agg(
         F.count(col).alias("n_customers"),
         F.avg(col).alias("avg_clv"),

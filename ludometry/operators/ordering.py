@@ -2,10 +2,8 @@
 
 Ranks, running sums and exact quantiles over a whole table are usually written
 with an unpartitioned window, which moves every row into one task, or with
-``percentile``, which keeps every distinct value in one buffer. Here the table
-is counted first. Up to ``small`` rows the plain window is used, since its size
-is then proven. Beyond that, rows are put into ``buckets`` value ranges whose
-edges come from a hash sample; one small aggregate gives each bucket its
+``percentile``, which keeps every distinct value in one buffer. Here rows are
+put into ``buckets`` value ranges whose edges come from a hash sample; one small aggregate gives each bucket its
 offset, and the window runs inside the buckets. The sample only balances the
 buckets: the result is exact for any edges.
 
@@ -22,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SMALL_ROWS = 1_000_000
 BUCKETS = 1024
 _SAMPLE_PER_BUCKET = 50
 
@@ -75,16 +72,12 @@ def running_totals(
     df: DataFrame,
     order: Sequence[str],
     sums: Mapping[str, str | Column],
-    small: int = SMALL_ROWS,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add, per row, the sum of each expression over all rows ordered before it."""
     sums = {n: (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}
     df = materialize(df)
     rows = df.count()
-    if rows <= small:
-        run = _before(Window.orderBy(*order))
-        return df.withColumns({n: F.coalesce(F.sum(e).over(run), F.lit(0)) for n, e in sums.items()})
     bucketed = _with_bucket(df, order, rows, buckets)
     offsets = _bucket_offsets(bucketed, sums)
     run = _before(Window.partitionBy("_b").orderBy(*order))
@@ -99,7 +92,6 @@ def rows_at(
     positions: Sequence[int],
     weight: str | None = None,
     rows: int | None = None,
-    small: int = SMALL_ROWS,
     buckets: int = BUCKETS,
 ) -> dict[int, tuple]:
     """Order-column values at 0-based ``positions`` of the sorted table.
@@ -115,16 +107,13 @@ def rows_at(
     def inside(start: Column, length: Column) -> Column:
         return F.filter(wanted, lambda p: (p >= start) & (p < start + length))
 
-    if rows <= small:
-        placed = df.withColumn("_start", F.coalesce(F.sum(w).over(_before(Window.orderBy(*order))), F.lit(0)))
-    else:
-        bucketed = _with_bucket(df, order, rows, buckets)
-        offsets = _bucket_offsets(bucketed, {"w": w})
-        hit = offsets.where(F.size(inside(F.col("_o_w"), F.col("_t_w"))) > 0).select("_b", "_o_w")
-        run = _before(Window.partitionBy("_b").orderBy(*order))
-        placed = bucketed.join(F.broadcast(hit), "_b").withColumn(
-            "_start", F.col("_o_w") + F.coalesce(F.sum(w).over(run), F.lit(0))
-        )
+    bucketed = _with_bucket(df, order, rows, buckets)
+    offsets = _bucket_offsets(bucketed, {"w": w})
+    hit = offsets.where(F.size(inside(F.col("_o_w"), F.col("_t_w"))) > 0).select("_b", "_o_w")
+    run = _before(Window.partitionBy("_b").orderBy(*order))
+    placed = bucketed.join(F.broadcast(hit), "_b").withColumn(
+        "_start", F.col("_o_w") + F.coalesce(F.sum(w).over(run), F.lit(0))
+    )
     picked = placed.select(F.explode(inside(F.col("_start"), w)).alias("_pos"), *order).collect()
     return {r["_pos"]: tuple(r[c] for c in order) for r in picked}
 
@@ -133,7 +122,6 @@ def exact_quantiles(
     df: DataFrame,
     col: str,
     probs: Sequence[float],
-    small: int = SMALL_ROWS,
     buckets: int = BUCKETS,
 ) -> list[float | None]:
     """Exact quantiles with linear interpolation, NULLs ignored.
@@ -148,7 +136,7 @@ def exact_quantiles(
     spots = [(total - 1) * p for p in probs]
     lows = [min(int(s + 1e-9), total - 1) for s in spots]
     need = {k for lo in lows for k in (lo, min(lo + 1, total - 1))}
-    at = rows_at(hist, [col], sorted(need), weight="_n", rows=rows, small=small, buckets=buckets)
+    at = rows_at(hist, [col], sorted(need), weight="_n", rows=rows, buckets=buckets)
     out = []
     for spot, lo in zip(spots, lows):
         a, b = float(at[lo][0]), float(at[min(lo + 1, total - 1)][0])
@@ -157,7 +145,7 @@ def exact_quantiles(
 
 
 def rank_cuts(
-    df: DataFrame, value: str, key: str, q: int = 5, small: int = SMALL_ROWS, buckets: int = BUCKETS
+    df: DataFrame, value: str, key: str, q: int = 5, buckets: int = BUCKETS
 ) -> list[tuple]:
     """The last ``(value, key)`` of each of the first ``q − 1`` rank quantiles.
 
@@ -170,7 +158,7 @@ def rank_cuts(
     if not rows:
         return []
     spots = [((rows - 1) * j) // q for j in range(1, q)]
-    at = rows_at(pairs, [value, key], spots, rows=rows, small=small, buckets=buckets)
+    at = rows_at(pairs, [value, key], spots, rows=rows, buckets=buckets)
     return [at[s] for s in spots]
 
 

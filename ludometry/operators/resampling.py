@@ -1,9 +1,8 @@
 """Bootstrap intervals and Bayesian comparison of two arms.
 
 Units are never resampled row by row on one machine. They are collapsed to
-(arm, value, count), and replicates or draws are what Spark distributes. Random
-streams are keyed by replicate, value or block, so results do not depend on
-partitioning.
+(arm, value, count), and blocks of values or draws are what Spark distributes.
+Random streams are keyed by block, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -12,41 +11,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIST_LIMIT = 4096
+from ..session import materialize
+
 _BLOCK = 1000
+#: Distinct values that one generator serves, and replicates drawn at once.
+_VALUES, _REPLICATES = 1024, 250
 
 
 def bootstrap_ci(
-    df: DataFrame,
-    arm: str,
-    a,
-    b,
-    metric: str,
-    n_boot: int = 10_000,
-    seed: int = 42,
-    level: float = 0.95,
-    hist_limit: int = HIST_LIMIT,
+    df: DataFrame, arm: str, a, b, metric: str, n_boot: int = 10_000, seed: int = 42, level: float = 0.95
 ) -> DataFrame:
     """Percentile interval of the difference of means, arm ``a`` minus ``b``.
 
-    With at most ``hist_limit`` distinct (arm, value) pairs the counts go to
-    the replicates' tasks, and each replicate draws a multinomial sample of the
-    original size, which equals resampling units. With more, the counts stay
-    distributed and each draws Poisson weights for all replicates.
+    A Poisson bootstrap: every unit gets weight Poisson(1) in each replicate,
+    and the weights of the units that share a value add up to Poisson(count).
+    The counts stay distributed, in blocks by a hash of the value; a block
+    draws whole tables of weights from a generator of its own and sends sums
+    over its values, one row for ``_REPLICATES`` replicates.
     """
-    hist = (
+    hist = materialize(
         df.where(F.col(arm).isin(a, b) & F.col(metric).isNotNull())
         .groupBy((F.col(arm) == F.lit(a)).alias("is_a"), F.col(metric).cast("double").alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    head = hist.limit(hist_limit + 1).collect()
-    if len(head) <= hist_limit:
-        diffs = _multinomial(df.sparkSession, head, n_boot, seed)
-    else:
-        diffs = _poisson(hist, n_boot, seed)
+    blocks = max(1, -(-hist.count() // _VALUES))
+    keyed = hist.withColumn("block", F.pmod(F.xxhash64("is_a", "v", F.lit(seed)), F.lit(blocks)))
+
+    def weigh(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.Generator(np.random.Philox(key=[seed, int(key[0])]))
+        rows = rows.sort_values(["is_a", "v"])
+        side, v, n = rows["is_a"].to_numpy(), rows["v"].to_numpy(), rows["n"].to_numpy()
+        out = []
+        for first in range(0, n_boot, _REPLICATES):
+            w = rng.poisson(n[:, None], (len(n), min(_REPLICATES, n_boot - first))).astype(float)
+            sums = [w[side].sum(axis=0), v[side] @ w[side], w[~side].sum(axis=0), v[~side] @ w[~side]]
+            out.append((first, np.concatenate(sums).tolist()))
+        return pd.DataFrame(out, columns=["first", "s"])
+
+    sums = keyed.groupBy("block").applyInPandas(weigh, "first long, s array<double>")
+    total = sums.groupBy("first").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    m = (F.size("s") / 4).cast("int")
+    parts = [F.slice("s", i * m + 1, m) for i in range(4)]
+    each = total.select(F.explode(F.arrays_zip(*[p.alias(c) for p, c in zip(parts, ("wa", "va", "wb", "vb"))])).alias("r"))
+    diffs = each.select((F.try_divide("r.va", "r.wa") - F.try_divide("r.vb", "r.wb")).alias("diff")).where("diff IS NOT NULL")
     tail = (1 - level) / 2
     return diffs.agg(
         F.count("*").alias("n_boot"),
@@ -56,60 +68,6 @@ def bootstrap_ci(
     ).withColumn("excludes_zero", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
 
 
-def _multinomial(spark, hist, n_boot: int, seed: int) -> DataFrame:
-    arms = {}
-    for side in (True, False):
-        pairs = sorted((r["v"], r["n"]) for r in hist if r["is_a"] == side)
-        counts = np.array([n for _, n in pairs], dtype="int64")
-        arms[side] = (np.array([v for v, _ in pairs]), counts, int(counts.sum()))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.empty(len(batch))
-            for i, replicate in enumerate(batch["id"]):
-                rng = np.random.default_rng([seed, int(replicate)])
-                means = []
-                for side in (True, False):
-                    values, counts, n = arms[side]
-                    means.append(rng.multinomial(n, counts / n) @ values / n)
-                out[i] = means[0] - means[1]
-            yield pd.DataFrame({"replicate": batch["id"], "diff": out})
-
-    if not (arms[True][2] and arms[False][2]):
-        return spark.createDataFrame([], "replicate long, diff double")
-    return spark.range(n_boot).mapInPandas(draw, "replicate long, diff double")
-
-
-def _poisson(hist: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    keyed = hist.withColumn("k", F.xxhash64("is_a", "v", F.lit(seed)))
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {side: np.zeros((2, n_boot)) for side in (True, False)}
-        for batch in batches:
-            for side, value, count, key in zip(batch["is_a"], batch["v"], batch["n"], batch["k"]):
-                rng = np.random.Generator(np.random.Philox(key=int(key) & (2**64 - 1)))
-                w = rng.poisson(count, n_boot)
-                total[bool(side)][0] += w
-                total[bool(side)][1] += w * value
-        ids = np.arange(n_boot)
-        for side, (w, wv) in total.items():
-            yield pd.DataFrame({"replicate": ids, "is_a": side, "w": w, "wv": wv})
-
-    sums = (
-        keyed.mapInPandas(weigh, "replicate long, is_a boolean, w double, wv double")
-        .groupBy("replicate")
-        .agg(
-            *[
-                F.sum(F.when(F.col("is_a") == F.lit(side), F.col(c))).alias(f"{c}_{s}")
-                for side, s in ((True, "a"), (False, "b"))
-                for c in ("w", "wv")
-            ]
-        )
-    )
-    diff = F.try_divide("wv_a", "w_a") - F.try_divide("wv_b", "w_b")
-    return sums.select("replicate", diff.alias("diff"))
-
-
 def bayes_ab(df: DataFrame, arm: str, a, b, metric: str, draws: int = 100_000, seed: int = 42) -> DataFrame:
     """Beta posterior (uniform prior) comparison of two rates.
 

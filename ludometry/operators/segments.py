@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_match
-from .ordering import SMALL_ROWS, exact_quantiles
+from .ordering import exact_quantiles
 
 # Tier names and the spender percentiles where they start.
 TIER_CUTS = {"whale": 0.97, "dolphin": 0.80}
@@ -22,11 +22,10 @@ def spend_tiers(
     payer: str = "is_payer",
     cuts: Mapping[str, float] = TIER_CUTS,
     out: str = "player_tier",
-    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Tier by exact percentile of spend among spenders; non-payers form their own tier."""
     names = sorted(cuts, key=lambda n: -cuts[n])
-    edges = exact_quantiles(df.where(F.col(spend) > 0).select(spend), spend, [cuts[n] for n in names], small=small)
+    edges = exact_quantiles(df.where(F.col(spend) > 0).select(spend), spend, [cuts[n] for n in names])
     rules: list[tuple[Column, str]] = [(F.col(payer) == 0, FREE_TIER)]
     rules += [(F.col(spend) >= F.lit(e), n) for n, e in zip(names, edges) if e is not None]
     return df.withColumn(out, first_match(rules, LOWEST_TIER))

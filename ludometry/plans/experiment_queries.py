@@ -166,7 +166,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric with many distinct values: counts stay distributed."""
     units = retail.ab_units(spark, sf_dir)
-    return resampling.bootstrap_ci(units, "version", A, B, "revenue", n_boot=1000, hist_limit=512)
+    return resampling.bootstrap_ci(units, "version", A, B, "revenue")
 
 
 @query("bayes_ab")

@@ -57,10 +57,15 @@ def _bins_sql(low: str) -> str:
     parts = []
     for i, label in enumerate(ops.CONVERT_LABELS):
         op = low if i == 0 else ">"
+        high = "" if edges[i + 1] == float("inf") else f" AND days_to_first_purchase <= {edges[i + 1]}"
         parts.append(
             f"SELECT CAST({i + 1} AS BIGINT) AS bucket_no, '{label}' AS bucket, count(*) AS n FROM players "
-            f"WHERE is_payer = 1 AND days_to_first_purchase {op} {edges[i]} AND days_to_first_purchase <= {edges[i + 1]}"
+            f"WHERE is_payer = 1 AND days_to_first_purchase {op} {edges[i]}{high}"
         )
+    parts.append(
+        f"SELECT CAST({len(edges)} AS BIGINT) AS bucket_no, 'unbinned' AS bucket, count(*) AS n FROM players "
+        f"WHERE is_payer = 1 AND NOT coalesce(days_to_first_purchase {low} {edges[0]}, false)"
+    )
     return " " + " UNION ALL ".join(parts)
 
 

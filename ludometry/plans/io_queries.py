@@ -29,19 +29,20 @@ def _fields(**types: T.DataType) -> T.StructType:
     "csv_transactions",
     TXNS
     + """
- SELECT transaction_id, player_id, CAST(transaction_date AS VARCHAR) AS transaction_date, item_category,
+ SELECT transaction_id, player_id, CAST(transaction_date AS VARCHAR) AS transaction_date, item_name, item_category,
   round(price_usd, 4) AS price_usd FROM transactions""",
 )
 def csv_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV, read back with a declared schema."""
     path = _scratch(spark, "txns-csv")
     txns = retail.transactions(spark, sf_dir)
-    names = ["transaction_id", "player_id", "transaction_date", "item_category", "price_usd"]
+    names = ["transaction_id", "player_id", "transaction_date", "item_name", "item_category", "price_usd"]
     tables.write_table(txns.select(names), path, fmt="csv")
     schema = _fields(
         transaction_id=T.LongType(),
         player_id=T.LongType(),
         transaction_date=T.DateType(),
+        item_name=T.StringType(),
         item_category=T.StringType(),
         price_usd=T.DoubleType(),
     )
@@ -73,7 +74,7 @@ def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fact table partitioned by year; the date filter prunes partitions."""
     path = _scratch(spark, "txns")
     txns = retail.transactions(spark, sf_dir).withColumn("year", F.year("transaction_date"))
-    tables.write_table(txns.repartition("year"), path, partition_by="year")
+    tables.write_table(txns.repartition(F.col("year"), F.pmod(F.xxhash64("transaction_id"), F.lit(8))), path, partition_by="year")
     back = tables.read_table(spark, path)
     recent = back.where((F.col("year") >= 2000) & (F.col("transaction_date") >= F.to_date(F.lit("2000-01-01"))))
     return tidy(

@@ -27,11 +27,11 @@ _CURVE = """,
     PLAYERS
     + _CURVE
     + """
- SELECT player_tier, point, t, r AS n_at_risk, d, round(s, 6) AS survival FROM curve WHERE point <= 50""",
+ SELECT player_tier, point, t, r AS n_at_risk, d, round(s, 6) AS survival FROM curve""",
 )
 def kaplan_meier(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = retail.players(spark, sf_dir)
-    return tidy(survival.kaplan_meier(base, "days_active", "churned_d7", "player_tier", points=50))
+    return tidy(survival.kaplan_meier(base, "days_active", "churned_d7", "player_tier"))
 
 
 @query(
@@ -89,6 +89,24 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(survival.concordance(units, "lifetime", "churned_d7", "risk"))
 
 
+@query(
+    "concordance_fractional",
+    PLAYERS
+    + """,
+ u AS (SELECT avg_session_minutes AS t, churned_d7 AS e, -total_sessions AS risk FROM players),
+ c AS (
+  SELECT sum(CASE WHEN i.risk > j.risk THEN 1 ELSE 0 END) AS conc, sum(CASE WHEN i.risk = j.risk THEN 1 ELSE 0 END)
+   AS ties, count(*) AS n
+  FROM u i JOIN u j ON i.e = 1 AND (i.t < j.t OR (i.t = j.t AND j.e = 0)))
+ SELECT CAST(conc AS DOUBLE) AS concordant, CAST(ties AS DOUBLE) AS tied, CAST(n AS DOUBLE) AS comparable,
+  round((conc + 0.5 * ties) / n, 6) AS concordance FROM c""",
+)
+def concordance_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations with fractions: the average session."""
+    units = retail.players_untiered(spark, sf_dir).withColumn("risk", -F.col("total_sessions"))
+    return tidy(survival.concordance(units, "avg_session_minutes", "churned_d7", "risk"))
+
+
 @query(
     "install_days",
     BOTH

@@ -143,6 +143,21 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(features.default_fill(joined, {"dbscan_cluster": -2}))
 
 
+@query(
+    "dbscan_chain",
+    """
+ WITH g AS (SELECT p_partkey, p_partkey // 50 AS g, count(*) OVER (PARTITION BY p_partkey // 50) AS n FROM part)
+ SELECT p_partkey, CASE WHEN n = 1 THEN -1 ELSE dense_rank() OVER (PARTITION BY n > 1 ORDER BY g) - 1 END AS cluster,
+  CASE WHEN n = 1 THEN 0 ELSE 1 END AS is_core FROM g""",
+)
+def dbscan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts on a line one apart, with a gap after every fifty keys: long thin clusters."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    x = F.col("p_partkey") + 10 * F.floor(F.col("p_partkey") / 50)
+    placed = parts.select("p_partkey", x.cast("double").alias("x"), F.lit(0.0).alias("y"))
+    return tidy(dbscan.dbscan(placed, "p_partkey", ["x", "y"], eps=1.2, min_samples=2))
+
+
 # ── evaluation over a score both engines can compute ────────────────────────
 
 
@@ -208,7 +223,8 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT 1 AS bucket_no, 'Low' AS bucket, count(*) AS n FROM s WHERE p > 0 AND p <= 0.3
  UNION ALL SELECT 2, 'Medium', count(*) FROM s WHERE p > 0.3 AND p <= 0.6
  UNION ALL SELECT 3, 'High', count(*) FROM s WHERE p > 0.6 AND p <= 0.8
- UNION ALL SELECT 4, 'Critical', count(*) FROM s WHERE p > 0.8 AND p <= 1""",
+ UNION ALL SELECT 4, 'Critical', count(*) FROM s WHERE p > 0.8 AND p <= 1
+ UNION ALL SELECT 5, 'unbinned', count(*) FROM s WHERE NOT coalesce(p > 0 AND p <= 1, false)""",
 )
 def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.datediff(F.to_date(F.lit(retail.OBS)), "last_active_date")
@@ -225,6 +241,21 @@ def _churn_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]
     return materialize(data), names
 
 
+@query(
+    "churn_split",
+    PLAYERS
+    + """
+ SELECT CAST(churned_d7 AS DOUBLE) AS label, count(*) AS n, CAST(floor(0.2 * count(*) + 0.5) AS BIGINT) AS held_out
+ FROM players GROUP BY churned_d7""",
+)
+def churn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows per class."""
+    players = retail.players_untiered(spark, sf_dir).select("player_id", F.col("churned_d7").cast("double").alias("label"))
+    train, test = churn.split_stratified(materialize(players), "player_id")
+    rows = train.withColumn("held", F.lit(0)).union(test.withColumn("held", F.lit(1)))
+    return tidy(rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("held").alias("held_out")))
+
+
 def _trained(spark: SparkSession, sf_dir: str, trees: int):
     data, names = _churn_data(spark, sf_dir)
     train, _ = churn.split_stratified(data, "player_id")

@@ -114,11 +114,11 @@ def ltv_report(
     curve = survival.kaplan_meier(segmented, "days_active", "churned_d7", "player_tier")
     ranked = segmented.withColumn("_risk", cox.risk())
     sections = {
-        "cox": cox.summary(spark).limit(8),
+        "cox": cox.summary(spark),
         "concordance": survival.concordance(ranked, "days_active", "churned_d7", "_risk"),
-        "kaplan_meier": curve.where(F.col("point") <= 50),
         "median_survival": survival.median_survival(curve, "player_tier"),
     }
+    tables.write_table(curve, os.path.join(out, "kaplan_meier"))
     training = materialize(segmented.join(ltv.horizon_ltv(txns, segmented), "player_id"))
     names = [f for f in ltv.LTV_FEATURES if f in training.columns]
     for days in ltv.HORIZONS:
@@ -135,11 +135,29 @@ def ltv_report(
     tables.write_report(sections, os.path.join(out, "ltv_results"))
 
 
-def experiment_report(units: DataFrame, out: str, a: str = "gate_30", b: str = "gate_40", arm: str = "version") -> None:
+def experiment_report(
+    units: DataFrame,
+    out: str,
+    a: str = "gate_30",
+    b: str = "gate_40",
+    arm: str = "version",
+    outcome: str = "revenue",
+    covariate: str = "pre_spend",
+) -> None:
+    """Tests, intervals and power; with ``outcome`` and its ``covariate`` also the adjusted comparison, ``b`` the treatment."""
     metrics = ["retention_1", "retention_7"]
     baselines = units.agg(*[F.avg(m).alias(m) for m in metrics]).unpivot([], metrics, "scenario", "baseline")
+    arms = units.where(F.col(arm).isin(a, b)).groupBy(arm).count().agg(F.min("count").alias("n"))
+    adjusted = {}
+    if outcome in units.columns and covariate in units.columns:
+        adjusted = {
+            "mean_difference": experiments.mean_diff(units, arm, b, a, outcome),
+            "cuped": experiments.cuped(units, arm, b, a, outcome, covariate),
+        }
     tables.write_report(
         {
+            **adjusted,
+            "mde": experiments.mde_report(baselines.withColumn("n", arms.scalar()), "n"),
             "z_tests": experiments.z_test(units, arm, a, b, metrics),
             "chi2": experiments.arm_chi2(units, arm, metrics),
             "rounds": experiments.t_test(units, arm, a, b, "sum_gamerounds"),

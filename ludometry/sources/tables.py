@@ -52,16 +52,19 @@ def write_table(
     writer.format(fmt).save(path)
 
 
-def report(sections: dict[str, DataFrame]) -> DataFrame:
+def report(sections: dict[str, DataFrame], most_rows: int = 10_000) -> DataFrame:
     """One row with one array-of-records column per result table.
 
-    For report tables, which are small by construction (tiers, stages, tests).
+    For report tables, which are small by construction (tiers, stages, tests);
+    a section of more than ``most_rows`` rows is an error, not a cut.
     """
     spark = next(iter(sections.values())).sparkSession
     columns = {}
     for name, df in sections.items():
-        rows = df.agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("r"))
-        columns[name] = rows.scalar()
+        listed = F.collect_list(F.struct(*[F.col(c) for c in df.columns]))
+        rows = df.limit(most_rows + 1).agg(listed.alias("r"))
+        too_many = F.raise_error(F.lit(f"section {name} has more than {most_rows} rows; write it as a table"))
+        columns[name] = rows.select(F.when(F.size("r") <= most_rows, F.col("r")).otherwise(too_many)).scalar()
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()])
 
 

@@ -1,4 +1,4 @@
-"""The distributed path must equal the plain one; forced by small=0."""
+"""Ranges must give what a plain global order gives."""
 
 import random
 
@@ -19,10 +19,9 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k long, v double").repartition(7)
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_running_totals(skewed, small):
+def test_running_totals(skewed):
     rows, df = skewed
-    out = ordering.running_totals(df, ["v", "k"], {"rn": F.lit(1), "s": "k"}, small=small, buckets=64)
+    out = ordering.running_totals(df, ["v", "k"], {"rn": F.lit(1), "s": "k"}, buckets=64)
     got = sorted((r["v"], r["k"], r["rn"], r["s"]) for r in out.collect())
     total = 0
     for i, ((v, k, rn, s), (wk, wv)) in enumerate(zip(got, sorted(rows, key=lambda r: (r[1], r[0])))):
@@ -30,11 +29,10 @@ def test_running_totals(skewed, small):
         total += wk
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("probs", [[0.5], [0.0, 0.2, 0.8, 0.97, 1.0]])
-def test_exact_quantiles(skewed, small, probs):
+def test_exact_quantiles(skewed, probs):
     rows, df = skewed
-    got = ordering.exact_quantiles(df, "v", probs, small=small, buckets=16)
+    got = ordering.exact_quantiles(df, "v", probs, buckets=16)
     assert np.allclose(got, np.percentile([v for _, v in rows], [100 * p for p in probs]), rtol=1e-12)
 
 
@@ -43,10 +41,9 @@ def test_quantiles_of_nothing(spark):
     assert ordering.exact_quantiles(empty, "v", [0.5]) == [None]
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_rank_scores_split_ties_by_key(skewed, small):
+def test_rank_scores_split_ties_by_key(skewed):
     rows, df = skewed
-    cuts = ordering.rank_cuts(materialize(df), "v", "k", 5, small=small, buckets=16)
+    cuts = ordering.rank_cuts(materialize(df), "v", "k", 5, buckets=16)
     got = {r["k"]: r["s"] for r in df.select("k", ordering.rank_score("v", "k", cuts).alias("s")).collect()}
     n = len(rows)
     for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
@@ -63,7 +60,7 @@ def test_rank_quantiles_are_not_ntile(spark):
 
 def test_string_keys(spark):
     df = spark.createDataFrame([(f"P{i:04d}", float(i % 3)) for i in range(500)], "k string, v double")
-    a = ordering.rank_cuts(materialize(df), "v", "k", small=0, buckets=16)
+    a = ordering.rank_cuts(materialize(df), "v", "k", buckets=16)
     assert a == ordering.rank_cuts(materialize(df), "v", "k")
 
 

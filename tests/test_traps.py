@@ -63,9 +63,11 @@ def test_day_zero_buyers(spark):
     """T4: the lowest edge is open unless asked otherwise."""
     df = spark.createDataFrame([(0,), (1,), (365,), (366,), (None,)], "d int")
     total = lambda closed: sum(
-        r["n"] for r in funnel.bucket_distribution(df, "d", funnel.CONVERT_BINS, funnel.CONVERT_LABELS, closed).collect()
+        r["n"]
+        for r in funnel.bucket_distribution(df, "d", funnel.CONVERT_BINS, funnel.CONVERT_LABELS, closed).collect()
+        if r["bucket"] != "unbinned"
     )
-    assert total(False) == 2 and total(True) == 3
+    assert total(False) == 3 and total(True) == 4
 
 
 def test_empty_bands_are_listed(spark):
@@ -73,7 +75,7 @@ def test_empty_bands_are_listed(spark):
 
     df = spark.createDataFrame([(0.0,), (0.1,), (0.3,), (0.9,)], "churn_probability double")
     got = [(r["bucket"], r["n"]) for r in risk_bands(df).orderBy("bucket_no").collect()]
-    assert got == [("Low", 2), ("Medium", 0), ("High", 0), ("Critical", 1)]
+    assert got == [("Low", 2), ("Medium", 0), ("High", 0), ("Critical", 1), ("unbinned", 1)]
     assert [r["churn_risk"] for r in with_risk(df).collect()] == [None, "Low", "Low", "Critical"]
 
 

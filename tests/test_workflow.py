@@ -31,9 +31,11 @@ def test_end_to_end(spark, tmp_path):
     workflow.experiment_report(retail.ab_units(spark, SF), out)
     doc = tables.read_report(spark, f"{out}/ab_testing_results").first()
     assert len(doc["z_tests"]) == 2 and len(doc["power"]) == 8
+    assert len(doc["mde"]) == 2 and len(doc["cuped"]) == 2 and len(doc["mean_difference"]) == 1
 
     workflow.ltv_report(segmented, txns, out, retail.OBS, ["total_sessions", "fb_connected"], trees=2)
     doc = tables.read_report(spark, f"{out}/ltv_results").first()
+    assert tables.read_table(spark, f"{out}/kaplan_meier").count() > 50
     assert len(doc["ltv_7d"]) == 1 and 0 <= doc["concordance"][0]["concordance"] <= 1
 
     weekly = liveops.weekly_kpis(activity, F.col("event_type") == "purchase")
