@@ -37,6 +37,12 @@ _PER_PART = (1 << _CELL_BITS) // _PARTS
 #: Shared shingles a document may ask for (at least, and as a part of its set), the cost of a verified shingle
 #: against a posting, and the partners expected of a shingle that the sketch calls rare.
 _MOST_MATCHES, _MATCH_PART, _VERIFY, _RARE = 6, 10, 0.05, 0.05
+#: Pairs left for a posting at which leaders give way to single pairs.
+_PAIRS_PER_POSTING = 2
+#: Leaders of a posting list after the first turn, and the members that meet without bands.
+_LEADERS, _SHORT = 8, 32
+#: Askers of one round over the blocks.
+_ASKERS = 20_000
 _PROFILE = "rid long, n long, s1 long, s2 long, part int, cells binary"
 
 
@@ -50,6 +56,11 @@ class Measure:
         """``ceil(t n)``: what a set of ``n`` shares with a similar one."""
         return -(-self.percent * n // 100)
 
+    def band(self, shared: int, n: int, m: int) -> int:
+        """The Jaccard distance in whole multiples of the largest distance of a link."""
+        union = n + m - shared
+        return (union - shared) * 100 // (union * (100 - self.percent)) if self.percent < 100 else 0
+
     def similar(self, shared: int, n: int, m: int) -> bool:
         return 100 * shared >= self.percent * (n + m - shared)
 
@@ -239,31 +250,125 @@ def _link(packed: B.Blocks, postings: DataFrame, measure: Measure) -> DataFrame:
     fits = f"100 * least(n, m) >= {measure.percent} * greatest(n, m)"
     live = postings.withColumn("root", F.col("rid"))
     links: DataFrame | None = None
-    turn = 0
+    turn, left = 0, None
     while True:
-        # A posting list's leader is the first of its members in an order that changes with every turn.
-        order = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "rid", "n", "asks")
-        lead = live.groupBy("token").agg(F.min(order).alias("l"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        lead = lead.select("token", F.col("l.root").alias("lead_root"), F.col("l.rid").alias("lead"), F.col("l.n").alias("m"), F.col("l.asks").alias("lead_asks"))
-        seen = live.join(lead, "token").where("root <> lead_root").where(fits).groupBy("root", "rid", "lead", "asks", "lead_asks").count().where("count >= least(asks, lead_asks)")
-        best = materialize(seen.groupBy("root").agg(F.max(F.struct("count", F.col("rid").alias("a"), F.col("lead").alias("b"))).alias("p")).select("p.a", "p.b"))
+        best = materialize(_led(live, fits, 1 if turn == 0 else _LEADERS, turn))
         found = materialize(_verified(packed, best, measure))
-        tried, good = best.count(), found.count()
-        if good:
+        if not found.isEmpty():
             links = found if links is None else links.union(found)
             live = materialize(_rooted(live.drop("root"), links))
+        before, left = left, _pairs_left(live)
         turn += 1
-        # Another turn pays while most of its pairs are links; what is left goes pair by pair.
-        if 2 * good < tried or not good:
+        # Another turn pays while many pairs are left and turns settle them; then these go one by one.
+        if left <= _PAIRS_PER_POSTING * live.count() or before is not None and left > 0.9 * before:
             break
-    open_tokens = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    rest = live.join(open_tokens, "token")
+    lists = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rid").alias("h"), "rid")).alias("hub"))
+    lists = materialize(lists.where("x <> y").select("token", "c", F.col("hub.rid").alias("hub")))
+    crowded = _hub_links(packed, live.join(lists.where(F.col("c") > _SHORT).select("token", "hub"), "token"), measure)
+    pairs = _short_pairs(live.join(lists.where(F.col("c") <= _SHORT).select("token"), "token"), fits)
+    pairs = materialize(pairs.groupBy("a", "b", "asks_a", "asks_b").count().where("count >= least(asks_a, asks_b)").select("a", "b"))
+    last = _verified(packed, materialize(_possible(packed, pairs, measure)), measure).union(crowded)
+    return materialize(last if links is None else links.union(last))
+
+
+def _short_pairs(rest: DataFrame, fits: str) -> DataFrame:
+    """A row ``(a, b, asks_a, asks_b)`` for each prefix shingle that members of different components share."""
     left = rest.select("token", F.col("rid").alias("a"), "n", F.col("asks").alias("asks_a"), F.col("root").alias("root_a"))
     right = rest.select("token", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("asks").alias("asks_b"), F.col("root").alias("root_b"))
-    pairs = left.join(right, "token").where("root_a < root_b").where(fits).groupBy("a", "b", "asks_a", "asks_b").count()
-    pairs = materialize(pairs.where("count >= least(asks_a, asks_b)").select("a", "b"))
-    last = _verified(packed, materialize(_possible(packed, pairs, measure)), measure)
-    return materialize(last if links is None else links.union(last))
+    return left.join(right, "token").where("root_a < root_b").where(fits).select("a", "b", "asks_a", "asks_b")
+
+
+def _hub_links(packed: B.Blocks, crowded: DataFrame, measure: Measure) -> DataFrame:
+    """Links ``(a, b)`` between different components within posting lists of more than ``_SHORT`` members.
+
+    Lists with the same first member (by a hash), their hub, are one crowd.
+    All of a crowd but its largest component ask: an asker's set travels to
+    the blocks that hold members, and is held there against all of them at
+    once; one link to each component is enough. So a crowd costs askers times
+    blocks, not pairs. Each member knows its distance to the hub: Jaccard
+    distance is a metric, so sets whose distances differ by more than a link
+    allows are left out. Askers come in rounds of at most about ``_ASKERS``.
+    """
+    crowd = materialize(crowded.select("hub", "rid", "root").distinct())
+    to_hub = materialize(crowd.where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")))
+    bands = _compared(packed, to_hub, measure, _narrowed, lambda mine, theirs: measure.band(*_shared(mine, theirs)))
+    bands = bands.select(F.col("a").alias("rid"), F.col("b").alias("hub"), F.col("value").alias("band"))
+    crowd = materialize(crowd.join(bands, ["rid", "hub"], "left").withColumn("band", F.coalesce("band", F.lit(0))))
+    largest = crowd.groupBy("hub", "root").count().groupBy("hub").agg(F.max(F.struct("count", "root")).alias("l")).select("hub", F.col("l.root").alias("largest"))
+    asking = materialize(crowd.join(largest, "hub").where("root <> largest").select("hub", F.col("rid").alias("b"), "root", "band"))
+    rounds = max(1, -(-asking.count() // _ASKERS))
+    turn = F.pmod(F.xxhash64("b"), F.lit(rounds)).alias("turn")
+    at = crowd.select("hub", F.shiftright("rid", B.PLACE_BITS).alias("to")).distinct()
+    asked = materialize(asking.join(at, "hub").select("to", "hub", "b", "root", "band"))
+    requests = asked.select("b", "to").distinct().groupBy(_block("b")).agg(F.collect_list(F.struct(_place("b").alias("at"), "to")).alias("asked"))
+    sets = _sent_sets(packed, requests, measure, _narrowed).groupBy("block", turn).agg(F.collect_list(F.struct("b", "digest")).alias("sets"))
+    askers = asked.groupBy(F.col("to").alias("block"), turn).agg(F.collect_list(F.struct("hub", "b", "root", "band")).alias("askers"))
+    members = crowd.groupBy(_block("rid")).agg(F.collect_list(F.struct("hub", _place("rid").alias("at"), "root", "band")).alias("members"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows, others in B.each_block(batches):
+            theirs = {x["b"]: _widened(x["digest"]) for x in others["sets"]}
+            own = _sets_at(rows, sorted({x["at"] for x in others["members"]}), measure)
+            here: dict[int, list[dict]] = {}
+            for x in others["members"]:
+                here.setdefault(x["hub"], []).append(x)
+            links: dict[tuple[int, int], int] = {}
+            for hub, members in here.items():
+                local = _Crowd(members, own)
+                for x in others["askers"]:
+                    if x["hub"] == hub:
+                        for k in local.linked(theirs[x["b"]], x["root"], x["band"], measure):
+                            links.setdefault((x["b"], members[k]["root"]), (block << B.PLACE_BITS) + members[k]["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(links.values()), pa.int64()), pa.array([b for b, _ in links], pa.int64())], names=["a", "b"])
+
+    answers = askers.join(sets, ["block", "turn"]).join(members, "block").drop("turn")
+    return materialize(packed.table.join(answers.hint("shuffle_hash"), "block").mapInArrow(compare, "a long, b long"))
+
+
+class _Crowd:
+    """Members of a crowd in one block, their shingles in one array."""
+
+    def __init__(self, members: list[dict], sets: dict[int, np.ndarray]):
+        own = [sets[x["at"]] >> _DROPPED for x in members]
+        self.sizes = np.array([len(s) for s in own], np.int64)
+        self.tokens = np.concatenate(own)
+        self.owner = np.repeat(np.arange(len(own)), self.sizes)
+        self.root = np.array([x["root"] for x in members], np.int64)
+        self.band = np.array([x["band"] for x in members], np.int64)
+
+    def linked(self, theirs: np.ndarray, root: int, band: int, measure: Measure) -> np.ndarray:
+        """Which members of other components are similar to a set."""
+        n = len(theirs)
+        may = (self.root != root) & (np.abs(self.band - band) <= 1)
+        may &= 100 * np.minimum(self.sizes, n) >= measure.percent * np.maximum(self.sizes, n)
+        if not may.any():
+            return np.zeros(0, np.int64)
+        tokens, owner = (self.tokens, self.owner) if may.all() else (self.tokens[may[self.owner]], self.owner[may[self.owner]])
+        shared = np.bincount(owner[B.contains(theirs, tokens)], minlength=len(may))
+        return np.flatnonzero(may & (100 * shared >= measure.percent * (self.sizes + n - shared)))
+
+
+def _led(live: DataFrame, fits: str, leaders: int, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` to try: for each component up to ``leaders`` members with the leaders they share most with.
+
+    A posting list's leaders are the first members of ``leaders`` slots, in an
+    order of members that changes with every turn, so a group whose members
+    are similar to some of it only meets other members each time.
+    """
+    slot = F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(leaders))
+    order = F.struct(F.xxhash64(F.lit(turn), "rid").alias("h"), "root", "rid", "n", "asks")
+    mixed = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    lead = live.join(mixed, "token").groupBy("token", slot.alias("slot")).agg(F.min(order).alias("l"))
+    lead = lead.select("token", F.col("l.root").alias("lead_root"), F.col("l.rid").alias("lead"), F.col("l.n").alias("m"), F.col("l.asks").alias("lead_asks"))
+    seen = live.join(lead, "token").where("root <> lead_root").where(fits).groupBy("root", "rid", "lead", "asks", "lead_asks").count().where("count >= least(asks, lead_asks)")
+    best = seen.groupBy("root", F.pmod(F.xxhash64("lead"), F.lit(leaders))).agg(F.max(F.struct("count", F.col("rid").alias("a"), F.col("lead").alias("b"))).alias("p"))
+    return best.select("p.a", "p.b")
+
+
+def _pairs_left(live: DataFrame) -> int:
+    """Pairs of members of different components over all posting lists."""
+    each = live.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    return int(each.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()[0])
 
 
 def _rooted(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,11 +385,16 @@ def _components(links: DataFrame) -> DataFrame:
 def _verified(packed: B.Blocks, pairs: DataFrame, measure: Measure) -> DataFrame:
     """The pairs whose whole sets are similar."""
 
-    def similar(mine: np.ndarray, theirs: bytes) -> bool:
-        other = _widened(theirs)
-        return measure.similar(int(B.contains(other, mine >> _DROPPED).sum()), len(mine), len(other))
+    def similar(mine: np.ndarray, theirs: bytes) -> int | None:
+        return 1 if measure.similar(*_shared(mine, theirs)) else None
+
+    return _compared(packed, pairs, measure, _narrowed, similar).select("a", "b")
 
-    return _compared(packed, pairs, measure, _narrowed, similar)
+
+def _shared(mine: np.ndarray, theirs: bytes) -> tuple[int, int, int]:
+    """Shingles that a set shares with a narrowed one, and the sizes of both."""
+    other = _widened(theirs)
+    return int(B.contains(other, mine >> _DROPPED).sum()), len(mine), len(other)
 
 
 def _possible(packed: B.Blocks, pairs: DataFrame, measure: Measure) -> DataFrame:
@@ -294,13 +404,13 @@ def _possible(packed: B.Blocks, pairs: DataFrame, measure: Measure) -> DataFrame
         cells = np.bincount((tokens & np.uint64((1 << _cell_bits(len(tokens))) - 1)).astype(np.int64), minlength=1 << _cell_bits(len(tokens)))
         return np.int64(len(tokens)).tobytes() + np.minimum(cells, 255).astype(np.uint8).tobytes()
 
-    def may(mine: np.ndarray, theirs: bytes) -> bool:
+    def may(mine: np.ndarray, theirs: bytes) -> int | None:
         n, cells = int(np.frombuffer(theirs[:8], np.int64)[0]), np.frombuffer(theirs[8:], np.uint8)
         own = np.bincount((mine & np.uint64(len(cells) - 1)).astype(np.int64), minlength=len(cells))
         # A full cell stands for any count.
-        return measure.similar(int(np.where(cells == 255, own, np.minimum(own, cells)).sum()), len(mine), n)
+        return 1 if measure.similar(int(np.where(cells == 255, own, np.minimum(own, cells)).sum()), len(mine), n) else None
 
-    return _compared(packed, pairs, measure, count, may)
+    return _compared(packed, pairs, measure, count, may).select("a", "b")
 
 
 def _cell_bits(n: int) -> int:
@@ -321,8 +431,8 @@ def _widened(packed: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _compared(packed: B.Blocks, pairs: DataFrame, measure: Measure, digest: Callable[[np.ndarray], bytes], accept: Callable[[np.ndarray, bytes], bool]) -> DataFrame:
-    """The pairs that ``accept`` finds good.
+def _compared(packed: B.Blocks, pairs: DataFrame, measure: Measure, digest: Callable[[np.ndarray], bytes], judge: Callable[[np.ndarray, bytes], int | None]) -> DataFrame:
+    """``(a, b, value)`` of the pairs for which ``judge`` gives a value.
 
     The digest of ``b``'s set travels to the block of ``a``, once per block
     that needs it, and is held against the sets of that block's documents.
@@ -330,29 +440,37 @@ def _compared(packed: B.Blocks, pairs: DataFrame, measure: Measure, digest: Call
     asked = pairs.select(_block("b"), _place("b").alias("at"), F.shiftright("a", B.PLACE_BITS).alias("to")).distinct()
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("at", "to")).alias("asked"))
 
-    def sets_at(rows: pa.StructArray, places: list[int]) -> dict[int, np.ndarray]:
-        return dict(zip(places, shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places, pa.int32())), measure.shingle)))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows, others in B.each_block(batches):
+            theirs = {x["b"]: x["digest"] for x in others["sets"]}
+            wanted = [(x["a"] & ((1 << B.PLACE_BITS) - 1), x["b"]) for x in others["pairs"]]
+            own = _sets_at(rows, sorted({p for p, _ in wanted}), measure)
+            judged = [((block << B.PLACE_BITS) + p, b, v) for p, b in wanted if (v := judge(own[p], theirs[b])) is not None]
+            columns = [pa.array([x[k] for x in judged], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "value"])
+
+    sets = _sent_sets(packed, asked, measure, digest)
+    here = sets.groupBy("block").agg(F.collect_list(F.struct("b", "digest")).alias("sets"))
+    wanted = pairs.groupBy(_block("a")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    return packed.table.join(wanted.join(here, "block").hint("shuffle_hash"), "block").mapInArrow(compare, "a long, b long, value int")
+
+
+def _sets_at(rows: pa.StructArray, places: list[int], measure: Measure) -> dict[int, np.ndarray]:
+    return dict(zip(places, shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places, pa.int32())), measure.shingle)))
+
+
+def _sent_sets(packed: B.Blocks, asked: DataFrame, measure: Measure, digest: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``(block, b, digest)``: the sets that ``asked`` (``block, asked array<struct<at, to>>``) wants at other blocks."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, others in B.each_block(batches):
-            digests = {p: digest(s) for p, s in sets_at(rows, sorted({x["at"] for x in others["asked"]})).items()}
+            digests = {p: digest(s) for p, s in _sets_at(rows, sorted({x["at"] for x in others["asked"]}), measure).items()}
             to, at = [x["to"] for x in others["asked"]], [x["at"] for x in others["asked"]]
             for i in range(0, len(at), 64):
                 part = at[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 64], pa.int64()), pa.array([(block << B.PLACE_BITS) + p for p in part], pa.int64()), pa.array([digests[p] for p in part], pa.binary())], names=["block", "b", "digest"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, others in B.each_block(batches):
-            theirs = {x["b"]: x["digest"] for x in others["sets"]}
-            wanted = [(x["a"] & ((1 << B.PLACE_BITS) - 1), x["b"]) for x in others["pairs"]]
-            own = sets_at(rows, sorted({p for p, _ in wanted}))
-            good = [((block << B.PLACE_BITS) + p, b) for p, b in wanted if accept(own[p], theirs[b])]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["a", "b"])
-
-    sets = packed.table.join(asked.hint("shuffle_hash"), "block").mapInArrow(send, "block long, b long, digest binary")
-    here = sets.groupBy("block").agg(F.collect_list(F.struct("b", "digest")).alias("sets"))
-    wanted = pairs.groupBy(_block("a")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    return packed.table.join(wanted.join(here, "block").hint("shuffle_hash"), "block").mapInArrow(compare, "a long, b long")
+    return packed.table.join(asked.hint("shuffle_hash"), "block").mapInArrow(send, "block long, b long, digest binary")
 
 
 def dedup_near(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
