@@ -152,18 +152,58 @@ def topn_dummies(df: DataFrame, col: str, n: int = 8) -> tuple[DataFrame, list[s
 # ── purchase-log features ───────────────────────────────────────────────────
 
 
+#: More categories than this are no columns.
+MOST_CATEGORIES = 10_000
+
+
+def _by_item(txns: DataFrame, key: str) -> DataFrame:
+    """One row per player, item and category: what every purchase feature is a sum, a count or an end of.
+
+    Distinct items and categories are then counts over groups, so no line is
+    multiplied for them, and a player with very many purchases is split by item
+    on the way.
+    """
+    price = F.col("price_usd")
+    return txns.groupBy(key, "item_name", "item_category").agg(
+        F.min("transaction_date").alias("first"),
+        F.max("transaction_date").alias("last"),
+        F.count("transaction_id").alias("n_ids"),
+        F.count(price).alias("n"),
+        F.sum(price).alias("s"),
+        F.avg(price).alias("mean"),
+        F.coalesce(F.var_pop(price) * F.count(price), F.lit(0.0)).alias("m2"),
+        F.max(price).alias("hi"),
+        F.min(price).alias("lo"),
+    )
+
+
+def _by_category(items: DataFrame, key: str) -> DataFrame:
+    return items.groupBy(key, "item_category").agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.sum("n_ids").alias("n_ids"),
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum("m2").alias("m2"),
+        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"),
+        F.max("hi").alias("hi"),
+        F.min("lo").alias("lo"),
+    )
+
+
 def _summary_aggs() -> list[Column]:
+    n, total = F.sum("n"), F.sum("s")
+    spread = F.greatest(F.sum("m2") + F.sum("q") - total * total / n, F.lit(0.0))
     return [
-        F.min("transaction_date").alias("first_purchase_date"),
-        F.max("transaction_date").alias("last_purchase_date"),
-        F.count("transaction_id").alias("total_txn_count"),
-        F.sum("price_usd").alias("total_revenue"),
-        F.avg("price_usd").alias("avg_txn_value"),
-        F.max("price_usd").alias("max_txn_value"),
-        F.min("price_usd").alias("min_txn_value"),
-        F.stddev_samp("price_usd").alias("std_txn_value"),
-        F.countDistinct("item_name").alias("unique_items_purchased"),
-        F.countDistinct("item_category").alias("unique_categories"),
+        F.min("first").alias("first_purchase_date"),
+        F.max("last").alias("last_purchase_date"),
+        F.sum("n_ids").alias("total_txn_count"),
+        total.alias("total_revenue"),
+        F.try_divide(total, n).alias("avg_txn_value"),
+        F.max("hi").alias("max_txn_value"),
+        F.min("lo").alias("min_txn_value"),
+        F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_txn_value"),
+        F.count("item_category").alias("unique_categories"),
     ]
 
 
@@ -174,24 +214,41 @@ def _velocity(df: DataFrame) -> DataFrame:
     )
 
 
+def discover_categories(txns: DataFrame) -> list[str]:
+    """The item categories of a purchase log, in order; an error beyond ``MOST_CATEGORIES``."""
+    rows = txns.where(F.col("item_category").isNotNull()).select("item_category").distinct().limit(MOST_CATEGORIES + 1)
+    found = sorted(r[0] for r in rows.collect())
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    return found
+
+
 def _category_aggs(categories: Sequence[str]) -> list[Column]:
     return [
-        F.sum(F.when(F.col("item_category") == c, F.col("price_usd")).otherwise(0.0)).alias(f"spend_{c}")
-        for c in categories
+        F.sum(F.when(F.col("item_category") == c, F.col("s")).otherwise(0.0)).alias(f"spend_{c}") for c in categories
     ]
 
 
 def _rfm_aggs(obs) -> list[Column]:
     return [
-        F.datediff(as_date(obs), F.max("transaction_date")).alias("recency"),
-        F.count("transaction_id").alias("frequency"),
-        F.sum("price_usd").alias("monetary"),
+        F.datediff(as_date(obs), F.max("last")).alias("recency"),
+        F.sum("n_ids").alias("frequency"),
+        F.sum("s").alias("monetary"),
     ]
 
 
 def purchase_summary(txns: DataFrame, key: str = "player_id") -> DataFrame:
     """Dates, counts, price statistics and distinct items per player."""
-    return txns.groupBy(key).agg(*_summary_aggs())
+    return _with_items(_by_category(_by_item(txns, key), key).groupBy(key).agg(*_summary_aggs()), txns, key)
+
+
+def _with_items(per_player: DataFrame, txns: DataFrame, key: str) -> DataFrame:
+    """Add the number of distinct items, counted over groups of the same first aggregate."""
+    items = _by_item(txns, key).where("item_name IS NOT NULL").groupBy(key, "item_name").count()
+    items = items.groupBy(key).agg(F.count("*").alias("unique_items_purchased"))
+    out = per_player.join(items, key, "left").withColumn("unique_items_purchased", F.coalesce("unique_items_purchased", F.lit(0)))
+    at = per_player.columns.index("unique_categories")
+    return out.select(*per_player.columns[:at], "unique_items_purchased", *per_player.columns[at:])
 
 
 def purchase_velocity(txns: DataFrame, key: str = "player_id") -> DataFrame:
@@ -204,9 +261,14 @@ def purchase_velocity(txns: DataFrame, key: str = "player_id") -> DataFrame:
     return _velocity(dates).select(key, "total_txn_count", "purchase_span_days", "purchase_velocity")
 
 
-def category_spend(txns: DataFrame, categories: Sequence[str], key: str = "player_id") -> DataFrame:
-    """Spend per item category as columns, zero when absent."""
-    return txns.groupBy(key).agg(*_category_aggs(categories))
+def category_spend(txns: DataFrame, categories: Sequence[str] | None = None, key: str = "player_id") -> DataFrame:
+    """Spend per item category as columns, zero when absent.
+
+    Without a list every category of the log gets a column. With one, other
+    categories are left out by choice.
+    """
+    categories = discover_categories(txns) if categories is None else categories
+    return _by_category(_by_item(txns, key), key).groupBy(key).agg(*_category_aggs(categories))
 
 
 def rfm(txns: DataFrame, obs, key: str = "player_id") -> DataFrame:
@@ -214,7 +276,11 @@ def rfm(txns: DataFrame, obs, key: str = "player_id") -> DataFrame:
 
     Purchases after the observation date count and give a negative recency.
     """
-    return txns.groupBy(key).agg(*_rfm_aggs(obs))
+    return txns.groupBy(key).agg(
+        F.datediff(as_date(obs), F.max("transaction_date")).alias("recency"),
+        F.count("transaction_id").alias("frequency"),
+        F.sum("price_usd").alias("monetary"),
+    )
 
 
 def rfm_scores(rfm_table: DataFrame, q: int = 5, key: str = "player_id") -> DataFrame:
@@ -244,17 +310,20 @@ def player_features(
     players: DataFrame,
     txns: DataFrame,
     obs,
-    categories: Sequence[str],
+    categories: Sequence[str] | None = None,
     ios: str = "iOS",
     countries: Sequence[str] = HIGH_SPEND_COUNTRIES,
     key: str = "player_id",
 ) -> DataFrame:
     """The wide feature table: profile features plus all purchase-log features.
 
-    One aggregate over the purchase log and one join, instead of a join per
-    feature group.
+    One chain of aggregates over the purchase log and one join, instead of a
+    join per feature group. Without a list of categories all are discovered.
     """
-    per_player = txns.groupBy(key).agg(*_summary_aggs(), *_category_aggs(categories), *_rfm_aggs(obs))
+    categories = discover_categories(txns) if categories is None else categories
+    groups = _by_category(_by_item(txns, key), key)
+    per_player = groups.groupBy(key).agg(*_summary_aggs(), *_category_aggs(categories), *_rfm_aggs(obs))
+    per_player = _with_items(per_player, txns, key)
     bought = rfm_scores(_velocity(per_player), key=key)
     wide = players.join(bought, key, "left")
     wide = profile_flags(engagement_features(wide, obs), ios, countries)

@@ -247,9 +247,11 @@ _CATEGORY_SQL = ", ".join(
 
 @query("category_spend", TXNS + f" SELECT player_id, {_CATEGORY_SQL} FROM transactions GROUP BY player_id")
 def category_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(features.category_spend(retail.transactions(spark, sf_dir), retail.CATEGORIES), 4)
+    return tidy(features.category_spend(retail.transactions(spark, sf_dir)), 4)
 
 
+_SPENDS = ", ".join(f"coalesce(\"spend_{c}\", 0.0) AS spend_{c.lower().replace('#', '_')}" for c in retail.CATEGORIES)
+
 _RFM = f""",
  rfm AS (
   SELECT player_id, {OBS} - max(transaction_date) AS recency, count(*) AS frequency, sum(price_usd) AS monetary
@@ -335,7 +337,6 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         retail.players(spark, sf_dir),
         retail.transactions(spark, sf_dir),
         retail.OBS,
-        retail.CATEGORIES,
         ios=IOS,
         countries=COUNTRIES,
     )
@@ -349,12 +350,12 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
  t AS (
   SELECT player_id, min(transaction_date) AS d0, max(transaction_date) AS d1, count(*) AS n, sum(price_usd) AS rev,
    avg(price_usd) AS mean, stddev_samp(price_usd) AS sd, count(DISTINCT item_name) AS items,
-   count(DISTINCT item_category) AS cats, {_CATEGORY_SQL.split(", round")[0]} FROM transactions GROUP BY player_id)
+   count(DISTINCT item_category) AS cats, {_CATEGORY_SQL} FROM transactions GROUP BY player_id)
  SELECT p.player_id, player_tier, coalesce(t.n, 0) AS total_txn_count, round(coalesce(t.rev, 0), 4) AS total_revenue,
   round(coalesce(t.mean, 0) + 1e-8, 6) AS avg_txn_value, round(coalesce(t.sd, 0), 4) AS std_txn_value,
   coalesce(t.items, 0) AS unique_items_purchased, CAST(t.cats AS DOUBLE) AS unique_categories,
   round(coalesce(t.n / greatest(t.d1 - t.d0 + 1, 1), 0), 6) AS purchase_velocity,
-  coalesce("spend_Brand#1", 0.0) AS spend_brand_1, coalesce(s.recency, 0) AS recency,
+  {_SPENDS}, coalesce(s.recency, 0) AS recency,
   coalesce(100 * recency_score + 10 * frequency_score + monetary_score, 0) AS rfm_score,
   round(total_sessions / greatest({OBS} - install_date, 1), 6) AS session_frequency,
   round(total_spend_usd / greatest(total_play_hours, 0.1), 6) AS revenue_per_hour,
@@ -374,7 +375,7 @@ def player_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unique_items_purchased",
         F.col("unique_categories").cast("double").alias("unique_categories"),
         "purchase_velocity",
-        F.col("`spend_Brand#1`").alias("spend_brand_1"),
+        *[F.col(f"`spend_{c}`").alias(f"spend_{c.lower().replace('#', '_')}") for c in retail.CATEGORIES],
         "recency",
         "rfm_score",
         "session_frequency",

@@ -39,7 +39,8 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    return clustering.standard_vectors(_profiles(spark, sf_dir), SEGMENT_FEATURES, keep)
+    """Written once: statistics, fits and assignment all read it."""
+    return materialize(clustering.standard_vectors(materialize(_profiles(spark, sf_dir)), SEGMENT_FEATURES, keep))
 
 
 @query("kmeans_sweep")
@@ -51,8 +52,8 @@ def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["player_id", *segments.PROFILE_MEANS.values()]
     data = _vectors(spark, sf_dir, keep)
-    sweep = clustering.kmeans_sweep(data, ks=[3], restarts=2)
-    return segments.cluster_profiles(clustering.kmeans_assign(data, sweep.models[3]))
+    sweep = clustering.kmeans_sweep(data, restarts=2)
+    return segments.cluster_profiles(clustering.kmeans_assign(data, sweep.models[sweep.best_k]))
 
 
 @query(

@@ -23,7 +23,7 @@ def build_features(
     txns: DataFrame,
     out: str,
     obs,
-    categories: Sequence[str],
+    categories: Sequence[str] | None,
     activity: DataFrame | None = None,
     **options,
 ) -> DataFrame:

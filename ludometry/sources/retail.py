@@ -9,24 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..operators.segments import spend_tiers
+from ..session import materialize
 
 OBS = "2001-08-01"
 CHURN_DAYS = 180
 PRE_PERIOD_END = "1998-07-01"
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A parquet table; its footer is read for the schema only once per path."""
-    path = f"{sf_dir}/{table}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _customer_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +107,8 @@ def players_untiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spend_tiers(players_untiered(spark, sf_dir))
+    """With tiers; written once, since the tier cuts and the caller both read it."""
+    return spend_tiers(materialize(players_untiered(spark, sf_dir)))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,3 +249,19 @@ def test_partitioning_does_not_change_tiers(spark, parts):
     )
     got = {r["player_tier"]: r["count"] for r in segments.spend_tiers(df.repartition(parts)).groupBy("player_tier").count().collect()}
     assert got == {"free_rider": 250, "whale": 23, "dolphin": 127, "minnow": 600}
+
+
+def test_purchase_plans_do_not_multiply_lines(spark):
+    """Distinct items and categories come from grouped rows, not from an Expand."""
+    txns = _txns(spark, [("a", "2024-01-01", 5), ("a", "2024-01-02", 7)])
+    plan = features.purchase_summary(txns)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_categories_are_discovered(spark):
+    rows = [("a", "x", 5.0), ("a", "y", 2.0), ("b", "x", 1.0), ("b", None, 4.0)]
+    txns = spark.createDataFrame(rows, "player_id string, item_category string, price_usd double")
+    txns = txns.selectExpr("*", "date'2024-01-01' AS transaction_date", "'i' AS item_name", "1 AS transaction_id")
+    got = {r["player_id"]: r.asDict() for r in features.category_spend(txns).collect()}
+    assert got["a"] == {"player_id": "a", "spend_x": 5.0, "spend_y": 2.0}
+    assert got["b"] == {"player_id": "b", "spend_x": 1.0, "spend_y": 0.0}
