@@ -6,7 +6,12 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from ludometry.llm.mixing import mix_sources
+from ludometry.llm.mixing_queries import WEIGHTS
+from ludometry.llm.piece_queries import MODEL
+from ludometry.llm.pieces import decode_pieces
 from ludometry.llm.queries import ORACLES, QUERIES
+from test_dedup import brute_bytes, brute_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,13 +40,41 @@ def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
-def test_stages_keep_the_columns_of_documents(spark):
+def test_pipeline_against_brute_force(spark):
+    """Every stage from what the one before kept: which rows stay, and which texts."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, SF))
-        assert docs.columns == columns, name
-        counts.append(docs.count())
-    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert counts == sorted(counts, reverse=True) and counts[1] < counts[0] and counts[2] < counts[1]
-    assert counts[2] == counts[3] == counts[4] == encoded.count()
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "repeats", "mix", "pieces"]
+
+    def step(name, before):
+        after = corpus_pipeline.materialize(stages[name](spark, before, SF))
+        assert name == "pieces" or after.columns == columns
+        return after, {r.doc_id: r for r in after.collect()}
+
+    rows = {r.doc_id: r for r in docs.collect()}
+    docs, good = step("quality", docs)
+    scores = {r.doc_id: r.score for r in QUERIES["op10_quality_classifier"](spark, SF).collect()}
+    assert good == {k: r for k, r in rows.items() if scores[k] >= 0.7} and 0 < len(good) < len(rows)
+
+    docs, single = step("near_duplicates", docs)
+    joined = brute_join([(k, r.text) for k, r in good.items()])
+    assert set(single) == {k for k, n, c in joined if not n or k == c} and len(single) < len(good)
+    assert all(single[k] == good[k] for k in single)
+
+    docs, cut = step("repeats", docs)
+    kept = brute_bytes([single[k].text for k in sorted(single)], 100)
+    want = {k: b.decode("utf-8", "ignore") for k, (_, _, _, b) in zip(sorted(single), kept)}
+    assert {k: r.text for k, r in cut.items()} == want and all(r.n_chars == len(r.text) for r in cut.values())
+    assert {k: (r.lang, r.source) for k, r in cut.items()} == {k: (r.lang, r.source) for k, r in single.items()}
+
+    docs, mixed = step("mix", docs)
+    assert mixed == cut
+    position = {r.doc_id: r.position for r in mix_sources(spark.createDataFrame(list(cut.values())), WEIGHTS).collect()}
+    written = [r.doc_id for r in docs.coalesce(1).collect()]
+    assert written == sorted(written, key=position.get)
+
+    docs, encoded = step("pieces", docs)
+    assert set(encoded) == set(mixed) and [r.doc_id for r in docs.coalesce(1).collect()] == written
+    decoded = {r.doc_id: r.decoded for r in decode_pieces(docs, MODEL).collect()}
+    assert decoded == want and all(r.n_pieces == len(r.pieces) for r in encoded.values())
