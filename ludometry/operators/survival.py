@@ -236,6 +236,19 @@ def cox_ph(
     return CoxModel(covariates, beta / sd, se / sd, float(ll), steps, grad)
 
 
+def cox_terms(
+    df: DataFrame, duration: str, event: str, covariates: Sequence[str], beta: Sequence[float]
+) -> tuple[float, np.ndarray]:
+    """Efron log likelihood and gradient at ``beta``, covariates as they are; rows and durations as in ``cox_ph``."""
+    covariates = list(covariates)
+    clean = drop_missing(df.select(duration, event, *covariates), [duration, event, *covariates], {duration: 1})
+    x = F.array(*[F.col(c).cast("double") for c in covariates])
+    rows = clean.select(F.col(duration).cast("long").alias("t"), F.col(event).cast("double").alias("e"), x.alias("x"))
+    at = np.asarray(beta, dtype=float)
+    ll, gradient, _ = _newton_terms(_partial_sums(rows, at), at)
+    return float(ll), gradient
+
+
 # ── concordance ─────────────────────────────────────────────────────────────
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile
 from ..operators import experiments as ops
@@ -157,6 +158,54 @@ def mde_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ops.mde_report(base, 45_000))
 
 
+@query(
+    "bootstrap_interval",
+    UNITS
+    + """,
+ m AS (
+  SELECT avg(revenue) FILTER (WHERE version = 'gate_30') - avg(revenue) FILTER (WHERE version = 'gate_40') AS diff FROM units)
+ SELECT round(diff, 2) AS exact_diff, 10000::BIGINT AS n_boot, 1::BIGINT AS mean_within, 1::BIGINT AS ends_within FROM m""",
+)
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bootstrap against the exact difference and its normal interval."""
+    units = retail.ab_units(spark, sf_dir)
+    boot = resampling.bootstrap_ci(units, "version", A, B, "revenue")
+    exact = ops.t_test(units, "version", A, B, "revenue").select("diff", "se")
+    z = (F.col("ci_lower") - F.col("diff")) / F.col("se"), (F.col("ci_upper") - F.col("diff")) / F.col("se")
+    near = (F.abs(z[0] + 1.959964) < 0.15) & (F.abs(z[1] - 1.959964) < 0.15)
+    mean = F.abs(F.col("mean_diff") - F.col("diff")) < 0.05 * F.col("se")
+    one = boot.withColumn("_k", F.lit(1)).join(exact.withColumn("_k", F.lit(1)), "_k")
+    return tidy(
+        one.select(
+            F.col("diff").alias("exact_diff"), "n_boot", mean.alias("mean_within"), near.alias("ends_within")
+        ),
+        2,
+    )
+
+
+@query(
+    "bayes_interval",
+    UNITS
+    + """,
+ c AS (SELECT version, count(*) + 2 AS n, sum(retention_7) + 1 AS a FROM units GROUP BY version),
+ m AS (SELECT version, a / n AS p, (a / n) * (1 - a / n) / (n + 1) AS v FROM c)
+ SELECT round(x.p - y.p, 6) AS posterior_diff, 1::BIGINT AS ends_within
+ FROM m x JOIN m y ON x.version = 'gate_30' AND y.version = 'gate_40'""",
+)
+def bayes_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled credible interval against the exact posterior mean and a normal interval around it."""
+    units = retail.ab_units(spark, sf_dir)
+    sampled = resampling.bayes_ab(units, "version", A, B, "retention_7").withColumn("_k", F.lit(1))
+    counts = units.groupBy("version").agg((F.count("*") + 2).alias("n"), (F.sum("retention_7") + 1).alias("a"))
+    p = F.col("a") / F.col("n")
+    exact = counts.select("version", p.alias("p"), (p * (1 - p) / (F.col("n") + 1)).alias("v"))
+    side = [F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{c}_{s}") for v, s in ((A, "a"), (B, "b")) for c in "pv"]
+    one = exact.agg(*side).withColumn("_k", F.lit(1)).join(sampled, "_k")
+    diff, se = F.col("p_a") - F.col("p_b"), F.sqrt(F.col("v_a") + F.col("v_b"))
+    near = [F.abs((F.col(c) - diff) / se - z) < 0.1 for c, z in (("ci_lower", -1.959964), ("ci_upper", 1.959964))]
+    return tidy(one.select(diff.alias("posterior_diff"), (near[0] & near[1]).alias("ends_within")))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.bootstrap_ci(retail.ab_units(spark, sf_dir), "version", A, B, "retention_7")

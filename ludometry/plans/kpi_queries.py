@@ -229,6 +229,18 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.sample_n(retail.players_untiered(spark, sf_dir), 100, "player_id")
 
 
+@query(
+    "sample_n_counts",
+    PLAYERS + " SELECT least(100, count(*)) AS n, least(100, count(*)) AS distinct_players, least(100, count(*)) AS known FROM players",
+)
+def sample_n_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample has as many rows as asked for, no row twice, and only rows of the table."""
+    players = retail.players_untiered(spark, sf_dir).select("player_id")
+    drawn = ordering.sample_n(players, 100, "player_id")
+    known = drawn.join(players.withColumn("_in", F.lit(1)), "player_id", "left")
+    return tidy(known.agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("distinct_players"), F.count("_in").alias("known")))
+
+
 # A score that is the same on both engines stands in for a model's probability.
 _SCORE = f"least(({OBS} - last_active_date) / 400.0, 1.0)"
 

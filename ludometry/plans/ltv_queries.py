@@ -72,6 +72,35 @@ def cox_ph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.summary(spark)
 
 
+_NULL_COVARIATES = ["total_sessions", "is_payer"]
+
+
+@query(
+    "cox_null_terms",
+    PLAYERS
+    + """,
+ u AS (
+  SELECT greatest(last_active_date - install_date, 1) AS t, churned_d7 AS e, total_sessions AS x1, is_payer AS x2
+  FROM players),
+ days AS (SELECT t, sum(e) AS d, sum(e * x1) AS f1, sum(e * x2) AS f2, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2 FROM u GROUP BY t),
+ risk AS (
+  SELECT t, d, f1, f2, sum(n) OVER w AS n, sum(s1) OVER w AS s1, sum(s2) OVER w AS s2 FROM days
+  WINDOW w AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ ties AS (SELECT *, unnest(range(d::BIGINT)) AS l FROM risk WHERE d > 0),
+ sums AS (
+  SELECT sum(ln(n - l)) AS logs, sum((s1 - l / d * f1) / (n - l)) AS g1, sum((s2 - l / d * f2) / (n - l)) AS g2 FROM ties),
+ total AS (SELECT sum(f1) AS f1, sum(f2) AS f2 FROM days)
+ SELECT 'log_likelihood' AS term, round(-logs, 4) AS value FROM sums
+ UNION ALL SELECT 'total_sessions', round(f1 - g1, 4) FROM total, sums
+ UNION ALL SELECT 'is_payer', round(f2 - g2, 4) FROM total, sums""",
+)
+def cox_null_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Efron log likelihood and gradient of the Cox model where no covariate matters."""
+    ll, gradient = survival.cox_terms(_lifetimes(spark, sf_dir), "lifetime", "churned_d7", _NULL_COVARIATES, [0.0, 0.0])
+    rows = [("log_likelihood", ll), *zip(_NULL_COVARIATES, map(float, gradient))]
+    return tidy(spark.createDataFrame(rows, "term string, value double"), 4)
+
+
 @query(
     "concordance",
     PLAYERS

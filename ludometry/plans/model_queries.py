@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,45 @@ def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.kmeans_sweep(_vectors(spark, sf_dir, ["player_id"]), restarts=2).table(spark)
 
 
+@query(
+    "kmeans_nearest",
+    PLAYERS + " SELECT count(*) AS n, 0::BIGINT AS not_nearest, 4::BIGINT AS clusters FROM players",
+)
+def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose cluster's centre is not the nearest one."""
+    data = _vectors(spark, sf_dir, ["player_id"])
+    model = clustering.kmeans_sweep(data, ks=[4], restarts=2).models[4]
+    x = vector_to_array("features")
+    centres = [F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()]
+
+    def gap(c):
+        return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    gaps = clustering.kmeans_assign(data, model).select("kmeans_cluster", F.array(*map(gap, centres)).alias("gaps"))
+    own = F.get("gaps", F.col("kmeans_cluster"))
+    return tidy(
+        gaps.agg(
+            F.count("*").alias("n"),
+            F.count_if(own > F.array_min("gaps") * (1 + 1e-9) + 1e-9).alias("not_nearest"),
+            F.countDistinct("kmeans_cluster").alias("clusters"),
+        )
+    )
+
+
+@query(
+    "pca_moments",
+    PLAYERS + " SELECT count(*) AS n, 0.0 AS covariance, 0.0 AS share_gap_1, 0.0 AS share_gap_2 FROM players",
+)
+def pca_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projections do not covary, and their variances are the explained shares of the whole variance."""
+    data = _vectors(spark, sf_dir, ["player_id"])
+    projected, shares = clustering.pca_project(data)
+    x = vector_to_array("features")
+    total = sum((F.var_samp(x[i]) for i in range(1, len(SEGMENT_FEATURES))), F.var_samp(x[0]))
+    gaps = [F.abs(F.var_samp(f"pca_{j + 1}") / total - s).alias(f"share_gap_{j + 1}") for j, s in enumerate(shares)]
+    return tidy(projected.agg(F.count("*").alias("n"), F.abs(F.covar_samp("pca_1", "pca_2")).alias("covariance"), *gaps))
+
+
 @query("cluster_profiles")
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["player_id", *segments.PROFILE_MEANS.values()]
@@ -284,6 +324,19 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.global_importance(attribution.attributions(data, model, scale=2.0), names)
 
 
+@query(
+    "attribution_sums",
+    PLAYERS + " SELECT count(*) AS n, 0::BIGINT AS violations FROM players",
+)
+def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose attributions and base do not add up to the model's log odds."""
+    model, data, _ = _trained(spark, sf_dir, 10)
+    scored = churn.score(attribution.attributions(data, model, scale=2.0), model)
+    total = F.aggregate("attribution", F.lit(0.0), lambda a, v: a + v) + F.col("base")
+    gap = F.abs(1 / (1 + F.exp(-total)) - F.col("churn_probability"))
+    return tidy(scored.agg(F.count("*").alias("n"), F.count_if(gap > 1e-6).alias("violations")))
+
+
 @query("explain_top")
 def explain_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, data, names = _trained(spark, sf_dir, 10)
