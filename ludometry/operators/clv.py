@@ -78,10 +78,15 @@ def _maximize(
         tries = np.where(np.isfinite(tries), tries, -np.inf)
         best = int(np.argmax(tries))
         if tries[best] <= v[0]:
-            break
+            # No step of any length is better: the top, as far as the likelihood's digits reach.
+            if np.abs(grad).max() < math.sqrt(tol):
+                break
+            raise RuntimeError("no step improves the likelihood")
         at = at + scales[best] * step
         if np.abs(scales[best] * step).max() < 1e-8:
             break
+    else:
+        raise RuntimeError(f"no convergence after {max_iter} steps")
     return np.exp(at), float(value(at[None, :])[0])
 
 

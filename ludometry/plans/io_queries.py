@@ -86,14 +86,21 @@ def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     "report_round_trip",
     PLAYERS
     + """
- SELECT player_tier, count(*) AS n_players, round(sum(total_spend_usd), 2) AS total_rev FROM players
- GROUP BY player_tier""",
+ SELECT 'tier_revenue' AS section, player_tier AS name, count(*) AS n, round(sum(total_spend_usd), 2) AS total FROM players
+ GROUP BY player_tier
+ UNION ALL SELECT 'crosstab', tutorial_completed || '/' || is_payer, count(*), NULL FROM players
+ GROUP BY tutorial_completed, is_payer""",
 )
 def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested JSON document written and read back."""
     path = _scratch(spark, "report")
     players = retail.players(spark, sf_dir)
-    sections = {"tier_revenue": segments.tier_revenue(players), "funnel": funnel_ops.funnel(players)}
+    table = funnel_ops.crosstab(players, "tutorial_completed", "is_payer")
+    sections = {"tier_revenue": segments.tier_revenue(players), "crosstab": table}
     tables.write_report(sections, path)
     doc = tables.read_report(spark, path)
-    return tidy(doc.select(F.inline("tier_revenue")).select("player_tier", "n_players", "total_rev"), 2)
+    tiers = doc.select(F.inline("tier_revenue")).selectExpr("'tier_revenue' AS section", "player_tier AS name", "n_players AS n", "total_rev AS total")
+    cells = doc.select(F.inline("crosstab")).selectExpr(
+        "'crosstab' AS section", "concat(tutorial_completed, '/', is_payer) AS name", "n", "CAST(NULL AS DOUBLE) AS total"
+    )
+    return tidy(tiers.unionByName(cells), 2)

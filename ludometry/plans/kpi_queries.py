@@ -73,11 +73,22 @@ def funnel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(views.conversion_funnel_view(retail.players_untiered(spark, sf_dir)))
 
 
-@query("registered_views", _FUNNEL_VIEW)
+@query(
+    "registered_views",
+    PLAYERS
+    + """
+ SELECT 'vw_daily_kpis' AS view, count(DISTINCT last_active_date) AS n, round(sum(total_spend_usd), 2) AS total FROM players
+ UNION ALL SELECT 'vw_cohort_retention', count(DISTINCT date_trunc('week', install_date)), count(*) FROM players
+ UNION ALL SELECT 'vw_whale_segments', count(DISTINCT player_tier), round(sum(total_spend_usd), 2) FROM players WHERE is_payer = 1
+ UNION ALL SELECT 'vw_conversion_funnel', 6, count(*) + sum(tutorial_completed) + sum(d1_retained) + sum(d7_retained)
+  + sum(is_payer) + count(*) FILTER (WHERE num_purchases >= 2) FROM players""",
+)
 def registered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The funnel view through ``spark.sql`` after registration."""
+    """All four views through ``spark.sql`` after registration: their rows and the sum of one column."""
     views.register_views(spark, retail.players(spark, sf_dir))
-    return tidy(spark.sql("SELECT stage, players FROM vw_conversion_funnel"))
+    columns = {"daily_kpis": "daily_revenue", "cohort_retention": "cohort_size", "whale_segments": "total_revenue", "conversion_funnel": "players"}
+    parts = [f"SELECT 'vw_{v}' AS view, count(*) AS n, CAST(sum({c}) AS DOUBLE) AS total FROM vw_{v}" for v, c in columns.items()]
+    return tidy(spark.sql(" UNION ALL ".join(parts)), 2)
 
 
 @query(
