@@ -37,9 +37,11 @@ _PER_PART = (1 << _CELL_BITS) // _PARTS
 #: Shared shingles a document may ask for (at least, and as a part of its set), the cost of a verified shingle
 #: against a posting, and the partners expected of a shingle that the sketch calls rare.
 _MOST_MATCHES, _MATCH_PART, _VERIFY, _RARE = 6, 10, 0.05, 0.05
-#: Pairs left for a posting at which leaders give way to single pairs.
+#: A set asks for its size divided by this at least, so sets with few repeated prefix shingles have no partner.
+_ASK_PART = 16
+#: Pairs left for a posting from which on leaders are asked first.
 _PAIRS_PER_POSTING = 2
-#: Leaders of a posting list after the first turn, and the members that meet without bands.
+#: Leaders of a posting list in a turn, and the members that meet pair by pair.
 _LEADERS, _SHORT = 8, 32
 #: Askers of one round over the blocks.
 _ASKERS = 20_000
@@ -52,6 +54,10 @@ class Measure:
     shingle: int = 5
     percent: int = 75
 
+    def least_asked(self, n: int) -> int:
+        """The matches that a set of ``n`` asks for at least, whatever its cost."""
+        return min(max(1, n // _ASK_PART), self.least_shared(n))
+
     def least_shared(self, n: int) -> int:
         """``ceil(t n)``: what a set of ``n`` shares with a similar one."""
         return -(-self.percent * n // 100)
@@ -95,23 +101,23 @@ def choose_prefix(tokens: np.ndarray, excess: np.ndarray, measure: Measure) -> t
     hot = np.flatnonzero(excess)
     if n - len(hot) >= base + most:
         cold = tokens if not len(hot) else np.delete(tokens, hot)
-        best = _matches(base, most, n)
+        best = _matches(base, measure.least_asked(n), most, n)
         return cold[: base + best], best
     order = np.argsort(np.log2(1 + excess).astype(np.int8), kind="stable")
-    best = _cheapest(np.cumsum(excess[order[: base + most]] + _RARE), base, most, n)
+    best = _cheapest(np.cumsum(excess[order[: base + most]] + _RARE), base, measure.least_asked(n), most, n)
     return tokens[order[: base + best]], best
 
 
-def _cheapest(reached: np.ndarray, base: int, most: int, n: int) -> int:
-    matches = np.arange(1, most + 1)
+def _cheapest(reached: np.ndarray, base: int, least: int, most: int, n: int) -> int:
+    matches = np.arange(least, max(least, most) + 1)
     cost = base + matches + reached[base + matches - 1] * (1 + (1 + _VERIFY * n) / matches)
     return int(matches[np.argmin(cost)])
 
 
 @lru_cache(maxsize=1 << 16)
-def _matches(base: int, most: int, n: int) -> int:
+def _matches(base: int, least: int, most: int, n: int) -> int:
     """The choice where the whole prefix is rare."""
-    return _cheapest(_RARE * np.arange(1, base + most + 1), base, most, n)
+    return _cheapest(_RARE * np.arange(1, base + max(least, most) + 1), base, least, most, n)
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -248,19 +254,19 @@ def _postings(blocks: DataFrame, sent, measure: Measure) -> DataFrame:
 def _link(packed: B.Blocks, postings: DataFrame, measure: Measure) -> DataFrame:
     """Verified links ``(a, b)`` between nodes that join all similar ones into the components they belong to."""
     fits = f"100 * least(n, m) >= {measure.percent} * greatest(n, m)"
-    live = postings.withColumn("root", F.col("rid"))
+    live = materialize(_pruned(_pruned(postings, measure), measure).withColumn("root", F.col("rid")))
     links: DataFrame | None = None
-    turn, left = 0, None
-    while True:
-        best = materialize(_led(live, fits, 1 if turn == 0 else _LEADERS, turn))
+    turn, left = 0, _pairs_left(live)
+    while left > _PAIRS_PER_POSTING * live.count():
+        best = materialize(_led(live, fits, _LEADERS, turn))
         found = materialize(_verified(packed, best, measure))
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             live = materialize(_rooted(live.drop("root"), links))
         before, left = left, _pairs_left(live)
         turn += 1
-        # Another turn pays while many pairs are left and turns settle them; then these go one by one.
-        if left <= _PAIRS_PER_POSTING * live.count() or before is not None and left > 0.9 * before:
+        # Another turn pays while turns settle most pairs; what is left is compared by crowds and pairs.
+        if left > before / 4:
             break
     lists = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rid").alias("h"), "rid")).alias("hub"))
     lists = materialize(lists.where("x <> y").select("token", "c", F.col("hub.rid").alias("hub")))
@@ -271,6 +277,20 @@ def _link(packed: B.Blocks, postings: DataFrame, measure: Measure) -> DataFrame:
     return materialize(last if links is None else links.union(last))
 
 
+def _pruned(postings: DataFrame, measure: Measure) -> DataFrame:
+    """Postings of sets that may have a partner.
+
+    A partner has at least ``percent`` of a set's size and asks for at least
+    ``least_asked`` of that, so a set with fewer shingles in lists of two or
+    more has none. Lists that are left with one member go too.
+    """
+    smaller = F.ceil(F.lit(measure.percent) * F.col("n") / 100)
+    enough = F.greatest(F.lit(1), F.floor(smaller / _ASK_PART))
+    kept = postings.groupBy("rid", "n").count().where(F.col("count") >= enough).select("rid")
+    rows = postings.join(kept, "rid")
+    return rows.join(rows.groupBy("token").count().where("count > 1").select("token"), "token")
+
+
 def _short_pairs(rest: DataFrame, fits: str) -> DataFrame:
     """A row ``(a, b, asks_a, asks_b)`` for each prefix shingle that members of different components share."""
     left = rest.select("token", F.col("rid").alias("a"), "n", F.col("asks").alias("asks_a"), F.col("root").alias("root_a"))
@@ -289,17 +309,20 @@ def _hub_links(packed: B.Blocks, crowded: DataFrame, measure: Measure) -> DataFr
     distance is a metric, so sets whose distances differ by more than a link
     allows are left out. Askers come in rounds of at most about ``_ASKERS``.
     """
-    crowd = materialize(crowded.select("hub", "rid", "root").distinct())
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / measure.percent))).cast("int") if measure.percent < 100 else F.col("n")
+    crowd = materialize(crowded.select("hub", "rid", "root", size.alias("size")).distinct())
     to_hub = materialize(crowd.where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")))
     bands = _compared(packed, to_hub, measure, _narrowed, lambda mine, theirs: measure.band(*_shared(mine, theirs)))
     bands = bands.select(F.col("a").alias("rid"), F.col("b").alias("hub"), F.col("value").alias("band"))
     crowd = materialize(crowd.join(bands, ["rid", "hub"], "left").withColumn("band", F.coalesce("band", F.lit(0))))
     largest = crowd.groupBy("hub", "root").count().groupBy("hub").agg(F.max(F.struct("count", "root")).alias("l")).select("hub", F.col("l.root").alias("largest"))
-    asking = materialize(crowd.join(largest, "hub").where("root <> largest").select("hub", F.col("rid").alias("b"), "root", "band"))
+    asking = materialize(crowd.join(largest, "hub").where("root <> largest").select("hub", F.col("rid").alias("b"), "root", "band", "size"))
     rounds = max(1, -(-asking.count() // _ASKERS))
     turn = F.pmod(F.xxhash64("b"), F.lit(rounds)).alias("turn")
-    at = crowd.select("hub", F.shiftright("rid", B.PLACE_BITS).alias("to")).distinct()
-    asked = materialize(asking.join(at, "hub").select("to", "hub", "b", "root", "band"))
+    # Sizes a link apart are at most one class apart; one more for rounding.
+    at = crowd.select("hub", F.shiftright("rid", B.PLACE_BITS).alias("to"), F.col("band").alias("near"), F.col("size").alias("like")).distinct()
+    around = asking.withColumn("near", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).withColumn("like", F.explode(F.array(*(F.col("size") + k for k in (-2, -1, 0, 1, 2)))))
+    asked = materialize(around.join(at, ["hub", "near", "like"]).select("to", "hub", "b", "root", "band").distinct())
     requests = asked.select("b", "to").distinct().groupBy(_block("b")).agg(F.collect_list(F.struct(_place("b").alias("at"), "to")).alias("asked"))
     sets = _sent_sets(packed, requests, measure, _narrowed).groupBy("block", turn).agg(F.collect_list(F.struct("b", "digest")).alias("sets"))
     askers = asked.groupBy(F.col("to").alias("block"), turn).agg(F.collect_list(F.struct("hub", "b", "root", "band")).alias("askers"))
