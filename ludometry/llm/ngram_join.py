@@ -43,6 +43,9 @@ _ASK_PART = 16
 _PAIRS_PER_POSTING = 2
 #: Leaders of a posting list in a turn, and the members that meet pair by pair.
 _LEADERS, _SHORT = 8, 32
+#: Leaders are looked for in one of so many parts of the posting lists.
+_PARTS_OF_LISTS = 4
+_PART = f"pmod(token, {_PARTS_OF_LISTS}) = 0"
 #: Askers of one round over the blocks.
 _ASKERS = 20_000
 _PROFILE = "rid long, n long, s1 long, s2 long, part int, cells binary"
@@ -233,7 +236,12 @@ def _prefixes(rows: pa.StructArray, places: list[int] | None, sketch: np.ndarray
 
 
 def _postings(blocks: DataFrame, sent, measure: Measure) -> DataFrame:
-    """``token, rid, n, asks``: the prefix shingles that stand in several prefixes."""
+    """``token, rid, n, asks``: the prefix shingles that stand in several prefixes.
+
+    A partner has at least ``percent`` of a set's size and asks for at least
+    ``least_asked`` of that, so a set with fewer such shingles has no partner
+    and no posting.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, others in B.each_block(batches):
@@ -243,6 +251,8 @@ def _postings(blocks: DataFrame, sent, measure: Measure) -> DataFrame:
             parts = []
             for place, n, prefix, asks in _prefixes(rows, others["places"], sent.value, measure):
                 prefix = prefix[B.contains(found, prefix)]
+                if len(prefix) < max(1, measure.least_shared(n) // _ASK_PART):
+                    continue
                 parts.append((prefix.view(np.int64), np.full(len(prefix), (block << B.PLACE_BITS) + place), np.full(len(prefix), n), np.full(len(prefix), asks, np.int32)))
             if parts:
                 token, rid, n, asks = (np.concatenate(x) for x in zip(*parts))
@@ -254,7 +264,7 @@ def _postings(blocks: DataFrame, sent, measure: Measure) -> DataFrame:
 def _link(packed: B.Blocks, postings: DataFrame, measure: Measure) -> DataFrame:
     """Verified links ``(a, b)`` between nodes that join all similar ones into the components they belong to."""
     fits = f"100 * least(n, m) >= {measure.percent} * greatest(n, m)"
-    live = materialize(_pruned(_pruned(postings, measure), measure).withColumn("root", F.col("rid")))
+    live = postings.withColumn("root", F.col("rid"))
     links: DataFrame | None = None
     turn, left = 0, _pairs_left(live)
     while left > _PAIRS_PER_POSTING * live.count():
@@ -277,20 +287,6 @@ def _link(packed: B.Blocks, postings: DataFrame, measure: Measure) -> DataFrame:
     return materialize(last if links is None else links.union(last))
 
 
-def _pruned(postings: DataFrame, measure: Measure) -> DataFrame:
-    """Postings of sets that may have a partner.
-
-    A partner has at least ``percent`` of a set's size and asks for at least
-    ``least_asked`` of that, so a set with fewer shingles in lists of two or
-    more has none. Lists that are left with one member go too.
-    """
-    smaller = F.ceil(F.lit(measure.percent) * F.col("n") / 100)
-    enough = F.greatest(F.lit(1), F.floor(smaller / _ASK_PART))
-    kept = postings.groupBy("rid", "n").count().where(F.col("count") >= enough).select("rid")
-    rows = postings.join(kept, "rid")
-    return rows.join(rows.groupBy("token").count().where("count > 1").select("token"), "token")
-
-
 def _short_pairs(rest: DataFrame, fits: str) -> DataFrame:
     """A row ``(a, b, asks_a, asks_b)`` for each prefix shingle that members of different components share."""
     left = rest.select("token", F.col("rid").alias("a"), "n", F.col("asks").alias("asks_a"), F.col("root").alias("root_a"))
@@ -376,22 +372,23 @@ def _led(live: DataFrame, fits: str, leaders: int, turn: int) -> DataFrame:
 
     A posting list's leaders are the first members of ``leaders`` slots, in an
     order of members that changes with every turn, so a group whose members
-    are similar to some of it only meets other members each time.
+    are similar to some of it only meets other members each time. A part of the
+    lists is enough here: it only saves work later, no link depends on it.
     """
+    live = live.where(_PART)
     slot = F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(leaders))
     order = F.struct(F.xxhash64(F.lit(turn), "rid").alias("h"), "root", "rid", "n", "asks")
-    mixed = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    lead = live.join(mixed, "token").groupBy("token", slot.alias("slot")).agg(F.min(order).alias("l"))
+    lead = live.groupBy("token", slot.alias("slot")).agg(F.min(order).alias("l"))
     lead = lead.select("token", F.col("l.root").alias("lead_root"), F.col("l.rid").alias("lead"), F.col("l.n").alias("m"), F.col("l.asks").alias("lead_asks"))
-    seen = live.join(lead, "token").where("root <> lead_root").where(fits).groupBy("root", "rid", "lead", "asks", "lead_asks").count().where("count >= least(asks, lead_asks)")
+    seen = live.join(lead, "token").where("root <> lead_root").where(fits).groupBy("root", "rid", "lead", "asks", "lead_asks").count().where(f"{_PARTS_OF_LISTS} * count >= least(asks, lead_asks)")
     best = seen.groupBy("root", F.pmod(F.xxhash64("lead"), F.lit(leaders))).agg(F.max(F.struct("count", F.col("rid").alias("a"), F.col("lead").alias("b"))).alias("p"))
     return best.select("p.a", "p.b")
 
 
 def _pairs_left(live: DataFrame) -> int:
-    """Pairs of members of different components over all posting lists."""
-    each = live.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
-    return int(each.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()[0])
+    """Pairs of members of different components over all posting lists, estimated from a part of the lists."""
+    each = live.where(_PART).groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    return _PARTS_OF_LISTS * int(each.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()[0])
 
 
 def _rooted(postings: DataFrame, links: DataFrame) -> DataFrame:
