@@ -2,7 +2,7 @@
 
 import pytest
 
-from ludometry.llm.license_scan import scan_licenses
+from ludometry.llm.license_scan import scan_licenses, whole_texts
 from ludometry.llm.url_filters import HostRule, PatternRule, build_index, filter_urls
 
 RULES = [HostRule("net", "/", "block"), HostRule("example.net", "/en/", "allow"), HostRule("org", "/fr", "allow"), PatternRule("/ads/*.gif", "block")]
@@ -73,3 +73,33 @@ def test_licences_inherit_from_the_nearest_directory(spark):
         "": (None, None, None),
     }
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_licences_inside_lines_over_lines_and_as_whole_texts(spark):
+    filler = "plain words about nothing in particular\n" * 30
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    mit = dict(whole_texts())["MIT"]
+    rows = [
+        ("in/line.py", filler + "Notice about our small project and its many files for readers. Licensed under the Apache License, Version 2.0.\n" + filler),
+        ("in/far.py", filler + "one two three four five six seven eight nine ten eleven twelve Released under the MIT License.\n"),
+        ("over/lines.py", gpl + filler),
+        ("over/mozilla.py", filler + "// This Source Code Form is subject to the\n// terms of the Mozilla Public\n// License, v. 2.0.\n" + filler),
+        ("whole/LICENSE", mit.replace("Permission is hereby granted, free of charge, to any person obtaining a copy", "Permission is granted")),
+        ("whole/x.py", filler),
+        ("block/head.py", gpl),
+        ("block/x.py", filler),
+        ("none/x.py", filler),
+    ]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    found = {r.path: (r.licence, r.via, r.licence_dir) for r in scan_licenses(docs).collect()}
+    assert found == {
+        "in/line.py": ("Apache-2.0", "own", None),
+        "in/far.py": ("MIT", "own", None),
+        "over/lines.py": ("GPL-3.0", "own", None),
+        "over/mozilla.py": ("MPL-2.0", "own", None),
+        "whole/LICENSE": ("MIT", "own", None),
+        "whole/x.py": ("MIT", "inherited", "whole"),
+        "block/head.py": ("GPL-3.0", "own", None),
+        "block/x.py": ("GPL-3.0", "inherited", "block"),
+        "none/x.py": (None, None, None),
+    }
