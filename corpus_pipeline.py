@@ -43,14 +43,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the source mix; the files that are written follow it."""
+    """All documents in the order of the source mix; the files that are written follow it, ``encode`` states it in columns."""
     return in_mixed_order(mix_sources(docs, WEIGHTS)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, row by row in the order of the mix."""
-    encoded = encode_pieces(docs, MODEL)
-    return encoded.select("doc_id", "lang", "source", "n_chars", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces")
+    """Piece ids of each document, with ``slot`` and ``position`` in the mix.
+
+    Files read back in parts have no order, so places are worked out again:
+    they depend on ``doc_id`` and ``source`` of all rows only. Sorting by
+    ``position`` gives the mixed corpus.
+    """
+    placed = in_mixed_order(mix_sources(docs, WEIGHTS)).select(*docs.columns, "slot", "position")
+    encoded = encode_pieces(placed, MODEL)
+    return encoded.select("doc_id", "lang", "source", "n_chars", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "slot", "position")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -78,3 +78,14 @@ def test_pipeline_against_brute_force(spark):
     assert set(encoded) == set(mixed) and [r.doc_id for r in docs.coalesce(1).collect()] == written
     decoded = {r.doc_id: r.decoded for r in decode_pieces(docs, MODEL).collect()}
     assert decoded == want and all(r.n_pieces == len(r.pieces) for r in encoded.values())
+
+
+def test_pieces_state_the_mix_of_several_files(spark, tmp_path):
+    """Part files of unequal size come back in another order; the places in the mix do not depend on it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    for k, (a, b) in enumerate([(0, 3), (3, 10), (10, 30), (30, 60)]):
+        spark.createDataFrame(docs[a:b]).coalesce(1).write.mode("append").parquet(str(tmp_path / f"docs/part={k}"))
+    read = spark.read.parquet(str(tmp_path / "docs")).drop("part")
+    want = {r.doc_id: (r.slot, r.position) for r in mix_sources(spark.createDataFrame(docs), WEIGHTS).collect()}
+    got = dict(corpus_pipeline.STAGES)["pieces"](spark, read, SF).collect()
+    assert len(got) == 60 and {r.doc_id: (r.slot, r.position) for r in got} == want
