@@ -4,7 +4,8 @@ Sampling brings repeated stretches together: of each window of ``least`` bytes
 the smallest hash of a run of ``ANCHOR`` bytes, the rightmost on ties, is its
 anchor, so equal windows have equal anchors at equal distance. A segment is the
 bytes of the windows that share one anchor. Segments whose anchor occurs twice
-in the corpus go to the anchor's bucket, equal ones of a block once. There the
+in the corpus go to the anchor's bucket, equal ones of a block once: of them all
+but the first are known to go, and travel as merged runs under their block. In the bucket the
 different segments are indexed by :mod:`run_index`; matching statistics streamed
 from the index's sampled run ends find every window that starts earlier too.
 Different anchors share no window, so an index holds few of them. An anchor
@@ -28,7 +29,7 @@ from .run_index import build_index, earliest
 from .words import BYTE_VALUES, run_hashes, span_hashes
 
 ANCHOR = 28
-_SEGMENTS = "bucket int, block long, anchor binary, key binary, place binary, start binary, windows binary, whole binary, size binary, data binary"
+_SEGMENTS = "bucket int, block long, anchor binary, key binary, place binary, start binary, windows binary, whole binary, size binary, data binary, done_place binary, done_start binary, done_end binary"
 _GONE = "block long, place binary, start binary, end binary"
 _PLACE_BITS = 23
 
@@ -168,27 +169,54 @@ def _split(segments: Segments, often: np.ndarray, least: int) -> Segments:
 
 
 def _sent(block: int, segments: Segments, keys: np.ndarray, least: int, n_buckets: int) -> pa.RecordBatch:
-    """Segments by bucket, the bytes of equal ones once: those of the earliest, the others with size 0."""
+    """Segments by bucket, equal ones once: the earliest. The others start earlier too; one more row has their runs of starts."""
     sizes = segments.windows + least - 1
     content = span_hashes(segments.data, segments.start, sizes)
     bucket = B.bucket_of(segments.anchor, n_buckets)
     # Buckets ascend with anchors, so each bucket is a stretch of this order.
     order = np.lexsort((segments.start, segments.doc, keys[segments.doc], content, segments.anchor))
-    a, c, doc, start = segments.anchor[order], content[order], segments.doc[order], segments.start[order]
+    a, c = segments.anchor[order], content[order]
     first = np.ones(len(order), bool)
     first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    carried = np.where(first & (order < len(order) - segments.n_split), sizes[order], 0)
+    copies, order = order[~first], order[first]
+    a, c, doc, start = segments.anchor[order], content[order], segments.doc[order], segments.start[order]
+    carried = np.where(order < len(segments.start) - segments.n_split, sizes[order], 0)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    done = _merged(segments, copies)
+    many = len(edges) - 1
     values = {"anchor": a, "key": keys[doc], "place": doc.astype(np.int64), "start": start - segments.offsets[doc], "windows": segments.windows[order].astype(np.int64), "whole": c, "size": carried.astype(np.int64)}
-    columns = {n: pa.array([v[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()) for n, v in values.items()}
-    columns["data"] = pa.array([segments.data[ragged(start[x:y], carried[x:y])].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())
-    heads = {"bucket": pa.array(bucket[order][edges[:-1]], pa.int32()), "block": pa.array(np.full(len(edges) - 1, block), pa.int64())}
+    parts = {n: [v[x:y].tobytes() for x, y in zip(edges, edges[1:])] for n, v in values.items()}
+    parts["data"] = [segments.data[ragged(start[x:y], carried[x:y])].tobytes() for x, y in zip(edges, edges[1:])]
+    ends = {n: [b""] * many for n in ("done_place", "done_start", "done_end")}
+    buckets = bucket[order][edges[:-1]].tolist()
+    if len(copies):
+        buckets.append(block % n_buckets)
+        for x in parts.values():
+            x.append(b"")
+        for x, v in zip(ends.values(), done):
+            x.append(v.tobytes())
+    heads = {"bucket": pa.array(buckets, pa.int32()), "block": pa.array([block] * len(buckets), pa.int64())}
+    columns = {n: pa.array(x, pa.binary()) for n, x in (parts | ends).items()}
     return pa.RecordBatch.from_arrays([*heads.values(), *columns.values()], names=[*heads, *columns])
 
 
+def _merged(segments: Segments, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, end)`` of the starts that ``rows`` cover, touching ones as one run."""
+    rows = rows[np.argsort(segments.start[rows], kind="stable")]
+    doc, start = segments.doc[rows], segments.start[rows]
+    end = start + segments.windows[rows]
+    # A text's starts end before the next text's begin, so only starts of one text touch.
+    new = np.ones(len(rows), bool)
+    new[1:] = (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    stop = end[np.concatenate([at[1:], [len(rows)]]) - 1] if len(rows) else end
+    base = segments.offsets[doc[at]]
+    return doc[at].astype(np.int64), (start[at] - base).astype(np.int64), (stop - base).astype(np.int64)
+
+
 def _judge(group: pa.Table, least: int) -> pa.Table:
     """The windows of a bucket's segments that start earlier too, as runs of starts."""
-    kinds = {"anchor": np.uint64, "key": np.int64, "place": np.int64, "start": np.int64, "windows": np.int64, "whole": np.uint64, "size": np.int64, "data": np.uint8}
+    kinds = {"anchor": np.uint64, "key": np.int64, "place": np.int64, "start": np.int64, "windows": np.int64, "whole": np.uint64, "size": np.int64, "data": np.uint8, "done_place": np.int64, "done_start": np.int64, "done_end": np.int64}
     lists = {n: [B.unpack(x, k) for x in group[n].to_pylist()] for n, k in kinds.items()}
     counts = [len(x) for x in lists["anchor"]]
     block = np.repeat(group["block"].to_numpy(), counts)
@@ -203,6 +231,7 @@ def _judge(group: pa.Table, least: int) -> pa.Table:
     _, of, n = np.unique(s["anchor"][kept], return_inverse=True, return_counts=True)
     several = kept[(n[of] > 1) & (s["size"][kept] > 0)]
     out = [(block[copies], s["place"][copies], s["start"][copies], s["start"][copies] + s["windows"][copies])]
+    out.append((np.repeat(group["block"].to_numpy(), [len(x) for x in lists["done_place"]]), s["done_place"], s["done_start"], s["done_end"]))
     for part in _by_anchor(several, s["anchor"], s["size"]):
         part = part[np.lexsort((s["start"][part], s["place"][part], block[part], s["key"][part]))]
         sizes = s["size"][part]

@@ -166,3 +166,20 @@ def test_prefix_grows_with_candidate_cost():
     busy = choose_prefix(tokens, np.full(100, 500.0), Measure())
     assert len(quiet[0]) == 25 + quiet[1] and len(busy[0]) == 25 + busy[1]
     assert busy[1] > quiet[1]
+
+
+def test_copies_of_a_block_are_sent_once():
+    """The first copy in key order travels; the others are merged runs, also when windows are split off."""
+    import pyarrow as pa
+
+    from ludometry.llm import suffix_dedup as S
+
+    text = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=400))
+    found = S.segments_of(pa.array([text] * 50), 100)
+    keys = np.arange(50)[::-1].copy()
+    for some in (found, S._split(found, np.unique(found.anchor), 100)):
+        sent = S._sent(3, some, keys, 100, 8).to_pydict()
+        places = np.concatenate([np.frombuffer(x, np.int64) for x in sent["place"]])
+        assert set(places) == {49} and len(places) == (some.doc == 49).sum()
+        done = [np.concatenate([np.frombuffer(x, np.int64) for x in sent[n]]) for n in ("done_place", "done_start", "done_end")]
+        assert list(zip(*map(list, done))) == [(d, 0, 301) for d in range(49)]
