@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clv, features, ltv, survival
+from ..session import materialize
 from ..sources import retail
 from .feature_queries import _RFM, COUNTRIES, IOS, wide_features
 from .oracle_tables import BOTH, OBS, PLAYERS, TXNS
@@ -225,18 +228,25 @@ def _ltv_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_features(spark, sf_dir).join(targets, "player_id")
 
 
+def _by_horizon(tables: dict[int, DataFrame]) -> DataFrame:
+    """The tables of all horizons under each other, with a ``horizon`` in days."""
+    return reduce(DataFrame.unionByName, [t.withColumn("horizon", F.lit(days)) for days, t in tables.items()])
+
+
 @query("ltv_model")
 def ltv_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, pred, _ = ltv.ltv_model(_ltv_training(spark, sf_dir), "ltv_90d", LTV_FEATURES, trees=20)
-    return ltv.regression_metrics(pred)
+    """Holdout metrics of each horizon's model."""
+    training = materialize(_ltv_training(spark, sf_dir))
+    pred = {d: ltv.ltv_model(training, f"ltv_{d}d", LTV_FEATURES)[1] for d in ltv.HORIZONS}
+    return _by_horizon({d: ltv.regression_metrics(p) for d, p in pred.items()})
 
 
 @query("ltv_importance")
 def ltv_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, names = ltv.ltv_model(
-        _ltv_training(spark, sf_dir), "ltv_90d", LTV_FEATURES, trees=10, exclude_leaky=True
-    )
-    return ltv.feature_importance(spark, model, names)
+    """Top features of each horizon's model."""
+    training = materialize(_ltv_training(spark, sf_dir))
+    fits = {d: ltv.ltv_model(training, f"ltv_{d}d", LTV_FEATURES, exclude_leaky=True) for d in ltv.HORIZONS}
+    return _by_horizon({d: ltv.feature_importance(spark, model, names) for d, (model, _, names) in fits.items()})
 
 
 @query(

@@ -46,7 +46,7 @@ def _vectors(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.kmeans_sweep(_vectors(spark, sf_dir, ["player_id"]), restarts=2).table(spark)
+    return clustering.kmeans_sweep(_vectors(spark, sf_dir, ["player_id"])).table(spark)
 
 
 @query(
@@ -56,7 +56,7 @@ def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose cluster's centre is not the nearest one."""
     data = _vectors(spark, sf_dir, ["player_id"])
-    model = clustering.kmeans_sweep(data, ks=[4], restarts=2).models[4]
+    model = clustering.kmeans_sweep(data, ks=[4]).models[4]
     x = vector_to_array("features")
     centres = [F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()]
 
@@ -92,7 +92,7 @@ def pca_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["player_id", *segments.PROFILE_MEANS.values()]
     data = _vectors(spark, sf_dir, keep)
-    sweep = clustering.kmeans_sweep(data, restarts=2)
+    sweep = clustering.kmeans_sweep(data)
     return segments.cluster_profiles(clustering.kmeans_assign(data, sweep.models[sweep.best_k]))
 
 
@@ -297,10 +297,10 @@ def churn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("held").alias("held_out")))
 
 
-def _trained(spark: SparkSession, sf_dir: str, trees: int):
+def _trained(spark: SparkSession, sf_dir: str):
     data, names = _churn_data(spark, sf_dir)
     train, _ = churn.split_stratified(data, "player_id")
-    return churn.train_churn(train, trees=trees), data, names
+    return churn.train_churn(train), data, names
 
 
 @query("churn_model")
@@ -308,19 +308,19 @@ def churn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two configurations on the same split, compared on the holdout."""
     data, _ = _churn_data(spark, sf_dir)
     train, test = churn.split_stratified(data, "player_id")
-    models = {name: churn.train_churn(train, trees=10, params=p) for name, p in churn.CONFIGS.items()}
+    models = {name: churn.train_churn(train, params=p) for name, p in churn.CONFIGS.items()}
     return evaluation.compare_models({name: churn.score(test, m, "score") for name, m in models.items()})
 
 
 @query("churn_scores")
 def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, data, _ = _trained(spark, sf_dir, 10)
+    model, data, _ = _trained(spark, sf_dir)
     return churn.with_risk(churn.score(data, model)).select("player_id", "churn_probability", "churn_risk")
 
 
 @query("attributions")
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, data, names = _trained(spark, sf_dir, 10)
+    model, data, names = _trained(spark, sf_dir)
     return attribution.global_importance(attribution.attributions(data, model, scale=2.0), names)
 
 
@@ -330,7 +330,7 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose attributions and base do not add up to the model's log odds."""
-    model, data, _ = _trained(spark, sf_dir, 10)
+    model, data, _ = _trained(spark, sf_dir)
     scored = churn.score(attribution.attributions(data, model, scale=2.0), model)
     total = F.aggregate("attribution", F.lit(0.0), lambda a, v: a + v) + F.col("base")
     gap = F.abs(1 / (1 + F.exp(-total)) - F.col("churn_probability"))
@@ -339,5 +339,5 @@ def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("explain_top")
 def explain_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, data, names = _trained(spark, sf_dir, 10)
+    model, data, names = _trained(spark, sf_dir)
     return attribution.explain_top(churn.score(data, model), model, names)

@@ -409,3 +409,33 @@ def test_conversion_drivers(spark):
     coefs = {r["feature"]: r for r in funnel.conversion_drivers(wide, names).collect()}
     assert coefs["platform_enc"]["coefficient"] == pytest.approx(1.5, abs=0.25)
     assert coefs["platform_enc"]["odds_ratio"] == pytest.approx(math.exp(coefs["platform_enc"]["coefficient"]))
+
+
+_CHURN_QUERIES = ["churn_model", "churn_scores", "attributions", "attribution_sums", "explain_top"]
+
+
+@pytest.mark.parametrize("name", [*_CHURN_QUERIES, "kmeans_sweep", "kmeans_nearest", "cluster_profiles", "ltv_model", "ltv_importance"])
+def test_model_queries_use_the_defaults(spark, monkeypatch, name):
+    """What a query asks of its operator is not below the operator's default."""
+    import inspect
+
+    from ludometry.operators import ltv
+    from ludometry.plans.catalog import QUERIES
+
+    module, function, what, default = (
+        (churn, "train_churn", "trees", 300) if name in _CHURN_QUERIES else (ltv, "ltv_model", "trees", 200) if name.startswith("ltv") else (clustering, "kmeans_sweep", "restarts", 10)
+    )
+    operator, asked = getattr(module, function), []
+
+    def small(*args, **kwargs):
+        bound = inspect.signature(operator).bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.append((bound.arguments[what], bound.arguments.get("target")))
+        bound.arguments[what] = 1
+        return operator(*bound.args, **bound.kwargs)
+
+    monkeypatch.setattr(module, function, small)
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked and all(n == default for n, _ in asked)
+    if name.startswith("ltv"):
+        assert [t for _, t in asked] == ["ltv_7d", "ltv_30d", "ltv_90d"] and {r.horizon for r in out.collect()} == {7, 30, 90}
