@@ -183,3 +183,15 @@ def test_copies_of_a_block_are_sent_once():
         assert set(places) == {49} and len(places) == (some.doc == 49).sum()
         done = [np.concatenate([np.frombuffer(x, np.int64) for x in sent[n]]) for n in ("done_place", "done_start", "done_end")]
         assert list(zip(*map(list, done))) == [(d, 0, 301) for d in range(49)]
+
+
+def test_anchors_fill_buckets_evenly():
+    """An anchor is a minimum of hashes, yet no bucket holds much more than its share."""
+    import pyarrow as pa
+
+    from ludometry.llm import blocks as B
+    from ludometry.llm.suffix_dedup import segments_of
+
+    text = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    held = np.bincount(B.bucket_of(segments_of(pa.array([text]), 100).anchor, 100), minlength=100)
+    assert held.max() < 3 * held.mean()
