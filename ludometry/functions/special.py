@@ -77,6 +77,24 @@ def beta_reg(a: float, b: float, x: float) -> float:
     raise ArithmeticError(f"I_{x}({a}, {b}) did not converge")
 
 
+def digamma_trigamma(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of ln Γ for positive arguments.
+
+    Small arguments are moved up by the recurrences, large ones use the
+    asymptotic series.
+    """
+    x = np.array(x, float)
+    first, second = np.zeros_like(x), np.zeros_like(x)
+    while (small := x < 12).any():
+        first -= np.where(small, 1 / x, 0.0)
+        second += np.where(small, 1 / x**2, 0.0)
+        x += small
+    y = 1 / x**2
+    first += np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    second += 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66))))
+    return first, second
+
+
 def _map(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(
         [None if any(pd.isna(v) for v in row) else fn(*map(float, row)) for row in zip(*series)],

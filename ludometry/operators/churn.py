@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -11,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut
-from ..session import checkpoint_dir, materialize
+from ..session import checkpoint_dir, few_tasks, materialize, side_by_side
 from .funnel import bucket_distribution
 from .ltv import vectors
-from .ordering import rows_at
+from .places import join_sized, placed
 
 # Classifier features, risk bands.
 CHURN_FEATURES = [
@@ -106,32 +105,35 @@ def churn_frame(
     return data.select(key, F.col(label).cast("double").alias("label"), "features"), names
 
 
-#: More labels than this are no classes.
-MOST_CLASSES = 1000
-
-
 def split_stratified(
     df: DataFrame, key: str, label: str = "label", holdout: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test rows; of each class the ``holdout`` share of smallest hash, exact to half a row.
 
-    Rows without a label train. ``key`` identifies a row. The last held-out row
-    of a class is found among value ranges, so no class is sorted in one task.
+    Rows without a label train. ``key`` identifies a row. Every row gets its
+    place in its class from one sort by ranges, whatever the number of classes;
+    the last held-out row of each class is then one row of a table that is
+    joined by class, so a hot class is neither sorted nor joined in one task.
     """
-    hashed = materialize(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).select("_h", key, label))
-    classes = hashed.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_CLASSES + 1).collect()
-    if len(classes) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
     own = F.xxhash64(F.col(key), F.lit(seed))
-    held = F.lit(False)
-    for row in classes:
-        take = math.floor(holdout * row["count"] + 0.5)
-        if take:
-            rows = materialize(hashed.where(F.col(label) == F.lit(row[label])).select("_h", key))
-            h, k = rows_at(rows, ["_h", key], [take - 1], rows=row["count"])[take - 1]
-            held = held | (F.col(label) == F.lit(row[label])) & ((own < h) | (own == h) & (F.col(key) <= F.lit(k)))
-    held = F.coalesce(held, F.lit(False))
-    return df.where(~held), df.where(held)
+    hashed = materialize(df.where(F.col(label).isNotNull()).select(F.col(label).alias("_class"), own.alias("_h"), F.col(key).alias("_k")))
+    ranked = placed(hashed, "_class", ["_h", "_k"])
+    take = F.floor(F.lit(holdout) * F.col("total") + 0.5)
+    last = F.max(F.when(F.col("place") == take - 1, F.struct("_h", "_k"))).alias("_last")
+    ends = materialize(ranked.groupBy("_class").agg(F.count("*").alias("_size"), last))
+    rows = join_sized(df.withColumn("_class", F.col(label)), ends, ["_class"], "_size", hashed.count())
+    held = F.coalesce(F.struct(own.alias("_h"), F.col(key).alias("_k")) <= F.col("_last"), F.lit(False))
+    train = rows.where(~held).select(*df.columns).unionByName(df.where(F.col(label).isNull()))
+    return train, rows.where(held).select(*df.columns)
+
+
+def train_configs(train: DataFrame, configs: Mapping[str, Mapping[str, object]] | None = None, **options) -> dict[str, GBTClassificationModel]:
+    """A model of each configuration, fitted at the same time on the same rows."""
+    rows = few_tasks(train)
+    return side_by_side(
+        train.sparkSession,
+        {name: (lambda p=params: train_churn(rows, params=p, **options)) for name, params in (configs or CONFIGS).items()},
+    )
 
 
 def score(data: DataFrame, model: GBTClassificationModel, out: str = "churn_probability") -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.schemas import require_columns
 
 # Features of the player clustering and of the outlier search.
@@ -72,12 +74,21 @@ def standard_vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) ->
     return assembled.select(*keep, "features")
 
 
+@dataclass(frozen=True)
+class KMeansFit:
+    """Centres (cluster × feature), the sum of squared distances to them, passes until they settled."""
+
+    centres: np.ndarray
+    cost: float
+    iterations: int
+
+
 @dataclass(frozen=True)
 class Sweep:
     """Scores per k and the best model of each k."""
 
     scores: list[tuple[int, float, float]]
-    models: dict[int, KMeansModel]
+    models: dict[int, KMeansFit]
 
     @property
     def best_k(self) -> int:
@@ -89,34 +100,232 @@ class Sweep:
 
 
 def kmeans_sweep(
-    data: DataFrame, ks: Sequence[int] = range(2, 8), restarts: int = 10, max_iter: int = 300, seed: int = 42
+    data: DataFrame,
+    ks: Sequence[int] = range(2, 8),
+    restarts: int = 10,
+    max_iter: int = 300,
+    seed: int = 42,
+    key: str | None = None,
+    sample: int = 5000,
 ) -> Sweep:
     """K-Means for each k, lowest cost of several restarts, scored by silhouette.
 
-    ``data`` has a ``features`` vector and all of its rows are used. The
-    silhouette is MLlib's squared-Euclidean one, which needs one pass, not all
-    pairs.
+    ``data`` has a ``features`` vector and all of its rows are used. All k and
+    restarts are fitted together: every iteration is one pass over the data.
+    The silhouette is the Euclidean one within a sample, see ``silhouettes``.
     """
-    data = data.select("features").cache()
+    rows = hashed_rows(data, key).persist()
     try:
-        scores, models = [], {}
-        for k in ks:
-            fits = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(data) for i in range(restarts)]
-            best = min(fits, key=lambda m: m.summary.trainingCost)
-            labels = best.transform(data)
-            silhouette = (
-                ClusteringEvaluator().evaluate(labels) if labels.select("prediction").distinct().count() > 1 else 0.0
-            )
-            scores.append((int(k), float(best.summary.trainingCost), float(silhouette)))
-            models[int(k)] = best
+        starts = _seeds(rows, ks, restarts, seed)
+        fits = _lloyd(rows, [centres for k in ks for centres in starts[k]], max_iter)
+        best = {int(k): min(fits[i * restarts : (i + 1) * restarts], key=lambda f: f.cost) for i, k in enumerate(ks)}
+        scores = silhouettes(rows, list(best.values()), sample)
     finally:
-        data.unpersist()
-    return Sweep(scores, models)
+        rows.unpersist()
+    return Sweep([(k, fit.cost, s) for (k, fit), s in zip(best.items(), scores)], best)
+
+
+def lloyd(data: DataFrame, starts: Sequence[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[KMeansFit]:
+    """K-Means from each of the given sets of centres, all in the same passes over ``features``.
+
+    A model is done when no centre moves farther than ``tol``, and leaves the
+    passes. A cluster that loses all rows keeps its centre. The cost is that of
+    the final centres.
+    """
+    return _lloyd(hashed_rows(data), starts, max_iter, tol)
+
+
+def kmeans_assign(data: DataFrame, model: KMeansFit, out: str = "kmeans_cluster") -> DataFrame:
+    """Number of the nearest centre for every row, the first one of several."""
+    x = vector_to_array("features")
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.centres])
+    gaps = F.transform(centres, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return data.withColumn("_gaps", gaps).withColumn(out, (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
+
+
+def silhouettes(rows: DataFrame, models: Sequence[KMeansFit], sample: int = 5000) -> list[float]:
+    """Mean Euclidean silhouette of each model, within the ``sample`` rows of smallest key hash.
+
+    ``rows`` has ``h`` (the hash) and ``x``. A row's value is (b - a) / max(a, b),
+    with its mean distances to the rest of its own cluster (a) and to the
+    nearest other one (b); 0 in a cluster of one, and with a single cluster.
+    The sample is bounded, so it is broadcast and its rows are compared with all
+    of it block by block.
+    """
+    chosen = materialize(rows.orderBy("h", "x").limit(sample).select("x"))
+    all_rows = np.array([r["x"] for r in chosen.collect()], float)
+    if not len(all_rows):
+        return [0.0] * len(models)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((all_rows, [m.centres for m in models]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everything, centres = shared.value
+        members = [np.eye(len(c))[_nearest(everything, c)[0]] for c in centres]
+        sums = np.zeros(len(centres))
+        for batch in batches:
+            for block in np.array_split(_matrix(batch.column(0)), -(-batch.num_rows // _BLOCK_ROWS)):
+                far = np.sqrt(((block[:, None, :] - everything[None, :, :]) ** 2).sum(axis=2))
+                for m, c in enumerate(centres):
+                    sums[m] += _silhouette(far @ members[m], members[m].sum(axis=0), _nearest(block, c)[0]).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["model", "s"])
+
+    spread = chosen.repartition(max(1, min(len(all_rows) // _BLOCK_ROWS, spark.sparkContext.defaultParallelism)), F.xxhash64("x"))
+    totals = spread.mapInArrow(score, "model int, s double").groupBy("model").agg(F.sum("s").alias("s")).collect()
+    found = {r["model"]: r["s"] / len(all_rows) for r in totals}
+    return [float(found[m]) for m in range(len(models))]
+
+
+#: Rows of a sample that are compared with all of it at once.
+_BLOCK_ROWS = 64
+#: Rounds of seeding, and candidates drawn in each as a multiple of the largest k.
+_ROUNDS, _OVERSAMPLED = 2, 2
+
+
+def hashed_rows(data: DataFrame, key: str | None = None) -> DataFrame:
+    """``x`` arrays and ``h``, a hash of the key; without a key rows count as their own."""
+    x = vector_to_array("features").alias("x")
+    name = F.col(key).cast("string") if key else F.to_json(F.array(F.col("x")))
+    return data.select(x, *([key] if key else [])).select("x", F.md5(name.cast("binary")).alias("h"))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's nearest centre, and the squared distance."""
+    label = ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+    return label, ((x - centres[label]) ** 2).sum(axis=1)
+
+
+def _silhouette(sums: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Silhouettes from each row's sums of distances to the members of each cluster."""
+    at = np.arange(len(label))
+    own = sums[at, label] / np.maximum(sizes[label] - 1, 1)
+    means = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.inf)
+    means[at, label] = np.inf
+    other = means.min(axis=1)
+    largest = np.maximum(own, other)
+    good = (sizes[label] > 1) & np.isfinite(other) & (largest > 0)
+    return np.where(good, (np.where(good, other, 0.0) - own) / np.where(good, largest, 1.0), 0.0)
+
+
+def _pass(rows: DataFrame, models: Sequence[np.ndarray]) -> list[list[tuple[int, float, np.ndarray]]]:
+    """Rows, squared distances and sums of the rows of each cluster of each model, from one pass.
+
+    Tasks reduce their rows to one vector per cluster, so what is shuffled and
+    returned grows with the models only.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(list(models))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        starts = np.cumsum([0, *map(len, centres)])
+        total = np.zeros((starts[-1], 2 + centres[0].shape[1]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(0))
+            mine = np.zeros((len(x), starts[-1]))
+            for start, c in zip(starts, centres):
+                label, gap = _nearest(x, c)
+                mine[np.arange(len(x)), start + label] = 1.0
+                total[start : start + len(c), 1] += np.bincount(label, weights=gap, minlength=len(c))
+            total[:, 0] += mine.sum(axis=0)
+            total[:, 2:] += mine.T @ x
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), lists], names=["at", "v"])
+
+    parts = rows.select("x").mapInArrow(reduce, "at int, v array<double>")
+    found = parts.groupBy("at").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
+    by_cluster = {r["at"]: r["v"].toArray() for r in found}
+    out, at = [], 0
+    for c in models:
+        sums = [by_cluster.get(at + i, np.zeros(2 + c.shape[1])) for i in range(len(c))]
+        out.append([(int(round(v[0])), float(v[1]), v[2:]) for v in sums])
+        at += len(c)
+    return out
+
+
+def _lloyd(rows: DataFrame, starts: Sequence[np.ndarray], max_iter: int, tol: float = 1e-4) -> list[KMeansFit]:
+    centres = [np.asarray(c, float) for c in starts]
+    steps = [0] * len(centres)
+    live = list(range(len(centres)))
+    for _ in range(max_iter):
+        if not live:
+            break
+        left = []
+        for m, clusters in zip(live, _pass(rows, [centres[m] for m in live])):
+            moved = np.array([s / n if n else c for c, (n, _, s) in zip(centres[m], clusters)])
+            if ((moved - centres[m]) ** 2).sum(axis=1).max() > tol * tol:
+                left.append(m)
+            centres[m], steps[m] = moved, steps[m] + 1
+        live = left
+    costs = [sum(cost for _, cost, _ in clusters) for clusters in _pass(rows, centres)] if centres else []
+    return [KMeansFit(c, cost, n) for c, cost, n in zip(centres, costs, steps)]
+
+
+def _seeds(rows: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> dict[int, list[np.ndarray]]:
+    """Starting centres for each k and restart: oversampled candidates, shared by all k of a restart.
+
+    A restart begins with one row and draws rows with a chance in proportion to
+    their squared distance from its candidates, twice. Draws are hashes of the
+    row, so copies are drawn together and once. The few candidates, weighted by
+    the rows nearest to them, are reduced to k on the driver.
+    """
+    first = rows.agg(*[F.min(F.struct(F.xxhash64("h", F.lit(seed), F.lit(r)).alias("o"), "x")).alias(f"r{r}") for r in range(restarts)]).first()
+    if first["r0"] is None:
+        raise ValueError("no rows to cluster")
+    candidates = [np.array([first[f"r{r}"]["x"]], float) for r in range(restarts)]
+    wanted = _OVERSAMPLED * max(ks)
+    for turn in range(_ROUNDS):
+        costs = [sum(cost for _, cost, _ in clusters) for clusters in _pass(rows, candidates)]
+        drawn = _draw(rows, candidates, [wanted / c if c > 0 else 0.0 for c in costs], seed + 1000 * (turn + 1))
+        candidates = [np.concatenate([c, more]) if len(more) else c for c, more in zip(candidates, drawn)]
+    weights = [np.array([n for n, _, _ in clusters], float) for clusters in _pass(rows, candidates)]
+    return {k: [_plus_plus(c, w, k, np.random.default_rng([seed, k, r])) for r, (c, w) in enumerate(zip(candidates, weights))] for k in ks}
+
+
+def _draw(rows: DataFrame, candidates: Sequence[np.ndarray], rates: Sequence[float], seed: int) -> list[np.ndarray]:
+    """Different rows drawn for each restart; their number follows from the rates, not from the data."""
+    shared = rows.sparkSession.sparkContext.broadcast((list(candidates), list(rates)))
+    draws = F.array(*[F.pmod(F.xxhash64("x", F.lit(seed), F.lit(r)), F.lit(1 << 52)) / float(1 << 52) for r in range(len(candidates))])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, rate = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, u = _matrix(batch.column(0)), _matrix(batch.column(1))
+            for r, c in enumerate(centres):
+                chosen = pa.array(np.flatnonzero(u[:, r] < rate[r] * _nearest(x, c)[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), r, np.int32)), batch.column(0).take(chosen)], names=["r", "x"])
+
+    found = rows.select("x", draws.alias("u")).mapInArrow(pick, "r int, x array<double>").distinct().collect()
+    picked = [sorted(tuple(row["x"]) for row in found if row["r"] == r) for r in range(len(candidates))]
+    return [np.array(p, float).reshape(-1, candidates[0].shape[1]) for p in picked]
 
 
-def kmeans_assign(data: DataFrame, model: KMeansModel, out: str = "kmeans_cluster") -> DataFrame:
-    """Cluster of every row."""
-    return model.transform(data).withColumnRenamed("prediction", out)
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` of the weighted candidates, far from each other, moved to the means of what is nearest to them."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    while len(chosen) < k:
+        chance = weights * _nearest(points, np.array(chosen))[1]
+        if chance.sum() <= 0:
+            # Fewer different rows than clusters: repeated centres stay empty.
+            chosen.append(points[rng.integers(len(points))])
+        else:
+            chosen.append(points[rng.choice(len(points), p=chance / chance.sum())])
+    centres = np.array(chosen)
+    for _ in range(30):
+        mine = np.eye(k)[_nearest(points, centres)[0]] * weights[:, None]
+        sizes = mine.sum(axis=0)[:, None]
+        moved = np.where(sizes > 0, mine.T @ points / np.maximum(sizes, 1e-300), centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
 
 
 def pca_project(data: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:

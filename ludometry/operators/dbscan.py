@@ -1,350 +1,343 @@
-"""Exact density-based clustering on a grid.
+"""Exact density-based clustering over packed boxes.
 
 Points are never compared all against all. Equal points are merged into one
-weighted point. The space is cut into cells whose diagonal is ``eps``: points
-of one cell are neighbours, so a cell that holds ``min_samples`` points is all
-core and acts as one node, however many rows it has. Between cells, tight
-bounding boxes decide most questions at once (everything within ``eps``, or
-nothing). Only boxes that straddle the distance are split into smaller ones,
-level by level, and single points are compared only for what is still open
-after the last level.
+weighted point. The space is cut into cells whose diagonal is below ``eps``:
+points of one cell are neighbours, so a cell that holds ``min_samples`` rows is
+all core and acts as one node, however many rows it has.
+
+Cells lie along a Z-order curve and are packed, ``FAN`` at a time, into boxes,
+boxes into larger ones, up to one. Neighbouring cells come from descending that
+tree with itself, so only occupied space is visited, in any number of
+dimensions. The points of a cell are packed the same way. A question between a
+point and a cell, or between two cells, starts with their outermost boxes: a box
+within ``eps`` settles it, a box out of reach is dropped, and only boxes that
+straddle the distance are opened, level by level. Questions that have found a
+witness leave before the next level.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Sequence
-from itertools import product
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import connected_components
 from .ordering import running_totals
+from .places import hinted, join_sized, placed
 
 NOISE = -1
+#: Boxes or points in one box.
+FAN = 64
 
 
-def _side(name: str, i: int) -> Column:
-    return F.get(name, F.lit(i))
+def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 1.5, min_samples: int = 5) -> DataFrame:
+    """``(key, cluster, is_core)`` for every row.
 
+    A row counts itself, and a distance equal to ``eps`` is inside. Clusters
+    are numbered from 0 by their smallest core key. A border row joins the
+    lowest-numbered cluster with a core row in reach, so the result does not
+    depend on row order. Noise is −1, and so is a row with a NULL, NaN or
+    infinite coordinate, which is near nothing.
+    """
+    axes = [f"v{i}" for i in range(len(cols))]
+    rows = materialize(df.select(key, *[F.col(c).cast("double").alias(a) for c, a in zip(cols, axes)]))
+    merged = rows.where(" AND ".join(f"abs({a}) < double('infinity')" for a in axes)).groupBy(*axes)
+    merged = merged.agg(F.count("*").alias("w"), F.min(key).alias("first_key"))
+    points = materialize(merged.select(F.monotonically_increasing_id().alias("pid"), F.array(*axes).alias("x"), "w", "first_key"))
+    grid = _Grid(points, len(axes), eps, min_samples)
+    labelled = materialize(grid.labels().select(*[F.col("x")[i].alias(a) for i, a in enumerate(axes)], "w", "cluster", "is_core"))
+    found = join_sized(rows, labelled, axes, "w", grid.weight).select(key, "cluster", "is_core")
+    rest = rows.where(f"NOT coalesce({' AND '.join(f'abs({a}) < double(\'infinity\')' for a in axes)}, false)")
+    return found.unionByName(rest.select(key, F.lit(NOISE).alias("cluster"), F.lit(False).alias("is_core")))
 
-def _gap2(d: int, a: str, b: str) -> Column:
-    """Squared smallest distance between boxes ``a`` and ``b``.
 
-    ``get`` and ``pow`` keep the generated code small enough for the JIT.
-    """
-    total = F.lit(0.0)
-    for i in range(d):
-        left = _side(f"lo_{a}", i) - _side(f"hi_{b}", i)
-        right = _side(f"lo_{b}", i) - _side(f"hi_{a}", i)
-        total = total + F.pow(F.greatest(left, right, F.lit(0.0)), 2)
-    return total
-
-
-def _reach2(d: int, a: str, b: str) -> Column:
-    """Squared largest distance between points of boxes ``a`` and ``b``."""
-    total = F.lit(0.0)
-    for i in range(d):
-        left = _side(f"hi_{a}", i) - _side(f"lo_{b}", i)
-        right = _side(f"hi_{b}", i) - _side(f"lo_{a}", i)
-        total = total + F.pow(F.greatest(left, right), 2)
-    return total
-
-
-def _boxes(points: DataFrame, d: int, by: Sequence[str]) -> DataFrame:
-    """Tight box, weight and smallest point id per group."""
-    return points.groupBy(*by).agg(
-        F.array(*[F.min(F.col("x")[i]) for i in range(d)]).alias("lo"),
-        F.array(*[F.max(F.col("x")[i]) for i in range(d)]).alias("hi"),
-        F.sum("w").alias("weight"),
-        F.min("pid").alias("first"),
+def dbscan_summary(labels: DataFrame) -> DataFrame:
+    """Number of clusters and of noise rows."""
+    return labels.agg(
+        F.countDistinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("n_clusters"),
+        F.count(F.when(F.col("cluster") == NOISE, 1)).alias("n_noise"),
     )
 
 
-def _point_key() -> Column:
-    return F.array(F.lit(-1).cast("long"), F.col("pid"))
+# ── boxes ───────────────────────────────────────────────────────────────────
 
 
-class _Grid:
-    """Weighted points and the box hierarchy over them.
+def _box(d: int, low: str = "lo", high: str = "hi") -> list[Column]:
+    """The tight box of a group, from its members' corners."""
+    return [
+        F.array(*[F.min(F.get(low, F.lit(i))) for i in range(d)]).alias("lo"),
+        F.array(*[F.max(F.get(high, F.lit(i))) for i in range(d)]).alias("hi"),
+    ]
 
-    A cell is known by its smallest point id. Boxes below it are known by their
-    grid coordinates, single points by ``(-1, pid)``.
-    """
 
-    def __init__(self, points: DataFrame, d: int, eps: float, levels: int):
-        self.d, self.eps2 = d, eps * eps
-        self.levels = levels
-        self.reach = math.ceil(math.sqrt(d))
-        side = eps / math.sqrt(d)
-
-        def coords(level: int) -> Column:
-            return F.array(*[F.floor(F.col("x")[i] * F.lit(2.0**level / side)).cast("long") for i in range(d)])
-
-        self.cells = materialize(_boxes(points.withColumn("c0", coords(0)), d, ["c0"]).withColumnRenamed("first", "cell"))
-        keyed = points.withColumn("c0", coords(0)).join(self.cells.select("c0", "cell"), "c0").drop("c0")
-        self.points = materialize(keyed)
-        self._coords = coords
-
-    def near_cells(self) -> DataFrame:
-        """Pairs of different cells (both directions) with boxes within ``eps``.
-
-        Cells are matched through a coarser grid with sides of at least
-        ``eps``, where only the adjacent coarse cells matter. A coarse cell
-        holds a bounded number of cells, whatever the row count.
-        """
-        z = F.array(*[F.floor(F.col("c0")[i] / F.lit(self.reach)).cast("long") for i in range(self.d)])
-        cells = self.cells.withColumn("z", z)
-        offsets = json.dumps([list(v) for v in product((-1, 0, 1), repeat=self.d)])
-        shifts = F.from_json(F.lit(offsets), "array<array<bigint>>")
-        occupied = cells.select("z").distinct()
-        around = occupied.select("z", F.explode(shifts).alias("s")).select(
-            "z", F.array(*[F.col("z")[i] + F.col("s")[i] for i in range(self.d)]).alias("z2")
-        )
-        around = around.join(occupied.withColumnRenamed("z", "z2"), "z2", "left_semi")
-        a = cells.select("z", F.col("cell").alias("c_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-        b = cells.select(
-            F.col("z").alias("z2"), F.col("cell").alias("c_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")
-        )
-        near = (F.col("c_a") != F.col("c_b")) & (_gap2(self.d, "a", "b") <= self.eps2)
-        return materialize(a.join(around, "z").join(b, "z2").where(near).select("c_a", "c_b"))
-
-    def _key(self, level: int) -> Column:
-        if level == 0:
-            return F.array("cell")
-        if level > self.levels:
-            return _point_key()
-        return self._coords(level)
-
-    def children(self, level: int, singles: DataFrame | None) -> DataFrame:
-        """Parent box → boxes one level down; ``singles`` are points that stay as they are."""
-        keyed = self.points.withColumns({"parent": self._key(level - 1), "box": self._key(level)})
-        out = _boxes(keyed, self.d, ["parent", "box"]).drop("first")
-        if singles is not None:
-            x = F.col("x")
-            own = singles.select(
-                _point_key().alias("parent"), _point_key().alias("box"), x.alias("lo"), x.alias("hi"), F.col("w").alias("weight")
-            )
-            out = out.unionByName(own)
-        return out
-
-    def split(self, open_pairs: DataFrame, side: str, level: int, singles: DataFrame | None = None) -> DataFrame:
-        """Replace one side's boxes by their children and drop what is out of reach."""
-        kids = self.children(level, singles).select(
-            F.col("parent").alias(f"box_{side}"),
-            F.col("box").alias("_box"),
-            F.col("lo").alias("_lo"),
-            F.col("hi").alias("_hi"),
-            F.col("weight").alias("_weight"),
-        )
-        other = "b" if side == "a" else "a"
-        kept = [c for c in open_pairs.columns if c not in (f"box_{side}", f"lo_{side}", f"hi_{side}", f"weight_{side}")]
-        rows = open_pairs.select(*kept, f"box_{side}").join(kids, f"box_{side}").select(
-            *kept,
-            F.col("_box").alias(f"box_{side}"),
-            F.col("_lo").alias(f"lo_{side}"),
-            F.col("_hi").alias(f"hi_{side}"),
-            F.col("_weight").alias(f"weight_{side}"),
-        )
-        return rows.where(_gap2(self.d, side, other) <= self.eps2)
+def _packed(members: DataFrame, by: Sequence[str], kid: str, d: int, *more: Column) -> DataFrame:
+    """One box per group: its corners, and its members' numbers, corners and weights one after another."""
+    one = F.struct(F.col(kid).cast("long").alias("kid"), F.concat("lo", "hi").alias("box"), F.col("weight").alias("weight"))
+    grouped = members.groupBy(*by).agg(*_box(d), F.sum("weight").alias("weight"), F.collect_list(one).alias("_all"), *more)
+    return grouped.select(
+        *by,
+        "lo",
+        "hi",
+        "weight",
+        F.transform("_all", lambda s: s["kid"]).alias("kids"),
+        F.flatten(F.transform("_all", lambda s: s["box"])).alias("boxes"),
+        F.transform("_all", lambda s: s["weight"]).alias("weights"),
+        *[c for c in grouped.columns if c not in (*by, "lo", "hi", "weight", "_all")],
+    )
 
-    def witnessed(self, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-        """The ``by`` groups for which some two points lie within ``eps``.
 
-        ``pairs`` has boxes of both sides. Groups settled at one level are
-        dropped before the next.
-        """
+def _z_order(parts: np.ndarray, bits: int) -> np.ndarray:
+    """Interleaved bits of whole numbers below ``2**bits``, row by row."""
+    z = np.zeros(len(parts), np.int64)
+    for bit in reversed(range(bits)):
+        for column in parts.T:
+            z = (z << 1) | ((column >> bit) & 1)
+    return z
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column."""
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _gap2(low_a, high_a, low_b, high_b) -> np.ndarray:
+    """Squared smallest distance between boxes."""
+    return (np.maximum(np.maximum(low_a - high_b, low_b - high_a), 0.0) ** 2).sum(axis=-1)
+
+
+def _reach2(low_a, high_a, low_b, high_b) -> np.ndarray:
+    """Squared largest distance between points of two boxes."""
+    return (np.maximum(high_a - low_b, high_b - low_a) ** 2).sum(axis=-1)
+
+
+def _near_kids(batches: Iterator[pa.RecordBatch], d: int, eps2: float, itself: bool) -> Iterator[pa.RecordBatch]:
+    """Members ``a <= b`` of two boxes (``a, b, kids_a, boxes_a, kids_b, boxes_b``) within reach of each other."""
+    for batch in batches:
+        for a, b, kids_a, boxes_a, kids_b, boxes_b in zip(*(c if c.type == pa.int64() else c for c in batch.columns)):
+            left, right = (np.asarray(x.values).reshape(-1, 2, d) for x in (boxes_a, boxes_b))
+            i, j = np.nonzero(_gap2(left[:, None, 0], left[:, None, 1], right[None, :, 0], right[None, :, 1]) <= eps2)
+            u, v = np.asarray(kids_a.values)[i], np.asarray(kids_b.values)[j]
+            keep = (u <= v if itself else u < v) if a.as_py() == b.as_py() else slice(None)
+            u, v = u[keep], v[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+
+def _weigh(batches: Iterator[pa.RecordBatch], d: int, eps2: float) -> Iterator[pa.RecordBatch]:
+    """How much weight of a box (``pid, x, o, kids, boxes, weights``) is surely within reach of a point, how much may be, and which members to open."""
+    for batch in batches:
+        at = dict(zip(batch.schema.names, batch.columns))
+        x = _lists(at["x"])[1].reshape(-1, d)
+        sizes, boxes = _lists(at["boxes"])
+        boxes = boxes.reshape(-1, 2, d)
+        row = np.repeat(np.arange(len(x)), sizes // (2 * d))
+        kids, weights = _lists(at["kids"])[1], _lists(at["weights"])[1]
+        point = x[row]
+        sure = _reach2(point, point, boxes[:, 0], boxes[:, 1]) <= eps2
+        maybe = ~sure & (_gap2(point, point, boxes[:, 0], boxes[:, 1]) <= eps2)
+        sums = [np.bincount(row[m], weights=weights[m], minlength=len(x)).astype(np.int64) for m in (sure, maybe)]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[maybe], minlength=len(x)))])
+        opened = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kids[maybe], pa.int64()))
+        some = pa.array((sums[0] > 0) | (sums[1] > 0))
+        yield pa.RecordBatch.from_arrays([at["pid"], at["o"], *map(pa.array, sums), opened], names=["pid", "o", "sure", "maybe", "open"]).filter(some)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], d: int, eps2: float) -> Iterator[pa.RecordBatch]:
+    """Are two members of boxes ``a`` and ``b`` surely within reach? Else all pairs of members that may be, nearest first."""
+    for batch in batches:
+        at = dict(zip(batch.schema.names, batch.columns))
+        a, b = at["a"].to_numpy(), at["b"].to_numpy()
         found = []
-        current = pairs.where(_gap2(self.d, "a", "b") <= self.eps2)
-        for level in range(1, self.levels + 3):
-            current = materialize(current.withColumn("sure", _reach2(self.d, "a", "b") <= self.eps2))
-            sure = current.where("sure").select(*by).distinct()
-            found.append(sure)
-            current = current.where(~F.col("sure")).drop("sure").join(sure, list(by), "left_anti")
-            if level == self.levels + 2 or current.isEmpty():
-                break
-            current = self.split(self.split(current, "a", level, self.points), "b", level, self.points)
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return materialize(out)
+        for n in range(len(a)):
+            left, right = (np.asarray(at[s][n].values).reshape(-1, 2, d) for s in ("boxes_a", "boxes_b"))
+            corners = left[:, None, 0], left[:, None, 1], right[None, :, 0], right[None, :, 1]
+            if (_reach2(*corners) <= eps2).any():
+                found.append((np.array([a[n]]), np.array([b[n]]), [True], [0], [0]))
+                continue
+            i, j = np.nonzero(_gap2(*corners) <= eps2)
+            if len(i):
+                found.append((np.full(len(i), a[n]), np.full(len(i), b[n]), [False] * len(i), np.asarray(at["kids_a"][n].values)[i], np.asarray(at["kids_b"][n].values)[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "met", "kid_a", "kid_b"])
 
 
-def _core_points(grid: _Grid, near: DataFrame, min_samples: int) -> DataFrame:
-    """``(pid, is_core)`` for points of cells too light to be core by themselves.
-
-    The first round only counts. Points it cannot settle start over with the
-    boxes that straddle their distance, split further round by round.
-    """
-    d, eps2 = grid.d, grid.eps2
-    light = grid.cells.where(F.col("weight") < min_samples).select("cell", F.col("weight").alias("known"))
-    open_points = grid.points.join(light, "cell").select("pid", "x", "cell", "known")
-    boxes = grid.cells.select(
-        F.col("cell").alias("c_b"),
-        F.array("cell").alias("box_b"),
-        F.col("lo").alias("lo_b"),
-        F.col("hi").alias("hi_b"),
-        F.col("weight").alias("weight_b"),
-    )
-
-    def around(points: DataFrame) -> DataFrame:
-        pairs = points.join(near, F.col("cell") == F.col("c_a")).join(boxes, "c_b")
-        pairs = pairs.select("pid", F.col("x").alias("lo_a"), F.col("x").alias("hi_a"), "box_b", "lo_b", "hi_b", "weight_b")
-        return pairs.where(_gap2(d, "a", "b") <= eps2)
-
-    sure = _reach2(d, "a", "b") <= eps2
-    current = around(open_points)
-    pending = open_points.select("pid", "known")
-    decided = []
-    for level in range(1, grid.levels + 3):
-        counts = current.groupBy("pid").agg(
-            F.sum(F.when(sure, F.col("weight_b")).otherwise(0)).alias("inside"),
-            F.sum(F.when(sure, 0).otherwise(F.col("weight_b"))).alias("maybe"),
-        )
-        state = materialize(
-            pending.join(counts, "pid", "left").select(
-                "pid",
-                (F.col("known") + F.coalesce("inside", F.lit(0))).alias("known"),
-                F.coalesce("maybe", F.lit(0)).alias("maybe"),
-            )
+class _Grid:
+    """Weighted points, their cells, and the boxes over both."""
+
+    def __init__(self, points: DataFrame, d: int, eps: float, min_samples: int):
+        self.d, self.eps2, self.min_samples = d, eps * eps, min_samples
+        # A hair finer than needed, so that rounding never puts points of one cell out of reach.
+        self.scale = d**0.5 / eps * (1 + 1e-9)
+        self.points = self._ordered(points)
+        self.weight = self.points.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        self.cells, self.most = self._cells()
+        self.nodes = self._nodes()
+        self.near = self._near()
+
+    def _ordered(self, points: DataFrame) -> DataFrame:
+        """Points with their cell and their place in it, cells along the curve."""
+        d, scale = self.d, self.scale
+        ends = points.agg(F.array(*[F.min(F.col("x")[i]) for i in range(d)]), F.array(*[F.max(F.col("x")[i]) for i in range(d)])).first()
+        first = np.floor(np.array(ends[0], float) * scale) if points.take(1) else np.zeros(d)
+        span = np.floor(np.array(ends[1], float) * scale) - first + 1 if points.take(1) else np.ones(d)
+        bits = max(1, 62 // d)
+        schema = T.StructType([*points.schema.fields, T.StructField("cell", T.BinaryType()), T.StructField("z", T.LongType())])
+
+        def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _lists(batch.column(1))[1].reshape(-1, d) * scale
+                corner = np.floor(x)
+                steps = 2.0 ** min(bits, 52)
+                coarse, fine = ((y * steps).astype(np.int64).clip(0, 2 ** min(bits, 52) - 1)[:, :62] for y in ((corner - first) / span, x - corner))
+                order = _z_order(coarse, min(bits, 52)).astype(">i8").tobytes()
+                exact = (corner + 0.0).tobytes()
+                cells = [order[8 * i : 8 * i + 8] + exact[8 * d * i : 8 * d * (i + 1)] for i in range(len(x))]
+                more = [pa.array(cells, pa.binary()), pa.array(_z_order(fine, min(bits, 52)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+
+        return placed(points.mapInArrow(located, schema), "cell", ["z", "pid"]).drop("z")
+
+    def _cells(self) -> tuple[DataFrame, int]:
+        """``cell, c, lo, hi, weight, lead, total``, numbered along the curve, and the most points of one."""
+        cells = self.points.groupBy("cell").agg(
+            *_box(self.d, "x", "x"), F.sum("w").alias("weight"), F.min("first_key").alias("lead"), F.count("*").alias("size")
         )
-        settled = (F.col("known") >= min_samples) | (F.col("known") + F.col("maybe") < min_samples)
-        decided.append(state.where(settled).select("pid", (F.col("known") >= min_samples).alias("is_core")))
-        pending = state.where(~settled).select("pid", "known")
-        if level == grid.levels + 2 or pending.isEmpty():
-            break
-        left = pending.select("pid")
-        if level == 1:
-            unsure = around(open_points.join(left, "pid", "left_semi"))
-        else:
-            unsure = current.join(left, "pid", "left_semi")
-        current = materialize(grid.split(unsure.where(~sure), "b", level))
-    out = decided[0]
-    for part in decided[1:]:
-        out = out.unionByName(part)
-    return materialize(out)
-
-
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, comp)``: the smallest node id reachable from each node over edges ``(u, v)``."""
-    return connected_components(nodes, edges, "node", "u", "v").withColumnRenamed("component", "comp")
-
-
-def dbscan(
-    df: DataFrame,
-    key: str,
-    cols: Sequence[str],
-    eps: float = 1.5,
-    min_samples: int = 5,
-    levels: int = 3,
-) -> DataFrame:
-    """``(key, cluster, is_core)`` for every row.
-
-    A row counts itself, and a distance equal to ``eps`` is inside. Clusters
-    are numbered from 0 by their smallest core key. A border row joins the
-    lowest-numbered cluster with a core row in reach, so the result does not
-    depend on row order. Noise is −1, and so is a row with a NULL or NaN
-    coordinate, which is near nothing.
-    """
-    d = len(cols)
-    rows = materialize(df.select(key, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]))
-    axes = [f"v{i}" for i in range(d)]
-    placed = rows.where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in axes) or "true")
-    merged = placed.groupBy(*axes).agg(F.count("*").alias("w"), F.min(key).alias("first_key"))
-    points = materialize(merged.withColumn("pid", F.monotonically_increasing_id()))
-    grid = _Grid(points.select("pid", F.array(*axes).alias("x"), "w", "first_key"), d, eps, levels)
-    near = grid.near_cells()
-    light_core = _core_points(grid, near, min_samples)
-
-    # Nodes: one per heavy cell, one per core point of a light cell.
-    heavy = grid.cells.where(F.col("weight") >= min_samples)
-    heavy_nodes = heavy.select(F.col("cell").alias("node"), "cell", F.array("cell").alias("box"), "lo", "hi", "weight")
-    point_nodes = grid.points.join(light_core.where("is_core"), "pid").select(
-        F.col("pid").alias("node"),
-        "cell",
-        _point_key().alias("box"),
-        F.col("x").alias("lo"),
-        F.col("x").alias("hi"),
-        F.col("w").alias("weight"),
-    )
-    nodes = materialize(heavy_nodes.unionByName(point_nodes))
-    within = nodes.groupBy("cell").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
-    same_cell = nodes.join(within, "cell").where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
-
-    def side(s: str, frame: DataFrame) -> DataFrame:
-        names = ("node", "cell", "box", "lo", "hi", "weight")
-        return frame.withColumnsRenamed({n: f"c_{s}" if n == "cell" else f"{n}_{s}" for n in names})
-
-    half = near.where(F.col("c_a") < F.col("c_b"))
-
-    def crossing(frame: DataFrame) -> DataFrame:
-        return half.join(side("a", frame), "c_a").join(side("b", frame), "c_b").drop("c_a", "c_b")
-
-    certain = crossing(nodes).where(_reach2(d, "a", "b") <= grid.eps2)
-    edges = same_cell.unionByName(certain.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")))
-    first = materialize(_components(nodes, edges))
-
-    # Only pairs that would join two different components still matter.
-    grouped = nodes.join(first, "node").drop("node").withColumnRenamed("comp", "node")
-    unsure = crossing(grouped).where(F.col("node_a") != F.col("node_b"))
-    unsure = unsure.withColumnsRenamed({"node_a": "comp_a", "node_b": "comp_b"})
-    joins = grid.witnessed(unsure, ["comp_a", "comp_b"])
-    comps = first.select(F.col("comp").alias("node")).distinct()
-    second = _components(comps, joins.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")))
-    labels = first.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("final")), "comp").select(
-        "node", F.col("final").alias("comp")
-    )
-    labels = materialize(labels)
-
-    # Core points and cluster numbers.
-    heavy_points = grid.points.join(heavy.select("cell"), "cell").select(
-        "pid", "first_key", F.col("cell").alias("node")
-    )
-    light_points = grid.points.join(light_core.where("is_core"), "pid").select(
-        "pid", "first_key", F.col("pid").alias("node")
-    )
-    core = heavy_points.unionByName(light_points).join(labels, "node")
-    order = core.groupBy("comp").agg(F.min("first_key").alias("lead"))
-    numbered = materialize(running_totals(order, ["lead"], {"cluster": F.lit(1)}).select("comp", F.col("cluster").cast("long")))
-    core_labels = core.join(numbered, "comp").select("pid", "cluster", F.lit(True).alias("is_core"))
-
-    # Border points: the lowest-numbered cluster within reach.
-    lone = grid.points.join(light_core.where(~F.col("is_core")), "pid")
-    lone_box = lone.select(
-        "pid",
-        F.col("cell").alias("c_a"),
-        _point_key().alias("box_a"),
-        F.col("x").alias("lo_a"),
-        F.col("x").alias("hi_a"),
-        F.col("w").alias("weight_a"),
-    )
-    clustered = nodes.join(labels, "node").join(numbered, "comp").drop("comp", "node")
-    targets = clustered.withColumnsRenamed({"cell": "c_b", "box": "box_b", "lo": "lo_b", "hi": "hi_b", "weight": "weight_b"})
-    same = lone_box.select("pid", "c_a").join(
-        clustered.select(F.col("cell").alias("c_a"), "cluster"), "c_a"
-    ).select("pid", "cluster")
-    pairs = lone_box.join(near, "c_a").join(targets, "c_b").drop("c_a", "c_b")
-    reached = grid.witnessed(pairs, ["pid", "cluster"]).select("pid", "cluster").unionByName(same)
-    border = reached.groupBy("pid").agg(F.min("cluster").alias("cluster"))
-    border_labels = lone.select("pid").join(border, "pid", "left").select(
-        "pid", F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster"), F.lit(False).alias("is_core")
-    )
-
-    by_point = points.select("pid", *axes).join(core_labels.unionByName(border_labels), "pid")
-    found = rows.join(by_point, axes, "left")
-    return found.select(
-        key,
-        F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"),
-        F.coalesce("is_core", F.lit(False)).alias("is_core"),
-    )
-
+        cells = placed(materialize(cells.withColumn("_one", F.lit(0))), "_one", ["cell"]).drop("_one", "total").withColumnRenamed("place", "c")
+        cells = materialize(cells)
+        return cells, cells.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+
+    def _nodes(self) -> list[DataFrame]:
+        """Boxes of each level, ``c, chunk`` and their members; the last level has one box for each cell."""
+        sized = self.cells.select("cell", "c", "size", (F.col("weight") >= self.min_samples).alias("heavy"))
+        count = self.points.count()
+        known = join_sized(self.points, sized, ["cell"], "size", count)
+        members = known.select("c", "heavy", F.floor(F.col("place") / FAN).alias("chunk"), F.col("pid").alias("kid"), F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("w").alias("weight"))
+        levels = [materialize(_packed(members, ["c", "chunk"], "kid", self.d, F.first("heavy").alias("heavy")))]
+        most = -(-self.most // FAN)
+        while most > 1:
+            above = levels[-1].select("c", "heavy", F.floor(F.col("chunk") / FAN).alias("up"), F.col("chunk").alias("kid"), "lo", "hi", "weight")
+            above = _packed(above, ["c", "up"], "kid", self.d, F.first("heavy").alias("heavy")).withColumnRenamed("up", "chunk")
+            levels.append(materialize(above))
+            most = -(-most // FAN)
+        return levels
+
+    def _near(self) -> DataFrame:
+        """Pairs ``a < b`` of cells whose boxes are within ``eps``, from the tree over cells."""
+        level = self.cells.select(F.col("c").alias("kid"), "lo", "hi", "weight")
+        tree, most = [], max(1, self.cells.count())
+        while not tree or most > 1:
+            level = materialize(_packed(level.withColumn("n", F.floor(F.col("kid") / FAN)), ["n"], "kid", self.d))
+            tree.append(level.select("n", "kids", "boxes"))
+            level = level.select(F.col("n").alias("kid"), "lo", "hi", "weight")
+            most = -(-most // FAN)
+        pairs = tree[-1].select(F.col("n").alias("a"), F.col("n").alias("b"))
+        d, eps2 = self.d, self.eps2
+        for depth in reversed(range(len(tree))):
+            itself = depth > 0
+            both = _sides(pairs, ["a", "b"], tree[depth].withColumnRenamed("n", "c"), tree[depth].withColumnRenamed("n", "c"), [])
+            pairs = both.mapInArrow(lambda rows, itself=itself: _near_kids(rows, d, eps2, itself), "a long, b long")
+            if depth:
+                pairs = materialize(pairs)
+        return materialize(pairs)
+
+    def _both_ways(self) -> DataFrame:
+        return self.near.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(self.near.select(F.col("b").alias("c"), F.col("a").alias("o")))
+
+    def _core(self, light: DataFrame) -> DataFrame:
+        """``pid, is_core`` of points in cells that are too light to be all core."""
+        least, d, eps2 = self.min_samples, self.d, self.eps2
+        asked = light.select("pid", "x", "c").join(self._both_ways(), "c").select("pid", "x", "o", F.lit(0).cast("long").alias("chunk"))
+        pending, decided = light.select("pid", F.col("cell_weight").alias("known")), []
+        for depth in reversed(range(len(self.nodes))):
+            boxes = self.nodes[depth].select(F.col("c").alias("o"), "chunk", "kids", "boxes", "weights")
+            rows = asked.join(boxes, ["o", "chunk"]).select("pid", "x", "o", "kids", "boxes", "weights")
+            found = rows.mapInArrow(lambda b: _weigh(b, d, eps2), "pid long, o long, sure long, maybe long, open array<long>")
+            found = materialize(found) if depth else found
+            counts = found.groupBy("pid").agg(F.sum("sure").alias("sure"), F.sum("maybe").alias("maybe"))
+            known = F.col("known") + F.coalesce("sure", F.lit(0))
+            state = materialize(pending.join(counts, "pid", "left").select("pid", known.alias("known"), F.coalesce("maybe", F.lit(0)).alias("maybe")))
+            open_yet = (F.col("known") < least) & (F.col("known") + F.col("maybe") >= least) if depth else F.lit(False)
+            decided.append(state.where(~open_yet).select("pid", (F.col("known") >= least).alias("is_core")))
+            if not depth:
+                break
+            pending = state.where(open_yet).select("pid", "known")
+            kids = found.select("pid", "o", F.explode("open").alias("chunk"))
+            asked = kids.join(pending.select("pid"), "pid", "left_semi").join(light.select("pid", "x"), "pid").select("pid", "x", "o", "chunk")
+        out = decided[0]
+        for part in decided[1:]:
+            out = out.unionByName(part)
+        return materialize(out)
 
-def dbscan_summary(labels: DataFrame) -> DataFrame:
-    """Number of clusters and of noise rows."""
-    return labels.agg(
-        F.countDistinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("n_clusters"),
-        F.count(F.when(F.col("cluster") == NOISE, 1)).alias("n_noise"),
-    )
+    def _witnessed(self, pairs: DataFrame, left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
+        """The pairs ``a, b`` that have two members within ``eps``; one list of boxes for each side, by level."""
+        d, eps2 = self.d, self.eps2
+        current = pairs.select("a", "b", F.lit(0).cast("long").alias("kid_a"), F.lit(0).cast("long").alias("kid_b"))
+        met = None
+        for depth in reversed(range(len(left))):
+            rows = _sides(current, ["a", "b"], left[depth], right[depth], ["chunk"])
+            step = materialize(rows.mapInArrow(lambda b: _meet(b, d, eps2), "a long, b long, met boolean, kid_a long, kid_b long"))
+            hits = step.where("met").select("a", "b").distinct()
+            met = hits if met is None else met.unionByName(hits)
+            if not depth:
+                break
+            current = step.where("NOT met").join(hits, ["a", "b"], "left_anti").drop("met")
+        return met
+
+    def labels(self) -> DataFrame:
+        """``x, w, cluster, is_core`` of every point."""
+        sized = materialize(self.cells.select("cell", "c", "size", "lead", F.col("weight").alias("cell_weight")))
+        small = F.col("cell_weight") < self.min_samples
+        light = materialize(self.points.select("cell", "pid", "x", "w", "first_key").join(sized.where(small).select("cell", "c", "cell_weight"), "cell").drop("cell"))
+        decided = self._core(light)
+        core = light.join(decided.where("is_core"), "pid")
+
+        # Boxes over core points only: heavy cells as they are, of light cells the core points.
+        d = self.d
+        first = core.select("c", F.lit(0).cast("long").alias("chunk"), "first_key", F.col("pid").alias("kid"), F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("w").alias("weight"))
+        level = materialize(_packed(first, ["c", "chunk"], "kid", d, F.min("first_key").alias("lead")))
+        light_leads = level.select("c", "lead")
+        boxes = []
+        for nodes in self.nodes:
+            columns = ("c", "chunk", "kids", "boxes", "weights")
+            boxes.append(nodes.where("heavy").select(*columns).unionByName(level.select(*columns)))
+            up = level.select("c", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("kid"), "lo", "hi", "weight")
+            level = _packed(up, ["c", "chunk"], "kid", d)
+        leads = materialize(sized.where(~small).select("c", "lead").unionByName(light_leads))
+
+        ends = leads.select("c")
+        near_core = self.near.join(ends.withColumnRenamed("c", "a"), "a", "left_semi").join(ends.withColumnRenamed("c", "b"), "b", "left_semi")
+        edges = self._witnessed(near_core, boxes, boxes)
+        comps = connected_components(ends, edges, "c", "a", "b")
+        led = materialize(leads.join(comps, "c"))
+        order = running_totals(led.groupBy("component").agg(F.min("lead").alias("lead")), ["lead"], {"cluster": F.lit(1)})
+        numbered = materialize(order.select("component", F.col("cluster").cast("int").alias("cluster")))
+        of_cell = materialize(led.join(hinted(numbered), "component").select("c", "cluster"))
+
+        # Border points: the lowest-numbered cluster within reach.
+        lone = light.join(decided.where("NOT is_core"), "pid").select("pid", "x", "c", "w")
+        zero = F.lit(0).cast("long")
+        single = lone.select(F.col("pid").alias("c"), zero.alias("chunk"), F.array(zero).alias("kids"), F.concat("x", "x").alias("boxes"))
+        asked = lone.select(F.col("pid").alias("a"), "c").join(self._both_ways().withColumnRenamed("o", "b"), "c").select("a", "b")
+        asked = asked.join(ends.withColumnRenamed("c", "b"), "b", "left_semi")
+        reached = self._witnessed(asked, [single] * len(boxes), boxes).select(F.col("a").alias("pid"), F.col("b").alias("c"))
+        reached = reached.unionByName(lone.select("pid", "c")).join(of_cell, "c").groupBy("pid").agg(F.min("cluster").alias("cluster"))
+
+        no = F.lit(NOISE)
+        border = lone.join(reached, "pid", "left").select("x", "w", F.coalesce("cluster", no).alias("cluster"), F.lit(False).alias("is_core"))
+        inner = core.join(of_cell, "c").select("x", "w", "cluster", F.lit(True).alias("is_core"))
+        heavy = materialize(sized.where(~small).join(of_cell, "c").select("cell", "size", "cluster"))
+        dense = join_sized(self.points.select("cell", "x", "w"), heavy, ["cell"], "size", self.weight).select("x", "w", "cluster", F.lit(True).alias("is_core"))
+        return dense.unionByName(inner).unionByName(border)
+
+
+def _sides(pairs: DataFrame, names: Sequence[str], left: DataFrame, right: DataFrame, chunk: Sequence[str]) -> DataFrame:
+    """Pairs with the boxes of both sides; ``chunk`` tells that sides are known by cell and chunk."""
+    a, b = names
+    for side, boxes in ((a, left), (b, right)):
+        renamed = boxes.select(F.col("c").alias(side), *[F.col(c).alias(f"kid_{side}") for c in chunk], F.col("kids").alias(f"kids_{side}"), F.col("boxes").alias(f"boxes_{side}"))
+        pairs = pairs.join(renamed, [side, *(f"kid_{side}" for _ in chunk)])
+    return pairs.select(a, b, f"kids_{a}", f"boxes_{a}", f"kids_{b}", f"boxes_{b}")

@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import BUCKETS, running_totals
+from .ordering import running_totals
+from .places import WINDOW
 
 
 def auc_ap(
-    pred: DataFrame, label: str = "label", score: str = "score", buckets: int = BUCKETS
+    pred: DataFrame, label: str = "label", score: str = "score", most: int = WINDOW
 ) -> DataFrame:
     """Exact ROC-AUC and average precision.
 
@@ -28,7 +29,7 @@ def auc_ap(
             F.count(F.when(F.col(label) == 0, 1)).alias("neg"),
         )
     )
-    run = running_totals(hist, ["score"], {"pos_below": "pos", "neg_below": "neg"}, buckets)
+    run = running_totals(hist, ["score"], {"pos_below": "pos", "neg_below": "neg"}, most)
     totals = run.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
     rows = run.withColumn("_t", totals)
     hits = (F.col("_t.p") - F.col("pos_below")).cast("double")

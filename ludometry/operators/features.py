@@ -161,10 +161,11 @@ def _by_item(txns: DataFrame, key: str) -> DataFrame:
 
     Distinct items and categories are then counts over groups, so no line is
     multiplied for them, and a player with very many purchases is split by item
-    on the way.
+    on the way. ``items`` is 1 in one of the rows of each item, so that distinct
+    items are a sum further on and the log is read once.
     """
     price = F.col("price_usd")
-    return txns.groupBy(key, "item_name", "item_category").agg(
+    grouped = txns.groupBy(key, "item_name", "item_category").agg(
         F.min("transaction_date").alias("first"),
         F.max("transaction_date").alias("last"),
         F.count("transaction_id").alias("n_ids"),
@@ -175,6 +176,8 @@ def _by_item(txns: DataFrame, key: str) -> DataFrame:
         F.max(price).alias("hi"),
         F.min(price).alias("lo"),
     )
+    number = F.row_number().over(Window.partitionBy(key, "item_name").orderBy("item_category"))
+    return grouped.withColumn("items", ((number == 1) & F.col("item_name").isNotNull()).cast("long"))
 
 
 def _by_category(items: DataFrame, key: str) -> DataFrame:
@@ -188,6 +191,7 @@ def _by_category(items: DataFrame, key: str) -> DataFrame:
         F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"),
         F.max("hi").alias("hi"),
         F.min("lo").alias("lo"),
+        F.sum("items").alias("items"),
     )
 
 
@@ -203,6 +207,7 @@ def _summary_aggs() -> list[Column]:
         F.max("hi").alias("max_txn_value"),
         F.min("lo").alias("min_txn_value"),
         F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_txn_value"),
+        F.sum("items").alias("unique_items_purchased"),
         F.count("item_category").alias("unique_categories"),
     ]
 
@@ -239,16 +244,7 @@ def _rfm_aggs(obs) -> list[Column]:
 
 def purchase_summary(txns: DataFrame, key: str = "player_id") -> DataFrame:
     """Dates, counts, price statistics and distinct items per player."""
-    return _with_items(_by_category(_by_item(txns, key), key).groupBy(key).agg(*_summary_aggs()), txns, key)
-
-
-def _with_items(per_player: DataFrame, txns: DataFrame, key: str) -> DataFrame:
-    """Add the number of distinct items, counted over groups of the same first aggregate."""
-    items = _by_item(txns, key).where("item_name IS NOT NULL").groupBy(key, "item_name").count()
-    items = items.groupBy(key).agg(F.count("*").alias("unique_items_purchased"))
-    out = per_player.join(items, key, "left").withColumn("unique_items_purchased", F.coalesce("unique_items_purchased", F.lit(0)))
-    at = per_player.columns.index("unique_categories")
-    return out.select(*per_player.columns[:at], "unique_items_purchased", *per_player.columns[at:])
+    return _by_category(_by_item(txns, key), key).groupBy(key).agg(*_summary_aggs())
 
 
 def purchase_velocity(txns: DataFrame, key: str = "player_id") -> DataFrame:
@@ -323,7 +319,6 @@ def player_features(
     categories = discover_categories(txns) if categories is None else categories
     groups = _by_category(_by_item(txns, key), key)
     per_player = groups.groupBy(key).agg(*_summary_aggs(), *_category_aggs(categories), *_rfm_aggs(obs))
-    per_player = _with_items(per_player, txns, key)
     bought = rfm_scores(_velocity(per_player), key=key)
     wide = players.join(bought, key, "left")
     wide = profile_flags(engagement_features(wide, obs), ios, countries)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_date, safe_ratio
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, few_tasks, side_by_side
 from .features import select_features
 from .ordering import exact_quantiles
 
@@ -91,24 +91,34 @@ def ltv_model(
     rate: float = 0.1,
     seed: int = 42,
     exclude_leaky: bool = False,
+    params: Mapping[str, object] | None = None,
+    split: Callable[[DataFrame, str], tuple[DataFrame, DataFrame]] | None = None,
 ):
-    """Boosted regression of a horizon target; returns the model and test predictions."""
+    """Boosted regression of a horizon target; returns the model, test predictions and the features used.
+
+    ``split`` gives train and test rows, by default ``hash_split``.
+    """
     checkpoint_dir(df.sparkSession)
     features = [f for f in features if not (exclude_leaky and f in LEAKY)]
-    train, test = hash_split(vectors(df, features, [key, target]), key, seed=seed)
+    data = vectors(df, features, [key, target])
+    train, test = split(data, key) if split else hash_split(data, key, seed=seed)
     model = GBTRegressor(
         labelCol=target,
         featuresCol="features",
         maxIter=trees,
         maxDepth=depth,
         stepSize=rate,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
         seed=seed,
-    ).fit(train)
+        **(params or {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}),
+    ).fit(few_tasks(train))
     return model, model.transform(test).select(key, F.col(target).alias("label"), "prediction"), features
 
 
+def ltv_models(df: DataFrame, targets: Sequence[str], **options) -> dict[str, tuple]:
+    """``ltv_model`` of each target, all fitted at the same time."""
+    return side_by_side(df.sparkSession, {t: (lambda t=t: ltv_model(df, t, **options)) for t in targets})
+
+
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """RMSE, MAE and R² in one pass.
 

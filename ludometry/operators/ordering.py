@@ -2,10 +2,11 @@
 
 Ranks, running sums and exact quantiles over a whole table are usually written
 with an unpartitioned window, which moves every row into one task, or with
-``percentile``, which keeps every distinct value in one buffer. Here rows are
-put into ``buckets`` value ranges whose edges come from a hash sample; one small aggregate gives each bucket its
-offset, and the window runs inside the buckets. The sample only balances the
-buckets: the result is exact for any edges.
+``percentile``, which keeps every distinct value in one buffer. Here rows get
+their place from a sort by ranges, and windows run over blocks of bounded size
+whose offsets are added up level by level; the number of blocks grows with the
+table. Single positions are found by narrowing: only the ranges that hold one
+are cut further, until they are small enough to be sorted.
 
 The order columns must identify a row. Collapse ties first (``groupBy(value)``
 with a weight), so a value that holds a third of all rows is one row here.
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .places import WINDOW, placed
 
+#: Ranges that one step of narrowing cuts a range into.
 BUCKETS = 1024
 _SAMPLE_PER_BUCKET = 50
 
@@ -57,32 +60,37 @@ def _before(window) -> "Window":
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _bucket_offsets(bucketed: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
-    """Sum of everything in lower buckets; at most ``buckets`` rows."""
-    totals = bucketed.groupBy("_b").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
-    run = _before(Window.orderBy("_b"))
-    return totals.select(
-        "_b",
-        *[F.col(f"_t_{n}") for n in sums],
-        *[F.coalesce(F.sum(f"_t_{n}").over(run), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
+def _offsets(totals: DataFrame, names: Sequence[str], most: int) -> DataFrame:
+    """``_b`` and, for each name, the sum over all lower ``_b``; no window sees more than ``most`` rows."""
+    if totals.select("_b").limit(most + 1).count() <= most:
+        run = _before(Window.orderBy("_b"))
+        return totals.select("_b", *[F.coalesce(F.sum(n).over(run), F.lit(0)).alias(n) for n in names])
+    totals = materialize(totals.withColumn("_up", F.floor(F.col("_b") / most)))
+    above = totals.groupBy(F.col("_up").alias("_b")).agg(*[F.sum(n).alias(n) for n in names])
+    above = _offsets(above, names, most).withColumnsRenamed({"_b": "_up", **{n: f"_above_{n}" for n in names}})
+    run = _before(Window.partitionBy("_up").orderBy("_b"))
+    inner = totals.select("_b", "_up", *[F.coalesce(F.sum(n).over(run), F.lit(0)).alias(n) for n in names]).join(above, "_up")
+    return inner.select("_b", *[(F.col(n) + F.col(f"_above_{n}")).alias(n) for n in names])
 
 
 def running_totals(
     df: DataFrame,
     order: Sequence[str],
     sums: Mapping[str, str | Column],
-    buckets: int = BUCKETS,
+    most: int = WINDOW,
 ) -> DataFrame:
-    """Add, per row, the sum of each expression over all rows ordered before it."""
+    """Add, per row, the sum of each expression over all rows ordered before it.
+
+    Windows run over blocks of exactly ``most`` rows in the order of the table.
+    """
     sums = {n: (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}
-    df = materialize(df)
-    rows = df.count()
-    bucketed = _with_bucket(df, order, rows, buckets)
-    offsets = _bucket_offsets(bucketed, sums)
-    run = _before(Window.partitionBy("_b").orderBy(*order))
-    local = bucketed.withColumns({f"_l_{n}": F.coalesce(F.sum(e).over(run), F.lit(0)) for n, e in sums.items()})
-    joined = local.join(F.broadcast(offsets), "_b")
+    rows = placed(materialize(df.withColumn("_all", F.lit(0))), "_all", order)
+    rows = rows.withColumn("_b", F.floor(F.col("place") / most))
+    totals = materialize(rows.groupBy("_b").agg(*[F.sum(e).alias(f"_o_{n}") for n, e in sums.items()]))
+    offsets = _offsets(totals, [f"_o_{n}" for n in sums], most)
+    run = _before(Window.partitionBy("_b").orderBy("place"))
+    local = rows.withColumns({f"_l_{n}": F.coalesce(F.sum(e).over(run), F.lit(0)) for n, e in sums.items()})
+    joined = local.join(offsets, "_b")
     return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
@@ -92,29 +100,36 @@ def rows_at(
     positions: Sequence[int],
     weight: str | None = None,
     rows: int | None = None,
-    buckets: int = BUCKETS,
+    most: int = WINDOW,
 ) -> dict[int, tuple]:
     """Order-column values at 0-based ``positions`` of the sorted table.
 
     With ``weight`` a row stands for that many equal copies. ``df`` should be
-    materialized. Only the buckets that hold a wanted position are sorted, so
-    no full shuffle happens. Returns one tuple per position (a handful).
+    materialized. Ranges that hold no wanted position are dropped, the others
+    cut further until none has more than ``most`` rows, and only those rows are
+    sorted. Returns one tuple per position (a handful).
     """
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    rows = df.count() if rows is None else rows
-    wanted = F.array(*[F.lit(int(p)).cast("long") for p in sorted(set(positions))])
+    largest = rows = df.count() if rows is None else rows
+    wanted = F.array(*[F.lit(int(p)).cast("long") for p in sorted(set(positions))]).cast("array<bigint>")
 
     def inside(start: Column, length: Column) -> Column:
         return F.filter(wanted, lambda p: (p >= start) & (p < start + length))
 
-    bucketed = _with_bucket(df, order, rows, buckets)
-    offsets = _bucket_offsets(bucketed, {"w": w})
-    hit = offsets.where(F.size(inside(F.col("_o_w"), F.col("_t_w"))) > 0).select("_b", "_o_w")
-    run = _before(Window.partitionBy("_b").orderBy(*order))
-    placed = bucketed.join(F.broadcast(hit), "_b").withColumn(
-        "_start", F.col("_o_w") + F.coalesce(F.sum(w).over(run), F.lit(0))
-    )
-    picked = placed.select(F.explode(inside(F.col("_start"), w)).alias("_pos"), *order).collect()
+    current = df.select(*order, w.alias("_w"), F.lit(0).cast("long").alias("_base"))
+    while largest > most:
+        cut = _with_bucket(current, order, rows, BUCKETS)
+        parts = cut.groupBy("_base", "_b").agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"))
+        below = _before(Window.partitionBy("_base").orderBy("_b"))
+        start = F.col("_base") + F.coalesce(F.sum("_w").over(below), F.lit(0))
+        hit = parts.withColumn("_start", start).where(F.size(inside(F.col("_start"), F.col("_w"))) > 0)
+        hit = materialize(hit.select("_base", "_b", "_start", "_n"))
+        kept = cut.join(F.broadcast(hit.drop("_n")), ["_base", "_b"])
+        current = materialize(kept.select(*order, "_w", F.col("_start").alias("_base")))
+        rows, largest = hit.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    run = _before(Window.partitionBy("_base").orderBy(*order))
+    found = current.withColumn("_start", F.col("_base") + F.coalesce(F.sum("_w").over(run), F.lit(0)))
+    picked = found.select(F.explode(inside(F.col("_start"), F.col("_w"))).alias("_pos"), *order).collect()
     return {r["_pos"]: tuple(r[c] for c in order) for r in picked}
 
 
@@ -122,7 +137,7 @@ def exact_quantiles(
     df: DataFrame,
     col: str,
     probs: Sequence[float],
-    buckets: int = BUCKETS,
+    most: int = WINDOW,
 ) -> list[float | None]:
     """Exact quantiles with linear interpolation, NULLs ignored.
 
@@ -136,7 +151,7 @@ def exact_quantiles(
     spots = [(total - 1) * p for p in probs]
     lows = [min(int(s + 1e-9), total - 1) for s in spots]
     need = {k for lo in lows for k in (lo, min(lo + 1, total - 1))}
-    at = rows_at(hist, [col], sorted(need), weight="_n", rows=rows, buckets=buckets)
+    at = rows_at(hist, [col], sorted(need), weight="_n", rows=rows, most=most)
     out = []
     for spot, lo in zip(spots, lows):
         a, b = float(at[lo][0]), float(at[min(lo + 1, total - 1)][0])
@@ -145,7 +160,7 @@ def exact_quantiles(
 
 
 def rank_cuts(
-    df: DataFrame, value: str, key: str, q: int = 5, buckets: int = BUCKETS
+    df: DataFrame, value: str, key: str, q: int = 5, most: int = WINDOW
 ) -> list[tuple]:
     """The last ``(value, key)`` of each of the first ``q − 1`` rank quantiles.
 
@@ -158,7 +173,7 @@ def rank_cuts(
     if not rows:
         return []
     spots = [((rows - 1) * j) // q for j in range(1, q)]
-    at = rows_at(pairs, [value, key], spots, rows=rows, buckets=buckets)
+    at = rows_at(pairs, [value, key], spots, rows=rows, most=most)
     return [at[s] for s in spots]
 
 

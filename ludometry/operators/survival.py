@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from ..functions.special import normal_two_sided
 from ..session import materialize
 from .features import drop_missing
-from .ordering import BUCKETS, running_totals
+from .ordering import rows_at, running_totals
+from .places import WINDOW, carried, in_ranges
 
 
 def kaplan_meier(
@@ -24,8 +25,12 @@ def kaplan_meier(
 ) -> DataFrame:
     """Survival curve per group, starting at t = 0 with S = 1.
 
-    Rows are first counted per (group, duration), so the windows see one row
-    per distinct duration. Durations are used as they are, fractions included.
+    Rows are first counted per (group, duration). The counts are cut into
+    ranges of (group, duration), so a group with very many different durations
+    lies in many ranges: windows run inside a range, and a small table of
+    ranges carries on what lies outside it, units at risk from the ranges behind
+    and survival from the ones before. Durations are used as they are,
+    fractions included.
     """
     kind = "double" if isinstance(df.schema[duration].dataType, T.FractionalType) else "long"
     t = F.greatest(F.col(duration), F.lit(floor)).cast(kind).alias("t")
@@ -33,13 +38,19 @@ def kaplan_meier(
         F.count("*").alias("n"), F.sum("e").alias("d")
     )
     zero = days.groupBy(by).agg(F.lit(0).cast(kind).alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d"))
-    rows = days.unionByName(zero)
-    order = Window.partitionBy(by).orderBy("t")
-    later = order.rowsBetween(0, Window.unboundedFollowing)
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
-    risk = rows.withColumn("n_at_risk", F.sum("n").over(later))
-    step = 1 - F.col("d") / F.col("n_at_risk")
-    curve = risk.withColumn("survival", F.product(step).over(sofar)).withColumn("point", F.row_number().over(order))
+    rows = in_ranges(materialize(days.unionByName(zero)), [by, "t"])
+    inside = Window.partitionBy(by, "_range").orderBy("t")
+    before = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # Counted from the end, so that every frame grows: one that shrinks is summed anew for each row.
+    after = Window.partitionBy(by, "_range").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+
+    counted = carried(rows, by, {"_behind": F.sum("n")}, behind=True)
+    counted = carried(counted, by, {"_earlier": F.count("*")})
+    risk = counted.withColumn("n_at_risk", F.col("_behind") + F.sum("n").over(after))
+    risk = risk.withColumn("point", (F.col("_earlier") + F.row_number().over(inside)).cast("int"))
+    risk = materialize(risk.select(by, "_range", "point", "t", "n_at_risk", "d", (1 - F.col("d") / F.col("n_at_risk")).alias("_step")))
+    curve = carried(risk, by, {"_so_far": F.product("_step")}, start=1.0)
+    curve = curve.withColumn("survival", F.col("_so_far") * F.product("_step").over(before))
     return curve.select(by, "point", "t", "n_at_risk", "d", "survival")
 
 
@@ -112,60 +123,112 @@ def _tie_sums(d: int, s0: float, t0: float) -> tuple[float, float, float, float,
     return tuple(map(float, total))
 
 
-def _partial_sums(rows: DataFrame, beta: np.ndarray) -> pd.DataFrame:
-    """Per day: risk-weighted sums over all units and over the failing ones.
+#: Different durations that one range holds, and how many ranges there are at most.
+_RANGE, _MOST_RANGES = 10_000, 4096
+#: Different durations that a task gathers before it passes their sums on.
+_GATHERED = 20_000
 
-    Each task reduces its rows to one vector per day before the shuffle. The
-    result has one row per distinct day of lifetime.
-    """
-    p = len(beta)
-    upper = np.triu_indices(p)
-
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = np.stack(batch["x"].to_numpy()).reshape(len(batch), p)
-            e = batch["e"].to_numpy()
-            r = np.exp(x @ beta)
-            full = np.column_stack([r, r[:, None] * x, r[:, None] * (x[:, upper[0]] * x[:, upper[1]])])
-            parts = np.column_stack([full, e[:, None] * full, e, e[:, None] * x])
-            days, where = np.unique(batch["t"].to_numpy(), return_inverse=True)
-            sums = np.zeros((len(days), parts.shape[1]))
-            np.add.at(sums, where, parts)
-            for day, v in zip(days, sums):
-                acc[int(day)] = acc[int(day)] + v if int(day) in acc else v
-        if acc:
-            yield pd.DataFrame({"t": list(acc), "s": [v.tolist() for v in acc.values()]})
-
-    per_day = (
-        rows.mapInPandas(reduce, "t long, s array<double>")
-        .groupBy("t")
-        .agg(Summarizer.sum(array_to_vector("s")).alias("s"))
-    )
-    return pd.DataFrame([(r["t"], r["s"].toArray()) for r in per_day.collect()], columns=["t", "s"]).sort_values("t")
 
+class _CoxRows:
+    """Units as ``t, e, x`` arrays, and the cut points of ranges of durations.
 
-def _newton_terms(sums: pd.DataFrame, beta: np.ndarray):
-    """Efron log likelihood, gradient and information from the per-day sums."""
-    p = len(beta)
-    upper = np.triu_indices(p)
-    width = 1 + p + len(upper[0])
-    table = np.stack(sums["s"].to_numpy())
-    at_risk = np.cumsum(table[::-1, :width], axis=0)[::-1]
-
-    def square(v: np.ndarray) -> np.ndarray:
-        m = np.zeros((p, p))
-        m[upper] = v
-        return m + m.T - np.diag(np.diag(m))
+    A Newton step sends the driver one vector of sums for each range (not for
+    each duration) and one vector of likelihood, gradient and information.
+    """
 
+    def __init__(self, rows: DataFrame, size: int | None = None):
+        self.rows = rows
+        times = materialize(rows.select("t").distinct())
+        n = times.count()
+        size = size or max(_RANGE, -(-n // _MOST_RANGES))
+        at = rows_at(times, ["t"], range(size, n, size), rows=n)
+        self.edges = np.array(sorted(v[0] for v in at.values()), float)
+
+    def _sums(self, beta: np.ndarray) -> DataFrame:
+        """``range, t, v``: risk-weighted sums over all units and over the failing ones, reduced inside each task."""
+        p, edges = len(beta), self.edges
+        upper = np.triu_indices(p)
+
+        def merged(t: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            times, where = np.unique(t, return_inverse=True)
+            sums = np.zeros((len(times), parts.shape[1]))
+            np.add.at(sums, where, parts)
+            return times, sums
+
+        def rows(times: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(times) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+            ranges = np.searchsorted(edges, times, side="right").astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(times), lists], names=["range", "t", "v"])
+
+        def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t, e = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(t), p)
+                r = np.exp(x @ beta)
+                full = np.column_stack([r, r[:, None] * x, r[:, None] * (x[:, upper[0]] * x[:, upper[1]])])
+                found = merged(t, np.column_stack([full, e[:, None] * full, e, e[:, None] * x]))
+                held = found if held is None else merged(np.concatenate([held[0], found[0]]), np.concatenate([held[1], found[1]]))
+                if len(held[0]) >= _GATHERED:
+                    yield rows(*held)
+                    held = None
+            if held is not None:
+                yield rows(*held)
+
+        return self.rows.select("t", "e", "x").mapInArrow(reduce, "range int, t double, v array<double>")
+
+    def terms(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Efron log likelihood, gradient and information at ``beta``."""
+        p = len(beta)
+        width = 1 + p + p * (p + 1) // 2
+        sums = self._sums(beta)
+        later = np.zeros((len(self.edges) + 1, width))
+        if len(self.edges):
+            sums = materialize(sums)
+            parts = sums.select("range", array_to_vector(F.slice("v", 1, width)).alias("v"))
+            for r in parts.groupBy("range").agg(Summarizer.sum(F.col("v")).alias("v")).collect():
+                later[r["range"]] = r["v"].toArray()
+            later = np.cumsum(later[::-1], axis=0)[::-1] - later
+        shared = self.rows.sparkSession.sparkContext.broadcast(later)
+
+        def of_range(table: pa.Table) -> pa.Table:
+            times, where = np.unique(table["t"].to_numpy(), return_inverse=True)
+            lists = np.asarray(table["v"].combine_chunks().flatten()).reshape(len(where), -1)
+            own = np.zeros((len(times), lists.shape[1]))
+            np.add.at(own, where, lists)
+            ll, gradient, info = _newton_terms(own, beta, shared.value[table["range"][0].as_py()])
+            return pa.table({"v": pa.array([[ll, *gradient, *info[np.triu_indices(p)]]], pa.list_(pa.float64()))})
+
+        found = sums.groupBy("range").applyInArrow(of_range, "v array<double>")
+        total = found.agg(Summarizer.sum(array_to_vector("v")).alias("v")).first()["v"]
+        if total is None or not len(total):
+            raise ValueError("no units")
+        v = total.toArray()
+        return float(v[0]), v[1 : 1 + p], _square(v[1 + p :], p)
+
+
+def _square(upper: np.ndarray, p: int) -> np.ndarray:
+    """The symmetric matrix with this upper triangle."""
+    m = np.zeros((p, p))
+    m[np.triu_indices(p)] = upper
+    return m + m.T - np.diag(np.diag(m))
+
+
+def _newton_terms(table: np.ndarray, beta: np.ndarray, later: np.ndarray):
+    """Efron log likelihood, gradient and information of durations in ascending order, with the sums over all ``later`` ones."""
+    p = len(beta)
+    width = len(later)
+    at_risk = np.cumsum(table[::-1, :width], axis=0)[::-1] + later
     ll, grad, info = 0.0, np.zeros(p), np.zeros((p, p))
     for risk, row in zip(at_risk, table):
         d = int(round(row[2 * width]))
         if d == 0:
             continue
         fail, events = row[width : 2 * width], row[2 * width + 1 :]
-        s0, s1, s2 = risk[0], risk[1 : 1 + p], square(risk[1 + p :])
-        t0, t1, t2 = fail[0], fail[1 : 1 + p], square(fail[1 + p :])
+        s0, s1, s2 = risk[0], risk[1 : 1 + p], _square(risk[1 + p :], p)
+        t0, t1, t2 = fail[0], fail[1 : 1 + p], _square(fail[1 + p :], p)
         logs, a1, a2, b1, b2, c2 = _tie_sums(d, s0, t0)
         ll += events @ beta - logs
         grad += events - (s1 * a1 - t1 * b1)
@@ -186,32 +249,31 @@ def cox_ph(
     """Ridge-penalised Cox regression with Efron ties, by Newton steps.
 
     Covariates are standardised; the objective is the mean log likelihood minus
-    ``penalizer/2 · Σβ²``. Durations are whole days, so one Newton step is one
-    Spark pass that returns a vector per distinct day.
+    ``penalizer/2 · Σβ²``. Durations may be fractions, with any number of
+    different values: they are cut into ranges, and sums over all later units
+    are carried from range to range.
     """
     covariates = list(covariates)
     clean = drop_missing(df.select(duration, event, *covariates), [duration, event, *covariates], {duration: 1})
     clean = materialize(clean.select(*[F.col(c).cast("double").alias(c) for c in clean.columns]))
     stats = clean.agg(
         F.count("*").alias("n"),
-        F.count(F.when(F.col(duration) != F.floor(duration), 1)).alias("fractional"),
         *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(covariates)],
         *[F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(covariates)],
     ).first()
-    if stats["fractional"]:
-        raise ValueError("durations must be whole days")
     n, p = stats["n"], len(covariates)
+    if not n:
+        raise ValueError("no units")
     mean = np.array([stats[f"m_{i}"] for i in range(p)])
     sd = np.array([stats[f"s_{i}"] or 1.0 for i in range(p)])
     x = F.array(*[(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(covariates, mean, sd)])
-    rows = clean.select(
-        F.col(duration).cast("long").alias("t"), F.col(event).cast("double").alias("e"), x.alias("x")
-    ).cache()
+    rows = clean.select(F.col(duration).alias("t"), F.col(event).alias("e"), x.alias("x")).cache()
     try:
+        units = _CoxRows(rows)
         beta = np.zeros(p)
 
         def at(b: np.ndarray):
-            ll, grad, info = _newton_terms(_partial_sums(rows, b), b)
+            ll, grad, info = units.terms(b)
             return ll / n - penalizer / 2 * b @ b, grad / n - penalizer * b, info / n + penalizer * np.eye(p), ll
 
         value, grad, info, ll = at(beta)
@@ -243,10 +305,9 @@ def cox_terms(
     covariates = list(covariates)
     clean = drop_missing(df.select(duration, event, *covariates), [duration, event, *covariates], {duration: 1})
     x = F.array(*[F.col(c).cast("double") for c in covariates])
-    rows = clean.select(F.col(duration).cast("long").alias("t"), F.col(event).cast("double").alias("e"), x.alias("x"))
-    at = np.asarray(beta, dtype=float)
-    ll, gradient, _ = _newton_terms(_partial_sums(rows, at), at)
-    return float(ll), gradient
+    rows = clean.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"), x.alias("x"))
+    ll, gradient, _ = _CoxRows(materialize(rows)).terms(np.asarray(beta, dtype=float))
+    return ll, gradient
 
 
 # ── concordance ─────────────────────────────────────────────────────────────
@@ -257,7 +318,7 @@ def concordance(
     duration: str,
     event: str,
     risk: str,
-    buckets: int = BUCKETS,
+    most: int = WINDOW,
 ) -> DataFrame:
     """Concordance index: do units with higher risk fail earlier?
 
@@ -274,7 +335,7 @@ def concordance(
         .groupBy(F.col(duration).alias("t"), F.col(event).cast("long").alias("e"), F.col(risk).cast("double").alias("risk"))
         .agg(F.count("*").alias("n"))
     )
-    ranks = running_totals(counted.select("t").distinct(), ["t"], {"rank": F.lit(1)}, buckets)
+    ranks = running_totals(counted.select("t").distinct(), ["t"], {"rank": F.lit(1)}, most)
     code = (F.col("rank").cast("long") * 2 + (1 - F.col("e"))).alias("code")
     hist = materialize(counted.join(ranks, "t").select(code, "risk", "n"))
     top = hist.agg(F.max("code")).first()[0] or 0
@@ -294,7 +355,7 @@ def concordance(
         .groupBy("level", "range", "risk")
         .agg(F.sum("failed_left").alias("failed_left"), F.sum("right").alias("right"))
     )
-    run = materialize(running_totals(cells, ["level", "range", "risk"], {"before": "right"}, buckets))
+    run = materialize(running_totals(cells, ["level", "range", "risk"], {"before": "right"}, most))
     spans = run.groupBy("level", "range").agg(F.min("before").alias("start"), F.sum("right").alias("all_right"))
     lower = (F.col("before") - F.col("start")).cast("double")
     left = F.col("failed_left").cast("double")

@@ -237,16 +237,17 @@ def _by_horizon(tables: dict[int, DataFrame]) -> DataFrame:
 def ltv_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout metrics of each horizon's model."""
     training = materialize(_ltv_training(spark, sf_dir))
-    pred = {d: ltv.ltv_model(training, f"ltv_{d}d", LTV_FEATURES)[1] for d in ltv.HORIZONS}
-    return _by_horizon({d: ltv.regression_metrics(p) for d, p in pred.items()})
+    fits = ltv.ltv_models(training, [f"ltv_{d}d" for d in ltv.HORIZONS], features=LTV_FEATURES)
+    return _by_horizon({d: ltv.regression_metrics(fits[f"ltv_{d}d"][1]) for d in ltv.HORIZONS})
 
 
 @query("ltv_importance")
 def ltv_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top features of each horizon's model."""
     training = materialize(_ltv_training(spark, sf_dir))
-    fits = {d: ltv.ltv_model(training, f"ltv_{d}d", LTV_FEATURES, exclude_leaky=True) for d in ltv.HORIZONS}
-    return _by_horizon({d: ltv.feature_importance(spark, model, names) for d, (model, _, names) in fits.items()})
+    fits = ltv.ltv_models(training, [f"ltv_{d}d" for d in ltv.HORIZONS], features=LTV_FEATURES, exclude_leaky=True)
+    found = {d: fits[f"ltv_{d}d"] for d in ltv.HORIZONS}
+    return _by_horizon({d: ltv.feature_importance(spark, model, names) for d, (model, _, names) in found.items()})
 
 
 @query(

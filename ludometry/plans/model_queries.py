@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, churn, clustering, dbscan, evaluation, features, segments
-from ..session import materialize
+from ..session import few_tasks, materialize
 from ..sources import retail
 from .feature_queries import COUNTRIES, IOS
 from .oracle_tables import OBS, PLAYERS
@@ -46,7 +46,7 @@ def _vectors(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.kmeans_sweep(_vectors(spark, sf_dir, ["player_id"])).table(spark)
+    return clustering.kmeans_sweep(_vectors(spark, sf_dir, ["player_id"]), key="player_id").table(spark)
 
 
 @query(
@@ -56,9 +56,9 @@ def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose cluster's centre is not the nearest one."""
     data = _vectors(spark, sf_dir, ["player_id"])
-    model = clustering.kmeans_sweep(data, ks=[4]).models[4]
+    model = clustering.kmeans_sweep(data, ks=[4], key="player_id").models[4]
     x = vector_to_array("features")
-    centres = [F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()]
+    centres = [F.array(*[F.lit(float(v)) for v in c]) for c in model.centres]
 
     def gap(c):
         return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
@@ -92,7 +92,7 @@ def pca_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["player_id", *segments.PROFILE_MEANS.values()]
     data = _vectors(spark, sf_dir, keep)
-    sweep = clustering.kmeans_sweep(data)
+    sweep = clustering.kmeans_sweep(data, key="player_id")
     return segments.cluster_profiles(clustering.kmeans_assign(data, sweep.models[sweep.best_k]))
 
 
@@ -300,7 +300,7 @@ def churn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained(spark: SparkSession, sf_dir: str):
     data, names = _churn_data(spark, sf_dir)
     train, _ = churn.split_stratified(data, "player_id")
-    return churn.train_churn(train), data, names
+    return churn.train_churn(few_tasks(train)), data, names
 
 
 @query("churn_model")
@@ -308,7 +308,7 @@ def churn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two configurations on the same split, compared on the holdout."""
     data, _ = _churn_data(spark, sf_dir)
     train, test = churn.split_stratified(data, "player_id")
-    models = {name: churn.train_churn(train, params=p) for name, p in churn.CONFIGS.items()}
+    models = churn.train_configs(train)
     return evaluation.compare_models({name: churn.score(test, m, "score") for name, m in models.items()})
 
 

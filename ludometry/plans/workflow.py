@@ -50,7 +50,7 @@ def segment_players(
     spark = master.sparkSession
     names = [c for c in clustering.SEGMENT_FEATURES if c in master.columns]
     data = materialize(clustering.standard_vectors(master, names, ["player_id"]))
-    sweep = clustering.kmeans_sweep(data, ks, restarts)
+    sweep = clustering.kmeans_sweep(data, ks, restarts, key="player_id")
     assigned = clustering.kmeans_assign(data, sweep.models[sweep.best_k])
     projected, variance = clustering.pca_project(assigned)
 
@@ -178,7 +178,7 @@ def score_churn(
     data, names = churn.churn_frame(segmented, names, exclude_leaky=exclude_leaky)
     data = materialize(data)
     train, test = churn.split_stratified(data, "player_id")
-    models = {n: churn.train_churn(train, trees=trees, params=p) for n, p in churn.CONFIGS.items()}
+    models = churn.train_configs(train, trees=trees)
     held_out = {n: materialize(churn.score(test, m, "score")) for n, m in models.items()}
     comparison = materialize(evaluation.compare_models(held_out))
     best = comparison.where("is_best").first()["model"]

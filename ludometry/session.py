@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+Found = TypeVar("Found")
+
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -59,3 +65,34 @@ def materialize(df: DataFrame) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, tasks: Mapping[str, Callable[[], Found]]) -> dict[str, Found]:
+    """Results of independent drivers' work, such as model fits, run at the same time.
+
+    Each task has a thread of its own with the caller's local properties, and a
+    scheduler pool of its own, so that a session with the fair scheduler shares
+    its slots between them.
+    """
+
+    def alone(name: str, task: Callable[[], Found]) -> Found:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        return task()
+
+    with ThreadPoolExecutor(max(1, len(tasks))) as threads:
+        running = {name: threads.submit(inheritable_thread_target(spark)(alone), name, task) for name, task in tasks.items()}
+        return {name: work.result() for name, work in running.items()}
+
+
+#: Rows of a training set that are worth a task.
+_ROWS_A_TASK = 50_000
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows``, written, in no more partitions than their number is worth.
+
+    A fit runs several jobs for each tree, so a small training set is paid for
+    in tasks, not in rows.
+    """
+    written = materialize(rows)
+    return written.coalesce(max(1, -(-written.count() // _ROWS_A_TASK)))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ludometry.functions import special
-from ludometry.operators import attribution, churn, clustering, clv, components, dbscan, evaluation, funnel, survival
+from ludometry.operators import attribution, churn, clustering, clv, components, dbscan, evaluation, funnel, places, survival
+from ludometry.session import materialize
 
 
 # ── tail probabilities ──────────────────────────────────────────────────────
@@ -118,15 +119,71 @@ def test_fractional_durations_in_curves_and_pairs(spark):
     assert [(r["t"], round(r["survival"], 6)) for r in curve] == [(0.0, 1.0), (1.2, 0.666667), (1.8, 0.333333), (2.5, 0.333333)]
 
 
-def test_fractional_durations_raise(spark):
-    df = spark.createDataFrame([(1.5, 1, 0.0), (2.0, 0, 1.0)], "t double, e int, a double")
-    with pytest.raises(ValueError, match="whole days"):
-        survival.cox_ph(df, "t", "e", ["a"])
+@pytest.mark.parametrize("size", [None, 7])
+def test_cox_terms_of_fractional_durations(spark, lifetimes, size, monkeypatch):
+    """Durations in seconds, ties among them, in one range and in many."""
+    if size:
+        monkeypatch.setattr(survival, "_RANGE", size)
+        monkeypatch.setattr(survival, "_GATHERED", 20)
+    data = lifetimes.assign(t=1 + lifetimes["t"] / 7)
+    z = data.assign(a=(data["a"] - data["a"].mean()) / data["a"].std(ddof=1), b=(data["b"] - data["b"].mean()) / data["b"].std(ddof=1))
+    for beta in ([0.0, 0.0], [0.5, -0.3]):
+        ll, gradient = survival.cox_terms(spark.createDataFrame(z), "t", "e", ["a", "b"], beta)
+        assert ll == pytest.approx(len(z) * _efron(z, np.array(beta), 0.0), rel=1e-10)
+        for i in range(2):
+            h = np.eye(2)[i] * 1e-5
+            slope = (_efron(z, beta + h, 0.0) - _efron(z, beta - h, 0.0)) / 2e-5 * len(z)
+            assert gradient[i] == pytest.approx(slope, abs=1e-4)
+    if size:
+        model, whole = (survival.cox_ph(spark.createDataFrame(d), "t", "e", ["a", "b"]) for d in (data, lifetimes))
+        assert np.allclose(model.coef, whole.coef, atol=1e-6) and np.abs(model.gradient).max() < 1e-6
+
+
+def test_cox_of_a_million_durations(spark):
+    """The driver gets a vector per range, not one per duration."""
+    n = 1_000_000
+    t = F.floor((F.col("id") * 7919 % n) / 1.01) / 16 + n
+    df = spark.range(n).select(t.alias("t"), (F.col("id") % 2).cast("double").alias("e"), F.array((F.col("id") % 7) / 7).alias("x"))
+    units = survival._CoxRows(materialize(df))
+    assert 60 <= len(units.edges) <= 110
+    ll, gradient, info = units.terms(np.array([0.3]))
+    i = np.arange(n)
+    at, e, x = np.floor((i * 7919 % n) / 1.01) / 16 + n, i % 2, (i % 7) / 7
+    order = np.argsort(at, kind="stable")
+    x, e, at = x[order], e[order], at[order]
+    risk = np.exp(0.3 * x)
+    s0 = np.cumsum(risk[::-1])[::-1][np.searchsorted(at, at)]
+    # Of failures at one time, the l-th loses l / d of the failing risk.
+    fails = np.flatnonzero(e == 1)
+    _, start, d = np.unique(at[fails], return_index=True, return_counts=True)
+    place = np.arange(len(fails)) - np.repeat(start, d)
+    den = s0[fails] - place / np.repeat(d, d) * np.repeat(np.add.reduceat(risk[fails], start), d)
+    assert d.max() > 1 and ll == pytest.approx((0.3 * x[fails] - np.log(den)).sum(), rel=1e-9)
+
+
+@pytest.mark.parametrize("rows", [1, 40])
+def test_curves_carried_over_ranges(spark, monkeypatch, lifetimes, rows):
+    """Cut into ranges of a few durations, a curve is the same as in one window."""
+    df = spark.createDataFrame(lifetimes.assign(g=np.where(np.arange(len(lifetimes)) % 3 == 0, None, "x")))
+    whole = survival.kaplan_meier(df, "t", "e", "g").collect()
+    monkeypatch.setattr(places.in_ranges, "__defaults__", (rows,))
+    cut = survival.kaplan_meier(df, "t", "e", "g").collect()
+    key = lambda r: (r.g is None, r.point)
+    for a, b in zip(sorted(whole, key=key), sorted(cut, key=key), strict=True):
+        assert a[:5] == b[:5] and a.survival == pytest.approx(b.survival, rel=1e-12)
+
+
+def test_a_curve_of_a_million_durations_runs_in_many_tasks(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("x").alias("g"), F.col("id").alias("t"), F.lit(1).alias("e"))
+    curve = survival.kaplan_meier(df, "t", "e", "g", floor=0).select("t", "survival", "n_at_risk", F.spark_partition_id().alias("p"))
+    found = curve.agg(F.max(F.abs(F.col("survival") - (n - 1 - F.col("t")) / n)).alias("gap"), F.count("*").alias("n"), F.countDistinct("p").alias("tasks")).first()
+    assert found["gap"] < 1e-9 and found["n"] == n + 1 and found["tasks"] > 1
 
 
 def test_concordance_equals_all_pairs(spark, lifetimes):
     data = lifetimes.assign(risk=lifetimes["a"].round(1))
-    row = survival.concordance(spark.createDataFrame(data), "t", "e", "risk", buckets=64).first()
+    row = survival.concordance(spark.createDataFrame(data), "t", "e", "risk", most=64).first()
     t, e, r = (data[c].to_numpy() for c in ("t", "e", "risk"))
     earlier = (e[:, None] == 1) & ((t[:, None] < t[None, :]) | ((t[:, None] == t[None, :]) & (e[None, :] == 0)))
     conc = (earlier & (r[:, None] > r[None, :])).sum()
@@ -248,10 +305,67 @@ def test_dbscan_follows_a_long_chain(spark, n):
     assert len(labels) == n and {r["cluster"] for r in labels} == {0}
 
 
+def test_dbscan_in_twelve_dimensions(spark):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(rng.uniform(-3, 3, 12), 0.3, (60, 12)) for _ in range(3)] + [rng.uniform(-4, 4, (60, 12))])
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(12)]).assign(k=np.arange(len(x)))
+    got = dbscan.dbscan(spark.createDataFrame(pdf), "k", list(pdf.columns[:-1]), 1.5, 5).toPandas().sort_values("k")
+    label, core = _brute_dbscan(x, 1.5, 5)
+    assert (got["cluster"].to_numpy() == label).all() and (got["is_core"].to_numpy() == core).all() and label.max() >= 2
+
+
+def test_dbscan_opens_boxes_level_by_level(spark, monkeypatch):
+    """Boxes of four, so cells and trees have several levels; light cells next to heavy ones."""
+    monkeypatch.setattr(dbscan, "FAN", 4)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.15, (150, 2)), rng.normal((1.1, 0), 0.1, (80, 2)), rng.uniform(-2, 3, (150, 2))])
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(k=np.arange(len(x)))
+    for eps, least in ((0.3, 12), (0.15, 4)):
+        got = dbscan.dbscan(spark.createDataFrame(pdf), "k", ["a", "b"], eps, least).toPandas().sort_values("k")
+        label, core = _brute_dbscan(x, eps, least)
+        assert (got["cluster"].to_numpy() == label).all() and (got["is_core"].to_numpy() == core).all()
+
+
+def test_dbscan_of_two_dense_boxes_an_eps_apart(spark, monkeypatch):
+    """Whether they touch is decided near their faces, not by all pairs of their points."""
+    seen = []
+    whole = dbscan._Grid._witnessed
+
+    def counted(self, pairs, left, right):
+        before = dbscan.materialize
+
+        def watch(df):
+            out = before(df)
+            if "met" in out.columns:
+                seen.append(out.count())
+            return out
+
+        monkeypatch.setattr(dbscan, "materialize", watch)
+        found = whole(self, pairs, left, right)
+        monkeypatch.setattr(dbscan, "materialize", before)
+        return found
+
+    monkeypatch.setattr(dbscan._Grid, "_witnessed", counted)
+    rng = np.random.default_rng(1)
+    n, side = 20_000, 0.7
+    left, right = rng.uniform(0, side, (n, 2)), rng.uniform(0, side, (n, 2))
+    left[:, 0] = np.minimum(left[:, 0], side - 1e-9)
+    right[:, 0] += side + 1.0 + 1e-6  # nothing is within one of the other box
+    pdf = pd.DataFrame(np.vstack([left, right]), columns=["a", "b"]).assign(k=np.arange(2 * n))
+    labels = dbscan.dbscan(spark.createDataFrame(pdf), "k", ["a", "b"], 1.0, 5)
+    assert labels.agg(F.countDistinct("cluster").alias("c"), F.min("cluster").alias("m")).first() == (2, 0)
+    assert sum(seen) < 20_000
+
+
+def test_dbscan_of_nothing(spark):
+    empty = spark.createDataFrame([], "k long, x double")
+    assert dbscan.dbscan(empty, "k", ["x"], 1.0, 2).count() == 0
+
+
 def test_dbscan_calls_null_rows_noise(spark):
-    df = spark.createDataFrame([(1, 0.0), (2, 0.1), (3, None), (4, float("nan"))], "k long, x double")
+    df = spark.createDataFrame([(1, 0.0), (2, 0.1), (3, None), (4, float("nan")), (5, float("inf"))], "k long, x double")
     got = {r["k"]: (r["cluster"], r["is_core"]) for r in dbscan.dbscan(df, "k", ["x"], 1.0, 2).collect()}
-    assert got == {1: (0, True), 2: (0, True), 3: (-1, False), 4: (-1, False)}
+    assert got == {1: (0, True), 2: (0, True), 3: (-1, False), 4: (-1, False), 5: (-1, False)}
 
 
 def test_components_of_a_shuffled_chain(spark):
@@ -279,7 +393,7 @@ def test_kmeans_and_pca(spark):
     x = np.vstack([rng.normal(c, 0.2, (60, 3)) for c in ((0, 0, 0), (4, 4, 0), (0, 5, 5))])
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(k=np.arange(180)))
     data = clustering.standard_vectors(df, list("abc"), ["k"])
-    sweep = clustering.kmeans_sweep(data, ks=(2, 3, 4), restarts=2)
+    sweep = clustering.kmeans_sweep(data, ks=(2, 3, 4), restarts=2, key="k")
     assert sweep.best_k == 3
     assert [s[1] for s in sweep.scores] == sorted((s[1] for s in sweep.scores), reverse=True)
     assert clustering.kmeans_assign(data, sweep.models[3]).select("kmeans_cluster").distinct().count() == 3
@@ -330,13 +444,15 @@ def test_attributions_sum_to_the_log_odds(churn_data, churn_fit):
     assert worst < 1e-9
 
 
-@pytest.mark.parametrize("bits", [0, 8])
-def test_attributions_equal_shapley_by_definition(spark, churn_data, churn_fit, monkeypatch, bits):
-    monkeypatch.setattr(attribution, "_MAX_PATTERN_BITS", bits)
+@pytest.mark.parametrize("conditions", [1, 2, 7])
+def test_attributions_equal_shapley_by_definition(spark, churn_data, churn_fit, monkeypatch, conditions):
+    """Paths of one piece and of several, sibling leaves and lone ones."""
+    monkeypatch.setattr(attribution, "_PIECE", conditions)
     data, _ = churn_data
     table = attribution.leaf_table(spark, churn_fit)
     x = np.array([r["features"].toArray() for r in data.limit(5).collect()])
     got = attribution.shapley(x, table)
+    assert table.twin.any() and not table.twin.all()
 
     def value(row, coalition):
         inside = (row[table.feature] > table.low) & (row[table.feature] <= table.high)
@@ -369,7 +485,7 @@ def test_auc_and_average_precision(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 800)
     s = np.round(rng.normal(y, 1.5), 1)
-    row = evaluation.auc_ap(spark.createDataFrame(pd.DataFrame({"label": y, "score": s})), buckets=64).first()
+    row = evaluation.auc_ap(spark.createDataFrame(pd.DataFrame({"label": y, "score": s})), most=64).first()
     pos, neg = s[y == 1], s[y == 0]
     auc = (pos[:, None] > neg[None, :]).mean() + (pos[:, None] == neg[None, :]).mean() / 2
     ap, seen = 0.0, 0
@@ -438,4 +554,4 @@ def test_model_queries_use_the_defaults(spark, monkeypatch, name):
     out = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert asked and all(n == default for n, _ in asked)
     if name.startswith("ltv"):
-        assert [t for _, t in asked] == ["ltv_7d", "ltv_30d", "ltv_90d"] and {r.horizon for r in out.collect()} == {7, 30, 90}
+        assert sorted(t for _, t in asked) == ["ltv_30d", "ltv_7d", "ltv_90d"] and {r.horizon for r in out.collect()} == {7, 30, 90}

@@ -21,7 +21,7 @@ def skewed(spark):
 
 def test_running_totals(skewed):
     rows, df = skewed
-    out = ordering.running_totals(df, ["v", "k"], {"rn": F.lit(1), "s": "k"}, buckets=64)
+    out = ordering.running_totals(df, ["v", "k"], {"rn": F.lit(1), "s": "k"}, most=64)
     got = sorted((r["v"], r["k"], r["rn"], r["s"]) for r in out.collect())
     total = 0
     for i, ((v, k, rn, s), (wk, wv)) in enumerate(zip(got, sorted(rows, key=lambda r: (r[1], r[0])))):
@@ -29,10 +29,37 @@ def test_running_totals(skewed):
         total += wk
 
 
+def test_no_window_sees_more_rows_than_it_may(skewed, monkeypatch):
+    """Blocks are of bounded size, and so are the tables of their offsets, however many there are."""
+    _, df = skewed
+    sizes = []
+    before = ordering._offsets
+
+    def watched(totals, names, most):
+        sizes.append(totals.count())
+        return before(totals, names, most)
+
+    monkeypatch.setattr(ordering, "_offsets", watched)
+    out = ordering.running_totals(df, ["v", "k"], {"rn": F.lit(1)}, most=5)
+    assert sizes == [1000, 200, 40, 8, 2]
+    ranks = [r["rn"] for r in out.orderBy("v", "k").collect()]
+    assert ranks == list(range(5000))
+
+
+def test_narrowing_ends_in_small_ranges(spark):
+    """Positions among many rows, with a bound that takes several rounds, and weights."""
+    df = materialize(spark.range(20_000).select(F.col("id").alias("v"), (F.col("id") % 3).alias("w")))
+    at = ordering.rows_at(df, ["v"], [0, 1, 7777, 19_999], most=3)
+    assert at == {0: (0,), 1: (1,), 7777: (7777,), 19_999: (19_999,)}
+    copies = [i for i in range(20_000) for _ in range(i % 3)]
+    spots = [0, 5, 9000, len(copies) - 1]
+    assert ordering.rows_at(df.where("w > 0"), ["v"], spots, weight="w", most=3) == {p: (copies[p],) for p in spots}
+
+
 @pytest.mark.parametrize("probs", [[0.5], [0.0, 0.2, 0.8, 0.97, 1.0]])
 def test_exact_quantiles(skewed, probs):
     rows, df = skewed
-    got = ordering.exact_quantiles(df, "v", probs, buckets=16)
+    got = ordering.exact_quantiles(df, "v", probs, most=50)
     assert np.allclose(got, np.percentile([v for _, v in rows], [100 * p for p in probs]), rtol=1e-12)
 
 
@@ -43,7 +70,7 @@ def test_quantiles_of_nothing(spark):
 
 def test_rank_scores_split_ties_by_key(skewed):
     rows, df = skewed
-    cuts = ordering.rank_cuts(materialize(df), "v", "k", 5, buckets=16)
+    cuts = ordering.rank_cuts(materialize(df), "v", "k", 5, most=50)
     got = {r["k"]: r["s"] for r in df.select("k", ordering.rank_score("v", "k", cuts).alias("s")).collect()}
     n = len(rows)
     for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
@@ -60,7 +87,7 @@ def test_rank_quantiles_are_not_ntile(spark):
 
 def test_string_keys(spark):
     df = spark.createDataFrame([(f"P{i:04d}", float(i % 3)) for i in range(500)], "k string, v double")
-    a = ordering.rank_cuts(materialize(df), "v", "k", buckets=16)
+    a = ordering.rank_cuts(materialize(df), "v", "k", most=50)
     assert a == ordering.rank_cuts(materialize(df), "v", "k")
 
 

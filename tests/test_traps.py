@@ -258,6 +258,16 @@ def test_purchase_plans_do_not_multiply_lines(spark):
     assert "Expand" not in plan
 
 
+def test_purchase_features_read_the_log_once(spark, tmp_path):
+    rows = [("a", "i", "x", 5.0), ("a", "i", "y", 2.0), ("a", None, "x", 1.0), ("a", "j", None, 4.0), ("b", None, None, 4.0)]
+    txns = spark.createDataFrame(rows, "player_id string, item_name string, item_category string, price_usd double")
+    txns.selectExpr("*", "date'2024-01-01' AS transaction_date", "1 AS transaction_id").write.parquet(str(tmp_path / "log"))
+    summary = features.purchase_summary(spark.read.parquet(str(tmp_path / "log")))
+    assert {r.player_id: (r.unique_items_purchased, r.unique_categories) for r in summary.collect()} == {"a": (2, 2), "b": (0, 0)}
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1
+
+
 def test_categories_are_discovered(spark):
     rows = [("a", "x", 5.0), ("a", "y", 2.0), ("b", "x", 1.0), ("b", None, 4.0)]
     txns = spark.createDataFrame(rows, "player_id string, item_category string, price_usd double")
