@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ludometry.session import materialize
 
+#: Edges that one task joins up.
+LAST = 500_000
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)``: the smallest node reachable over ``edges``, itself included.
@@ -23,13 +30,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     live = materialize(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     moves: list[DataFrame] = []
-    while not live.isEmpty():
+    while (left := live.count()) > 2 * LAST:
         parents = _compressed(materialize(_two_hop(live, len(moves))))
         moves.append(parents)
         at_u = parents.select(F.col("u"), F.col("p").alias("pu"))
         at_v = parents.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         moved = live.join(at_u, "u").join(at_v, "v").where("pu <> pv")
         live = materialize(moved.select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+    if left:
+        kind = live.schema["u"].dataType
+        schema = T.StructType([T.StructField("u", kind), T.StructField("p", kind)])
+        moves.append(materialize(live.where("u < v").coalesce(1).mapInArrow(lambda batches: _joined(batches, schema), schema)))
     labels = members.withColumn("root", F.col("id"))
     for parents in moves:
         step = parents.select(F.col("u").alias("root"), "p")
@@ -39,6 +50,24 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
     return labels.join(least, "root").select(F.col("id").alias(node), "component")
 
 
+def _joined(batches: Iterator[pa.RecordBatch], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Each node and one node of its component, for edges ``(u, v)`` that fit in a task."""
+    parent: dict = {}
+
+    def find(n):
+        while parent.setdefault(n, n) != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent[find(u)] = find(v)
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([find(n) for n in list(parent)], kind)], names=schema.names)
+
+
 def _two_hop(live: DataFrame, turn: int) -> DataFrame:
     """``(u, p)``: the best node within two hops of ``u``, ordered by a hash of node and round."""
 

@@ -5,7 +5,7 @@ weighted point. The space is cut into cells whose diagonal is below ``eps``:
 points of one cell are neighbours, so a cell that holds ``min_samples`` rows is
 all core and acts as one node, however many rows it has.
 
-Cells lie along a Z-order curve and are packed, ``FAN`` at a time, into boxes,
+Cells lie along a Z-order curve and are packed, ``CELL_FAN`` at a time, into boxes,
 boxes into larger ones, up to one. Neighbouring cells come from descending that
 tree with itself, so only occupied space is visited, in any number of
 dimensions. The points of a cell are packed the same way. A question between a
@@ -21,18 +21,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import connected_components
 from .ordering import running_totals
-from .places import hinted, join_sized, placed
+from .places import join_sized, placed
 
 NOISE = -1
 #: Boxes or points in one box.
 FAN = 64
+#: Cells, or boxes of cells, in one box.
+CELL_FAN = 256
+#: Pairs of members that are compared at once.
+_PAIRS = 1 << 18
 
 
 def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 1.5, min_samples: int = 5) -> DataFrame:
@@ -46,13 +50,14 @@ def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 1.5, min_s
     """
     axes = [f"v{i}" for i in range(len(cols))]
     rows = materialize(df.select(key, *[F.col(c).cast("double").alias(a) for c, a in zip(cols, axes)]))
-    merged = rows.where(" AND ".join(f"abs({a}) < double('infinity')" for a in axes)).groupBy(*axes)
+    finite = " AND ".join(f"abs({a}) < double('infinity')" for a in axes)
+    merged = rows.where(finite).groupBy(*axes)
     merged = merged.agg(F.count("*").alias("w"), F.min(key).alias("first_key"))
     points = materialize(merged.select(F.monotonically_increasing_id().alias("pid"), F.array(*axes).alias("x"), "w", "first_key"))
     grid = _Grid(points, len(axes), eps, min_samples)
     labelled = materialize(grid.labels().select(*[F.col("x")[i].alias(a) for i, a in enumerate(axes)], "w", "cluster", "is_core"))
     found = join_sized(rows, labelled, axes, "w", grid.weight).select(key, "cluster", "is_core")
-    rest = rows.where(f"NOT coalesce({' AND '.join(f'abs({a}) < double(\'infinity\')' for a in axes)}, false)")
+    rest = rows.where(f"NOT coalesce({finite}, false)")
     return found.unionByName(rest.select(key, F.lit(NOISE).alias("cluster"), F.lit(False).alias("is_core")))
 
 
@@ -118,7 +123,7 @@ def _reach2(low_a, high_a, low_b, high_b) -> np.ndarray:
 def _near_kids(batches: Iterator[pa.RecordBatch], d: int, eps2: float, itself: bool) -> Iterator[pa.RecordBatch]:
     """Members ``a <= b`` of two boxes (``a, b, kids_a, boxes_a, kids_b, boxes_b``) within reach of each other."""
     for batch in batches:
-        for a, b, kids_a, boxes_a, kids_b, boxes_b in zip(*(c if c.type == pa.int64() else c for c in batch.columns)):
+        for a, b, kids_a, boxes_a, kids_b, boxes_b in zip(*batch.columns):
             left, right = (np.asarray(x.values).reshape(-1, 2, d) for x in (boxes_a, boxes_b))
             i, j = np.nonzero(_gap2(left[:, None, 0], left[:, None, 1], right[None, :, 0], right[None, :, 1]) <= eps2)
             u, v = np.asarray(kids_a.values)[i], np.asarray(kids_b.values)[j]
@@ -147,22 +152,31 @@ def _weigh(batches: Iterator[pa.RecordBatch], d: int, eps2: float) -> Iterator[p
 
 
 def _meet(batches: Iterator[pa.RecordBatch], d: int, eps2: float) -> Iterator[pa.RecordBatch]:
-    """Are two members of boxes ``a`` and ``b`` surely within reach? Else all pairs of members that may be, nearest first."""
+    """Are two members of boxes ``a`` and ``b`` surely within reach? Else all pairs of members that may be."""
     for batch in batches:
         at = dict(zip(batch.schema.names, batch.columns))
-        a, b = at["a"].to_numpy(), at["b"].to_numpy()
-        found = []
-        for n in range(len(a)):
-            left, right = (np.asarray(at[s][n].values).reshape(-1, 2, d) for s in ("boxes_a", "boxes_b"))
-            corners = left[:, None, 0], left[:, None, 1], right[None, :, 0], right[None, :, 1]
-            if (_reach2(*corners) <= eps2).any():
-                found.append((np.array([a[n]]), np.array([b[n]]), [True], [0], [0]))
+        ids = [at[s].to_numpy() for s in "ab"]
+        sizes, kids = zip(*(_lists(at[f"kids_{s}"]) for s in "ab"))
+        boxes = [_lists(at[f"boxes_{s}"])[1].reshape(-1, 2, d) for s in "ab"]
+        first = [np.cumsum(n) - n for n in sizes]
+        counts = sizes[0] * sizes[1]
+        turns = np.cumsum(counts) // _PAIRS
+        for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(turns)) + 1):
+            if not len(rows):
                 continue
-            i, j = np.nonzero(_gap2(*corners) <= eps2)
-            if len(i):
-                found.append((np.full(len(i), a[n]), np.full(len(i), b[n]), [False] * len(i), np.asarray(at["kids_a"][n].values)[i], np.asarray(at["kids_b"][n].values)[j]))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "met", "kid_a", "kid_b"])
+            row = np.repeat(rows, counts[rows])
+            number = np.arange(len(row)) - np.repeat(np.cumsum(counts[rows]) - counts[rows], counts[rows])
+            i, j = first[0][row] + number // sizes[1][row], first[1][row] + number % sizes[1][row]
+            corners = boxes[0][i, 0], boxes[0][i, 1], boxes[1][j, 0], boxes[1][j, 1]
+            sure = _reach2(*corners) <= eps2
+            met = np.zeros(len(counts), bool)
+            met[row[sure]] = True
+            maybe = np.flatnonzero((_gap2(*corners) <= eps2) & ~met[row])
+            hits = np.flatnonzero(met)
+            picked = np.concatenate([hits, row[maybe]])
+            none = np.zeros(len(hits), np.int64)
+            out = [ids[0][picked], ids[1][picked], met[picked], np.concatenate([none, kids[0][i[maybe]]]), np.concatenate([none, kids[1][j[maybe]]])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["a", "b", "met", "kid_a", "kid_b"])
 
 
 class _Grid:
@@ -172,18 +186,19 @@ class _Grid:
         self.d, self.eps2, self.min_samples = d, eps * eps, min_samples
         # A hair finer than needed, so that rounding never puts points of one cell out of reach.
         self.scale = d**0.5 / eps * (1 + 1e-9)
+        low, high = ([f(F.col("x")[i]) for i in range(d)] for f in (F.min, F.max))
+        self.count, self.weight, low, high = points.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0)), F.array(*low), F.array(*high)).first()
+        self.low, self.high = ([0.0] * d, [0.0] * d) if not self.count else (low, high)
         self.points = self._ordered(points)
-        self.weight = self.points.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-        self.cells, self.most = self._cells()
+        self.cells, self.n_cells, self.most = self._cells()
         self.nodes = self._nodes()
         self.near = self._near()
 
     def _ordered(self, points: DataFrame) -> DataFrame:
         """Points with their cell and their place in it, cells along the curve."""
         d, scale = self.d, self.scale
-        ends = points.agg(F.array(*[F.min(F.col("x")[i]) for i in range(d)]), F.array(*[F.max(F.col("x")[i]) for i in range(d)])).first()
-        first = np.floor(np.array(ends[0], float) * scale) if points.take(1) else np.zeros(d)
-        span = np.floor(np.array(ends[1], float) * scale) - first + 1 if points.take(1) else np.ones(d)
+        first = np.floor(np.array(self.low) * scale)
+        span = np.floor(np.array(self.high) * scale) - first + 1
         bits = max(1, 62 // d)
         schema = T.StructType([*points.schema.fields, T.StructField("cell", T.BinaryType()), T.StructField("z", T.LongType())])
 
@@ -201,20 +216,18 @@ class _Grid:
 
         return placed(points.mapInArrow(located, schema), "cell", ["z", "pid"]).drop("z")
 
-    def _cells(self) -> tuple[DataFrame, int]:
-        """``cell, c, lo, hi, weight, lead, total``, numbered along the curve, and the most points of one."""
+    def _cells(self) -> tuple[DataFrame, int, int]:
+        """``cell, c, lo, hi, weight, lead, size``, numbered along the curve, their number and the most points of one."""
         cells = self.points.groupBy("cell").agg(
             *_box(self.d, "x", "x"), F.sum("w").alias("weight"), F.min("first_key").alias("lead"), F.count("*").alias("size")
         )
         cells = placed(materialize(cells.withColumn("_one", F.lit(0))), "_one", ["cell"]).drop("_one", "total").withColumnRenamed("place", "c")
-        cells = materialize(cells)
-        return cells, cells.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+        return cells, *cells.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
 
     def _nodes(self) -> list[DataFrame]:
         """Boxes of each level, ``c, chunk`` and their members; the last level has one box for each cell."""
         sized = self.cells.select("cell", "c", "size", (F.col("weight") >= self.min_samples).alias("heavy"))
-        count = self.points.count()
-        known = join_sized(self.points, sized, ["cell"], "size", count)
+        known = join_sized(self.points, sized, ["cell"], "size", self.count)
         members = known.select("c", "heavy", F.floor(F.col("place") / FAN).alias("chunk"), F.col("pid").alias("kid"), F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("w").alias("weight"))
         levels = [materialize(_packed(members, ["c", "chunk"], "kid", self.d, F.first("heavy").alias("heavy")))]
         most = -(-self.most // FAN)
@@ -228,12 +241,12 @@ class _Grid:
     def _near(self) -> DataFrame:
         """Pairs ``a < b`` of cells whose boxes are within ``eps``, from the tree over cells."""
         level = self.cells.select(F.col("c").alias("kid"), "lo", "hi", "weight")
-        tree, most = [], max(1, self.cells.count())
+        tree, most = [], max(1, self.n_cells)
         while not tree or most > 1:
-            level = materialize(_packed(level.withColumn("n", F.floor(F.col("kid") / FAN)), ["n"], "kid", self.d))
+            level = materialize(_packed(level.withColumn("n", F.floor(F.col("kid") / CELL_FAN)), ["n"], "kid", self.d))
             tree.append(level.select("n", "kids", "boxes"))
             level = level.select(F.col("n").alias("kid"), "lo", "hi", "weight")
-            most = -(-most // FAN)
+            most = -(-most // CELL_FAN)
         pairs = tree[-1].select(F.col("n").alias("a"), F.col("n").alias("b"))
         d, eps2 = self.d, self.eps2
         for depth in reversed(range(len(tree))):
@@ -289,7 +302,7 @@ class _Grid:
 
     def labels(self) -> DataFrame:
         """``x, w, cluster, is_core`` of every point."""
-        sized = materialize(self.cells.select("cell", "c", "size", "lead", F.col("weight").alias("cell_weight")))
+        sized = self.cells.select("cell", "c", "size", "lead", F.col("weight").alias("cell_weight"))
         small = F.col("cell_weight") < self.min_samples
         light = materialize(self.points.select("cell", "pid", "x", "w", "first_key").join(sized.where(small).select("cell", "c", "cell_weight"), "cell").drop("cell"))
         decided = self._core(light)
@@ -315,7 +328,7 @@ class _Grid:
         led = materialize(leads.join(comps, "c"))
         order = running_totals(led.groupBy("component").agg(F.min("lead").alias("lead")), ["lead"], {"cluster": F.lit(1)})
         numbered = materialize(order.select("component", F.col("cluster").cast("int").alias("cluster")))
-        of_cell = materialize(led.join(hinted(numbered), "component").select("c", "cluster"))
+        of_cell = materialize(led.join(numbered, "component").select("c", "cluster"))
 
         # Border points: the lowest-numbered cluster within reach.
         lone = light.join(decided.where("NOT is_core"), "pid").select("pid", "x", "c", "w")
@@ -330,7 +343,7 @@ class _Grid:
         border = lone.join(reached, "pid", "left").select("x", "w", F.coalesce("cluster", no).alias("cluster"), F.lit(False).alias("is_core"))
         inner = core.join(of_cell, "c").select("x", "w", "cluster", F.lit(True).alias("is_core"))
         heavy = materialize(sized.where(~small).join(of_cell, "c").select("cell", "size", "cluster"))
-        dense = join_sized(self.points.select("cell", "x", "w"), heavy, ["cell"], "size", self.weight).select("x", "w", "cluster", F.lit(True).alias("is_core"))
+        dense = join_sized(self.points.select("cell", "x", "w"), heavy, ["cell"], "size", self.count).select("x", "w", "cluster", F.lit(True).alias("is_core"))
         return dense.unionByName(inner).unionByName(border)
 
 

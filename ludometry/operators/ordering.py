@@ -81,10 +81,15 @@ def running_totals(
 ) -> DataFrame:
     """Add, per row, the sum of each expression over all rows ordered before it.
 
-    Windows run over blocks of exactly ``most`` rows in the order of the table.
+    Windows run over blocks of exactly ``most`` rows in the order of the table;
+    a table of no more rows is one block.
     """
     sums = {n: (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}
-    rows = placed(materialize(df.withColumn("_all", F.lit(0))), "_all", order)
+    written = materialize(df.withColumn("_all", F.lit(0)))
+    if written.count() <= most:
+        run = _before(Window.orderBy(*order))
+        return written.select(*df.columns, *[F.coalesce(F.sum(e).over(run), F.lit(0)).alias(n) for n, e in sums.items()])
+    rows = placed(written, "_all", order)
     rows = rows.withColumn("_b", F.floor(F.col("place") / most))
     totals = materialize(rows.groupBy("_b").agg(*[F.sum(e).alias(f"_o_{n}") for n, e in sums.items()]))
     offsets = _offsets(totals, [f"_o_{n}" for n in sums], most)

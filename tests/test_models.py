@@ -317,6 +317,7 @@ def test_dbscan_in_twelve_dimensions(spark):
 def test_dbscan_opens_boxes_level_by_level(spark, monkeypatch):
     """Boxes of four, so cells and trees have several levels; light cells next to heavy ones."""
     monkeypatch.setattr(dbscan, "FAN", 4)
+    monkeypatch.setattr(dbscan, "CELL_FAN", 4)
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 0.15, (150, 2)), rng.normal((1.1, 0), 0.1, (80, 2)), rng.uniform(-2, 3, (150, 2))])
     pdf = pd.DataFrame(x, columns=["a", "b"]).assign(k=np.arange(len(x)))
@@ -368,7 +369,10 @@ def test_dbscan_calls_null_rows_noise(spark):
     assert got == {1: (0, True), 2: (0, True), 3: (-1, False), 4: (-1, False), 5: (-1, False)}
 
 
-def test_components_of_a_shuffled_chain(spark):
+@pytest.mark.parametrize("last", [0, 700, 100_000])
+def test_components_of_a_shuffled_chain(spark, monkeypatch, last):
+    """Contracted to the end, finished by one task after some rounds, and at once."""
+    monkeypatch.setattr(components, "LAST", last)
     ids = np.random.default_rng(1).permutation(5000).tolist()
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     got = components.connected_components(spark.range(5003), edges).collect()
