@@ -19,10 +19,11 @@ import heapq
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ludometry.operators.places import hinted, placed
 from ludometry.session import materialize
 
 #: Nodes of one block; a power of two, so blocks and runs of two never cross.
@@ -71,10 +72,10 @@ def merkle_manifest(docs: DataFrame, key: str, group: str, fields: Sequence[str]
         leaf_digest([F.col(c) for c in fields]).alias("digest"),
         *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)],
     )
-    placed = _placed(materialize(leaves), "_group", ["_key", "digest"])
-    trees = _placed(placed.groupBy("_group").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), "all", ["_group"])
+    placed = placed(materialize(leaves), "_group", ["_key", "digest"])
+    trees = placed(placed.groupBy("_group").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), "all", ["_group"])
     trees = trees.select(F.col("_group").alias("_g"), F.col("place").alias("tree"), F.col("total").alias("n_trees"))
-    nodes = placed.join(_hinted(trees, "tree"), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g", "_group")
+    nodes = placed.join(hinted(trees), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g", "_group")
     lower = _rise(materialize(nodes))
     joined = lower[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("n_trees").alias("total"), "digest")
     upper = _rise(materialize(joined.withColumn("n_trees", F.col("total"))))
@@ -85,30 +86,6 @@ def merkle_manifest(docs: DataFrame, key: str, group: str, fields: Sequence[str]
     return found.select(F.col("_key").alias(key), *carried, F.col("digest").alias("leaf"), "subroot", "root", "proof")
 
 
-def _hinted(trees: DataFrame, column: str) -> DataFrame:
-    """Broadcast a table of few, counted rows; a longer one is joined by Spark's own choice."""
-    return F.broadcast(trees) if trees.select(column).limit(10_001).count() <= 10_000 else trees
-
-
-def _placed(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Rows with ``place`` in the order of their group and the group's ``total``.
-
-    Rows are cut into ranges of the whole order, so a group that holds most
-    rows lies in many ranges; a range and a group together are one row of the
-    table of offsets.
-    """
-    by = [F.col(c).asc_nulls_first() for c in (group, *order)]
-    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    ranged = materialize(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    spans = ranged.groupBy(F.col(group).alias("_of"), F.col("_range").alias("_in")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_of")
-    spans = spans.select("_of", "_in", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("total"))
-    same = F.col(group).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in"))
-    found = ranged.join(_hinted(spans, "_in"), same).withColumn("place", F.col("_before") + F.col("_at") - F.col("_first"))
-    return found.drop("_range", "_at", "_of", "_in", "_first", "_before")
-
-
 def _levels(total: int) -> int:
     """Levels that one round climbs: a whole block, or to the root of a tree within one block."""
     return BLOCK.bit_length() - 1 if total > BLOCK else (total - 1).bit_length()
