@@ -50,7 +50,7 @@ def fold_proof(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, step)
 
 
-def merkle_manifest(docs: DataFrame, key: str, group: str, fields: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def merkle_manifest(docs: DataFrame, key: str, group: str, fields: Sequence[str], carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: key, ``carry``, ``leaf``, ``subroot``, ``root``, ``proof``.
 
     Leaves of one ``group`` ascend by key (null first; rows of one key by
@@ -64,7 +64,8 @@ def merkle_manifest(docs: DataFrame, key: str, group: str, fields: Sequence[str]
     Null fields, null keys, null groups and empty texts have a defined digest.
     An empty table gives no rows. Other columns of ``docs`` are left out, so
     their names cannot clash; a ``carry`` column must not be named like a result.
-    Texts are read once and only their digests travel.
+    Texts are read once and only their digests travel. ``block``, a power of
+    two, is the number of neighbouring nodes that one task sweeps.
     """
     leaves = docs.select(
         F.col(group).cast("string").alias("_group"),
@@ -72,45 +73,45 @@ def merkle_manifest(docs: DataFrame, key: str, group: str, fields: Sequence[str]
         leaf_digest([F.col(c) for c in fields]).alias("digest"),
         *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)],
     )
-    placed = placed(materialize(leaves), "_group", ["_key", "digest"])
-    trees = placed(placed.groupBy("_group").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), "all", ["_group"])
+    ranked = placed(materialize(leaves), "_group", ["_key", "digest"])
+    trees = placed(ranked.groupBy("_group").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), "all", ["_group"])
     trees = trees.select(F.col("_group").alias("_g"), F.col("place").alias("tree"), F.col("total").alias("n_trees"))
-    nodes = placed.join(hinted(trees), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g", "_group")
-    lower = _rise(materialize(nodes))
+    nodes = ranked.join(hinted(trees), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g", "_group")
+    lower = _rise(materialize(nodes), block)
     joined = lower[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("n_trees").alias("total"), "digest")
-    upper = _rise(materialize(joined.withColumn("n_trees", F.col("total"))))
+    upper = _rise(materialize(joined.withColumn("n_trees", F.col("total"))), block)
     start = upper[-1].select("tree", "place", F.array().cast("array<string>").alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    tops = _deliver(upper, start).select(F.col("place").alias("tree"), F.lit(0).cast("long").alias("place"), "proof", F.col("digest").alias("subroot"), "root")
-    found = _deliver(lower, tops)
+    tops = _deliver(upper, start, block).select(F.col("place").alias("tree"), F.lit(0).cast("long").alias("place"), "proof", F.col("digest").alias("subroot"), "root")
+    found = _deliver(lower, tops, block)
     carried = [F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)]
     return found.select(F.col("_key").alias(key), *carried, F.col("digest").alias("leaf"), "subroot", "root", "proof")
 
 
-def _levels(total: int) -> int:
+def _levels(total: int, block: int) -> int:
     """Levels that one round climbs: a whole block, or to the root of a tree within one block."""
-    return BLOCK.bit_length() - 1 if total > BLOCK else (total - 1).bit_length()
+    return block.bit_length() - 1 if total > block else (total - 1).bit_length()
 
 
-def _rise(nodes: DataFrame) -> list[DataFrame]:
+def _rise(nodes: DataFrame, block: int) -> list[DataFrame]:
     """The nodes of each round; the last has one row for each tree. The first round always runs."""
     rounds = [nodes]
     most = nodes.agg(F.max("total")).first()[0] or 0
     schema = f"{_NODE}, n_trees long"
     while True:
-        blocks = rounds[-1].select("tree", F.floor(F.col("place") / BLOCK).alias("block"), "place", "total", "digest", "n_trees")
-        rounds.append(materialize(blocks.groupBy("tree", "block").applyInArrow(_top_of_block, schema)))
-        most = -(-most // BLOCK)
+        blocks = rounds[-1].select("tree", F.floor(F.col("place") / block).alias("block"), "place", "total", "digest", "n_trees")
+        rounds.append(materialize(blocks.groupBy("tree", "block").applyInArrow(lambda t: _top_of_block(t, block), schema)))
+        most = -(-most // block)
         if most <= 1:
             return rounds
 
 
-def _deliver(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def _deliver(rounds: list[DataFrame], above: DataFrame, block: int) -> DataFrame:
     """The nodes of the first round with the steps above them, from those of each tree's top."""
     for nodes in reversed(rounds[:-1]):
         schema = T.StructType([*nodes.schema.fields, *_ABOVE])
-        blocks = nodes.withColumn("block", F.floor(F.col("place") / BLOCK))
+        blocks = nodes.withColumn("block", F.floor(F.col("place") / block))
         tops = above.select("tree", F.col("place").alias("block"), "proof", "subroot", "root")
-        above = blocks.groupBy("tree", "block").cogroup(tops.groupBy("tree", "block")).applyInArrow(_steps_of_block, schema)
+        above = blocks.groupBy("tree", "block").cogroup(tops.groupBy("tree", "block")).applyInArrow(lambda t, a: _steps_of_block(t, a, block), schema)
         if nodes is not rounds[0]:
             above = materialize(above)
     return above
@@ -154,19 +155,19 @@ def _sweep_down(seen: dict[tuple[int, int], str], levels: int, above: list[str])
     return [found[i] for i in range(len(found))]
 
 
-def _top_of_block(nodes: pa.Table) -> pa.Table:
+def _top_of_block(nodes: pa.Table, block: int) -> pa.Table:
     nodes = nodes.sort_by("place")
     total = nodes["total"][0].as_py()
-    levels = _levels(total)
+    levels = _levels(total, block)
     top = _sweep_up(nodes["digest"].to_pylist(), levels)[levels, 0]
-    one = {"tree": nodes["tree"][0].as_py(), "place": nodes["block"][0].as_py(), "total": -(-total // BLOCK), "digest": top, "n_trees": nodes["n_trees"][0].as_py()}
+    one = {"tree": nodes["tree"][0].as_py(), "place": nodes["block"][0].as_py(), "total": -(-total // block), "digest": top, "n_trees": nodes["n_trees"][0].as_py()}
     kinds = pa.schema([(n, pa.string() if n == "digest" else pa.int64()) for n in one])
     return pa.Table.from_pylist([one], schema=kinds)
 
 
-def _steps_of_block(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _steps_of_block(nodes: pa.Table, above: pa.Table, block: int) -> pa.Table:
     nodes = nodes.drop_columns(["block"]).sort_by("place")
-    levels = _levels(nodes["total"][0].as_py())
+    levels = _levels(nodes["total"][0].as_py(), block)
     steps = _sweep_down(_sweep_up(nodes["digest"].to_pylist(), levels), levels, above["proof"][0].as_py())
     out = nodes.append_column("proof", pa.array(steps, pa.list_(pa.string())))
     for name in ("subroot", "root"):

@@ -8,7 +8,6 @@ from zlib import crc32
 import pytest
 from pyspark.sql import functions as F
 
-from ludometry.llm import merkle
 from ludometry.llm.merkle import fold_proof, leaf_digest, merkle_manifest
 from ludometry.llm.spelling import _keys, _long_keys, spelling_variants, spelling_words
 from ludometry.operators import places
@@ -74,11 +73,11 @@ def rows_of(n, langs=("de", "en", "", None, "ä", "z")):
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
 
 
-def manifest(spark, rows):
+def manifest(spark, rows, **kw):
     df = spark.createDataFrame([tuple(r[f] for f in FIELDS) for r in rows], SCHEMA)
     for clash in ("leaf", "proof", "root", "subroot", "place", "total", "digest", "tree", "block", "_key"):
         df = df.withColumn(clash, F.lit("clash"))
-    return merkle_manifest(df, "doc_id", "lang", FIELDS)
+    return merkle_manifest(df, "doc_id", "lang", FIELDS, **kw)
 
 
 def as_rows(df):
@@ -87,13 +86,12 @@ def as_rows(df):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 60])
 @pytest.mark.parametrize("block", [2, 8, 4096])
-def test_manifest_against_brute_force(spark, monkeypatch, n, block):
+def test_manifest_against_brute_force(spark, n, block):
     """Small blocks, so trees take several rounds and end in blocks of any size."""
     if block < 4096 and n < 60:
         pytest.skip("one block in any case")
-    monkeypatch.setattr(merkle, "BLOCK", block)
     rows = rows_of(n)
-    got = as_rows(manifest(spark, rows))
+    got = as_rows(manifest(spark, rows, block=block))
     assert got == sorted(brute_manifest(rows), key=str)
 
 
