@@ -223,3 +223,28 @@ def conversion_drivers(
     return coefs.select(
         "feature", "coefficient", F.exp("coefficient").alias("odds_ratio"), "accuracy"
     ).orderBy(F.desc("coefficient"))
+
+
+def driver_terms(
+    df: DataFrame, features: Sequence[str], intercept: float, beta: Sequence[float], target: str = "is_payer", c: float = 1.0
+) -> DataFrame:
+    """``term, value``: the penalised log likelihood of ``conversion_drivers`` and its slopes, at given coefficients.
+
+    One aggregate over the rows. The intercept is not penalised.
+    """
+    data = select_features(df, features, keep=[target])
+    z = F.lit(float(intercept))
+    for name, b in zip(features, beta):
+        z = z + F.col(name) * F.lit(float(b))
+    y = F.col(target).cast("double")
+    gap = y - 1 / (1 + F.exp(-z))
+    # ln(1 + e^z) without overflow.
+    value = y * z - F.greatest(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))
+    row = data.agg(
+        (F.sum(value) - F.lit(sum(b * b for b in beta) / (2 * c))).alias("log_likelihood"),
+        F.sum(gap).alias("intercept"),
+        *[(F.sum(gap * F.col(name)) - F.lit(b / c)).alias(f"_{i}") for i, (name, b) in enumerate(zip(features, beta))],
+    )
+    named = [("log_likelihood", "log_likelihood"), ("intercept", "intercept"), *((name, f"_{i}") for i, name in enumerate(features))]
+    terms = F.array(*[F.struct(F.lit(n).alias("term"), F.col(c).alias("value")) for n, c in named])
+    return row.select(F.inline(terms))

@@ -156,3 +156,22 @@ def conversion_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric = ["tutorial_completed", "d1_retained", "fb_connected", "total_sessions", "max_stage_reached"]
     wide, names = ops.driver_features(retail.players_untiered(spark, sf_dir), encode=("platform",), numeric=numeric)
     return ops.conversion_drivers(wide, names)
+
+
+_DRIVERS = {"fb_connected": 0.3, "tutorial_completed": -0.2, "total_sessions": 0.01}
+_DRIVER_Z = " + ".join(["-0.5", *(f"{b} * {c}" for c, b in _DRIVERS.items())])
+
+
+@query(
+    "driver_terms",
+    PLAYERS
+    + f""",
+ u AS (SELECT *, {_DRIVER_Z} AS z, is_payer - 1 / (1 + exp(-({_DRIVER_Z}))) AS gap FROM players)
+ SELECT 'log_likelihood' AS term, round(sum(is_payer * z - ln(1 + exp(z))) - {sum(b * b for b in _DRIVERS.values()) / 2}, 4) AS value FROM u
+ UNION ALL SELECT 'intercept', round(sum(gap), 4) FROM u
+ """
+    + " ".join(f"UNION ALL SELECT '{c}', round(sum(gap * {c}) - {b}, 4) FROM u" for c, b in _DRIVERS.items()),
+)
+def driver_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of the conversion drivers and its slopes at fixed coefficients."""
+    return tidy(ops.driver_terms(retail.players_untiered(spark, sf_dir), list(_DRIVERS), -0.5, list(_DRIVERS.values())), 4)

@@ -104,6 +104,51 @@ def cox_null_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(spark.createDataFrame(rows, "term string, value double"), 4)
 
 
+_BETAS = [[0.02, -0.3], [-0.05, 0.4]]
+
+
+def _cox_sql(no: int, b1: float, b2: float) -> str:
+    return f"""
+ u{no} AS (
+  SELECT greatest(last_active_date - install_date, 1) AS t, churned_d7 AS e, total_sessions AS x1, is_payer AS x2,
+   exp({b1} * total_sessions + {b2} * is_payer) AS r FROM players),
+ days{no} AS (
+  SELECT t, sum(e) AS d, sum(e * x1) AS f1, sum(e * x2) AS f2, sum(r) AS s0, sum(r * x1) AS s1, sum(r * x2) AS s2,
+   sum(e * r) AS t0, sum(e * r * x1) AS t1, sum(e * r * x2) AS t2 FROM u{no} GROUP BY t),
+ risk{no} AS (
+  SELECT * REPLACE (sum(s0) OVER w AS s0, sum(s1) OVER w AS s1, sum(s2) OVER w AS s2) FROM days{no}
+  WINDOW w AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ ties{no} AS (SELECT *, unnest(range(d::BIGINT)) / d AS l FROM risk{no} WHERE d > 0),
+ sums{no} AS (
+  SELECT sum(ln(s0 - l * t0)) AS logs, sum((s1 - l * t1) / (s0 - l * t0)) AS g1, sum((s2 - l * t2) / (s0 - l * t0)) AS g2 FROM ties{no}),
+ terms{no} AS (
+  SELECT {no}::BIGINT AS beta_no, unnest([('log_likelihood', {b1} * f1 + {b2} * f2 - logs), ('total_sessions', f1 - g1), ('is_payer', f2 - g2)]) AS v
+  FROM (SELECT sum(f1) AS f1, sum(f2) AS f2 FROM days{no}), sums{no})"""
+
+
+@query(
+    "cox_terms",
+    PLAYERS
+    + "".join("," + _cox_sql(i, *b) for i, b in enumerate(_BETAS))
+    + " UNION ALL".join(f" SELECT beta_no, v[1] AS term, round(v[2], 4) AS value FROM terms{i}" for i in range(len(_BETAS))),
+)
+def cox_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Efron log likelihood and gradient of the Cox model at two sets of coefficients."""
+    units = materialize(_lifetimes(spark, sf_dir))
+    rows = []
+    for i, beta in enumerate(_BETAS):
+        ll, gradient = survival.cox_terms(units, "lifetime", "churned_d7", _NULL_COVARIATES, beta)
+        rows += [(i, "log_likelihood", ll), *((i, c, float(g)) for c, g in zip(_NULL_COVARIATES, gradient))]
+    return tidy(spark.createDataFrame(rows, "beta_no int, term string, value double"), 4)
+
+
+@query("cox_stationary", PLAYERS + f" SELECT {len(COX_COVARIATES)}::BIGINT AS covariates, 0::BIGINT AS sloped FROM (SELECT count(*) FROM players)")
+def cox_stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariates of the fitted Cox model whose slope is not zero."""
+    model = survival.cox_ph(_lifetimes(spark, sf_dir), "lifetime", "churned_d7", COX_COVARIATES)
+    return tidy(spark.createDataFrame([(len(model.covariates), sum(abs(g) > 1e-6 for g in model.gradient.tolist()))], "covariates int, sloped int"))
+
+
 @query(
     "concordance",
     PLAYERS
@@ -220,6 +265,57 @@ def gamma_gamma_clv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ltv.clv_averages(scored, "predicted_clv")
 
 
+_STEP = 1e-5
+_BG = {"r": 0.8, "alpha": 40.0, "a": 0.9, "b": 2.5}
+_GG = {"p": 2.0, "q": 3.0, "v": 50000.0}
+
+
+def _bg_sql(r: float, alpha: float, a: float, b: float) -> str:
+    alive = f"(-({r} + x) * ln({alpha} + t))"
+    gone = f"(ln({a}) - ln({b} + x - 1) - ({r} + x) * ln({alpha} + tx))"
+    return (
+        f"sum(lgamma({r} + x) - lgamma({r}) + {r} * ln({alpha}) + lgamma({b} + x) - lgamma({b}) - lgamma({a} + {b} + x) + lgamma({a} + {b})"
+        f" + greatest({alive}, {gone}) + ln(1 + exp(-abs({alive} - {gone}))))"
+    )
+
+
+def _gg_sql(p: float, q: float, v: float) -> str:
+    return (
+        f"sum(lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v}) + ({p} * x - 1) * ln(m) + {p} * x * ln(x)"
+        f" - ({p} * x + {q}) * ln(x * m + {v}))"
+    )
+
+
+def _slopes_sql(text, at: dict[str, float]) -> str:
+    """The value, and central differences by each parameter."""
+    rows = [f"SELECT 'log_likelihood' AS term, round({text(**at)}, 3) AS value FROM u"]
+    for name, value in at.items():
+        h = _STEP * max(1.0, value)
+        up, down = (text(**{**at, name: value + s * h}) for s in (1, -1))
+        rows.append(f"SELECT '{name}', round(({up} - {down}) / {2 * h}, 3) FROM u")
+    return " UNION ALL ".join(rows)
+
+
+_UNITS_SQL = TXNS + _SUMMARY + ", u AS (SELECT frequency::DOUBLE AS x, recency::DOUBLE AS tx, T::DOUBLE AS t, monetary AS m FROM summary) "
+
+
+def _terms_table(spark: SparkSession, names, value: float, gradient) -> DataFrame:
+    rows = [("log_likelihood", value), *zip(names, map(float, gradient))]
+    return tidy(spark.createDataFrame(rows, "term string, value double"), 3)
+
+
+@query("bgnbd_terms", _UNITS_SQL + _slopes_sql(_bg_sql, _BG))
+def bgnbd_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of the purchase model and its slopes at fixed parameters."""
+    return _terms_table(spark, _BG, *clv.bgnbd_terms(_summary(spark, sf_dir), **_BG))
+
+
+@query("gamma_gamma_terms", _UNITS_SQL + _slopes_sql(_gg_sql, _GG))
+def gamma_gamma_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of the spend model and its slopes at fixed parameters."""
+    return _terms_table(spark, _GG, *clv.gamma_gamma_terms(_summary(spark, sf_dir), **_GG))
+
+
 LTV_FEATURES = [f for f in ltv.LTV_FEATURES if f != "age"]
 
 
@@ -250,6 +346,52 @@ def ltv_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_horizon({d: ltv.feature_importance(spark, model, names) for d, (model, _, names) in found.items()})
 
 
+_STUMP_FEATURES = ["d1_retained", "d30_retained", "d7_retained", "fb_connected", "tutorial_completed"]
+_STUMP = (
+    BOTH
+    + """,
+ y AS (
+  SELECT p.player_id, any_value(fb_connected) AS fb_connected, any_value(tutorial_completed) AS tutorial_completed,
+   any_value(d1_retained) AS d1_retained, any_value(d7_retained) AS d7_retained, any_value(d30_retained) AS d30_retained,
+   coalesce(sum(price_usd) FILTER (WHERE transaction_date - install_date <= 90), 0) AS y
+  FROM players p LEFT JOIN transactions t ON t.player_id = p.player_id WHERE is_payer = 1 GROUP BY p.player_id),
+ long AS ("""
+    + " UNION ALL ".join(f"SELECT player_id, y, {i} AS no, '{f}' AS feature, {f} AS x FROM y" for i, f in enumerate(_STUMP_FEATURES))
+    + """),
+ sides AS (SELECT no, feature, x, count(*) AS n, avg(y) AS m FROM long WHERE player_id % 5 <> 0 GROUP BY ALL),
+ best AS (SELECT no, feature FROM sides GROUP BY ALL HAVING count(*) = 2 ORDER BY sum(n * m * m) DESC, no LIMIT 1)"""
+)
+
+
+def _stump(spark: SparkSession, sf_dir: str):
+    """One split, whose place both engines can work out: the feature that leaves the least variance."""
+    players = retail.players_untiered(spark, sf_dir)
+    targets = ltv.horizon_ltv(retail.transactions(spark, sf_dir), players)
+    held = F.col("player_id") % 5 == 0
+    return ltv.ltv_model(
+        players.join(targets, "player_id"), "ltv_90d", _STUMP_FEATURES, trees=1, depth=1,
+        params={"maxBins": 32}, split=lambda data, key: (data.where(~held), data.where(held)),
+    )
+
+
+@query(
+    "ltv_stump",
+    _STUMP
+    + """,
+ pred AS (SELECT l.player_id, y, m FROM long l JOIN best b ON b.no = l.no JOIN sides s ON s.no = l.no AND s.x = l.x WHERE l.player_id % 5 = 0)
+ SELECT player_id, round(y, 4) AS label, round(m, 4) AS prediction FROM pred""",
+)
+def ltv_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out predictions of the LTV regression with a single split."""
+    return tidy(_stump(spark, sf_dir)[1], 4)
+
+
+@query("ltv_stump_importance", _STUMP + " SELECT DISTINCT l.feature, CASE WHEN l.no = b.no THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance FROM long l, best b")
+def ltv_stump_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _, names = _stump(spark, sf_dir)
+    return tidy(ltv.feature_importance(spark, model, names))
+
+
 @query(
     "regression_metrics",
     PLAYERS

@@ -74,6 +74,65 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STEP_FEATURES = ["total_sessions", "days_active", "max_stage_reached"]
+_GAP = " + ".join(f"(z.z{i} - c.z{i}) * (z.z{i} - c.z{i})" for i in range(3))
+
+
+def _steps_sql(steps: int) -> str:
+    """K-Means steps from the rows of the three smallest keys; ``a`` and ``c`` are the last assignment and centres."""
+    scaled = ", ".join(f"(coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / stddev_pop(coalesce({c}, 0)) OVER () AS z{i}" for i, c in enumerate(_STEP_FEATURES))
+    text = f""",
+ z AS MATERIALIZED (SELECT player_id, {scaled} FROM players),
+ c0 AS (SELECT row_number() OVER (ORDER BY player_id) - 1 AS k, z0, z1, z2 FROM z QUALIFY k < 3)"""
+    for i in range(steps + 1):
+        text += f""",
+ a{i} AS MATERIALIZED (SELECT z.*, c.k, {_GAP} AS gap FROM z, c{i} c QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY gap, c.k) = 1),
+ c{i + 1} AS MATERIALIZED (SELECT k, avg(z0) AS z0, avg(z1) AS z1, avg(z2) AS z2 FROM a{i} GROUP BY k)"""
+    return text
+
+
+def _stepped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, clustering.KMeansFit]:
+    data = materialize(clustering.standard_vectors(retail.players_untiered(spark, sf_dir), _STEP_FEATURES, ["player_id"]))
+    starts = [r["features"].toArray() for r in data.orderBy("player_id").limit(3).collect()]
+    return data, clustering.lloyd(data, [starts], max_iter=3)[0]
+
+
+@query(
+    "kmeans_steps",
+    PLAYERS
+    + _steps_sql(3)
+    + " SELECT k, round(z0, 6) AS z0, round(z1, 6) AS z1, round(z2, 6) AS z2, (SELECT round(sum(gap), 4) FROM a3) AS inertia FROM c3",
+)
+def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres after three K-Means steps from given ones, and the inertia at them."""
+    _, fit = _stepped(spark, sf_dir)
+    rows = [(k, *map(float, c), fit.cost) for k, c in enumerate(fit.centres)]
+    return tidy(spark.createDataFrame(rows, "k int, z0 double, z1 double, z2 double, inertia double"), inertia=4)
+
+
+@query(
+    "kmeans_silhouette",
+    PLAYERS
+    + _steps_sql(3)
+    + """,
+ s AS MATERIALIZED (SELECT * FROM a3 ORDER BY md5(player_id::VARCHAR) LIMIT 400),
+ sums AS (
+  SELECT z.player_id, z.k AS own, c.k, sum(sqrt("""
+    + _GAP
+    + """)) AS s, count(*) AS n FROM s z, s c GROUP BY ALL),
+ v AS (
+  SELECT player_id, max(s / greatest(n - 1, 1)) FILTER (WHERE k = own) AS a, min(s / n) FILTER (WHERE k <> own) AS b,
+   max(n) FILTER (WHERE k = own) AS m FROM sums GROUP BY player_id)
+ SELECT count(*) AS n, round(avg(CASE WHEN m > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM v""",
+)
+def kmeans_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Euclidean silhouette of those clusters within a sample of 400 rows."""
+    data, fit = _stepped(spark, sf_dir)
+    rows = clustering.hashed_rows(data, "player_id")
+    (value,) = clustering.silhouettes(rows, [fit], sample=400)
+    return tidy(spark.createDataFrame([(min(400, data.count()), value)], "n long, silhouette double"))
+
+
 @query(
     "pca_moments",
     PLAYERS + " SELECT count(*) AS n, 0.0 AS covariance, 0.0 AS share_gap_1, 0.0 AS share_gap_2 FROM players",
@@ -341,3 +400,60 @@ def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explain_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, data, names = _trained(spark, sf_dir)
     return attribution.explain_top(churn.score(data, model), model, names)
+
+
+_STUMP_FEATURES = ["d1_retained", "d30_retained", "d7_retained", "fb_connected", "is_payer", "tutorial_completed"]
+_STUMP = (
+    PLAYERS
+    + """,
+ w AS (
+  SELECT *, 2.0 * churned_d7 - 1 AS y,
+   CASE WHEN churned_d7 = 1 THEN (SELECT count(*) FILTER (WHERE churned_d7 = 0) / count(*) FILTER (WHERE churned_d7 = 1) FROM players) ELSE 1.0 END AS w
+  FROM players),
+ long AS ("""
+    + " UNION ALL ".join(f"SELECT player_id, y, w, {i} AS no, '{f}' AS feature, {f} AS x FROM w" for i, f in enumerate(_STUMP_FEATURES))
+    + """),
+ sides AS (SELECT no, feature, x, sum(w) AS n, sum(w * y) / sum(w) AS m FROM long GROUP BY ALL),
+ best AS (SELECT no, feature, sum(n * m) / sum(n) AS base FROM sides GROUP BY ALL HAVING count(*) = 2 ORDER BY sum(n * m * m) DESC, no LIMIT 1),
+ scored AS (
+  SELECT l.player_id, l.feature, l.x, 1 / (1 + exp(-2 * s.m)) AS p, 2 * (s.m - b.base) AS phi
+  FROM long l JOIN best b ON b.no = l.no JOIN sides s ON s.no = l.no AND s.x = l.x)"""
+)
+
+
+def _stump(spark: SparkSession, sf_dir: str):
+    """One split, whose place both engines can work out: the feature that leaves the least weighted variance."""
+    data, names = churn.churn_frame(retail.players_untiered(spark, sf_dir), _STUMP_FEATURES)
+    data = materialize(data)
+    return churn.train_churn(data, trees=1, depth=1, params={"maxBins": 32}), data, names
+
+
+@query(
+    "churn_stump",
+    _STUMP
+    + """
+ SELECT player_id, round(p, 6) AS churn_probability,
+  CASE WHEN p <= 0 THEN NULL WHEN p <= 0.3 THEN 'Low' WHEN p <= 0.6 THEN 'Medium' WHEN p <= 0.8 THEN 'High' ELSE 'Critical' END AS churn_risk
+ FROM scored""",
+)
+def churn_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and bands of the weighted churn classifier with a single split."""
+    model, data, _ = _stump(spark, sf_dir)
+    return tidy(churn.with_risk(churn.score(data, model)).select("player_id", "churn_probability", "churn_risk"))
+
+
+@query(
+    "explain_stump",
+    _STUMP
+    + f""",
+ top AS (SELECT * FROM scored ORDER BY round(p, 9) DESC, player_id LIMIT 3),
+ reasons AS (
+  SELECT t.player_id, t.p, l.feature, CASE WHEN l.feature = t.feature THEN t.phi ELSE 0.0 END AS phi, l.x
+  FROM top t JOIN long l ON l.player_id = t.player_id)
+ SELECT player_id, round(p, 6) AS churn_probability, row_number() OVER (PARTITION BY player_id ORDER BY abs(phi) DESC, feature) AS reason_no,
+  feature, round(phi, 6) AS attribution, x::DOUBLE AS value FROM reasons QUALIFY reason_no <= 3""",
+)
+def explain_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest scores of that classifier and the reasons for them."""
+    model, data, names = _stump(spark, sf_dir)
+    return tidy(attribution.explain_top(churn.score(data, model), model, names))
