@@ -19,6 +19,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ludometry.session import materialize
+
 #: Licence and a header or opening sentence of it.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -87,10 +89,15 @@ def scan_licenses(docs: DataFrame, path: str = "path", text: str = "text", templ
         near.setdefault(sum(c.values()), set()).update(_anchors(c, known, threshold))
     gate = _gate(set().union(*near.values(), *(_anchors(c, weights, threshold) for c in tf)))
     base = docs.withColumn(path, F.coalesce(F.col(path).cast("string"), F.lit("")))
-    some = base.where(F.col(text).rlike(gate)).select(F.col(path).alias("__path"), F.monotonically_increasing_id().alias("__row"), F.split(text, "\n").alias("__lines"))
+    # Written, since parts and whole texts are both read from them: all texts meet the gate once.
+    named = F.element_at(F.split(path, "/"), -1).rlike(FILE_NAMES)
+    met = base.select(F.col(path).alias("__path"), F.col(text).alias("__text"), named.alias("__named"), F.coalesce(F.col(text).rlike(gate), F.lit(False)).alias("__met"))
+    gated = materialize(met.where("__text IS NOT NULL AND (__named OR __met)").withColumn("__row", F.monotonically_increasing_id()))
+    some = gated.where("__met").select("__path", "__row", F.split("__text", "\n").alias("__lines"))
     parts = some.select("__path", "__row", F.size(_tokens(F.array_join("__lines", "\n"))).alias("__words"), F.explode(F.concat(_whole_lines(F.col("__lines"), line_gate), _runs(F.col("__lines"), near))).alias("p"))
-    parts = parts.select("__path", "__row", "__words", F.col("p.line").alias("__line"), F.col("p.start").alias("start"), F.col("p.at").alias("at"), F.col("p.start").isNull().alias("__as_line"))
-    distinct = parts.select("__line", "__as_line").distinct()
+    # Written, since scores and places are both read from them: texts are cut into parts once.
+    parts = materialize(parts.select("__path", "__row", "__words", F.col("p.line").alias("__line"), F.col("p.start").alias("start"), F.col("p.at").alias("at"), F.col("p.start").isNull().alias("__as_line")))
+    distinct = materialize(parts.select("__line", "__as_line").distinct())
     scored = _best_template(distinct.where("__as_line").select("__line"), tf, [n for n, _ in templates], weights, other, threshold).withColumn("__as_line", F.lit(True)).unionByName(
         _best_template(distinct.where("NOT __as_line").select("__line"), runs_tf, [n for n, _ in [*templates, *headers]], known, other, threshold).withColumn("__as_line", F.lit(False))
     )
@@ -101,24 +108,24 @@ def scan_licenses(docs: DataFrame, path: str = "path", text: str = "text", templ
         .groupBy("__path")
         .agg(F.min("b").alias("best"), (F.sum("n") / F.max("__words")).alias("share"))
     )
-    own = part_own.join(_whole(base, path, text, gate, whole_tf, [n for n, _ in texts], known, other, threshold), "__path", "full")
-    own = own.select("__path", F.coalesce("whole.l", "best.l").alias("__own"), (-F.coalesce("whole.s", "best.s")).alias("__score"), F.when(F.col("whole").isNotNull(), 1.0).otherwise(F.col("share")).alias("share"))
+    own = part_own.join(_whole(gated, whole_tf, [n for n, _ in texts], known, other, threshold), "__path", "full")
+    own = materialize(own.select("__path", F.coalesce("whole.l", "best.l").alias("__own"), (-F.coalesce("whole.s", "best.s")).alias("__score"), F.when(F.col("whole").isNotNull(), 1.0).otherwise(F.col("share")).alias("share")))
     name = F.element_at(F.split("__path", "/"), -1)
     parent = F.regexp_replace("__path", "/?[^/]*$", "")
     licensed = own.where(name.rlike(FILE_NAMES) | (F.col("share") >= file_share)).groupBy(parent.alias("up")).agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__own").alias("l"))).alias("b"))
     licensed = licensed.select("up", F.col("b.l").alias("dir_licence"), (-F.col("b.s")).alias("dir_score"))
     rows = base.drop(text, "licence", "via", "score", "licence_dir").withColumn("__path", F.col(path)).withColumn("__dir", parent)
     above = rows.select("__dir").distinct().withColumn("up", F.explode(_ancestors(F.col("__dir"))))
-    nearest = above.join(licensed, "up").groupBy("__dir").agg(F.max(F.struct(F.length("up").alias("d"), F.col("up").alias("u"), F.col("dir_licence").alias("l"), F.col("dir_score").alias("s"))).alias("near"))
+    nearest = above.join(licensed, "up").groupBy("__dir").agg(F.max(F.struct(F.length("up").alias("d"), F.col("up").alias("u"), F.col("dir_licence").alias("l"), F.col("dir_score").alias("s"))).alias("__near"))
     out = rows.join(own.drop("share"), "__path", "left").join(nearest, "__dir", "left")
     return out.withColumns(
         {
-            "licence": F.coalesce("__own", "near.l"),
-            "via": F.when(F.col("__own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited"),
-            "score": F.coalesce("__score", "near.s"),
-            "licence_dir": F.when(F.col("__own").isNull(), F.col("near.u")),
+            "licence": F.coalesce("__own", "__near.l"),
+            "via": F.when(F.col("__own").isNotNull(), "own").when(F.col("__near").isNotNull(), "inherited"),
+            "score": F.coalesce("__score", "__near.s"),
+            "licence_dir": F.when(F.col("__own").isNull(), F.col("__near.u")),
         }
-    ).drop("__path", "__dir", "__own", "__score", "near")
+    ).drop("__path", "__dir", "__own", "__score", "__near")
 
 
 def _counted(body: str) -> Counter:
@@ -176,10 +183,9 @@ def _held(matches: Column) -> Column:
     return lines + F.aggregate(runs, first, step, lambda held: held.total + held.rest)
 
 
-def _whole(base: DataFrame, path: str, text: str, gate: str, tf: Sequence[Counter], names: Sequence[str], weights: dict[str, float], other: float, threshold: float) -> DataFrame:
+def _whole(gated: DataFrame, tf: Sequence[Counter], names: Sequence[str], weights: dict[str, float], other: float, threshold: float) -> DataFrame:
     """``(__path, whole)``: the licence in full that is nearest to a text, if it reaches the threshold."""
-    name = F.element_at(F.split(path, "/"), -1)
-    texts = base.where(F.col(text).isNotNull() & (name.rlike(FILE_NAMES) | F.col(text).rlike(gate))).select(F.col(path).alias("__path"), F.sha2(text, 256).alias("__line"), _tokens(F.col(text)).alias("__tokens"))
+    texts = gated.select("__path", F.sha2("__text", 256).alias("__line"), _tokens(F.col("__text")).alias("__tokens"))
     counted = texts.select("__line", "__tokens").dropDuplicates(["__line"])
     best = _best_template(counted, tf, names, weights, other, threshold, F.col("__tokens"))
     return texts.select("__path", "__line").join(best, "__line").groupBy("__path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("l"))).alias("whole"))
@@ -210,7 +216,7 @@ def _best_template(lines: DataFrame, tf: Sequence[Counter], names: Sequence[str]
     own = spark.createDataFrame([(t, k, names[k], n * weights[t] ** 2, norms[k]) for k, c in enumerate(tf) for t, n in c.items()], "t string, k int, licence string, w double, norm double")
     idf = spark.createDataFrame(list(weights.items()), "t string, idf double")
     counted = lines.select("__line", F.explode(_tokens(F.col("__line")) if tokens is None else tokens).alias("t")).groupBy("__line", "t").count()
-    counted = counted.join(F.broadcast(idf), "t", "left")
+    counted = materialize(counted).join(F.broadcast(idf), "t", "left")
     size = counted.groupBy("__line").agg(F.sum(F.pow(F.col("count") * F.coalesce("idf", F.lit(other)), 2)).alias("norm_line"), F.sum("count").alias("n"))
     dots = counted.where("idf IS NOT NULL").join(F.broadcast(own), "t").groupBy("__line", "k", "licence", "norm").agg(F.sum(F.col("count") * F.col("w")).alias("dot"))
     scored = dots.join(size, "__line").withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("norm_line")), 6)).where(F.col("score") >= threshold)

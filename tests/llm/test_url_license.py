@@ -57,9 +57,9 @@ def test_licences_inherit_from_the_nearest_directory(spark):
         ("r.py", None),
         (None, ""),
     ]
-    docs = spark.createDataFrame([(p, t, "clash") for p, t in rows], "path string, text string, licence string")
+    docs = spark.createDataFrame([(p, t, "clash", "clash", "clash") for p, t in rows], "path string, text string, licence string, near string, best string")
     got = scan_licenses(docs).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and {(r.near, r.best) for r in got} == {("clash", "clash")}
     found = {r.path: (r.licence, r.via, r.licence_dir) for r in got}
     assert found == {
         "a/LICENSE": ("MIT", "own", None),
