@@ -10,15 +10,16 @@ bucketed by block id, so answers join them without moving the texts again.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +28,8 @@ from ludometry.session import checkpoint_dir
 
 from .arrow_batches import slices
 
+#: Names of the block tables of this session, in the order they were written.
+TABLES: list[str] = []
 MESSAGE = "bucket int, block long, hashes binary, many binary"
 REPLY = "block long, hashes binary, often binary"
 #: A row's id is its block id and, in the lowest bits, its place in the block.
@@ -64,15 +67,31 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = 2 << 20, bucket
             n_bytes = pa.compute.sum(pa.compute.binary_length(part.column(text))).as_py() or 0
             yield pa.RecordBatch.from_arrays([pa.array([first + turn], pa.int64()), lists, pa.array([n_bytes], pa.int64())], names=["block", "rows", "n_bytes"])
 
-    name = f"blocks_{uuid.uuid4().hex}"
+    name = f"{_database(spark)}.blocks_{uuid.uuid4().hex}"
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    writer = docs.mapInArrow(packed, schema).write.format("parquet").option("compression", "zstd")
-    writer.option("path", os.path.join(checkpoint_dir(spark), name)).bucketBy(n, "block").saveAsTable(name)
+    docs.mapInArrow(packed, schema).write.format("parquet").option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    TABLES.append(name)
     table = spark.table(name)
     n_bytes = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     return Blocks(table.select("block", "rows"), docs.schema, n_bytes, max(4 * n, -(-n_bytes // bucket_bytes)))
 
 
+def _database(spark: SparkSession) -> str:
+    """A database whose tables lie in the shared checkpoint folder and go from there when they are dropped."""
+    folder = os.path.join(checkpoint_dir(spark), "blocks")
+    name = f"blocks_{hashlib.md5(folder.encode()).hexdigest()[:12]}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{folder}'")
+    return name
+
+
+def drop(spark: SparkSession, tables: Sequence[str]) -> None:
+    """Remove block tables whose results have been written."""
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if name in TABLES:
+            TABLES.remove(name)
+
+
 def _gathered(parts: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size = n = 0

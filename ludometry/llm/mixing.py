@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], default: int = 1, s
     keyed = docs.withColumns({"__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__h": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))})
     sizes = {r["__source"]: r["count"] for r in keyed.groupBy("__source").count().limit(MOST_SLOTS + 1).collect()}
     turns = period({s: int(weights.get(s, default)) for s in sizes}) if sizes else []
-    schedule = spark.createDataFrame([(t.source, t.turn, t.release, t.deadline, t.slot) for t in turns], "__source string, turn long, r long, d long, s long")
+    schedule = spark.createDataFrame([(t.source, t.turn, t.release, t.deadline, t.slot) for t in turns], "__source string, __turn long, __r long, __d long, __s long")
     cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / max(1, sum(sizes.values()))
     known = [(s, int(weights.get(s, default)), _digits(cells * n)) for s, n in sizes.items()]
     weight = spark.createDataFrame(known, "__source string, __w long, __digits int")
@@ -85,13 +85,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], default: int = 1, s
     inside = Window.partitionBy("__source", "__cell").orderBy("__h", key)
     ranked = keyed.withColumn("__in", F.row_number().over(inside)).join(offsets, ["__source", "__cell"])
     rank = F.col("__offset") + F.col("__in") - 1
-    placed = ranked.withColumns({"block": F.floor(rank / block_rows), "__at": rank % block_rows})
-    placed = placed.withColumns({"turn": F.col("block") % F.col("__w"), "__lap": F.floor(F.col("block") / F.col("__w")) * len(turns)})
-    out = placed.join(_small(schedule, len(turns)), ["__source", "turn"])
-    out = out.withColumns({"release": F.col("__lap") + F.col("r"), "deadline": F.col("__lap") + F.col("d"), "slot": F.col("__lap") + F.col("s")})
-    out = out.withColumn("position", F.col("slot") * block_rows + F.col("__at"))
-    own = [c for c in docs.columns if c not in ("block", "release", "deadline", "slot", "position")]
-    return out.select(*own, "block", "release", "deadline", "slot", "position")
+    placed = ranked.withColumns({"__block": F.floor(rank / block_rows), "__at": rank % block_rows})
+    placed = placed.withColumns({"__turn": F.col("__block") % F.col("__w"), "__lap": F.floor(F.col("__block") / F.col("__w")) * len(turns)})
+    out = placed.join(_small(schedule, len(turns)), ["__source", "__turn"])
+    results = {n: F.col("__lap") + F.col(c) for n, c in (("release", "__r"), ("deadline", "__d"), ("slot", "__s"))}
+    results = {"block": F.col("__block"), **results, "position": results["slot"] * block_rows + F.col("__at")}
+    own = [c for c in docs.columns if c not in results]
+    return out.select(*own, *[v.alias(n) for n, v in results.items()])
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

@@ -133,6 +133,11 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     are one document; a null key counts for links but is no ``component_id``
     unless the component has no other. Result columns replace columns of their names.
     """
+    return _labelled(docs, key, text, shingle, percent).drop("__first")
+
+
+def _labelled(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """``ngram_join`` with ``__first``: is a row the one of smallest key in its component, and of such the first?"""
     measure = Measure(text, shingle, percent)
     packed = B.pack(docs, text)
     profile = materialize(_profile(packed, measure))
@@ -159,17 +164,18 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     edges = links.union(twin_nodes.where("na <> nb").select("na", "nb"))
     rooted = _components(edges)
     labelled = member.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.groupBy("root").agg(F.min("__key").alias("component_id"))
-    answers = labelled.join(least, "root").groupBy(_block("rid")).agg(F.sort_array(F.collect_list(F.struct(_place("rid").alias("at"), F.col("n").alias("n"), F.col("component_id").alias("c")))).alias("found"))
+    least = labelled.groupBy("root").agg(F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("k"), F.col("rid").alias("r"))).alias("least"))
+    answer = F.struct(_place("rid").alias("at"), F.col("n").alias("n"), F.col("least.k").alias("c"), (F.col("least.r") == F.col("rid")).alias("f"))
+    answers = labelled.join(least, "root").groupBy(_block("rid")).agg(F.sort_array(F.collect_list(answer)).alias("found"))
     own = docs.schema[key].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, others in B.each_block(batches):
             found = others["found"]
             component = pa.array([x["c"] for x in found], rows.type.field(rows.type.get_field_index(key)).type)
-            yield B.with_results(rows, {"n_shingles": pa.array([x["n"] for x in found], pa.int64()), "component_id": component})
+            yield B.with_results(rows, {"n_shingles": pa.array([x["n"] for x in found], pa.int64()), "component_id": component, "__first": pa.array([x["f"] for x in found], pa.bool_())})
 
-    return packed.join(answers).mapInArrow(apply, B.result_schema(docs.schema, f"n_shingles long, component_id {own}"))
+    return packed.join(answers).mapInArrow(apply, B.result_schema(docs.schema, f"n_shingles long, component_id {own}, __first boolean"))
 
 
 def _block(rid: str):
@@ -494,6 +500,13 @@ def _sent_sets(packed: B.Blocks, asked: DataFrame, measure: Measure, digest: Cal
 
 
 def dedup_near(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
-    """One row of each component: that of the smallest key; rows without shingles all stay. The columns are those of ``docs``."""
-    joined = ngram_join(docs, key, text, shingle, percent)
-    return joined.where((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id"))).select(*docs.columns)
+    """One row of each component, the first one of its smallest key; rows without shingles all stay. The columns are those of ``docs``.
+
+    Repeated rows are copies like any other, and so are copies without a key.
+    A column of ``docs`` named as a result of ``ngram_join`` keeps its values.
+    """
+    results = {"n_shingles": "__n_shingles", "component_id": "__component_id", "__first": "__was_first"}
+    aside = {c: results[c] for c in docs.columns if c in results}
+    joined = _labelled(docs.withColumnsRenamed(aside), key, text, shingle, percent)
+    kept = joined.where((F.col("n_shingles") == 0) | F.col("__first"))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -195,3 +195,16 @@ def test_anchors_fill_buckets_evenly():
     text = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
     held = np.bincount(B.bucket_of(segments_of(pa.array([text]), 100).anchor, 100), minlength=100)
     assert held.max() < 3 * held.mean()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, copies without a key, texts without words, and columns named as results."""
+    text, other = ("one two three four five six seven eight nine " * 3, "another text of quite different words here and there")
+    rows = [(2, text), (1, text), (1, text), (None, other), (None, other), (None, None), (None, None), (5, ""), (6, text + "ten")]
+    docs = spark.createDataFrame([(k, t, "clash", "clash") for k, t in rows], "doc_id long, text string, n_shingles string, component_id string")
+    got = dedup_near(docs)
+    assert got.columns == docs.columns
+    found = sorted(map(str, ((r.doc_id, r.text, r.n_shingles, r.component_id) for r in got.collect())))
+    want = [(1, text), (None, other), (None, None), (None, None), (5, "")]
+    assert found == sorted(str((k, t, "clash", "clash")) for k, t in want)
+    assert dedup_near(docs.limit(0)).count() == 0

@@ -68,7 +68,10 @@ def test_pipeline_against_brute_force(spark):
     assert {k: r.text for k, r in cut.items()} == want and all(r.n_chars == len(r.text) for r in cut.values())
     assert {k: (r.lang, r.source) for k, r in cut.items()} == {k: (r.lang, r.source) for k, r in single.items()}
 
+    packed = list(corpus_pipeline._spent)
+    assert packed and all(spark.catalog.tableExists(t) for t in packed)
     docs, mixed = step("mix", docs)
+    assert not corpus_pipeline._spent and not any(spark.catalog.tableExists(t) for t in packed)
     assert mixed == cut
     position = {r.doc_id: r.position for r in mix_sources(spark.createDataFrame(list(cut.values())), WEIGHTS).collect()}
     written = [r.doc_id for r in docs.coalesce(1).collect()]

@@ -114,10 +114,11 @@ def test_schedule_stays_within_one_block():
 
 
 def test_mix_keeps_rows_and_shares(spark):
-    rows = [(i, f"s{i % 3}" if i % 7 else None, "clash") for i in range(3000)] + [(5, "s2", "clash")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, slot string")
+    rows = [(i, f"s{i % 3}" if i % 7 else None, *["clash"] * 6) for i in range(3000)] + [(5, "s2", *["clash"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, slot string, turn string, r string, d string, s string, count string")
     got = in_mixed_order(mix_sources(docs, {"s0": 2}, block_rows=10)).collect()
     assert len(got) == len(rows) and len({r.position for r in got}) == len(rows)
+    assert {(r.turn, r.r, r.d, r.s, r["count"]) for r in got} == {("clash",) * 5}
     assert [r.position for r in got] == sorted(r.position for r in got)
     seen = Counter(r.source for r in got[:1000])
     assert abs(seen["s0"] - 400) <= 20 and all(abs(seen[s] - 200) <= 20 for s in ("s1", "s2", None))
