@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ludometry.llm import blocks
 from ludometry.llm.mixing import in_mixed_order, mix_sources
 from ludometry.llm.mixing_queries import WEIGHTS
 from ludometry.llm.ngram_join import dedup_near
@@ -25,6 +26,23 @@ from ludometry.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Block tables of the stages so far; a stage drops those of the ones before it, whose rows are written by then.
+_spent: list[str] = []
+
+
+def _packed(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of a stage that packs its documents, after the tables of earlier stages are dropped."""
+    _unpack(spark)
+    known = set(blocks.TABLES)
+    out = work()
+    _spent.extend(name for name in blocks.TABLES if name not in known)
+    return out
+
+
+def _unpack(spark: SparkSession) -> None:
+    blocks.drop(spark, _spent)
+    _spent.clear()
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; null and empty texts are scored like any other."""
@@ -33,17 +51,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; documents without words all stay."""
-    return dedup_near(docs)
+    return _packed(spark, lambda: dedup_near(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 100-byte strings that start earlier too; a document may end up empty, none is dropped."""
-    kept = dedup_bytes(docs, as_text=True).withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
+    """Texts without the 100-byte strings that start earlier too; a document may end up empty, none is dropped. A null text becomes an empty one."""
+    kept = _packed(spark, lambda: dedup_bytes(docs, as_text=True)).withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
     return kept.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the source mix; the files that are written follow it, ``encode`` states it in columns."""
+    _unpack(spark)
     return in_mixed_order(mix_sources(docs, WEIGHTS)).select(*docs.columns)
 
 
