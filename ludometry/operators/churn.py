@@ -120,7 +120,7 @@ def split_stratified(
     ranked = placed(hashed, "_class", ["_h", "_k"])
     take = F.floor(F.lit(holdout) * F.col("total") + 0.5)
     last = F.max(F.when(F.col("place") == take - 1, F.struct("_h", "_k"))).alias("_last")
-    ends = materialize(ranked.groupBy("_class").agg(F.count("*").alias("_size"), last))
+    ends = ranked.groupBy("_class").agg(F.count("*").alias("_size"), last)
     rows = join_sized(df.withColumn("_class", F.col(label)), ends, ["_class"], "_size", hashed.count())
     held = F.coalesce(F.struct(own.alias("_h"), F.col(key).alias("_k")) <= F.col("_last"), F.lit(False))
     train = rows.where(~held).select(*df.columns).unionByName(df.where(F.col(label).isNull()))

@@ -55,7 +55,7 @@ def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 1.5, min_s
     merged = merged.agg(F.count("*").alias("w"), F.min(key).alias("first_key"))
     points = materialize(merged.select(F.monotonically_increasing_id().alias("pid"), F.array(*axes).alias("x"), "w", "first_key"))
     grid = _Grid(points, len(axes), eps, min_samples)
-    labelled = materialize(grid.labels().select(*[F.col("x")[i].alias(a) for i, a in enumerate(axes)], "w", "cluster", "is_core"))
+    labelled = grid.labels().select(*[F.col("x")[i].alias(a) for i, a in enumerate(axes)], "w", "cluster", "is_core")
     found = join_sized(rows, labelled, axes, "w", grid.weight).select(key, "cluster", "is_core")
     rest = rows.where(f"NOT coalesce({finite}, false)")
     return found.unionByName(rest.select(key, F.lit(NOISE).alias("cluster"), F.lit(False).alias("is_core")))
@@ -253,8 +253,6 @@ class _Grid:
             itself = depth > 0
             both = _sides(pairs, ["a", "b"], tree[depth].withColumnRenamed("n", "c"), tree[depth].withColumnRenamed("n", "c"), [])
             pairs = both.mapInArrow(lambda rows, itself=itself: _near_kids(rows, d, eps2, itself), "a long, b long")
-            if depth:
-                pairs = materialize(pairs)
         return materialize(pairs)
 
     def _both_ways(self) -> DataFrame:
@@ -327,7 +325,7 @@ class _Grid:
         comps = connected_components(ends, edges, "c", "a", "b")
         led = materialize(leads.join(comps, "c"))
         order = running_totals(led.groupBy("component").agg(F.min("lead").alias("lead")), ["lead"], {"cluster": F.lit(1)})
-        numbered = materialize(order.select("component", F.col("cluster").cast("int").alias("cluster")))
+        numbered = order.select("component", F.col("cluster").cast("int").alias("cluster"))
         of_cell = materialize(led.join(numbered, "component").select("c", "cluster"))
 
         # Border points: the lowest-numbered cluster within reach.
@@ -342,7 +340,7 @@ class _Grid:
         no = F.lit(NOISE)
         border = lone.join(reached, "pid", "left").select("x", "w", F.coalesce("cluster", no).alias("cluster"), F.lit(False).alias("is_core"))
         inner = core.join(of_cell, "c").select("x", "w", "cluster", F.lit(True).alias("is_core"))
-        heavy = materialize(sized.where(~small).join(of_cell, "c").select("cell", "size", "cluster"))
+        heavy = sized.where(~small).join(of_cell, "c").select("cell", "size", "cluster")
         dense = join_sized(self.points.select("cell", "x", "w"), heavy, ["cell"], "size", self.count).select("x", "w", "cluster", F.lit(True).alias("is_core"))
         return dense.unionByName(inner).unionByName(border)
 

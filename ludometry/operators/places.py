@@ -72,12 +72,13 @@ def join_sized(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str,
 
     ``size`` says how many of the ``total`` rows a group has. The groups with
     more than a thousandth of them are at most a thousand; they are broadcast,
-    so their rows stay where they are. All others are joined by key. ``groups``
-    should be materialized.
+    so their rows stay where they are. All others are joined by key. Where no
+    group can be that large, this is a plain join.
     """
     limit = max(FEW, total // HOT)
     if total <= limit:
         return rows.join(groups, list(on))
+    groups = materialize(groups)
     hot = groups.where(F.col(size) > limit)
     names = hot.select(*on).distinct().withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(names), list(on), "left")

@@ -12,8 +12,7 @@ SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
 # Long-running models have tests of their own.
-SLOW = {"kmeans_sweep", "cluster_profiles", "churn_model", "churn_scores", "ltv_model"}
-SLOW |= {"ltv_importance", "attributions", "explain_top", "conversion_drivers"}
+SLOW = {"churn_model", "churn_scores", "ltv_model", "ltv_importance", "attributions", "explain_top"}
 
 
 @pytest.fixture(scope="module")
