@@ -12,7 +12,9 @@ dimensions. The points of a cell are packed the same way. A question between a
 point and a cell, or between two cells, starts with their outermost boxes: a box
 within ``eps`` settles it, a box out of reach is dropped, and only boxes that
 straddle the distance are opened, level by level. Questions that have found a
-witness leave before the next level.
+witness leave before the next level. Cells are only asked about while they are
+not connected by others: neighbours side by side come first, and after each
+level pairs that have become connected leave.
 """
 
 from __future__ import annotations
@@ -121,15 +123,16 @@ def _reach2(low_a, high_a, low_b, high_b) -> np.ndarray:
 
 
 def _near_kids(batches: Iterator[pa.RecordBatch], d: int, eps2: float, itself: bool) -> Iterator[pa.RecordBatch]:
-    """Members ``a <= b`` of two boxes (``a, b, kids_a, boxes_a, kids_b, boxes_b``) within reach of each other."""
+    """Members ``a <= b`` of two boxes (``a, b, kids_a, boxes_a, kids_b, boxes_b``) within reach of each other, and the square of their largest distance."""
     for batch in batches:
         for a, b, kids_a, boxes_a, kids_b, boxes_b in zip(*batch.columns):
             left, right = (np.asarray(x.values).reshape(-1, 2, d) for x in (boxes_a, boxes_b))
             i, j = np.nonzero(_gap2(left[:, None, 0], left[:, None, 1], right[None, :, 0], right[None, :, 1]) <= eps2)
             u, v = np.asarray(kids_a.values)[i], np.asarray(kids_b.values)[j]
             keep = (u <= v if itself else u < v) if a.as_py() == b.as_py() else slice(None)
-            u, v = u[keep], v[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+            u, v, i, j = u[keep], v[keep], i[keep], j[keep]
+            reach2 = _reach2(left[i, 0], left[i, 1], right[j, 0], right[j, 1])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(u, v), np.maximum(u, v), reach2))], names=["a", "b", "reach2"])
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], d: int, eps2: float) -> Iterator[pa.RecordBatch]:
@@ -239,7 +242,7 @@ class _Grid:
         return levels
 
     def _near(self) -> DataFrame:
-        """Pairs ``a < b`` of cells whose boxes are within ``eps``, from the tree over cells."""
+        """Pairs ``a < b`` of cells whose boxes are within ``eps``, with their ``reach2``, from the tree over cells."""
         level = self.cells.select(F.col("c").alias("kid"), "lo", "hi", "weight")
         tree, most = [], max(1, self.n_cells)
         while not tree or most > 1:
@@ -251,18 +254,25 @@ class _Grid:
         d, eps2 = self.d, self.eps2
         for depth in reversed(range(len(tree))):
             itself = depth > 0
-            both = _sides(pairs, ["a", "b"], tree[depth].withColumnRenamed("n", "c"), tree[depth].withColumnRenamed("n", "c"), [])
-            pairs = both.mapInArrow(lambda rows, itself=itself: _near_kids(rows, d, eps2, itself), "a long, b long")
+            both = _sides(_spread(pairs.select("a", "b")), ["a", "b"], tree[depth].withColumnRenamed("n", "c"), tree[depth].withColumnRenamed("n", "c"), [])
+            pairs = both.mapInArrow(lambda rows, itself=itself: _near_kids(rows, d, eps2, itself), "a long, b long, reach2 double")
         return materialize(pairs)
 
-    def _both_ways(self) -> DataFrame:
-        return self.near.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(self.near.select(F.col("b").alias("c"), F.col("a").alias("o")))
+    def _both_ways(self, whole: bool) -> DataFrame:
+        """``c, o``: neighbouring cells whose boxes lie within ``eps`` as a ``whole``, or only in part."""
+        near = self.near.where((F.col("reach2") <= self.eps2) == F.lit(whole))
+        return near.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(near.select(F.col("b").alias("c"), F.col("a").alias("o")))
 
     def _core(self, light: DataFrame) -> DataFrame:
         """``pid, is_core`` of points in cells that are too light to be all core."""
         least, d, eps2 = self.min_samples, self.d, self.eps2
-        asked = light.select("pid", "x", "c").join(self._both_ways(), "c").select("pid", "x", "o", F.lit(0).cast("long").alias("chunk"))
-        pending, decided = light.select("pid", F.col("cell_weight").alias("known")), []
+        around = self._both_ways(True).join(self.cells.select(F.col("c").alias("o"), "weight"), "o").groupBy("c").agg(F.sum("weight").alias("around"))
+        known = F.col("cell_weight") + F.coalesce("around", F.lit(0))
+        light = materialize(light.select("pid", "x", "c", "cell_weight").join(around, "c", "left").select("pid", "x", "c", known.alias("known")))
+        decided = [light.where(F.col("known") >= least).select("pid", F.lit(True).alias("is_core"))]
+        light = light.where(F.col("known") < least)
+        asked = light.select("pid", "x", "c").join(self._both_ways(False), "c").select("pid", "x", "o", F.lit(0).cast("long").alias("chunk"))
+        pending = light.select("pid", "known")
         for depth in reversed(range(len(self.nodes))):
             boxes = self.nodes[depth].select(F.col("c").alias("o"), "chunk", "kids", "boxes", "weights")
             rows = asked.join(boxes, ["o", "chunk"]).select("pid", "x", "o", "kids", "boxes", "weights")
@@ -285,12 +295,9 @@ class _Grid:
 
     def _witnessed(self, pairs: DataFrame, left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
         """The pairs ``a, b`` that have two members within ``eps``; one list of boxes for each side, by level."""
-        d, eps2 = self.d, self.eps2
-        current = pairs.select("a", "b", F.lit(0).cast("long").alias("kid_a"), F.lit(0).cast("long").alias("kid_b"))
-        met = None
+        current, met = _asked(pairs), None
         for depth in reversed(range(len(left))):
-            rows = _sides(current, ["a", "b"], left[depth], right[depth], ["chunk"])
-            step = materialize(rows.mapInArrow(lambda b: _meet(b, d, eps2), "a long, b long, met boolean, kid_a long, kid_b long"))
+            step = self._met(current, left[depth], right[depth])
             hits = step.where("met").select("a", "b").distinct()
             met = hits if met is None else met.unionByName(hits)
             if not depth:
@@ -298,6 +305,37 @@ class _Grid:
             current = step.where("NOT met").join(hits, ["a", "b"], "left_anti").drop("met")
         return met
 
+    def _met(self, current: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """``a, b, met, kid_a, kid_b``: what one level of boxes answers."""
+        d, eps2 = self.d, self.eps2
+        rows = _sides(_spread(current), ["a", "b"], left, right, ["chunk"])
+        return materialize(rows.mapInArrow(lambda b: _meet(b, d, eps2), "a long, b long, met boolean, kid_a long, kid_b long"))
+
+    def _connected(self, ends: DataFrame, pairs: DataFrame, boxes: list[DataFrame]) -> DataFrame:
+        """``c, component`` of the cells ``ends`` (c), linked where ``pairs`` (a, b, reach2) have members within ``eps`` in ``boxes``.
+
+        Cells whose boxes lie within ``eps`` as a whole need no look at members.
+        Others are asked about level by level while they are in different
+        components, cells side by side before those farther apart.
+        """
+        comps = connected_components(ends, pairs.where(F.col("reach2") <= self.eps2), "c", "a", "b")
+        # Two full cells that share a face: in one dimension two sides, in the others one.
+        beside = F.col("reach2") <= (1 + 3 / self.d) * self.eps2
+        for near in (beside, ~beside):
+            current = _asked(pairs.where((F.col("reach2") > self.eps2) & near))
+            for depth in reversed(range(len(boxes))):
+                comps = materialize(comps)
+                a, b = (comps.select(F.col("c").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab")
+                current = materialize(current.join(a, "a").join(b, "b").where("of_a <> of_b").drop("of_a", "of_b"))
+                if current.isEmpty():
+                    break
+                step = self._met(current, boxes[depth], boxes[depth])
+                hits = step.where("met").select("a", "b").distinct()
+                known = comps.select(F.col("c").alias("a"), F.col("component").alias("b"))
+                comps = connected_components(ends, known.unionByName(hits), "c", "a", "b")
+                current = step.where("NOT met").drop("met")
+        return comps
+
     def labels(self) -> DataFrame:
         """``x, w, cluster, is_core`` of every point."""
         sized = self.cells.select("cell", "c", "size", "lead", F.col("weight").alias("cell_weight"))
@@ -321,8 +359,7 @@ class _Grid:
 
         ends = leads.select("c")
         near_core = self.near.join(ends.withColumnRenamed("c", "a"), "a", "left_semi").join(ends.withColumnRenamed("c", "b"), "b", "left_semi")
-        edges = self._witnessed(near_core, boxes, boxes)
-        comps = connected_components(ends, edges, "c", "a", "b")
+        comps = self._connected(ends, near_core, boxes)
         led = materialize(leads.join(comps, "c"))
         order = running_totals(led.groupBy("component").agg(F.min("lead").alias("lead")), ["lead"], {"cluster": F.lit(1)})
         numbered = order.select("component", F.col("cluster").cast("int").alias("cluster"))
@@ -332,9 +369,11 @@ class _Grid:
         lone = light.join(decided.where("NOT is_core"), "pid").select("pid", "x", "c", "w")
         zero = F.lit(0).cast("long")
         single = lone.select(F.col("pid").alias("c"), zero.alias("chunk"), F.array(zero).alias("kids"), F.concat("x", "x").alias("boxes"))
-        asked = lone.select(F.col("pid").alias("a"), "c").join(self._both_ways().withColumnRenamed("o", "b"), "c").select("a", "b")
-        asked = asked.join(ends.withColumnRenamed("c", "b"), "b", "left_semi")
-        reached = self._witnessed(asked, [single] * len(boxes), boxes).select(F.col("a").alias("pid"), F.col("b").alias("c"))
+        whole, asked = (
+            lone.select(F.col("pid").alias("a"), "c").join(self._both_ways(w).withColumnRenamed("o", "b"), "c").select("a", "b").join(ends.withColumnRenamed("c", "b"), "b", "left_semi")
+            for w in (True, False)
+        )
+        reached = whole.unionByName(self._witnessed(asked, [single] * len(boxes), boxes)).select(F.col("a").alias("pid"), F.col("b").alias("c"))
         reached = reached.unionByName(lone.select("pid", "c")).join(of_cell, "c").groupBy("pid").agg(F.min("cluster").alias("cluster"))
 
         no = F.lit(NOISE)
@@ -345,6 +384,17 @@ class _Grid:
         return dense.unionByName(inner).unionByName(border)
 
 
+def _asked(pairs: DataFrame) -> DataFrame:
+    """Questions ``a, b`` to the outermost boxes of both sides."""
+    outer = F.lit(0).cast("long")
+    return pairs.select("a", "b", outer.alias("kid_a"), outer.alias("kid_b"))
+
+
+def _spread(questions: DataFrame) -> DataFrame:
+    """Over all tasks: a question is a short row and much work."""
+    return questions.repartition(4 * questions.sparkSession.sparkContext.defaultParallelism, *questions.columns)
+
+
 def _sides(pairs: DataFrame, names: Sequence[str], left: DataFrame, right: DataFrame, chunk: Sequence[str]) -> DataFrame:
     """Pairs with the boxes of both sides; ``chunk`` tells that sides are known by cell and chunk."""
     a, b = names

@@ -559,3 +559,23 @@ def test_model_queries_use_the_defaults(spark, monkeypatch, name):
     assert asked and all(n == default for n, _ in asked)
     if name.startswith("ltv"):
         assert sorted(t for _, t in asked) == ["ltv_30d", "ltv_7d", "ltv_90d"] and {r.horizon for r in out.collect()} == {7, 30, 90}
+
+
+def test_dbscan_of_a_dense_field_asks_little(spark, monkeypatch):
+    """Cells that others have connected are not compared, so few members are opened in a field of dense cells."""
+    asked, plain = [], dbscan.materialize
+
+    def watch(df):
+        out = plain(df)
+        if "met" in out.columns:
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(dbscan, "materialize", watch)
+    monkeypatch.setattr(dbscan, "FAN", 8)
+    n, cells = 6000, 36
+    x = np.random.default_rng(4).uniform(0, cells**0.5 / 2**0.5, (n, 2))
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(k=np.arange(n))
+    got = dbscan.dbscan(spark.createDataFrame(pdf), "k", ["a", "b"], 1.0, 5).toPandas()
+    assert (got["cluster"] == 0).all() and got["is_core"].all()
+    assert sum(asked) <= n, asked
