@@ -2,18 +2,19 @@
 
 A pass draws random rotations and orders vectors lexicographically by the
 nearest axis under each (a cross-polytope hash), so that close vectors tend to
-be neighbours. Only neighbours in that order are compared; what one pass sorts
-apart, another sorts together. The number of passes follows from the number of
-vectors and the wanted share of pairs at the threshold itself.
+be neighbours. Neighbours in that order are compared, and all vectors of one
+bucket (equal leading codes), however many blocks it fills; what one pass puts
+in two buckets, another puts in one. The number of passes follows from the
+number of vectors and the wanted share of pairs at the threshold itself.
 
-Crowds would fill such windows and have more links than anyone can list.
-Therefore vectors are gathered first, by passes of the same kind, in balls whose
+Crowds have more links than anyone can list. Therefore vectors are gathered first, by passes of the same kind, in balls whose
 radius is half the threshold's angle: members of a ball are all linked, and the
 angle between two centres and the radii often tell that all or no members of two
 balls are linked. Links are counted by ball where that is so; only what remains
-open is compared vector by vector, in bounded pieces. A ball sends a bounded
-number of delegates into the passes, and a pair of balls is looked at if the
-delegates' angle and the radii leave a link possible, so nothing is lost by it.
+open is compared vector by vector, in bounded pieces. A large ball sends one
+delegate into each bucket that any of its members falls into, and a pair of balls is
+looked at if the delegates' angle and the radii leave a link possible, so no
+pair of vectors that meets in a bucket is lost by it.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from ludometry.session import materialize
 
 from .arrow_batches import ragged
 
-#: Neighbours compared at once, and how many of the next ones each of them sees at least.
+#: Neighbours compared at once, and how many of the next ones each of them sees besides those of its bucket.
 BLOCK, WINDOW = 2048, 256
-#: Members of a ball that go into the passes.
+#: Members up to which all of a ball go into the passes; of a larger one, one for each bucket.
 DELEGATES = 64
 #: Axes of a rotation, so codes have seven bits.
 _AXES = 64
@@ -84,11 +85,12 @@ class _Passes:
         self.axes = min(_AXES, width)
         base = 2 * self.axes
         self.codes = max(1, min(9, math.ceil(math.log(n) / math.log(base)) + 1))
-        together, blocks = 1.0, n / BLOCK
+        together, blocks, leading = 1.0, n / BLOCK, 0
         agree = self._agreement(threshold)
-        while blocks > base:
-            together, blocks = together * agree, blocks / base
-        together *= agree + (1 - agree) / max(1.0, blocks)
+        while blocks > 1 and leading < self.codes:
+            together, blocks, leading = together * agree, blocks / base, leading + 1
+        #: Keys of one bucket differ in less than this.
+        self.bucket = base ** (self.codes - leading)
         self.passes = 1 if together >= recall else math.ceil(math.log(1 - recall) / math.log(1 - together))
 
     def _agreement(self, cosine: float, draws: int = 20_000) -> float:
@@ -269,19 +271,29 @@ def _candidates(live: DataFrame, balls: DataFrame, sizes: DataFrame, plan: _Pass
     comparison errs on the safe side.
     """
     width = plan.width
-    picked = _of_ball(balls.select("rid", "ball"), sizes, plan.n)
-    every = F.greatest(F.lit(1), F.ceil(F.col("size") / DELEGATES))
-    picked = picked.where((F.col("rid") == F.col("ball")) | (F.pmod(F.xxhash64("rid"), every) == 0))
-    # Members that stay away lie within a ball's width of any delegate.
-    reach = F.when(F.col("size") > DELEGATES, 2 * F.col("radius")).otherwise(F.lit(0.0))
-    going = materialize(picked.select("rid", "ball", reach.alias("reach")).join(live.select("rid", "v"), "rid"))
-    sketches = going.select("rid", "v", "ball", "reach").mapInArrow(lambda b: _sketch(b, width), "rid long, ball long, reach double, sketch binary, scale double, error double")
-    order = placed(materialize(plan.keys(going, 1, plan.passes)), "pass", ["key", "rid"])
-    block = F.floor(F.col("place") / BLOCK)
-    also = (F.col("place") % BLOCK < WINDOW) & (block > 0)
-    sent = order.select("rid", "pass", "place", F.explode(F.when(also, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
-    rows = sent.select("rid", "pass", "block", (block == F.col("block")).alias("own")).join(sketches, "rid")
-    found = rows.groupBy("pass", "block").applyInArrow(lambda t: _neighbours(t, width, theta), "ball long, other long")
+    alone = F.when(F.col("size") <= DELEGATES, F.col("rid")).alias("alone")
+    member = _of_ball(balls, sizes, plan.n).select("rid", "ball", "angle", "radius", alone)
+    keyed = plan.keys(live, 1, plan.passes).withColumn("bucket", F.floor(F.col("key") / F.lit(plan.bucket))).join(member, "rid")
+    nearest = F.min(F.struct("angle", "rid", "key")).alias("n")
+    going = keyed.groupBy("pass", "bucket", "ball", "alone").agg(nearest, F.count("*").alias("size"), F.first("radius").alias("radius"))
+    # Members of the bucket that stay away lie within the ball, so no farther from the delegate than this.
+    reach = F.when(F.col("size") > 1, F.col("n.angle") + F.col("radius")).otherwise(F.lit(0.0))
+    going = materialize(going.select("pass", "bucket", "n.key", "n.rid", reach.alias("reach")))
+    sketched = going.select("rid").distinct().join(live.select("rid", "v"), "rid").join(balls.select("rid", "ball"), "rid").select("rid", "v", "ball")
+    sketches = materialize(sketched.mapInArrow(lambda b: _sketch(b, width), "rid long, ball long, sketch binary, scale double, error double"))
+    order = placed(going, "pass", ["key", "rid"]).withColumn("block", F.floor(F.col("place") / BLOCK))
+    spans = order.groupBy("pass", "bucket").agg(F.min("block").alias("from"), F.max("block").alias("to")).where("from < to")
+    order = order.join(spans, ["pass", "bucket"], "left").select("rid", "pass", "place", "block", "reach", "from", "to")
+    # A block meets itself and the window after it; where a bucket goes on in others, its rows meet those of every other of its blocks.
+    also = (F.col("place") % BLOCK < WINDOW) & (F.col("block") > 0)
+    seen = F.explode(F.when(also, F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block")))
+    own = order.select("rid", "reach", "pass", F.col("block").alias("_home"), seen.alias("block"))
+    own = own.select("rid", "reach", "pass", "block", F.col("block").alias("with"), (F.col("_home") == F.col("block")).alias("own"))
+    ahead = F.explode(F.sequence(F.col("from"), F.col("to")))
+    across = order.where("from IS NOT NULL").select("rid", "reach", "pass", "block", ahead.alias("_other")).where("block <> _other")
+    across = across.select("rid", "reach", "pass", F.least("block", "_other").alias("block"), F.greatest("block", "_other").alias("with"), (F.col("block") < F.col("_other")).alias("own"))
+    rows = own.unionByName(across).join(sketches, "rid")
+    found = rows.groupBy("pass", "block", "with").applyInArrow(lambda t: _neighbours(t, width, theta), "ball long, other long")
     return materialize(found.distinct())
 
 
@@ -293,24 +305,25 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         error = np.linalg.norm(whole * scale[:, None] - unit, axis=1)
         packed = pa.array([r.tobytes() for r in whole.astype(np.int8)], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), packed, pa.array(scale), pa.array(error)], names=["rid", "ball", "reach", "sketch", "scale", "error"]
+            [batch.column(0), batch.column(2), packed, pa.array(scale), pa.array(error)], names=["rid", "ball", "sketch", "scale", "error"]
         )
 
 
 def _neighbours(block: pa.Table, width: int, theta: float) -> pa.Table:
-    """Different balls whose delegates are near enough; rows that another block owns are compared with own rows only."""
+    """Different balls whose delegates are near enough; own rows are compared with all of a block, or with the rest of a pair of blocks."""
     own = np.flatnonzero(block["own"].to_numpy())
     rest = np.flatnonzero(~block["own"].to_numpy())
     order = np.concatenate([own, rest])
     ball, reach, error = (block[c].to_numpy()[order] for c in ("ball", "reach", "error"))
     sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.int8).reshape(-1, width)[order]
     unit = (sketch * block["scale"].to_numpy()[order, None]).astype(np.float32)
-    cosines = unit[: len(own)] @ unit.T
-    least = np.cos(theta) if not reach.any() else np.cos(np.minimum(np.pi, theta + reach[: len(own), None] + reach))
+    far = slice(0 if block["block"][0] == block["with"][0] else len(own), None)
+    cosines = unit[: len(own)] @ unit[far].T
+    least = np.cos(theta) if not reach.any() else np.cos(np.minimum(np.pi, theta + reach[: len(own), None] + reach[far]))
     # Norms are at most 1 + error; the last term covers single precision.
-    cosines += error[: len(own), None] + error + 1.1 * error[: len(own), None] * error + 1e-5
+    cosines += error[: len(own), None] + error[far] + 1.1 * error[: len(own), None] * error[far] + 1e-5
     i, j = np.nonzero(cosines >= least)
-    a, b = ball[i], ball[j]
+    a, b = ball[i], ball[far][j]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
     return pa.table({"ball": pairs[:, 0], "other": pairs[:, 1]})
 

@@ -115,3 +115,17 @@ def test_wide_vectors(spark):
     x = rng.standard_normal((30, 700))
     rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, x + 0.1 * rng.standard_normal(x.shape)]))]
     assert run(spark, rows) == brute(rows)
+
+
+def test_a_diffuse_crowd_of_many_blocks_is_compared_whole(spark, monkeypatch):
+    """Vectors of one bucket are compared with each other, however many blocks they fill and windows they exceed."""
+    monkeypatch.setattr(nv, "BLOCK", 64)
+    monkeypatch.setattr(nv, "WINDOW", 4)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    x = np.concatenate([around(rng, centre / np.linalg.norm(centre), 700, 0.3), rng.standard_normal((40, 16))])
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
+    got, want = run(spark, rows), brute(rows)
+    missed = sum(w[1] for w in want) - sum(g[1] for g in got)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert 0 <= missed <= 0.01 * sum(w[1] for w in want)
