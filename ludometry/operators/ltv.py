@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_date, safe_ratio
-from ..session import checkpoint_dir, few_tasks, side_by_side
+from ..session import checkpoint_dir, few_tasks, materialize, side_by_side
 from .features import select_features
 from .ordering import exact_quantiles
 
@@ -178,7 +178,8 @@ def simple_clv(rfm_table: DataFrame, days: int = 90) -> DataFrame:
 
 
 def clv_averages(df: DataFrame, col: str) -> DataFrame:
-    """Mean and exact median of a CLV column."""
+    """Mean and exact median of a CLV column, written first since several passes read it."""
+    df = materialize(df.select(col))
     (median,) = exact_quantiles(df, col, [0.5])
     return df.agg(
         F.count(col).alias("n_customers"),

@@ -243,7 +243,8 @@ def simple_clv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ltv.clv_summary(retail.transactions(spark, sf_dir), retail.OBS)
+    """Written once: fits, checks and scoring all read it."""
+    return materialize(ltv.clv_summary(retail.transactions(spark, sf_dir), retail.OBS))
 
 
 @query("bgnbd")

@@ -579,3 +579,16 @@ def test_dbscan_of_a_dense_field_asks_little(spark, monkeypatch):
     got = dbscan.dbscan(spark.createDataFrame(pdf), "k", ["a", "b"], 1.0, 5).toPandas()
     assert (got["cluster"] == 0).all() and got["is_core"].all()
     assert sum(asked) <= n, asked
+
+
+def test_purchase_summaries_are_written_once(spark, monkeypatch):
+    """What fits, checks and scoring read is a written table, not the purchase log again."""
+    from ludometry.plans import ltv_queries
+
+    rows = [(i, 1 + i % 3, i % 5, 9, 1.5 + i) for i in range(6)]
+    summary = spark.createDataFrame(rows, "player_id long, frequency long, recency int, T int, monetary double")
+    monkeypatch.setattr(ltv_queries.retail, "transactions", lambda *_: None)
+    monkeypatch.setattr(ltv_queries.ltv, "clv_summary", lambda *_: summary)
+    got = ltv_queries._summary(spark, "")
+    assert got.inputFiles() and all("/stage-" in f for f in got.inputFiles())
+    assert sorted(map(tuple, got.collect())) == rows
