@@ -178,6 +178,8 @@ def silhouettes(rows: DataFrame, models: Sequence[KMeansFit], sample: int = 5000
 
 #: Rows of a sample that are compared with all of it at once.
 _BLOCK_ROWS = 64
+#: Rows that a step compares with all centres at once.
+_STEP_ROWS = 4096
 #: Rounds of seeding, and candidates drawn in each as a multiple of the largest k.
 _ROUNDS, _OVERSAMPLED = 2, 2
 
@@ -211,11 +213,33 @@ def _silhouette(sums: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> np.nd
     return np.where(good, (np.where(good, other, 0.0) - own) / np.where(good, largest, 1.0), 0.0)
 
 
-def _pass(rows: DataFrame, models: Sequence[np.ndarray]) -> list[list[tuple[int, float, np.ndarray]]]:
+def _members(x: np.ndarray, models: Sequence[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """Cluster of all models × row: 1 for the nearest cluster of each model, the first one of several.
+
+    Models with the same number of clusters are compared together, row by row of
+    centres, so the work is a few long vector operations.
+    """
+    mine = np.zeros((starts[-1], len(x)))
+    for k in {len(c) for c in models}:
+        at = [m for m, c in enumerate(models) if len(c) == k]
+        centres = np.stack([models[m] for m in at], axis=1)
+        far = (centres**2).sum(axis=2)[:, :, None] - 2 * (centres.reshape(k * len(at), -1) @ x.T).reshape(k, len(at), -1)
+        label, best = np.zeros(far.shape[1:], np.int32), far[0]
+        for j in range(1, k):
+            closer = far[j] < best
+            np.copyto(label, j, where=closer)
+            best = np.minimum(best, far[j])
+        for j in range(k):
+            mine[starts[at] + j] = label == j
+    return mine
+
+
+def _pass(rows: DataFrame, models: Sequence[np.ndarray], costs: bool = True) -> list[list[tuple[int, float, np.ndarray]]]:
     """Rows, squared distances and sums of the rows of each cluster of each model, from one pass.
 
     Tasks reduce their rows to one vector per cluster, so what is shuffled and
-    returned grows with the models only.
+    returned grows with the models only. Without ``costs`` the distances are 0:
+    a step needs none, and they are most of the work.
     """
     shared = rows.sparkSession.sparkContext.broadcast(list(models))
 
@@ -226,14 +250,14 @@ def _pass(rows: DataFrame, models: Sequence[np.ndarray]) -> list[list[tuple[int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(0))
-            mine = np.zeros((len(x), starts[-1]))
-            for start, c in zip(starts, centres):
-                label, gap = _nearest(x, c)
-                mine[np.arange(len(x)), start + label] = 1.0
+            whole = _matrix(batch.column(0))
+            for x in np.array_split(whole, -(-len(whole) // _STEP_ROWS)):
+                mine = _members(x, centres, starts)
+                total[:, 0] += mine.sum(axis=1)
+                total[:, 2:] += mine @ x
+            for start, c in zip(starts, centres) if costs else ():
+                label, gap = _nearest(whole, c)
                 total[start : start + len(c), 1] += np.bincount(label, weights=gap, minlength=len(c))
-            total[:, 0] += mine.sum(axis=0)
-            total[:, 2:] += mine.T @ x
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), lists], names=["at", "v"])
 
@@ -256,7 +280,7 @@ def _lloyd(rows: DataFrame, starts: Sequence[np.ndarray], max_iter: int, tol: fl
         if not live:
             break
         left = []
-        for m, clusters in zip(live, _pass(rows, [centres[m] for m in live])):
+        for m, clusters in zip(live, _pass(rows, [centres[m] for m in live], costs=False)):
             moved = np.array([s / n if n else c for c, (n, _, s) in zip(centres[m], clusters)])
             if ((moved - centres[m]) ** 2).sum(axis=1).max() > tol * tol:
                 left.append(m)

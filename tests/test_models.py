@@ -592,3 +592,16 @@ def test_purchase_summaries_are_written_once(spark, monkeypatch):
     got = ltv_queries._summary(spark, "")
     assert got.inputFiles() and all("/stage-" in f for f in got.inputFiles())
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_kmeans_members_are_those_of_the_nearest_centres():
+    """Models of several sizes at once; of equal centres the first one counts."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    models = [rng.normal(size=(k, 3)) for k in (2, 5, 2, 3)]
+    models[3][2] = models[3][0]
+    starts = np.cumsum([0, *map(len, models)])
+    mine = clustering._members(x, models, starts)
+    for start, c in zip(starts, models):
+        gaps = ((x[:, None, :] - c) ** 2).sum(axis=2)
+        assert (mine[start : start + len(c)].T == np.eye(len(c))[gaps.argmin(axis=1)]).all()
