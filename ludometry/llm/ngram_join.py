@@ -46,8 +46,8 @@ _LEADERS, _SHORT = 8, 32
 #: Leaders are looked for in one of so many parts of the posting lists.
 _PARTS_OF_LISTS = 4
 _PART = f"pmod(token, {_PARTS_OF_LISTS}) = 0"
-#: Askers of one round over the blocks.
-_ASKERS = 20_000
+#: Shingles that one side of a comparison within a crowd holds in memory; a larger set is a part of its own.
+_PART_SHINGLES = 1 << 20
 _PROFILE = "rid long, n long, s1 long, s2 long, part int, cells binary"
 
 
@@ -304,12 +304,15 @@ def _hub_links(packed: B.Blocks, crowded: DataFrame, measure: Measure) -> DataFr
     """Links ``(a, b)`` between different components within posting lists of more than ``_SHORT`` members.
 
     Lists with the same first member (by a hash), their hub, are one crowd.
-    All of a crowd but its largest component ask: an asker's set travels to
-    the blocks that hold members, and is held there against all of them at
-    once; one link to each component is enough. So a crowd costs askers times
-    blocks, not pairs. Each member knows its distance to the hub: Jaccard
-    distance is a metric, so sets whose distances differ by more than a link
-    allows are left out. Askers come in rounds of at most about ``_ASKERS``.
+    Each member knows its distance to the hub: Jaccard distance is a metric,
+    so sets whose distances differ by more than a link allows are left out.
+    Members of one distance and size class are a cell. All of a crowd but its
+    largest component ask the cells around them, and the sets of both sides
+    travel to the cell, so askers are held against all members of a cell at
+    once, in however many blocks those are; one link to each component is
+    enough. Cells and their askers are cut into parts of about
+    ``_PART_SHINGLES``, and every part meets every other: only a cell of
+    several parts sends a set more than once.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / measure.percent))).cast("int") if measure.percent < 100 else F.col("n")
     crowd = materialize(crowded.select("hub", "rid", "root", size.alias("size")).distinct())
@@ -319,42 +322,45 @@ def _hub_links(packed: B.Blocks, crowded: DataFrame, measure: Measure) -> DataFr
     crowd = materialize(crowd.join(bands, ["rid", "hub"], "left").withColumn("band", F.coalesce("band", F.lit(0))))
     largest = crowd.groupBy("hub", "root").count().groupBy("hub").agg(F.max(F.struct("count", "root")).alias("l")).select("hub", F.col("l.root").alias("largest"))
     asking = materialize(crowd.join(largest, "hub").where("root <> largest").select("hub", F.col("rid").alias("b"), "root", "band", "size"))
-    rounds = max(1, -(-asking.count() // _ASKERS))
-    turn = F.pmod(F.xxhash64("b"), F.lit(rounds)).alias("turn")
     # Sizes a link apart are at most one class apart; one more for rounding.
-    at = crowd.select("hub", F.shiftright("rid", B.PLACE_BITS).alias("to"), F.col("band").alias("near"), F.col("size").alias("like")).distinct()
     around = asking.withColumn("near", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).withColumn("like", F.explode(F.array(*(F.col("size") + k for k in (-2, -1, 0, 1, 2)))))
-    asked = materialize(around.join(at, ["hub", "near", "like"]).select("to", "hub", "b", "root", "band").distinct())
-    requests = asked.select("b", "to").distinct().groupBy(_block("b")).agg(F.collect_list(F.struct(_place("b").alias("at"), "to")).alias("asked"))
-    sets = _sent_sets(packed, requests, measure, _narrowed).groupBy("block", turn).agg(F.collect_list(F.struct("b", "digest")).alias("sets"))
-    askers = asked.groupBy(F.col("to").alias("block"), turn).agg(F.collect_list(F.struct("hub", "b", "root", "band")).alias("askers"))
-    members = crowd.groupBy(_block("rid")).agg(F.collect_list(F.struct("hub", _place("rid").alias("at"), "root", "band")).alias("members"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, others in B.each_block(batches):
-            theirs = {x["b"]: _widened(x["digest"]) for x in others["sets"]}
-            own = _sets_at(rows, sorted({x["at"] for x in others["members"]}), measure)
-            here: dict[int, list[dict]] = {}
-            for x in others["members"]:
-                here.setdefault(x["hub"], []).append(x)
-            links: dict[tuple[int, int], int] = {}
-            for hub, members in here.items():
-                local = _Crowd(members, own)
-                for x in others["askers"]:
-                    if x["hub"] == hub:
-                        for k in local.linked(theirs[x["b"]], x["root"], x["band"], measure):
-                            links.setdefault((x["b"], members[k]["root"]), (block << B.PLACE_BITS) + members[k]["at"])
-            yield pa.RecordBatch.from_arrays([pa.array(list(links.values()), pa.int64()), pa.array([b for b, _ in links], pa.int64())], names=["a", "b"])
-
-    answers = askers.join(sets, ["block", "turn"]).join(members, "block").drop("turn")
-    return materialize(packed.table.join(answers.hint("shuffle_hash"), "block").mapInArrow(compare, "a long, b long"))
+    held = crowd.select("hub", F.col("band").alias("near"), F.col("size").alias("like"), "rid", "root")
+    cell = ["hub", "near", "like"]
+    cells = held.groupBy(*cell).agg(F.count("*").alias("n_held"), F.min("root").alias("x"), F.max("root").alias("y"))
+    asked = materialize(around.join(cells, cell).where("x <> root OR y <> root").select(*cell, "n_held", "b", "root", "band"))
+    most = F.pow(F.lit(100 / measure.percent), F.col("like") + 1) if measure.percent < 100 else F.col("like")
+    parts = [F.least(c, F.ceil(F.col(c) * most / _PART_SHINGLES)).alias(p) for c, p in (("n_held", "held_parts"), ("n_asked", "asked_parts"))]
+    cut = asked.groupBy(*cell).agg(F.count("*").alias("n_asked"), F.first("n_held").alias("n_held")).select(*cell, *parts)
+    asks = _dealt(asked.join(cut, cell), "b", "asked_parts", "held_parts").select(F.xxhash64(*cell, "own", "other").alias("to"), F.col("b").alias("rid"), "root", "band", F.lit(True).alias("asks"))
+    holds = _dealt(held.join(cut, cell), "rid", "held_parts", "asked_parts").select(F.xxhash64(*cell, "other", "own").alias("to"), "rid", "root", F.col("near").alias("band"), F.lit(False).alias("asks"))
+    met = materialize(asks.union(holds))
+    requests = met.select("rid", "to").distinct().groupBy(_block("rid")).agg(F.collect_list(F.struct(_place("rid").alias("at"), "to")).alias("asked"))
+
+    def compare(sets: pa.Table, rows: pa.Table) -> pa.Table:
+        own = {b: _widened(digest) for b, digest in zip(sets["b"].to_pylist(), sets["digest"].to_pylist())}
+        askers, members = ([x for x in rows.to_pylist() if x["asks"] == side] for side in (True, False))
+        links: dict[tuple[int, int], int] = {}
+        if askers and members:
+            local = _Crowd(members, own)
+            for x in askers:
+                for k in local.linked(own[x["rid"]], x["root"], x["band"], measure):
+                    links.setdefault((x["rid"], members[k]["root"]), members[k]["rid"])
+        return pa.table({"a": pa.array(links.values(), pa.int64()), "b": pa.array([b for b, _ in links], pa.int64())})
+
+    sets = _sent_sets(packed, requests, measure, _narrowed)
+    return materialize(sets.groupBy("block").cogroup(met.groupBy("to")).applyInArrow(compare, "a long, b long"))
+
+
+def _dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """``rows`` with a part of their ``own`` number, by a hash, once for each part of the ``other`` side."""
+    return rows.withColumn("own", F.pmod(F.xxhash64(key), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
 
 
 class _Crowd:
-    """Members of a crowd in one block, their shingles in one array."""
+    """Members of a cell, their shingles in one array."""
 
     def __init__(self, members: list[dict], sets: dict[int, np.ndarray]):
-        own = [sets[x["at"]] >> _DROPPED for x in members]
+        own = [sets[x["rid"]] for x in members]
         self.sizes = np.array([len(s) for s in own], np.int64)
         self.tokens = np.concatenate(own)
         self.owner = np.repeat(np.arange(len(own)), self.sizes)

@@ -6,7 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ludometry.llm import blocks
+from ludometry.llm import ngram_join as ngram_join_module
 from ludometry.llm.ngram_join import Measure, choose_prefix, dedup_near, ngram_join
 from ludometry.llm.queries import QUERIES
 from ludometry.llm.run_index import build_index, earliest
@@ -152,6 +155,34 @@ def test_near_copies(spark, copies):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_join(rows))
 
 
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_crowd_over_many_blocks(spark, monkeypatch, most):
+    """All links of a crowd, in cells of one part and of several; sets travel once per cell, not once per block."""
+    rng = random.Random(3)
+    body, rows = [f"w{i}" for i in range(60)], []
+    for i in range(48):
+        text = list(body)
+        for at in rng.sample(range(60), i % 4):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    packed = blocks.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(24))
+    found = packed.table.select("block", F.posexplode("rows").alias("at", "row")).select(((F.col("block") * (1 << blocks.PLACE_BITS)) + F.col("at")).alias("rid"), "row.text").collect()
+    sets = {r.rid: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in found for w in [words(r.text)]}
+    crowd = [(min(sets), rid, rid, len(s)) for rid, s in sets.items()]
+    sent, send = [], ngram_join_module._sent_sets
+
+    def counted(packed, asked, *rest):
+        sent.append(asked.select(F.sum(F.size("asked"))).first()[0])
+        return send(packed, asked, *rest)
+
+    monkeypatch.setattr(ngram_join_module, "_sent_sets", counted)
+    monkeypatch.setattr(ngram_join_module, "_PART_SHINGLES", most, raising=False)
+    links = ngram_join_module._hub_links(packed, spark.createDataFrame(crowd, "hub long, rid long, root long, n long"), Measure()).collect()
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(similar) > 100 and {tuple(sorted(x)) for x in links} == similar
+    assert packed.table.count() > 20 and (most < 1000 or sent[-1] <= 8 * len(sets))
+
+
 def test_join_of_edge_texts(edge, nothing):
     rows = [tuple(r) for r in edge.select("doc_id", "text").collect()]
     got = ngram_join(edge).select("doc_id", "n_shingles", "component_id").collect()
