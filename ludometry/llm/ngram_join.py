@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -212,32 +212,59 @@ def _profile(packed: B.Blocks, measure: Measure) -> DataFrame:
     return packed.table.mapInArrow(profile, _PROFILE)
 
 
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """Counts by cell over the corpus: 4 MB, whatever its size."""
+@dataclass(frozen=True)
+class Sketch:
+    """Counts of the cells that stand out from the mean over all cells; only these move a shingle in the order."""
+
+    mean: float
+    at: np.ndarray
+    counts: np.ndarray
+
+    @cached_property
+    def cells(self) -> np.ndarray:
+        """All cells, 0 where nothing stands out; tasks build them, the driver never does."""
+        out = np.zeros(1 << _CELL_BITS, np.uint32)
+        out[self.at] = self.counts
+        return out
+
+
+def _sketch(profile: DataFrame) -> Sketch:
+    """Counts by cell over the corpus; of its 16 MB only the cells above the noise come to the driver."""
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(_PER_PART, np.int64)
         for cells in group["cells"]:
             at, counts = np.frombuffer(cells.as_buffer(), np.uint32).reshape(2, -1)
             total[at] += counts
-        return pa.table({"part": group["part"].slice(0, 1).cast(pa.int32()), "cells": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        total = np.minimum(total, 2**32 - 1)
+        return pa.table({"part": group["part"].slice(0, 1).cast(pa.int32()), "cells": pa.array([total.astype(np.uint32).tobytes()], pa.binary()), "total": pa.array([total.sum()], pa.int64())})
 
-    out = np.zeros((_PARTS, _PER_PART), np.uint32)
-    for row in profile.where("part IS NOT NULL").select("part", "cells").groupBy("part").applyInArrow(add, "part int, cells binary").collect():
-        out[row["part"]] = np.frombuffer(row["cells"], np.uint32)
-    return out.ravel()
+    parts = profile.where("part IS NOT NULL").select("part", "cells").groupBy("part").applyInArrow(add, "part int, cells binary, total long")
+    parts = materialize(parts)
+    mean = (parts.agg(F.sum("total")).first()[0] or 0) / (1 << _CELL_BITS)
+    noise = mean + 4 * np.sqrt(mean) + 1
+
+    def loud(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(cells.as_buffer(), np.uint32)
+                at = np.flatnonzero(counts > noise)
+                yield pa.RecordBatch.from_arrays([pa.array([part * _PER_PART + at], pa.list_(pa.int32())), pa.array([counts[at]], pa.list_(pa.int64()))], names=["at", "counts"])
 
+    found = parts.select("part", "cells").mapInArrow(loud, "at array<int>, counts array<long>").toArrow()
+    at, counts = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in found[n].chunks)]) for n in ("at", "counts"))
+    return Sketch(mean, at.astype(np.int32), counts.astype(np.uint32))
 
-def _prefixes(rows: pa.StructArray, places: list[int] | None, sketch: np.ndarray, measure: Measure) -> Iterator[tuple[int, int, np.ndarray, int]]:
+
+def _prefixes(rows: pa.StructArray, places: list[int] | None, sketch: Sketch, measure: Measure) -> Iterator[tuple[int, int, np.ndarray, int]]:
     """``(place, set size, prefix, matches asked)`` of the rows at ``places``."""
     if not places:
         return
-    mean = sketch.sum(dtype=np.float64) / len(sketch)
-    noise = mean + 4 * np.sqrt(mean) + 1
+    cells, mean = sketch.cells, sketch.mean
     sets = shingle_sets(B.texts_of(rows, measure.text).take(pa.array(places)), measure.shingle)
     for place, tokens in zip(places, sets):
-        counts = sketch[tokens >> np.uint64(64 - _CELL_BITS)]
-        prefix, matches = choose_prefix(tokens, np.where(counts > noise, counts - mean, 0), measure)
+        counts = cells[tokens >> np.uint64(64 - _CELL_BITS)]
+        prefix, matches = choose_prefix(tokens, np.where(counts > 0, counts - mean, 0), measure)
         yield place, len(tokens), prefix, matches
 
 

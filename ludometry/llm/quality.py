@@ -22,6 +22,8 @@ from .arrow_batches import mix, slices, text_bytes, with_column
 
 PASSAGE = 256
 _BATCH = 1 << 20
+#: Bytes of the sample that the driver encodes at once; each takes a few dozen bytes meanwhile.
+_SAMPLE_BATCH = 1 << 17
 #: Bytes that are classes of their own.
 _MARKS = b".,!?|*&%$#'\"-:;/"
 _LAGS = 3
@@ -185,8 +187,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     y = rows["y"].to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return _constant(float(y[0]) if len(y) else 1.0)
-    parts = [encode_passages(b.column(0)) for b in slices(iter(rows.select(["__text"]).to_batches()), "__text", _BATCH)]
+    parts = [encode_passages(b.column(0)) for b in slices(iter(rows.select(["__text"]).to_batches()), "__text", _SAMPLE_BATCH)]
     x, passages = (np.concatenate(p) for p in zip(*parts))
+    del rows, parts
     share = {c: counts[c] / max(1.0, float((y == c).sum())) for c in (0, 1)}
     return fit_attention(x, passages, y, np.where(y == 1, share[1], share[0]))
 

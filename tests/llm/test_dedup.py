@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,22 @@ def test_prefix_grows_with_candidate_cost():
     assert busy[1] > quiet[1]
 
 
+def test_driver_gets_only_cells_above_the_noise(spark):
+    """Of four million cells those of a repeated passage; the others count as before, as nothing."""
+    own = " ".join(f"w{k}" for k in range(30))
+    docs = spark.range(60).selectExpr("id AS doc_id", f"concat('{own} ', array_join(transform(sequence(1, 40), k -> concat('v', id, '_', k)), ' ')) AS text")
+    measure = Measure()
+    sketch = ngram_join_module._sketch(ngram_join_module._profile(blocks.pack(docs), measure))
+    sets = [ngram_join_module.shingle_sets(pa.array([r.text]), measure.shingle)[0] for r in docs.collect()]
+    whole = np.bincount(np.concatenate(sets) >> np.uint64(42), minlength=1 << 22)
+    mean = whole.sum() / (1 << 22)
+    loud = whole > mean + 4 * np.sqrt(mean) + 1
+    assert sketch.mean == mean and 26 <= len(sketch.at) == loud.sum() < 40
+    assert (sketch.cells == np.where(loud, whole, 0)).all()
+    nothing = ngram_join_module._sketch(ngram_join_module._profile(blocks.pack(docs.limit(0)), measure))
+    assert nothing.mean == 0 and not nothing.cells.any()
+
+
 def test_copies_of_a_block_are_sent_once():
     """The first copy in key order travels; the others are merged runs, also when windows are split off."""
     import pyarrow as pa

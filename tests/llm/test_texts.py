@@ -13,6 +13,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
+from ludometry.llm import quality as quality_module
 from ludometry.llm.fingerprints import K, MAX_TOKEN, W, fingerprint_edits
 from ludometry.llm.mixing import in_mixed_order, mix_sources, period
 from ludometry.llm.piece_queries import MODEL
@@ -217,3 +218,12 @@ def test_quality_of_edge_texts(spark, edge, nothing):
     assert {r.score for r in score_quality(edge, train_quality(docs, odd)).collect()} == {1.0}
     assert keep_quality(edge, labels.limit(0)).count() == 10
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def test_quality_encodes_the_sample_in_small_parts(spark, monkeypatch):
+    """What the driver works on at once does not grow with the sample."""
+    encode, seen = quality_module.encode_passages, []
+    monkeypatch.setattr(quality_module, "encode_passages", lambda texts: seen.append(sum(map(len, texts.to_pylist()))) or encode(texts))
+    docs = spark.range(80).selectExpr("id AS doc_id", "if(id % 2 = 0, repeat('plain words of a text. ', 500), repeat('%$ 77 #* ', 1000)) AS text")
+    train_quality(docs, docs.selectExpr("doc_id", "int(doc_id % 2 = 0) AS quality"))
+    assert sum(seen) > 500_000 and max(seen) < 150_000
