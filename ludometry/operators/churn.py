@@ -129,10 +129,11 @@ def split_stratified(
 
 def train_configs(train: DataFrame, configs: Mapping[str, Mapping[str, object]] | None = None, **options) -> dict[str, GBTClassificationModel]:
     """A model of each configuration, fitted at the same time on the same rows."""
-    rows = few_tasks(train)
+    configs = configs or CONFIGS
+    rows = few_tasks(train, fits=len(configs))
     return side_by_side(
         train.sparkSession,
-        {name: (lambda p=params: train_churn(rows, params=p, **options)) for name, params in (configs or CONFIGS).items()},
+        {name: (lambda p=params: train_churn(rows, params=p, **options)) for name, params in configs.items()},
     )
 
 

@@ -93,10 +93,12 @@ def ltv_model(
     exclude_leaky: bool = False,
     params: Mapping[str, object] | None = None,
     split: Callable[[DataFrame, str], tuple[DataFrame, DataFrame]] | None = None,
+    fits: int = 1,
 ):
     """Boosted regression of a horizon target; returns the model, test predictions and the features used.
 
-    ``split`` gives train and test rows, by default ``hash_split``.
+    ``split`` gives train and test rows, by default ``hash_split``. ``fits`` is
+    the number of models that are fitted at the same time.
     """
     checkpoint_dir(df.sparkSession)
     features = [f for f in features if not (exclude_leaky and f in LEAKY)]
@@ -110,12 +112,13 @@ def ltv_model(
         stepSize=rate,
         seed=seed,
         **(params or {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}),
-    ).fit(few_tasks(train))
+    ).fit(few_tasks(train, fits))
     return model, model.transform(test).select(key, F.col(target).alias("label"), "prediction"), features
 
 
 def ltv_models(df: DataFrame, targets: Sequence[str], **options) -> dict[str, tuple]:
     """``ltv_model`` of each target, all fitted at the same time."""
+    options = {"fits": len(targets), **options}
     return side_by_side(df.sparkSession, {t: (lambda t=t: ltv_model(df, t, **options)) for t in targets})
 
 

@@ -84,15 +84,22 @@ def side_by_side(spark: SparkSession, tasks: Mapping[str, Callable[[], Found]])
         return {name: work.result() for name, work in running.items()}
 
 
-#: Rows of a training set that are worth a task.
-_ROWS_A_TASK = 50_000
+#: Rows of a training set that are worth a task, and the most a task gets.
+_ROWS_A_TASK, _ROWS_AT_MOST = 50_000, 1_000_000
 
 
-def few_tasks(rows: DataFrame) -> DataFrame:
+def few_tasks(rows: DataFrame, fits: int = 1) -> DataFrame:
     """``rows``, written, in no more partitions than their number is worth.
 
     A fit runs several jobs for each tree, so a small training set is paid for
-    in tasks, not in rows.
+    in tasks, not in rows. ``fits`` that run at the same time get equal parts,
+    so many that the tasks of all fit into the session's slots together; a part
+    has a bounded number of rows all the same.
     """
     written = materialize(rows)
-    return written.coalesce(max(1, -(-written.count() // _ROWS_A_TASK)))
+    n = written.count()
+    worth = max(1, -(-n // _ROWS_A_TASK))
+    if fits == 1 or worth == 1:
+        return written.coalesce(worth)
+    share = max(1, written.sparkSession.sparkContext.defaultParallelism // fits)
+    return written.repartition(min(worth, share * -(-n // (share * _ROWS_AT_MOST))))

@@ -605,3 +605,36 @@ def test_kmeans_members_are_those_of_the_nearest_centres():
     for start, c in zip(starts, models):
         gaps = ((x[:, None, :] - c) ** 2).sum(axis=2)
         assert (mine[start : start + len(c)].T == np.eye(len(c))[gaps.argmin(axis=1)]).all()
+
+
+def test_fits_at_the_same_time_share_the_slots(spark, monkeypatch):
+    """Their parts are equal, no more than the slots together, and bounded; few rows stay one part."""
+    from ludometry import session
+
+    slots = spark.sparkContext.defaultParallelism
+    rows = spark.range(2000).coalesce(1)
+    sizes = lambda df: df.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert session.few_tasks(rows, fits=2).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "_ROWS_A_TASK", 10)
+    for fits in (2, 3, 10 * slots):
+        parts = sizes(session.few_tasks(rows, fits=fits))
+        assert len(parts) == max(1, slots // fits) and sum(parts) == 2000 and max(parts) - min(parts) <= slots
+    monkeypatch.setattr(session, "_ROWS_AT_MOST", 100)
+    parts = sizes(session.few_tasks(rows, fits=10 * slots))
+    assert len(parts) == 20 and max(parts) <= 100 + slots
+    assert sorted(r.id for r in session.few_tasks(rows, fits=2).collect()) == list(range(2000))
+
+
+def test_models_of_one_query_know_of_each_other(spark, monkeypatch):
+    """Configurations and horizons ask for training rows as fits at the same time."""
+    from ludometry.operators import ltv
+
+    asked = []
+    for module in (churn, ltv):
+        plain = module.few_tasks
+        monkeypatch.setattr(module, "few_tasks", lambda rows, fits=1, plain=plain: asked.append(fits) or plain(rows, fits))
+    wide = spark.range(60).select(F.col("id").alias("player_id"), (F.col("id") % 7).alias("a"), (F.col("id") % 2).alias("y"), (F.col("id") % 5).alias("z"))
+    ltv.ltv_models(wide, ["y", "z"], features=["a"], trees=1, depth=1, params={})
+    data, _ = churn.churn_frame(wide, ["a"], "y")
+    churn.train_configs(data, trees=1, depth=1)
+    assert asked == [2, 2, 2]
