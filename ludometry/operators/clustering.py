@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -106,20 +108,19 @@ def kmeans_sweep(
     max_iter: int = 300,
     seed: int = 42,
     key: str | None = None,
-    sample: int = 5000,
 ) -> Sweep:
     """K-Means for each k, lowest cost of several restarts, scored by silhouette.
 
     ``data`` has a ``features`` vector and all of its rows are used. All k and
     restarts are fitted together: every iteration is one pass over the data.
-    The silhouette is the Euclidean one within a sample, see ``silhouettes``.
+    The silhouette is the Euclidean one over all rows, see ``silhouettes``.
     """
     rows = hashed_rows(data, key).persist()
     try:
         starts = _seeds(rows, ks, restarts, seed)
         fits = _lloyd(rows, [centres for k in ks for centres in starts[k]], max_iter)
         best = {int(k): min(fits[i * restarts : (i + 1) * restarts], key=lambda f: f.cost) for i, k in enumerate(ks)}
-        scores = silhouettes(rows, list(best.values()), sample)
+        scores = silhouettes(rows, list(best.values()))
     finally:
         rows.unpersist()
     return Sweep([(k, fit.cost, s) for (k, fit), s in zip(best.items(), scores)], best)
@@ -143,41 +144,142 @@ def kmeans_assign(data: DataFrame, model: KMeansFit, out: str = "kmeans_cluster"
     return data.withColumn("_gaps", gaps).withColumn(out, (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
 
 
-def silhouettes(rows: DataFrame, models: Sequence[KMeansFit], sample: int = 5000) -> list[float]:
-    """Mean Euclidean silhouette of each model, within the ``sample`` rows of smallest key hash.
+def silhouettes(rows: DataFrame, models: Sequence[KMeansFit]) -> list[float]:
+    """Mean Euclidean silhouette of each model over all rows.
 
-    ``rows`` has ``h`` (the hash) and ``x``. A row's value is (b - a) / max(a, b),
-    with its mean distances to the rest of its own cluster (a) and to the
-    nearest other one (b); 0 in a cluster of one, and with a single cluster.
-    The sample is bounded, so it is broadcast and its rows are compared with all
-    of it block by block.
+    ``rows`` has ``x``. A row's value is (b - a) / max(a, b), with its mean
+    distances to the rest of its own cluster (a) and to the nearest other one
+    (b); 0 in a cluster of one, and with a single cluster.
+
+    Every row is compared with every other one, once for all models, so the work
+    grows with the square of the rows. Rows are dealt over blocks; a task
+    compares two blocks, or one with itself, and holds these rows and their sums
+    of distances to each cluster. The sums of a row's tasks are added up after.
     """
-    chosen = materialize(rows.orderBy("h", "x").limit(sample).select("x"))
-    all_rows = np.array([r["x"] for r in chosen.collect()], float)
-    if not len(all_rows):
+    n = rows.count()
+    if not n:
         return [0.0] * len(models)
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((all_rows, [m.centres for m in models]))
+    shared = spark.sparkContext.broadcast([m.centres for m in models])
+    ends = np.cumsum([0, *(len(m.centres) for m in models)])
+    most = max(_PIECE_ROWS, _SIDE_BYTES // (8 * (int(ends[-1]) + models[0].centres.shape[1])))
+    blocks = max(1, min(-(-n // _PIECE_ROWS), max(math.ceil((8 * spark.sparkContext.defaultParallelism) ** 0.5), -(-n // most))))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everything, centres = shared.value
-        members = [np.eye(len(c))[_nearest(everything, c)[0]] for c in centres]
-        sums = np.zeros(len(centres))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
-            for block in np.array_split(_matrix(batch.column(0)), -(-batch.num_rows // _BLOCK_ROWS)):
-                far = np.sqrt(((block[:, None, :] - everything[None, :, :]) ** 2).sum(axis=2))
-                for m, c in enumerate(centres):
-                    sums[m] += _silhouette(far @ members[m], members[m].sum(axis=0), _nearest(block, c)[0]).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["model", "s"])
-
-    spread = chosen.repartition(max(1, min(len(all_rows) // _BLOCK_ROWS, spark.sparkContext.defaultParallelism)), F.xxhash64("x"))
-    totals = spread.mapInArrow(score, "model int, s double").groupBy("model").agg(F.sum("s").alias("s")).collect()
-    found = {r["model"]: r["s"] / len(all_rows) for r in totals}
+            for at in range(0, batch.num_rows, _PIECE_ROWS):
+                lists = batch.column(0).slice(at, _PIECE_ROWS)
+                part = batch.column(1)[0].as_py()
+                sizes = np.concatenate([np.bincount(_nearest(_matrix(lists), c)[0], minlength=len(c)) for c in shared.value])
+                row = {"block": part % blocks, "piece": (part << 32) + turn, "x": lists.flatten().to_numpy(zero_copy_only=False), "sizes": sizes}
+                turn += 1
+                yield pa.RecordBatch.from_pydict({c: [v] for c, v in row.items()}, schema=_PIECE)
+
+    dealt = rows.select("x").repartition(blocks).select("x", F.spark_partition_id().cast("long").alias("part"))
+    pieces = materialize(dealt.mapInArrow(pack, "block long, piece long, x array<double>, sizes array<long>"))
+    counted = dict(pieces.select(F.posexplode("sizes").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect())
+    sizes = np.array([counted[i] for i in range(ends[-1])], float)
+
+    # Blocks low <= high meet in the task number high * (high + 1) / 2 + low.
+    met = pieces.select("block", "piece", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    task = F.expr("int(shiftright(greatest(block, other) * (greatest(block, other) + 1), 1) + least(block, other))")
+    met = met.select(task.alias("task"), (F.col("block") <= F.col("other")).alias("low"), "piece", "x")
+    spread = met.repartitionById(blocks * (blocks + 1) // 2, "task")
+    sums = spread.groupBy("task").applyInArrow(lambda t: _compare(t, shared.value), "piece long, sums array<double>, label array<int>")
+
+    def score(t: pa.Table) -> pa.Table:
+        whole = np.sum([s.values.to_numpy(zero_copy_only=False) for s in t["sums"]], axis=0).reshape(-1, ends[-1])
+        (label,) = (s.values.to_numpy(zero_copy_only=False).reshape(len(whole), -1) for s in t["label"] if s.is_valid)
+        found = [_silhouette(whole[:, a:b], sizes[a:b], label[:, m]).sum() for m, (a, b) in enumerate(zip(ends, ends[1:]))]
+        return pa.table({"model": pa.array(np.arange(len(found), dtype=np.int32)), "s": pa.array(found, pa.float64())})
+
+    totals = sums.groupBy("piece").applyInArrow(score, "model int, s double").groupBy("model").agg(F.sum("s").alias("s")).collect()
+    found = {r["model"]: r["s"] / n for r in totals}
     return [float(found[m]) for m in range(len(models))]
 
 
-#: Rows of a sample that are compared with all of it at once.
-_BLOCK_ROWS = 64
+#: Rows that travel together, and the most that are compared with as many at once.
+_PIECE_ROWS = 1024
+#: About the bytes of a block's rows and sums: a task holds two blocks and a few copies.
+_SIDE_BYTES = 32 << 20
+#: Squared distances below this share of the squared lengths are mostly rounding in a matrix product.
+_ROUNDING = 1e-8
+_PIECE = pa.schema([("block", pa.int64()), ("piece", pa.int64()), ("x", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int64()))])
+
+
+class _Side:
+    """Rows of a block's pieces in the order of their clusters, and their sums of distances to each cluster."""
+
+    def __init__(self, pieces: pa.Table, models: Sequence[np.ndarray]):
+        d, starts = models[0].shape[1], np.cumsum([0, *map(len, models)])
+        lists = pieces["x"].combine_chunks()
+        self.pieces, self.lengths = pieces["piece"], lists.value_lengths().to_numpy(zero_copy_only=False) // d
+        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        self.label = np.stack([_nearest(x, c)[0] for c in models], axis=1).astype(np.int32)
+        self.order = np.lexsort(self.label.T)
+        self.x = x[self.order]
+        self.sums = np.zeros((len(x), starts[-1]))
+        norms = (self.x**2).sum(axis=1, keepdims=True)
+        self.as_left = np.hstack([-2 * self.x, norms, np.ones_like(norms)])
+        self.as_right = np.hstack([self.x, np.ones_like(norms), norms])
+        clusters = self.label[self.order] + starts[:-1]
+        changes = np.concatenate([[True], (np.diff(clusters, axis=0) != 0).any(axis=1)])
+        # Slices of the rows, the first rows of the runs of equal clusters in each, and which clusters those are.
+        self.slices = []
+        for at in range(0, len(x), _PIECE_ROWS):
+            rows = slice(at, min(at + _PIECE_ROWS, len(x)))
+            runs = np.union1d([0], np.flatnonzero(changes[rows]))
+            member = np.zeros((len(runs), starts[-1]))
+            member[np.arange(len(runs))[:, None], clusters[rows][runs]] = 1
+            self.slices.append((rows, runs, member))
+
+    def table(self, labelled: bool) -> pa.Table:
+        """``piece, sums, label`` of each piece, in the order the rows came in."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int32)
+        sums = np.empty_like(self.sums)
+        sums[self.order] = self.sums
+        lists = [pa.ListArray.from_arrays(pa.array(ends * v.shape[1]), pa.array(v.ravel())) for v in (sums, self.label)]
+        if not labelled:
+            lists[1] = pa.nulls(len(self.lengths), lists[1].type)
+        return pa.table([self.pieces, *lists], names=["piece", "sums", "label"])
+
+
+def _compare(t: pa.Table, models: Sequence[np.ndarray]) -> pa.Table:
+    """Sums of distances between the rows of two blocks, or of one, told apart by ``low``."""
+    left = _Side(t.filter(t["low"]), models)
+    alone = left.pieces.length() == t.num_rows
+    room = np.empty(_PIECE_ROWS * _PIECE_ROWS)
+    right = left if alone else _Side(t.filter(pc.invert(t["low"])), models)
+    for i, (a, runs_a, member_a) in enumerate(left.slices):
+        for j, (b, runs_b, member_b) in enumerate(right.slices):
+            if alone and j < i:
+                continue
+            far = _distances(left, a, right, b, room)
+            left.sums[a] += np.add.reduceat(far, runs_b, axis=1) @ member_b
+            if not alone or j > i:
+                # reduceat is slow along this axis.
+                runs = [far[first:end].sum(axis=0) for first, end in zip(runs_a, [*runs_a[1:], len(far)])]
+                right.sums[b] += np.stack(runs, axis=1) @ member_a
+    return left.table(True) if alone else pa.concat_tables([left.table(False), right.table(False)])
+
+
+def _distances(left: _Side, a: slice, right: _Side, b: slice, room: np.ndarray) -> np.ndarray:
+    """Distances of rows to rows by a matrix product, in ``room``; those of close ones by differences, as rounding would show there."""
+    x, y = left.x[a], right.x[b]
+    # New memory for each product costs more than the product.
+    far = np.matmul(left.as_left[a], right.as_right[b].T, out=room[: len(x) * len(y)].reshape(len(x), len(y)))
+    close = np.flatnonzero(far < _ROUNDING * (left.as_left[a, -2].max() + right.as_right[b, -1].max()))
+    if len(close) > far.size // 16:
+        far[:] = 0
+        for c in range(x.shape[1]):
+            far += (x[:, c, None] - y[:, c]) ** 2
+    elif len(close):
+        i, j = np.divmod(close, len(y))
+        far.flat[close] = ((x[i] - y[j]) ** 2).sum(axis=1)
+    return np.sqrt(far, out=far)
+
+
 #: Rows that a step compares with all centres at once.
 _STEP_ROWS = 4096
 #: Rounds of seeding, and candidates drawn in each as a multiple of the largest k.

@@ -128,8 +128,8 @@ def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euclidean silhouette of those clusters within a sample of 400 rows."""
     data, fit = _stepped(spark, sf_dir)
-    rows = clustering.hashed_rows(data, "player_id")
-    (value,) = clustering.silhouettes(rows, [fit], sample=400)
+    rows = materialize(clustering.hashed_rows(data, "player_id").orderBy("h", "x").limit(400))
+    (value,) = clustering.silhouettes(rows, [fit])
     return tidy(spark.createDataFrame([(min(400, data.count()), value)], "n long, silhouette double"))
 
 

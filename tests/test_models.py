@@ -638,3 +638,46 @@ def test_models_of_one_query_know_of_each_other(spark, monkeypatch):
     data, _ = churn.churn_frame(wide, ["a"], "y")
     churn.train_configs(data, trees=1, depth=1)
     assert asked == [2, 2, 2]
+
+
+def _silhouette_by_definition(x, centres):
+    label = ((x[:, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    values = []
+    for row, own in zip(x, label):
+        gaps = np.sqrt(((x - row) ** 2).sum(axis=1))
+        sums, sizes = (np.bincount(label, weights=w, minlength=len(centres)) for w in (gaps, None))
+        if sizes[own] == 1 or np.count_nonzero(sizes) == 1:
+            values.append(0.0)
+            continue
+        a = sums[own] / (sizes[own] - 1)
+        b = min(s / n for k, (s, n) in enumerate(zip(sums, sizes)) if n and k != own)
+        values.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return np.mean(values)
+
+
+def test_kmeans_sweep_scores_all_rows(spark):
+    """Also those beyond the first thousands, and keys that repeat or are null."""
+    x = np.random.default_rng(5).normal(size=(5600, 2))
+    keys = [None if i % 3 == 0 else i // 5 for i in range(len(x))]
+    data = clustering.standard_vectors(spark.createDataFrame([(k, *map(float, r)) for k, r in zip(keys, x)], "k long, a double, b double"), ["a", "b"], ["k"])
+    sweep = clustering.kmeans_sweep(data, ks=(2, 3), restarts=1, max_iter=5, key="k")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert [s for *_, s in sweep.scores] == pytest.approx([_silhouette_by_definition(z, sweep.models[k].centres) for k in (2, 3)], abs=1e-9)
+
+
+@pytest.mark.parametrize("side, piece", [(1, 7), (5000, 16), (1 << 20, 1024)])
+def test_silhouettes_by_definition(spark, monkeypatch, side, piece):
+    """Many blocks and one; crowds of equal and of close rows far from 0, a cluster of one, an empty one, a model of one."""
+    monkeypatch.setattr(clustering, "_SIDE_BYTES", side)
+    monkeypatch.setattr(clustering, "_PIECE_ROWS", piece)
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(60, 3)), np.full((50, 3), 4.0), 1000 + 1e-3 * rng.normal(size=(30, 3)), [[-50.0, 0, 0]]])
+    models = [
+        np.array([[0.0, 0, 0], [1000, 1000, 1000], [-50, 0, 0], [-50, 1, 0]]),
+        np.array([[0.5, 0, 0], [4, 4, 4], [1000, 1000, 1000 - 1e-3], [1000, 1000, 1000 + 1e-3], [1e6, 0, 0]]),
+        np.array([[0.0, 0, 0]]),
+    ]
+    rows = materialize(spark.createDataFrame([(r,) for r in x.tolist()], "x array<double>"))
+    got = clustering.silhouettes(rows, [clustering.KMeansFit(c, 0.0, 1) for c in models])
+    assert got == pytest.approx([_silhouette_by_definition(x, c) for c in models], abs=1e-7)
+    assert clustering.silhouettes(rows.limit(0), [clustering.KMeansFit(models[0], 0.0, 1)]) == [0.0]
