@@ -143,12 +143,12 @@ def test_cox_of_a_million_durations(spark):
     """The driver gets a vector per range, not one per duration."""
     n = 1_000_000
     t = F.floor((F.col("id") * 7919 % n) / 1.01) / 16 + n
-    df = spark.range(n).select(t.alias("t"), (F.col("id") % 2).cast("double").alias("e"), F.array((F.col("id") % 7) / 7).alias("x"))
+    df = spark.range(n).select(t.alias("t"), (F.col("id") % 3 > 0).cast("double").alias("e"), F.array((F.col("id") % 7) / 7).alias("x"))
     units = survival._CoxRows(materialize(df))
     assert 60 <= len(units.edges) <= 110
     ll, gradient, info = units.terms(np.array([0.3]))
     i = np.arange(n)
-    at, e, x = np.floor((i * 7919 % n) / 1.01) / 16 + n, i % 2, (i % 7) / 7
+    at, e, x = np.floor((i * 7919 % n) / 1.01) / 16 + n, i % 3 > 0, (i % 7) / 7
     order = np.argsort(at, kind="stable")
     x, e, at = x[order], e[order], at[order]
     risk = np.exp(0.3 * x)
